@@ -146,14 +146,14 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     return Model({k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.float64)) for k, g in got.groupby("lang")})
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Language of every whole text: ``key, lang_pred, score``.
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Language of every whole text: the columns ``keep``, ``lang_pred`` and ``score``.
 
     ``und`` with score 0 where the text is null or has no letter, or where no language was learned.
     The score is the posterior share of the best language at equal priors; ties go to the first name.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.select(key).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -161,17 +161,17 @@ def predict(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         m, letter = shared.value, regex.compile(r"\p{L}")
         rows = m.rows()
         for b in it:
-            texts = b.column(1).to_pylist()
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
             named = [bool(m.langs and t and letter.search(t)) for t in texts]
             cost = m.score([text_bytes(t) if ok else b"" for t, ok in zip(texts, named, strict=True)], rows)
             best = cost.argmin(1) if m.langs else []
             score = 1 / np.exp2(np.clip(cost.min(1, keepdims=True) - cost, -1000, 0)).sum(1) if m.langs else []
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m.langs[best[i]] if ok else "und" for i, ok in enumerate(named)]), pa.array([float(score[i]) if ok else 0.0 for i, ok in enumerate(named)])],
+                [*b.columns[: len(keep)], pa.array([m.langs[best[i]] if ok else "und" for i, ok in enumerate(named)]), pa.array([float(score[i]) if ok else 0.0 for i, ok in enumerate(named)])],
                 names=schema.names,
             )
 
-    return df.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

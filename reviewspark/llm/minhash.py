@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,9 +173,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     pairs = keyed.join(keyed.groupBy("band").agg(F.min("node").alias("head")), "band").where("node <> head").select("node", "head").distinct()
 
     @F.pandas_udf("double")
-    def jaccard(a: "pd.Series", b: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: str, y: str) -> float:
             p, q = (np.unique(shingle_hashes([text_bytes(t)])[0]) for t in (x, y))
             both = len(np.intersect1d(p, q, assume_unique=True))

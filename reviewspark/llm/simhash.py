@@ -142,7 +142,7 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float
         keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp0").bitwiseAND(F.lit(m)).alias("key"), F.lit(True).alias("own")) for i, m in enumerate(signed)])
     else:
         step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / ratio)) + F.lit(1e-9)).cast("long")
-        keys = F.array(F.struct(F.lit(0).alias("kind"), step.alias("key"), F.lit(True).alias("own")), F.struct(F.lit(0), step + 1, F.lit(False)))
+        keys = F.array(F.struct(F.lit(0).alias("kind"), step.alias("key"), F.lit(True).alias("own")), F.struct(F.lit(0).alias("kind"), (step + 1).alias("key"), F.lit(False).alias("own")))
     keyed = nodes.withColumn("k", F.explode(keys)).select("node", "fp0", "fp1", "size", "k.*")
     hot = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("kind", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     dealt = (

@@ -338,12 +338,12 @@ def state(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends, candidate_starts(ends, data, pos, which, np.frombuffer(b"".join(row["places"]), np.uint32), length)
 
 
-def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty), strings never cross documents, and all are judged on the
     input. Returns the columns ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
-    runs) and ``kept`` (binary). Rows come out as often as they went in.
+    runs) and ``kept`` (binary, or with ``as_text`` a string without the halves of cut characters). Rows come out as often as they went in.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
@@ -390,7 +390,7 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     hashes = with_places.mapInArrow(send, "part int, block long, one binary, two binary, twice binary")
     bits = materialise(hashes.repartitionById(n, F.col("part")).mapInArrow(count, "block long, part int, bits binary"), "suffix-bits")
     final = joined(joined(blocks.drop("rep", "twice"), places, "places"), bits, "bits", "part")
-    schema = df.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    schema = df.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -418,7 +418,7 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
                 for m in meta:
                     c = list(zip(*out[base : base + m.num_rows], strict=True))
                     base += m.num_rows
-                    yield pa.RecordBatch.from_arrays([*m.columns, *[pa.array(x, pa.int64()) for x in c[:3]], pa.array(c[3], pa.binary())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*m.columns, *[pa.array(x, pa.int64()) for x in c[:3]], pa.array([k.decode("utf-8", "ignore") for k in c[3]] if as_text else c[3], pa.string() if as_text else pa.binary())], names=schema.names)
 
     return final.mapInArrow(finish, schema)
 
