@@ -8,9 +8,12 @@ positions, so a string can only repeat where a sparse suffix repeats.
    ranges of the suffix order, cut at sampled suffixes.
 2. Each range merges its runs with a loser tree that keeps common prefixes, so that no known prefix
    is compared again; suffixes that occur twice anywhere are told back to their blocks.
-3. Only strings around repeated suffixes are candidates; each block tells 96-bit hashes of them,
-   once each, dealt by hash, and hears which occur twice: the exact check.
-4. Blocks remove what the repeated strings cover.
+3. Only strings around repeated suffixes are candidates. Neighbouring candidates with the same
+   suffix are a stretch; blocks tell 96-bit hashes of their stretches, dealt by suffix. A stretch
+   that occurs twice repeats as a whole.
+4. Hashes of the single strings of the other stretches are told in the same way, and for suffixes
+   with different stretches those of one copy of each that is known to repeat: the exact check.
+5. Blocks remove what the repeated strings cover.
 
 Every exchange is aggregated within a block first, so copies and hot passages cost a row a block.
 """
@@ -76,17 +79,19 @@ class Window:
         best = sliding(np.concatenate([pad, np.where(self.valid, self.least, np.uint64(0)), pad]), self.w, np.maximum, np.uint64(0))
         return np.flatnonzero((best == self.h[: len(best)]) & (best > 0)) + self.lo
 
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of the strings whose least prefix is at one of the ``repeated`` positions."""
+    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the strings whose least prefix is at one of the ``repeated`` positions, and its hash."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if not self.n:
-            return np.zeros(0, np.int64)
+            return none
         h = np.full(len(self.h), MOST)
         a, b = np.searchsorted(repeated, [self.lo, self.lo + len(h)])
         if a == b:
-            return np.zeros(0, np.int64)
+            return none
         at = repeated[a:b] - self.lo
         h[at] = self.h[at]
-        return np.flatnonzero((sliding(h, self.w, np.minimum, MOST)[: self.n] == self.least) & self.valid) + self.lo
+        hit = np.flatnonzero((sliding(h, self.w, np.minimum, MOST)[: self.n] == self.least) & self.valid)
+        return hit + self.lo, self.least[hit]
 
 
 def windows(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[Window]:
@@ -111,8 +116,7 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
             nonlocal done
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema) as w:
-                for r in rows:
-                    w.write_batch(r)
+                w.write_table(pa.Table.from_batches(rows).combine_chunks())
             raw = b"".join(texts)
             data, ends = np.frombuffer(raw, np.uint8), np.cumsum([len(t) for t in texts])
             found = [w.anchors() for w in windows(data, ends, length)]
@@ -266,7 +270,7 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
                 for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                     if lo < hi:
                         same, rest = front_code(matrix(data, at[lo:hi]))
-                        out.append((p, block, lo, same.tobytes(), rest, twice[lo:hi]))
+                        out.append((p, block, lo, same.tobytes(), zstandard.compress(rest, 3), twice[lo:hi]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "base", "same", "rest", "twice"])
 
     def combine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +278,16 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
         for b in it:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[0] not in rows and rows:  # sorted by part
-                    yield from told(rows.popitem()[1])
+                    yield from merged(rows.popitem()[1])
                 rows.setdefault(r[0], []).append(r)
         if rows:
-            yield from told(rows.popitem()[1])
+            yield from merged(rows.popitem()[1])
 
-    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def merged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         hits: list[list[int]] = [[] for _ in rows]
         last: tuple[int, int] | None = None
         open_ = False
-        for run, i, shared in merge([Run(r[3], r[4]) for r in rows]):
+        for run, i, shared in merge([Run(r[3], zstandard.decompress(r[4])) for r in rows]):
             if shared == PREFIX and last is not None:
                 if not open_:
                     hits[last[0]].append(last[1])
@@ -302,40 +306,108 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
     return runs.repartitionById(n, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(combine, "block long, places binary")
 
 
-def candidate_starts(ends: np.ndarray, data: np.ndarray, pos: np.ndarray, which: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    hit = np.zeros(int(which.max()) + 1 if len(which) else 0, bool)
-    hit[places] = True
-    again = pos[hit[which]] if len(which) else pos
-    parts = [w.candidates(again) for w in windows(data, ends, length)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a further 32-bit hash of the strings that start at ``at`` (ascending)."""
-    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a further 32-bit hash of data[start:end], for ascending starts."""
+    one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
     for lo in range(0, len(data), SEGMENT):
-        a, b = np.searchsorted(at, [lo, lo + SEGMENT])
+        a, b = np.searchsorted(start, [lo, lo + SEGMENT])
         if a < b:
-            part, i = data[lo : lo + SEGMENT + length], at[a:b] - lo
-            one[a:b] = mix(span_hash(prefix_hash(part, _TWO), i, i + length))
-            two[a:b] = mix(span_hash(prefix_hash(part, _THREE), i, i + length)) >> np.uint64(32)
+            part = data[lo : int(end[a:b].max())]
+            one[a:b] = mix(span_hash(prefix_hash(part, _TWO), start[a:b] - lo, end[a:b] - lo))
+            two[a:b] = mix(span_hash(prefix_hash(part, _THREE), start[a:b] - lo, end[a:b] - lo)) >> np.uint64(32)
     return one, two
 
 
-def joined(blocks: DataFrame, told: DataFrame, column: str, order: str | None = None) -> DataFrame:
-    """Blocks with what was told to each, put together. A block hears at most its own size."""
+def told(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """What was told to each block, put together in order: never more than the block has."""
     cells = F.array_sort(F.collect_list(F.struct(F.col(order or column).alias("o"), F.col(column).alias("v"))))
-    return blocks.join(told.groupBy("block").agg(F.transform(cells, lambda x: x["v"]).alias(column)), "block", "left")
+    return df.groupBy("block").agg(F.transform(cells, lambda x: x["v"]).alias(column))
+
+
+def dealt(part: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """Of ascending part numbers, each part that occurs with its first place and the one after its last."""
+    edges = np.searchsorted(part, np.arange(n + 1))
+    return ((p, a, b) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if a < b)
+
+
+def part_of(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+
+
+def batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in it:
+        yield from b.to_pylist()
+
+
+def by_part(it: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of each part of a task."""
+    found: dict[int, list[dict]] = {}
+    for r in rows_of(it):
+        found.setdefault(r["part"], []).append(r)
+    yield from found.values()
 
 
-def state(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, ends of documents and candidate starts of a block."""
-    data, ends = unpack(row["data"]), np.frombuffer(row["ends"], np.int64)
-    which = np.frombuffer(row["which"], np.uint32)
-    pos = np.frombuffer(row["pos"], np.uint32 if len(row["pos"]) == 4 * len(which) else np.int64).astype(np.int64)
-    if not row["places"]:
-        return data, ends, np.zeros(0, np.int64)
-    return data, ends, candidate_starts(ends, data, pos, which, np.frombuffer(b"".join(row["places"]), np.uint32), length)
+BIN, LONG, INT = pa.binary(), pa.int64(), pa.int32()
+STRETCHES = {"block": LONG, "ends": BIN, "start": BIN, "size": BIN, "least": BIN, "one": BIN, "two": BIN, "region": BIN, "data": BIN}
+
+
+def stretches(length: int):  # noqa: ANN201
+    """Candidate stretches of each block: starts, numbers of strings, suffix and content hashes; and the text around them alone."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(it):
+            data, ends = unpack(row["data"]), np.frombuffer(row["ends"], np.int64)
+            which = np.frombuffer(row["which"], np.uint32)
+            pos = np.frombuffer(row["pos"], np.uint32 if len(row["pos"]) == 4 * len(which) else np.int64).astype(np.int64)
+            hit = np.zeros(int(which.max()) + 1, bool)
+            hit[np.frombuffer(b"".join(row["places"]), np.uint32)] = True
+            found = [w.candidates(pos[hit[which]]) for w in windows(data, ends, length)]
+            at, least = np.concatenate([a for a, _ in found]), np.concatenate([m for _, m in found])
+            if not len(at):
+                continue
+            new = np.flatnonzero((np.diff(at) > 1) | (least[1:] != least[:-1]) | (at[1:] % SEGMENT == 0)) + 1
+            first = np.concatenate([[0], new])
+            start, size = at[first], np.diff(np.concatenate([first, [len(at)]]))
+            end = start + size - 1 + length
+            one, two = string_hashes(data, start, end)
+            cut = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
+            lo = start[np.concatenate([[0], cut])]
+            hi = np.maximum.reduceat(end, np.concatenate([[0], cut]))
+            raw = data.tobytes()
+            small = zstandard.compress(b"".join([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), 3)
+            yield batch([(row["block"], row["ends"], start.tobytes(), size.tobytes(), least[first].tobytes(), one.tobytes(), two.tobytes(), np.stack([lo, hi]).tobytes(), small)], STRETCHES)
+
+    return run
+
+
+class Stretches:
+    """The stretches of one block, decoded."""
+
+    def __init__(self, row: dict) -> None:
+        self.start, self.size = np.frombuffer(row["start"], np.int64), np.frombuffer(row["size"], np.int64)
+        self.least, self.one, self.two = (np.frombuffer(row[k], t) for k, t in (("least", np.uint64), ("one", np.uint64), ("two", np.uint32)))
+        self.order = np.lexsort([self.two, self.one, self.least])
+        m, a, b = self.least[self.order], self.one[self.order], self.two[self.order]
+        new = np.concatenate([[True], (m[1:] != m[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.kinds = self.order[new]
+        self.of = np.empty(len(self.order), np.int64)
+        self.of[self.order] = np.cumsum(new) - 1
+        self.count = np.bincount(self.of)
+
+    def strings(self, row: dict, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of all strings of the chosen stretches, and their hashes."""
+        lo, hi = np.frombuffer(row["region"], np.int64).reshape(2, -1)
+        start, size = self.start[chosen], self.size[chosen]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(start, size) + inside
+        base = np.concatenate([[0], np.cumsum(hi - lo)[:-1]]) - lo
+        near = at + base[np.searchsorted(lo, at, side="right") - 1]
+        return at, *string_hashes(unpack(row["data"]), near, near + length)
 
 
 def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False) -> DataFrame:
@@ -351,74 +423,112 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     blocks = materialise(blocks_of(df, keep, text, length), "suffix-blocks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     places = materialise(repeated(blocks, n), "suffix-places")
-    with_places = joined(blocks.drop("meta", "rep", "twice"), places, "places")
+    around = blocks.select("block", "ends", "data", "pos", "which").join(told(places, "places"), "block")
+    found = materialise(around.mapInArrow(stretches(length), ", ".join(f"{k} {'long' if t == LONG else 'binary'}" for k, t in STRETCHES.items())), "suffix-stretches")
+
+    def send_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(it):
+            s = Stretches(row)
+            k, twice = s.kinds, s.count > 1
+            out = [(p, row["block"], s.least[k[a:b]].tobytes(), s.one[k[a:b]].tobytes(), s.two[k[a:b]].tobytes(), twice[a:b].tobytes()) for p, a, b in dealt(part_of(s.least[k], n), n)]
+            yield batch(out, {"part": INT, "block": LONG, "least": BIN, "one": BIN, "two": BIN, "twice": BIN})
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Code of each stretch: 0 repeats, 1 repeats and speaks for its strings, 2 speaks for them (alone, it may repeat within itself)."""
+        for rows in by_part(it):
+            rows.sort(key=lambda r: r["block"])
+            m, one, two, twice = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("least", np.uint64), ("one", np.uint64), ("two", np.uint32), ("twice", bool)))
+            order = np.lexsort([two, one, m])
+            m, one, two, twice = m[order], one[order], two[order], twice[order]
+            group = np.concatenate([[True], m[1:] != m[:-1]])
+            kind = group | np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            kind_of, group_of = np.cumsum(kind) - 1, np.cumsum(group) - 1
+            again = (np.bincount(kind_of) + np.bincount(kind_of, twice) > 1)[kind_of]
+            mixed = (np.bincount(group_of, kind) > 1)[group_of]
+            code = np.empty(len(m), np.uint8)
+            code[order] = np.where(again, np.where(mixed & kind, 1, 0), 2)
+            at = 0
+            for r in rows:
+                size = len(r["two"]) // 4
+                yield batch([(r["block"], r["part"], code[at : at + size].tobytes())], {"block": LONG, "part": INT, "codes": BIN})
+                at += size
 
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for row in b.to_pylist():
-                if not row["places"]:
-                    continue
-                data, _, at = state(row, length)
-                if not len(at):
-                    continue
-                one, two = string_hashes(data, at, length)
-                one, first, count = np.unique(one, return_index=True, return_counts=True)
-                two, twice = two[first], count > 1
-                bucket = ((one >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange(n + 1))
-                out = [(p, row["block"], one[a:z].tobytes(), two[a:z].tobytes(), twice[a:z].tobytes()) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "one", "two", "twice"])
+    sent = found.drop("data", "ends", "region").mapInArrow(send_stretches, "part int, block long, least binary, one binary, two binary, twice binary")
+    codes = materialise(sent.repartitionById(n, F.col("part")).mapInArrow(judge, "block long, part int, codes binary"), "suffix-codes")
+    judged = found.join(told(codes, "codes", "part"), "block")
+
+    def send_strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(it):
+            s = Stretches(row)
+            code = np.frombuffer(b"".join(row["codes"]), np.uint8)[s.of]
+            chosen = np.flatnonzero((code == 1) | (code == 2))
+            if not len(chosen):
+                continue
+            _, one, two = s.strings(row, chosen, length)
+            one, first, count = np.unique(one, return_index=True, return_counts=True)
+            two, twice = two[first], count > 1
+            out = [(p, row["block"], one[a:b].tobytes(), two[a:b].tobytes(), twice[a:b].tobytes()) for p, a, b in dealt(part_of(one, n), n)]
+            yield batch(out, {"part": INT, "block": LONG, "one": BIN, "two": BIN, "twice": BIN})
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        for part in dict.fromkeys(r[0] for r in rows):
-            mine = [r for r in rows if r[0] == part]
-            one = np.concatenate([np.frombuffer(r[2], np.uint64) for r in mine])
-            two = np.concatenate([np.frombuffer(r[3], np.uint32) for r in mine])
-            hit = np.concatenate([np.frombuffer(r[4], bool) for r in mine])
+        for rows in by_part(it):
+            one, two, hit = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("one", np.uint64), ("two", np.uint32), ("twice", bool)))
             order = np.lexsort([two, one])
             a, b = order[:-1], order[1:]
             same = (one[a] == one[b]) & (two[a] == two[b])
             hit[a[same]] = True
             hit[b[same]] = True
             at = 0
-            for r in mine:
-                size = len(r[3]) // 4
-                yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([part], pa.int32()), pa.array([hit[at : at + size].tobytes()], pa.binary())], names=["block", "part", "bits"])
+            for r in rows:
+                size = len(r["two"]) // 4
+                yield batch([(r["block"], r["part"], hit[at : at + size].tobytes())], {"block": LONG, "part": INT, "bits": BIN})
                 at += size
 
-    hashes = with_places.mapInArrow(send, "part int, block long, one binary, two binary, twice binary")
-    bits = materialise(hashes.repartitionById(n, F.col("part")).mapInArrow(count, "block long, part int, bits binary"), "suffix-bits")
-    final = joined(joined(blocks.drop("rep", "twice"), places, "places"), bits, "bits", "part")
+    strings = judged.mapInArrow(send_strings, "part int, block long, one binary, two binary, twice binary")
+    bits = materialise(strings.repartitionById(n, F.col("part")).mapInArrow(count, "block long, part int, bits binary"), "suffix-bits")
+
+    def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(it):
+            s, ends = Stretches(row), np.frombuffer(row["ends"], np.int64)
+            code = np.frombuffer(b"".join(row["codes"]), np.uint8)[s.of]
+            whole = np.flatnonzero(code < 2)
+            lo, hi = s.start[whole], s.start[whole] + s.size[whole] - 1 + length
+            chosen = np.flatnonzero((code == 1) | (code == 2))
+            if len(chosen) and row["bits"]:
+                at, one, _ = s.strings(row, chosen, length)
+                at = at[np.frombuffer(b"".join(row["bits"]), bool)[np.unique(one, return_inverse=True)[1]]]
+                lo, hi = np.concatenate([lo, at]), np.concatenate([hi, at + length])
+            if not len(lo):
+                continue
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            doc = np.searchsorted(ends, lo, side="right")
+            cut = np.flatnonzero((lo[1:] > hi[:-1]) | (doc[1:] != doc[:-1])) + 1
+            first = np.concatenate([[0], cut])
+            yield batch([(row["block"], np.stack([lo[first], np.maximum.reduceat(hi, first)]).tobytes())], {"block": LONG, "spans": BIN})
+
+    removed = judged.join(told(bits, "bits", "part"), "block", "left").mapInArrow(spans, "block long, spans binary")
+    final = blocks.select("block", "meta", "ends", "data").join(removed, "block", "left")
     schema = df.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for row in b.to_pylist():
-                meta = pa.ipc.open_stream(row["meta"]).read_all().combine_chunks().to_batches()
-                data, ends, at = state(row, length) if row["bits"] else (unpack(row["data"]), np.frombuffer(row["ends"], np.int64), np.zeros(0, np.int64))
-                if len(at):
-                    one = string_hashes(data, at, length)[0]
-                    hit = np.frombuffer(b"".join(row["bits"]), bool)
-                    at = at[hit[np.unique(one, return_inverse=True)[1]]]
-                doc = np.searchsorted(ends, at, side="right")
-                cut = np.flatnonzero((np.diff(at) > length) | (np.diff(doc) > 0)) + 1 if len(at) else at
-                lo = at[np.concatenate([[0], cut])] if len(at) else at
-                hi = at[np.concatenate([cut - 1, [len(at) - 1]])] + length if len(at) else at
-                of = np.searchsorted(ends, lo, side="right")
-                raw, out, start = data.tobytes(), [], 0
-                spans = np.searchsorted(of, np.arange(len(ends) + 1))
-                for d, end in enumerate(ends.tolist()):
-                    a, z = spans[d], spans[d + 1]
-                    edges = [start, *np.stack([lo[a:z], hi[a:z]], 1).ravel().tolist(), end]
-                    kept = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    out.append((end - start, end - start - len(kept), int(z - a), kept))
-                    start = end
-                base = 0
-                for m in meta:
-                    c = list(zip(*out[base : base + m.num_rows], strict=True))
-                    base += m.num_rows
-                    yield pa.RecordBatch.from_arrays([*m.columns, *[pa.array(x, pa.int64()) for x in c[:3]], pa.array([k.decode("utf-8", "ignore") for k in c[3]] if as_text else c[3], pa.string() if as_text else pa.binary())], names=schema.names)
+        for row in rows_of(it):
+            ends = np.frombuffer(row["ends"], np.int64)
+            lo, hi = np.frombuffer(row["spans"] or b"", np.int64).reshape(2, -1)
+            raw, out, start = zstandard.decompress(row["data"]), [], 0
+            place = np.searchsorted(np.searchsorted(ends, lo, side="right"), np.arange(len(ends) + 1))
+            for d, end in enumerate(ends.tolist()):
+                a, z = place[d], place[d + 1]
+                edges = [start, *np.stack([lo[a:z], hi[a:z]], 1).ravel().tolist(), end]
+                kept = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                out.append((end - start, end - start - len(kept), int(z - a), kept))
+                start = end
+            base = 0
+            for m in pa.ipc.open_stream(row["meta"]).read_all().combine_chunks().to_batches():
+                c = list(zip(*out[base : base + m.num_rows], strict=True))
+                base += m.num_rows
+                kept = pa.array([k.decode("utf-8", "ignore") for k in c[3]], pa.string()) if as_text else pa.array(c[3], BIN)
+                yield pa.RecordBatch.from_arrays([*m.columns, *[pa.array(x, LONG) for x in c[:3]], kept], names=schema.names)
 
     return final.mapInArrow(finish, schema)
 
