@@ -15,6 +15,8 @@ from reviewspark.operators.graph import connected_components
 
 #: Fingerprints compared in one go; larger groups are cut into tiles, and each two tiles are a unit of work.
 TILE = 2048
+#: The same where rows meet by size alone: larger, since each row is sent to every tile of its group.
+WIDE_TILE = 32768
 #: Rows of a tile that meet the others at once.
 STRIP = 256
 
@@ -133,7 +135,7 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float
 
     With ``blocks``, rows meet that agree on enough blocks of ``fp0`` (exact, no link is lost); with
     ``ratio``, rows meet whose sizes are in the same or neighbouring steps of that ratio. Groups of
-    more than ``TILE`` rows are cut into tiles by a hash, and every two tiles are a unit of work, so
+    more than a tile's rows are cut into tiles by a hash, and every two tiles are a unit of work, so
     that a hot group is dealt over many tasks. Each unit gives at most one link a row.
     """
     spark = nodes.sparkSession
@@ -144,7 +146,8 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float
         step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / ratio)) + F.lit(1e-9)).cast("long")
         keys = F.array(F.struct(F.lit(0).alias("kind"), step.alias("key"), F.lit(True).alias("own")), F.struct(F.lit(0).alias("kind"), (step + 1).alias("key"), F.lit(False).alias("own")))
     keyed = nodes.withColumn("k", F.explode(keys)).select("node", "fp0", "fp1", "size", "k.*")
-    hot = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("kind", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tile = TILE if blocks else WIDE_TILE
+    hot = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("kind", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     dealt = (
         keyed.join(hot, ["kind", "key"], "left")
         .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
