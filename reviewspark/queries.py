@@ -2,5 +2,592 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewspark.functions import contract as C
+from reviewspark.functions import text as T
+from reviewspark.operators import ablation, audit, augment, metrics, splits, summary, views, weights
+from reviewspark.plans import relation as R
+from reviewspark.sources import reviews as S
+from reviewspark.streaming import scans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+THRESHOLDS = [round(0.1 + 0.05 * i, 2) for i in range(17)]
+
+
+def query(name: str, sql: str | None = None, with_relation: bool = True):  # noqa: ANN201
+    """Register a query, and the SQL that gives the same rows."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = (R.SQL if with_relation else "") + sql
+        return fn
+
+    return add
+
+
+def on_reviews(name: str, sql: str | None = None):  # noqa: ANN201
+    """Register a query over the projected reviews."""
+
+    def add(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        query(name, sql)(lambda spark, d: fn(R.reviews(spark, d)))
+        return fn
+
+    return add
+
+
+def as_predicted(r: DataFrame) -> DataFrame:
+    return r.select("review_id", "product_id", F.col("pred").alias("label"), "star_rating")
+
+
+_PRODUCT = """
+SELECT r.product_id, count(DISTINCT r.review_id) AS review_count, count(p.sentiment) AS aspect_count, round(avg(p.sentiment - 1), 9) AS sentiment
+FROM reviews r LEFT JOIN predicted p ON p.review_id = r.review_id {gate} GROUP BY 1"""
+
+
+@on_reviews("product_sentiment_gated", _PRODUCT.format(gate="AND r.pred = 0"))
+def product_sentiment_gated(r: DataFrame) -> DataFrame:
+    return summary.product_sentiment(as_predicted(r), R.predicted_pairs(r))
+
+
+@on_reviews("product_sentiment_ungated", _PRODUCT.format(gate=""))
+def product_sentiment_ungated(r: DataFrame) -> DataFrame:
+    return summary.product_sentiment(as_predicted(r), R.predicted_pairs(r), gated=False)
+
+
+@on_reviews(
+    "overall_summary",
+    """SELECT count(*) AS review_count, round(100.0 * count(*) FILTER (pred = 0) / count(*), 9) AS authentic_share, round(avg(star_rating) FILTER (pred = 0), 9) AS verified_rating,
+       (SELECT round(avg(sentiment - 1), 9) FROM predicted p JOIN reviews r USING (review_id) WHERE r.pred = 0) AS sentiment,
+       (SELECT count(*) FROM predicted p JOIN reviews r USING (review_id) WHERE r.pred = 0) AS aspect_count FROM reviews""",
+)
+def overall_summary(r: DataFrame) -> DataFrame:
+    return summary.overall(as_predicted(r), R.predicted_pairs(r))
+
+
+_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(C.ASPECTS))
+
+
+@on_reviews(
+    "aspect_rollup",
+    f"""SELECT aspect, category, count(*) AS mentions, round_even(100.0 * count(*) FILTER (sentiment = 2) / count(*), 2)::DOUBLE AS positive_percent
+        FROM predicted p JOIN reviews r USING (review_id) JOIN (VALUES {_NAMES}) n(aspect, category) USING (aspect) WHERE r.pred = 0 GROUP BY 1, 2""",
+)
+def aspect_rollup(r: DataFrame) -> DataFrame:
+    return summary.aspect_rollup(as_predicted(r), R.predicted_pairs(r))
+
+
+@on_reviews("quality_counts_zero_filled", "SELECT f.label, ['authentic', 'deceptive', 'liv', 'irrelevant'][f.label + 1] AS class, count(r.pred) AS n FROM four f LEFT JOIN reviews r ON r.pred = f.label AND r.doc_id % 4 <> 3 GROUP BY 1")
+def quality_counts(r: DataFrame) -> DataFrame:
+    return summary.quality_counts(as_predicted(r.where("doc_id % 4 <> 3")))
+
+
+_RAW_LABELS = ("authentic", " Deceptive", "vague", "low-value", "3", "2.0", "1.5", "nan", "-1", "irrelevant ", "", "other")
+
+
+@on_reviews(
+    "map_quality_labels",
+    f"""SELECT review_id, raw, CASE WHEN k IN ('vague', 'low informational value', 'low_informational_value', 'low-value', 'low_value') THEN 2
+        WHEN list_contains(['authentic', 'deceptive', 'liv', 'irrelevant'], k) THEN list_position(['authentic', 'deceptive', 'liv', 'irrelevant'], k) - 1
+        WHEN NOT isnan(x) AND x = floor(x) AND x BETWEEN 0 AND 3 THEN x::INT END::INT AS label
+        FROM (SELECT review_id, raw, lower(trim(raw)) AS k, try_cast(trim(raw) AS DOUBLE) AS x FROM (SELECT review_id, {list(_RAW_LABELS)!r}[doc_id % 12 + 1] AS raw FROM reviews))""",
+)
+def map_quality_labels(r: DataFrame) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, _RAW_LABELS)), (F.col("doc_id") % 12 + 1).cast("int"))
+    return r.select("review_id", raw.alias("raw")).withColumn("label", C.map_quality(F.col("raw")))
+
+
+_RAW_RATINGS = ("1", "5", " 3 ", "2.5", "0", "6", "", "NaN", "4.0")
+
+
+@on_reviews(
+    "normalize_ratings",
+    f"""SELECT review_id, raw, CASE WHEN NOT isnan(x) AND x = floor(x) AND x BETWEEN 1 AND 5 THEN (x - 1) / 4 END AS rating
+        FROM (SELECT *, try_cast(trim(raw) AS DOUBLE) AS x FROM (SELECT review_id, {list(_RAW_RATINGS)!r}[doc_id % 9 + 1] AS raw FROM reviews))""",
+)
+def normalize_ratings(r: DataFrame) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, _RAW_RATINGS)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return r.select("review_id", raw.alias("raw")).withColumn("rating", C.normalize_rating(F.col("raw")))
+
+
+@on_reviews(
+    "parse_image_urls",
+    """SELECT review_id, CASE doc_id % 4 WHEN 0 THEN 'a/' || doc_id || ',b' WHEN 1 THEN 'a/' || doc_id || ',b' WHEN 2 THEN NULL ELSE '' END AS urls FROM reviews""",
+)
+def parse_urls(r: DataFrame) -> DataFrame:
+    a = F.concat(F.lit("a/"), F.col("doc_id").cast("string"))
+    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('["'), a, F.lit('", "b", "'), a, F.lit('"]'))).when(F.col("doc_id") % 4 == 1, F.concat(a, F.lit(" | b |"), a)).when(F.col("doc_id") % 4 == 2, F.lit("[3]")).otherwise("")
+    return r.select("review_id", F.array_join(C.parse_image_urls(raw), ",").alias("urls"))
+
+
+@on_reviews("quality_input_text", r"SELECT review_id, sha256('Review: ' || trim(regexp_replace(review_text, '\s+', ' ', 'g')) || chr(10) || 'Product title: ' || product_id || chr(10) || 'Product description: ') AS digest FROM reviews")
+def input_text(r: DataFrame) -> DataFrame:
+    return r.select("review_id", F.sha2(C.quality_input_text(F.col("review_text"), F.col("product_id"), F.lit(None).cast("string")), 256).alias("digest"))
+
+
+@on_reviews(
+    "context_budget",
+    """SELECT review_id, c AS content, x AS context, least(10, greatest(1, x * 10 // 28))::INT AS title, (c - x)::INT AS review
+       FROM (SELECT review_id, c, least(28, greatest(2, c // 4), c - 1)::INT AS x FROM (SELECT review_id, (12 + doc_id % 200)::INT AS c FROM reviews))""",
+)
+def context_budget(r: DataFrame) -> DataFrame:
+    return r.select("review_id", C.context_budget((16 + F.col("doc_id") % 200).cast("int")).alias("b")).select("review_id", "b.*")
+
+
+_KEY = r"sha256(lower(trim(regexp_replace(coalesce(review_text, ''), '\s+', ' ', 'g'))))"
+
+
+@on_reviews("text_keys_duplicates", f"SELECT {_KEY} AS k, min(doc_id) AS first, count(*) AS n FROM reviews GROUP BY 1")
+def text_keys(r: DataFrame) -> DataFrame:
+    return views.first_seen(r.withColumn("k", F.sha2(C.text_key(F.col("review_text")), 256)))
+
+
+@on_reviews(
+    "annotations_grouped",
+    """SELECT g.review_id, (['product_quality','functionality','performance','design','aesthetics','sensory_experience','value','packaging','seller_service','accuracy_of_description'])[aspect + 1] AS category, sentiment, 'e' || aspect AS evidence FROM gold g""",
+)
+def annotations_grouped(r: DataFrame) -> DataFrame:
+    g = R.gold_pairs(r).withColumns({"c": F.element_at(F.array(*map(F.lit, C.ASPECTS)), F.col("aspect") + 1), "s": F.element_at(F.array(*map(F.lit, C.POLARITIES)), F.col("sentiment") + 1)})
+    item = F.struct(F.col("c").alias("category"), F.concat(F.lit("e"), F.col("aspect").cast("string")).alias("text"), F.col("s").alias("sentiment"))
+    doc = g.groupBy("review_id").agg(F.to_json(F.flatten(F.array(F.collect_list(item), F.collect_list(item)))).alias("json"))
+    return doc.select("review_id", F.explode(C.parse_annotations(F.col("json"))).alias("a")).select("review_id", "a.category", "a.sentiment", F.array_join("a.evidence", ",").alias("evidence"))
+
+
+_CONN = "|".join(T.CONNECTORS)
+
+
+@on_reviews(
+    "evidence_segments",
+    rf"""SELECT review_id, count(*) AS n, sha256(string_agg(seg, chr(2) ORDER BY a, b, c, d)) AS digest FROM (
+  SELECT review_id, a, b, c, unnest(range(len(q))) AS d, trim(unnest(q)) AS seg FROM (
+    SELECT review_id, a, b, c, string_split(CASE WHEN len(regexp_split_to_array(p3, '\s+')) > 20 THEN replace(p3, ',', ',' || chr(1)) ELSE p3 END, chr(1)) AS q FROM (
+      SELECT review_id, a, b, unnest(range(len(q))) AS c, trim(unnest(q)) AS p3 FROM (
+        SELECT review_id, a, b, string_split(regexp_replace(p2, '(\s*[;|])\s*', '\1' || chr(1), 'g'), chr(1)) AS q FROM (
+          SELECT review_id, a, unnest(range(len(q))) AS b, trim(unnest(q)) AS p2 FROM (
+            SELECT review_id, a, string_split(regexp_replace(p1, '(?i)\s+(({_CONN})(\s|[^0-9A-Za-z_]))', chr(1) || '\1', 'g'), chr(1)) AS q FROM (
+              SELECT review_id, unnest(range(len(q))) AS a, trim(unnest(q)) || ' ' AS p1 FROM (
+                SELECT review_id, regexp_split_to_array(regexp_replace(review_text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+') AS q FROM reviews))
+          WHERE trim(p1) <> '')) WHERE p2 <> '')) WHERE p3 <> ''))
+WHERE seg <> '' GROUP BY 1""",
+)
+def evidence_segments(r: DataFrame) -> DataFrame:
+    s = T.evidence_segments(F.col("review_text"))
+    return r.select("review_id", s.alias("s")).select("review_id", F.size("s").cast("bigint").alias("n"), F.sha2(F.array_join("s", "\u0002"), 256).alias("digest"))
+
+
+_P = "[((doc_id * 7) % 11) / 10.0, ((doc_id * 5 + 3) % 11) / 10.0, ((doc_id * 3 + 7) % 11) / 10.0]"
+
+
+@on_reviews(
+    "sentiment_selected",
+    f"""SELECT review_id, CASE WHEN len(o) > 0 THEN array_to_string(o, ',') ELSE (list_position(p, list_max(p)) - 1)::VARCHAR END AS chosen
+        FROM (SELECT review_id, p, list_filter([0, 1, 2], lambda i: p[i + 1] >= 0.8) AS o FROM (SELECT review_id, {_P} AS p FROM reviews))""",
+)
+def sentiment_selected(r: DataFrame) -> DataFrame:
+    d = F.col("doc_id")
+    p = F.array(((d * 7) % 11) / 10.0, ((d * 5 + 3) % 11) / 10.0, ((d * 3 + 7) % 11) / 10.0)
+    return r.select("review_id", F.array_join(F.transform(C.sentiment_selected(p, 0.8), lambda x: x.cast("string")), ",").alias("chosen"))
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"regexp_matches(t, '(^|[^a-zà-ž0-9]){w}($|[^a-zà-ž0-9])')::INT" for w in words) + ")"
+
+
+_HEUR = f"""SELECT *, CASE WHEN t = '' THEN 'unavailable' WHEN tokens <= 4 OR length(t) < 24 THEN 'liv' WHEN del > 0 AND prod = 0 AND tokens < 400 THEN 'irrelevant'
+    WHEN (star_rating >= 4 AND neg > pos) OR (star_rating <= 2 AND pos > neg) THEN 'deceptive' ELSE 'authentic' END AS label,
+    CASE WHEN t = '' THEN NULL WHEN pos = neg THEN 'neutral' WHEN pos > neg THEN 'positive' ELSE 'negative' END AS sentiment
+  FROM (SELECT review_id, star_rating, t, len(regexp_extract_all(t, '[a-zà-ž0-9]+'))::INT AS tokens, {_hits(R.WORDS.positive)} AS pos, {_hits(R.WORDS.negative)} AS neg, {_hits(R.WORDS.delivery)} AS del, {_hits(R.WORDS.product)} AS prod
+        FROM (SELECT review_id, star_rating, lower(trim(review_text)) AS t FROM reviews))"""
+
+
+def _classified(r: DataFrame) -> DataFrame:
+    return r.select("review_id", "star_rating", T.classify(F.col("review_text"), F.col("star_rating"), R.WORDS).alias("c")).select("review_id", "star_rating", "c.*")
+
+
+@on_reviews("heuristic_classify", f"SELECT review_id, label, sentiment, tokens, pos, neg FROM ({_HEUR})")
+def heuristic_classify(r: DataFrame) -> DataFrame:
+    return _classified(r).select("review_id", "label", "sentiment", "tokens", "pos", "neg")
+
+
+@on_reviews("heuristic_summary", f"SELECT label, count(*) AS n, round(avg(star_rating), 9) AS mean_star, count(*) FILTER (sentiment = 'positive') AS positive FROM ({_HEUR}) GROUP BY 1")
+def heuristic_summary(r: DataFrame) -> DataFrame:
+    return _classified(r).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("star_rating"), 9).alias("mean_star"), F.count_if(F.col("sentiment") == "positive").alias("positive"))
+
+
+@on_reviews("review_search", "SELECT review_id, pred FROM reviews WHERE pred = 0 AND contains(lower(review_text), 'tion')")
+def review_search(r: DataFrame) -> DataFrame:
+    return views.search(r.drop("label").withColumn("label", F.col("pred")), "Tion", 0).select("review_id", "pred")
+
+
+_ORDER = "SELECT review_id, place FROM (SELECT review_id, row_number() OVER (ORDER BY {by}) AS place FROM reviews) WHERE place > 20 AND place <= 40"
+for _name, _by in (("lowest", "star_rating, doc_id"), ("highest", "star_rating DESC, doc_id"), ("longest", "length(review_text) DESC, doc_id")):
+    on_reviews(f"review_sort_{_name}", _ORDER.format(by=_by))(lambda r, n=_name: views.page(r, n, 1).select("review_id", F.col("place").cast("bigint").alias("place")))
+
+
+@on_reviews(
+    "review_excerpt",
+    """SELECT review_id, CASE WHEN length(review_text) <= 320 THEN review_text ELSE (CASE WHEN s > 1 THEN '…' ELSE '' END) || trim(substr(review_text, s, 320)) || (CASE WHEN s + 319 < length(review_text) THEN '…' ELSE '' END) END AS excerpt
+       FROM (SELECT review_id, review_text, greatest(1, instr(lower(review_text), 'tion') - 80) AS s FROM reviews)""",
+)
+def review_excerpt(r: DataFrame) -> DataFrame:
+    return r.select("review_id", T.excerpt(F.col("review_text"), "tion").alias("excerpt"))
+
+
+@on_reviews("top_evidence", "SELECT aspect, review_id, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY review_id, sentiment) AS r FROM predicted) WHERE r <= 2")
+def top_evidence(r: DataFrame) -> DataFrame:
+    return views.top_evidence(R.predicted_pairs(r)).select("aspect", "review_id", "sentiment")
+
+
+@on_reviews("scan_additional", "SELECT review_id FROM reviews WHERE doc_id % 5 = 0 OR doc_id % 5 = 4")
+def scan_additional(r: DataFrame) -> DataFrame:
+    return views.additional(r, r.where("doc_id % 5 between 1 and 3")).select("review_id")
+
+
+@on_reviews("coverage_counts", "SELECT count(*) AS loaded, count(*) FILTER (trim(coalesce(review_text, '')) <> '') AS eligible, count(*) FILTER (trim(coalesce(review_text, '')) = '') AS missing_text, 0::BIGINT AS missing_rating FROM reviews")
+def coverage_counts(r: DataFrame) -> DataFrame:
+    return views.coverage(r)
+
+
+def judged(r: DataFrame) -> DataFrame:
+    return r.select(F.col("truth").alias("actual"), "pred", (F.col("doc_id") % 3).cast("int").alias("grp"))
+
+
+_CM = "cm AS (SELECT a.label AS actual, p.label AS pred, count(r.truth) AS n FROM four a CROSS JOIN four p LEFT JOIN reviews r ON r.truth = a.label AND r.pred = p.label GROUP BY 1, 2)"
+_PER = """per AS (SELECT f.label, (SELECT sum(n) FROM cm WHERE actual = f.label)::BIGINT AS support, (SELECT sum(n) FROM cm WHERE pred = f.label)::BIGINT AS predicted, (SELECT sum(n) FROM cm WHERE actual = f.label AND pred = f.label)::BIGINT AS tp FROM four f),
+pr AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS p, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS r FROM per),
+m AS (SELECT label, support, p, r, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM pr)"""
+
+
+@on_reviews("confusion_matrix", f", {_CM} SELECT * FROM cm")
+def confusion_matrix(r: DataFrame) -> DataFrame:
+    return metrics.confusion(judged(r))
+
+
+@on_reviews("class_metrics", f", {_CM}, {_PER} SELECT label, support, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1 FROM m")
+def class_metrics(r: DataFrame) -> DataFrame:
+    return metrics.class_metrics(judged(r))
+
+
+@on_reviews("macro_metrics", f", {_CM}, {_PER} SELECT (SELECT count(*) FROM reviews) AS n, (SELECT round(avg((truth = pred)::INT), 9) FROM reviews) AS accuracy, round(avg(round(p, 9)), 6) AS macro_precision, round(avg(round(r, 9)), 6) AS macro_recall, round(avg(round(f1, 9)), 6) AS macro_f1 FROM m")
+def macro_metrics(r: DataFrame) -> DataFrame:
+    return metrics.macro(judged(r))
+
+
+@on_reviews(
+    "class_metrics_by_product",
+    """, g AS (SELECT DISTINCT product_id FROM reviews), s AS (
+      SELECT g.product_id, f.label, count(*) FILTER (r.truth = f.label) AS support, count(*) FILTER (r.pred = f.label) AS predicted, count(*) FILTER (r.truth = f.label AND r.pred = f.label) AS tp
+      FROM g CROSS JOIN four f JOIN reviews r USING (product_id) GROUP BY 1, 2),
+    pr AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS p, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS r FROM s)
+    SELECT product_id, label, support, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr""",
+)
+def class_metrics_by_product(r: DataFrame) -> DataFrame:
+    return metrics.class_metrics(r.select("product_id", F.col("truth").alias("actual"), "pred"), ("product_id",))
+
+
+def long_labels(r: DataFrame, kind: str) -> DataFrame:
+    """``id, label, truth, pred`` over all aspects, or all aspect-polarity pairs, of every review."""
+    label = F.col("aspect") if kind == "detection" else F.col("aspect") * 3 + F.col("sentiment")
+    t = R.gold_pairs(r).select("review_id", label.alias("label"), F.lit(1).alias("truth"))
+    p = R.predicted_pairs(r).select("review_id", label.alias("label"), F.lit(1).alias("pred"))
+    grid = r.select("review_id").crossJoin(F.broadcast(r.sparkSession.range(10 if kind == "detection" else 30).select(F.col("id").cast("int").alias("label"))))
+    return grid.join(t, ["review_id", "label"], "left").join(p, ["review_id", "label"], "left").select(F.col("review_id").alias("id"), "label", F.coalesce("truth", F.lit(0)).alias("truth"), F.coalesce("pred", F.lit(0)).alias("pred"))
+
+
+def _long(label: str, k: int) -> str:
+    return f""", t AS (SELECT review_id, {label} AS label FROM gold), p AS (SELECT review_id, {label} AS label FROM predicted),
+    x AS (SELECT r.review_id, k.label, (t.label IS NOT NULL)::INT AS truth, (p.label IS NOT NULL)::INT AS pred FROM reviews r CROSS JOIN (SELECT unnest(range({k}))::INT AS label) k LEFT JOIN t ON t.review_id = r.review_id AND t.label = k.label LEFT JOIN p ON p.review_id = r.review_id AND p.label = k.label),
+    s AS (SELECT label, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn, count(*) FILTER (truth = 0 AND pred = 0) AS tn FROM x GROUP BY 1),
+    m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM s)"""
+
+
+_ML = " SELECT label, tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1 FROM m"
+
+
+@on_reviews("multilabel_detection", _long("aspect", 10) + _ML)
+def multilabel_detection(r: DataFrame) -> DataFrame:
+    return metrics.multilabel(long_labels(r, "detection"))
+
+
+@on_reviews("multilabel_pairs", _long("aspect * 3 + sentiment", 30) + _ML)
+def multilabel_pairs(r: DataFrame) -> DataFrame:
+    return metrics.multilabel(long_labels(r, "pairs"))
+
+
+@on_reviews(
+    "multilabel_summary",
+    _long("aspect", 10)
+    + """ SELECT round(avg(round(p, 9)), 6) AS macro_precision, round(avg(round(r, 9)), 6) AS macro_recall, round(avg(round(f1, 9)), 6) AS macro_f1, round(2 * sum(tp) / (2 * sum(tp) + sum(fp + fn)), 9)::DOUBLE AS micro_f1,
+    (SELECT count(DISTINCT review_id) FROM x) AS n, (SELECT round(avg(ok), 9) FROM (SELECT min((truth = pred)::INT) AS ok FROM x GROUP BY review_id)) AS exact_accuracy FROM m""",
+)
+def multilabel_summary(r: DataFrame) -> DataFrame:
+    return metrics.multilabel_summary(long_labels(r, "detection"))
+
+
+@on_reviews(
+    "gold_category_sentiment",
+    """, x AS (SELECT g.review_id, g.aspect, k.s AS label, (g.sentiment = k.s)::INT AS truth, (p.sentiment IS NOT NULL AND p.sentiment = k.s)::INT AS pred FROM gold g CROSS JOIN (SELECT unnest(range(3))::INT AS s) k LEFT JOIN predicted p ON p.review_id = g.review_id AND p.aspect = g.aspect),
+    s AS (SELECT label, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn, count(*) FILTER (truth = 0 AND pred = 0) AS tn FROM x GROUP BY 1),
+    m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM s)"""
+    + _ML,
+)
+def gold_category_sentiment(r: DataFrame) -> DataFrame:
+    p = R.predicted_pairs(r).withColumnRenamed("sentiment", "guess")
+    k = r.sparkSession.range(3).select(F.col("id").cast("int").alias("label"))
+    rows = R.gold_pairs(r).join(p, ["review_id", "aspect"], "left").crossJoin(F.broadcast(k))
+    return metrics.multilabel(rows.select(F.concat_ws(":", "review_id", "aspect").alias("id"), "label", (F.col("sentiment") == F.col("label")).cast("int").alias("truth"), F.coalesce((F.col("guess") == F.col("label")).cast("int"), F.lit(0)).alias("pred")))
+
+
+def _search(top: int, shift: int) -> str:
+    return f""", x AS (SELECT r.doc_id, k.a AS label, ((r.doc_id + k.a) % {top} = 0)::INT AS truth, (((r.doc_id * 7 + k.a * {shift}) % 10) / 20.0 + (CASE WHEN (r.doc_id + k.a) % {top} = 0 THEN 0.35 ELSE 0 END))::DOUBLE AS p FROM reviews r CROSS JOIN (SELECT unnest(range({top}))::INT AS a) k),
+    t AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold),
+    s AS (SELECT threshold, label, count(*) FILTER (truth = 1 AND p >= threshold) AS tp, count(*) FILTER ((truth = 1) <> (p >= threshold)) AS er FROM x CROSS JOIN t GROUP BY 1, 2)
+    SELECT threshold, round(avg(round(CASE WHEN 2 * tp + er = 0 THEN 0 ELSE 2 * tp / (2 * tp + er) END, 9)), 6) AS macro_f1 FROM s GROUP BY 1 ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold LIMIT 1"""
+
+
+def _scored(r: DataFrame, top: int, shift: int) -> DataFrame:
+    k = r.sparkSession.range(top).select(F.col("id").cast("int").alias("label"))
+    hit = (F.col("doc_id") + F.col("label")) % top == 0
+    p = ((F.col("doc_id") * 7 + F.col("label") * shift) % 10) / 20.0 + F.when(hit, 0.35).otherwise(0.0)
+    return r.select("doc_id").crossJoin(F.broadcast(k)).select("doc_id", "label", hit.cast("int").alias("truth"), p.alias("p"))
+
+
+@on_reviews("detection_threshold", _search(10, 3))
+def detection_threshold(r: DataFrame) -> DataFrame:
+    return metrics.threshold_search(_scored(r, 10, 3), THRESHOLDS)
+
+
+@on_reviews("sentiment_threshold", _search(3, 5))
+def sentiment_threshold(r: DataFrame) -> DataFrame:
+    return metrics.threshold_search(_scored(r, 3, 5), THRESHOLDS)
+
+
+def _score_cte(name: str, pairs: str, gate: str) -> str:
+    return f"{name} AS (SELECT product_id, aspect, avg(v) AS v FROM (SELECT review_id, aspect, avg(DISTINCT sentiment - 1) AS v FROM {pairs} GROUP BY 1, 2) JOIN reviews USING (review_id) {gate} GROUP BY 1, 2)"
+
+
+_ABL = f""", {_score_cte("ts", "gold", "WHERE truth = 0")}, {_score_cte("fs", "predicted", "WHERE pred = 0")}, {_score_cte("us", "predicted", "")},
+ab AS (SELECT product_id, aspect, ts.v AS t, fs.v AS f, us.v AS u, abs(fs.v - ts.v) AS fe, abs(us.v - ts.v) AS ue, ts.v IS NOT NULL AND fs.v IS NOT NULL AND us.v IS NOT NULL AS ok
+  FROM (SELECT DISTINCT product_id FROM reviews) CROSS JOIN aspects LEFT JOIN ts USING (product_id, aspect) LEFT JOIN fs USING (product_id, aspect) LEFT JOIN us USING (product_id, aspect)),
+asp AS (SELECT aspect, count(*) FILTER (ok) AS eligible_pairs, count(*) FILTER (t IS NOT NULL) AS with_truth, count(*) FILTER (t IS NOT NULL AND f IS NULL) AS missing_filtered, count(*) FILTER (t IS NOT NULL AND u IS NULL) AS missing_unfiltered,
+  count(*) FILTER (t IS NULL AND f IS NOT NULL) AS filtered_without_truth, count(*) FILTER (ok AND round(ue - fe, 9) > 0) AS improved, count(*) FILTER (ok AND round(ue - fe, 9) < 0) AS worsened, round(avg(round(fe, 9)) FILTER (ok), 6) AS filtered_mae, round(avg(round(ue, 9)) FILTER (ok), 6) AS unfiltered_mae FROM ab GROUP BY 1)
+"""
+
+
+def _pairs(r: DataFrame) -> DataFrame:
+    return ablation.aspect_pairs(r, R.gold_pairs(r), R.predicted_pairs(r))
+
+
+@on_reviews(
+    "ablation_pairs",
+    _ABL
+    + """SELECT product_id, aspect, round(t, 9) AS truth_score, round(f, 9) AS filtered, round(u, 9) AS unfiltered, round(fe, 9) AS filtered_error, round(ue, 9) AS unfiltered_error, ok AS eligible, CASE WHEN ok THEN round(ue - fe, 9) END AS improvement,
+    array_to_string(list_filter([CASE WHEN t IS NULL THEN 'no_ground_truth' END, CASE WHEN f IS NULL THEN 'no_filtered_prediction' END, CASE WHEN u IS NULL THEN 'no_unfiltered_prediction' END], lambda x: x IS NOT NULL), ',') AS reasons FROM ab""",
+)
+def ablation_pairs(r: DataFrame) -> DataFrame:
+    return _pairs(r)
+
+
+@on_reviews("ablation_by_aspect", _ABL + "SELECT * FROM asp")
+def ablation_by_aspect(r: DataFrame) -> DataFrame:
+    return ablation.by_aspect(_pairs(r))
+
+
+@on_reviews("ablation_overall", _ABL + "SELECT (SELECT count(*) FROM ab WHERE ok) AS eligible_pairs, (SELECT round(avg(round(fe, 9)), 6) FROM ab WHERE ok) AS pooled_filtered, (SELECT round(avg(round(ue, 9)), 6) FROM ab WHERE ok) AS pooled_unfiltered, round(avg(filtered_mae), 5) AS macro_filtered, round(avg(unfiltered_mae), 5) AS macro_unfiltered FROM asp WHERE eligible_pairs > 0")
+def ablation_overall(r: DataFrame) -> DataFrame:
+    return ablation.overall(_pairs(r))
+
+
+@on_reviews(
+    "ablation_pooled",
+    """SELECT product_id, round(t, 9) AS truth_score, round(f, 9) AS filtered, round(u, 9) AS unfiltered, round(abs(f - t), 9) AS filtered_error, round(abs(u - t), 9) AS unfiltered_error FROM
+    (SELECT DISTINCT product_id FROM reviews) LEFT JOIN (SELECT product_id, avg(sentiment - 1) AS t FROM gold JOIN reviews USING (review_id) WHERE truth = 0 GROUP BY 1) USING (product_id)
+    LEFT JOIN (SELECT product_id, avg(sentiment - 1) AS f FROM predicted JOIN reviews USING (review_id) WHERE pred = 0 GROUP BY 1) USING (product_id)
+    LEFT JOIN (SELECT product_id, avg(sentiment - 1) AS u FROM predicted JOIN reviews USING (review_id) GROUP BY 1) USING (product_id)""",
+)
+def ablation_pooled(r: DataFrame) -> DataFrame:
+    return ablation.pooled_by_product(r, R.gold_pairs(r), R.predicted_pairs(r))
+
+
+_COMP = (
+    R.SQL.replace("WITH num", "WITH RECURSIVE num", 1)
+    + f""", k AS (SELECT DISTINCT product_id, {_KEY} AS k FROM reviews), e AS (SELECT DISTINCT a.product_id AS a, b.product_id AS b FROM k a JOIN k b USING (k)),
+    reach AS (SELECT product_id AS a, product_id AS b FROM k UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+    SELECT a AS product_id, min(b) AS component FROM reach GROUP BY 1"""
+)
+
+
+@on_reviews("product_components")
+def product_components(r: DataFrame) -> DataFrame:
+    return splits.product_components(r)
+
+
+SQL["product_components"] = _COMP
+
+
+@on_reviews("split_assignment")
+def split_assignment(r: DataFrame) -> DataFrame:
+    return splits.assign(r)
+
+
+@on_reviews("split_violations", "SELECT unnest(['coverage', 'assigned_once', 'fold_range', 'product_partition', 'product_fold', 'text_partition', 'text_fold']) AS rule, 0::BIGINT AS n")
+def split_violations(r: DataFrame) -> DataFrame:
+    return splits.violations(r, splits.assign(r))
+
+
+@on_reviews("split_counts", "SELECT (doc_id % 3)::INT AS part, count(*) AS reviews, count(DISTINCT product_id) AS products FROM reviews GROUP BY 1")
+def split_counts(r: DataFrame) -> DataFrame:
+    return r.groupBy((F.col("doc_id") % 3).cast("int").alias("part")).agg(F.count("*").alias("reviews"), F.count_distinct("product_id").alias("products"))
+
+
+def oof(r: DataFrame) -> DataFrame:
+    """Chances of four classes: tenths by the id."""
+    d = F.col("doc_id")
+    return r.select("review_id", F.array(((d * 3) % 4 + 1) / 10.0, ((d * 3 + 1) % 4 + 1) / 10.0, ((d * 3 + 2) % 4 + 1) / 10.0, ((d * 3 + 3) % 4 + 1) / 10.0).alias("probabilities"))
+
+
+def similarity(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
+    """Best cosine of each review's two image vectors to its text vector; none for every third review."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    w = r.where("doc_id % 3 <> 0").select("review_id", (F.col("doc_id") % n).alias("tv"), F.posexplode(F.array((F.col("doc_id") * 3 + 1) % n, (F.col("doc_id") * 5 + 2) % n)).alias("pos", "iv"))
+    j = w.join(e.select(F.col("vec_id").alias("tv"), F.col("v").alias("t")), "tv").join(e.select(F.col("vec_id").alias("iv"), F.col("v").alias("i")), "iv")
+    return audit.best_image(j.select("review_id", "pos", F.round(C.cosine(F.col("t"), F.col("i")), 6).alias("score")))
+
+
+_SIM = """, ne AS (SELECT count(*) AS n FROM embeddings), sim AS (
+  SELECT review_id, max(score) AS best_score, arg_max(pos, struct_pack(s := score, b := -pos))::INT AS best_pos FROM (
+    SELECT review_id, pos, round(list_cosine_similarity(t.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score FROM (
+      SELECT review_id, doc_id % ne.n AS tv, 0 AS pos, (doc_id * 3 + 1) % ne.n AS iv FROM reviews, ne WHERE doc_id % 3 <> 0
+      UNION ALL SELECT review_id, doc_id % ne.n, 1, (doc_id * 5 + 2) % ne.n FROM reviews, ne WHERE doc_id % 3 <> 0) w JOIN embeddings t ON t.vec_id = w.tv JOIN embeddings i ON i.vec_id = w.iv) GROUP BY 1)"""
+
+
+@query("visual_similarity", _SIM + " SELECT * FROM sim")
+def visual_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return similarity(spark, d, R.reviews(spark, d))
+
+
+_DIMS = ", ".join(f"((doc_id * 3 + {i}) % 4 + 1) / 10.0::DOUBLE AS dim{i + 1}" for i in range(4))
+
+
+@query("feature_table", _SIM + f" SELECT review_id, product_id, {_DIMS}, coalesce(best_score, 0) AS dim5, (star_rating - 1) / 4::DOUBLE AS dim6 FROM reviews LEFT JOIN sim USING (review_id)")
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    r = R.reviews(spark, d)
+    return audit.feature_table(r, oof(r), similarity(spark, d, r))
+
+
+@query("feature_violations", "SELECT 0::BIGINT AS not_finite, 0::BIGINT AS chances_not_one, 0::BIGINT AS negative_chance, 0::BIGINT AS similarity_range, 0::BIGINT AS star_range")
+def feature_violations(spark: SparkSession, d: str) -> DataFrame:
+    return audit.feature_violations(feature_table(spark, d))
+
+
+@query("feature_distribution", _SIM + " SELECT truth, count(*) AS n, round(avg((coalesce(best_score, 0) = 0)::INT), 9) AS zero_share, round(avg(coalesce(best_score, 0)), 6) AS mean_similarity, round(avg((star_rating - 1) / 4), 9) AS mean_star, 0.4::DOUBLE AS mean_best FROM reviews LEFT JOIN sim USING (review_id) GROUP BY 1")
+def feature_distribution(spark: SparkSession, d: str) -> DataFrame:
+    r = R.reviews(spark, d)
+    return audit.feature_distribution(feature_table(spark, d).join(r.select("review_id", "truth"), "review_id"), "truth")
+
+
+for _name, _fn, _sql in (
+    ("weights_row_balanced", weights.row_balanced, "SELECT id, round((SELECT count(*) FROM fam) / ((SELECT count(DISTINCT label) FROM fam) * count(*) OVER (PARTITION BY label)), 9) AS weight FROM fam"),
+    ("weights_source_balanced", weights.source_balanced, "SELECT id, round((SELECT count(*) FROM fam) / ((SELECT count(DISTINCT family) FROM fam) * count(*) OVER (PARTITION BY family)), 9) AS weight FROM fam"),
+    ("weights_source_class", weights.source_class_balanced, ", k AS (SELECT label, count(DISTINCT family) AS k FROM fam GROUP BY 1) SELECT id, round((SELECT count(*) FROM fam) / (4 * k * count(*) OVER (PARTITION BY family)), 9) AS weight FROM fam JOIN k USING (label)"),
+):
+    on_reviews(_name, _sql)(lambda r, f=_fn: f(R.families(r)))
+
+
+@on_reviews("source_families", ", w AS (SELECT family, (list_position(p, list_max(p)) - 1) <> label AS wrong FROM (SELECT family, label, [((id * 3) % 4 + 1) / 10.0, ((id * 3 + 1) % 4 + 1) / 10.0, ((id * 3 + 2) % 4 + 1) / 10.0, ((id * 3 + 3) % 4 + 1) / 10.0] AS p FROM fam)) SELECT family, count(*) AS rows, count(*) FILTER (wrong) AS errors, 0::BIGINT AS sure_errors FROM w GROUP BY 1")
+def source_families(r: DataFrame) -> DataFrame:
+    return audit.family_errors(_judged_families(r))
+
+
+def _judged_families(r: DataFrame) -> DataFrame:
+    p = oof(r).select(F.substring_index("review_id", "_", -1).cast("bigint").alias("id"), "probabilities")
+    return R.families(r).join(p, "id")
+
+
+@on_reviews("audit_sample", ", w AS (SELECT id, family, label, (list_position(p, list_max(p)) - 1) <> label AS wrong FROM (SELECT id, family, label, [((id * 3) % 4 + 1) / 10.0, ((id * 3 + 1) % 4 + 1) / 10.0, ((id * 3 + 2) % 4 + 1) / 10.0, ((id * 3 + 3) % 4 + 1) / 10.0] AS p FROM fam)), o AS (SELECT family, label, min(id) AS id FROM w WHERE wrong GROUP BY 1, 2) SELECT * FROM (SELECT id, family, label, row_number() OVER (PARTITION BY label ORDER BY id)::INT AS r FROM o) WHERE r <= 3")
+def audit_sample(r: DataFrame) -> DataFrame:
+    return audit.audit_sample(_judged_families(r))
+
+
+def drafts(r: DataFrame) -> DataFrame:
+    """A draft of every fourth review, some of which break rules."""
+    d = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, C.CLASSES)), F.col("truth") + 1)
+    return r.where("doc_id % 4 = 0").select(
+        F.when(d % 40 == 0, F.col("review_id")).otherwise(F.concat(F.lit("draft_"), d.cast("string"))).alias("review_id"),
+        F.when(d % 28 == 0, "nowhere").otherwise(F.col("review_id")).alias("source_review_id"),
+        F.when(d % 12 == 0, F.col("review_text")).otherwise(F.concat(F.lit("new "), F.col("review_text"))).alias("review_text"),
+        name.alias("text_label"), F.when(d % 20 == 0, "liv").otherwise(name).alias("ground_truth"), F.lit("[]").alias("aspect_annotations"), F.lit("source").alias("image_mode"), F.lit("").alias("image_source_review_id"), F.lit("paraphrase").alias("augmentation_method"),
+        F.element_at(F.array(F.lit("approved"), F.lit("pending"), F.lit("rejected")), ((d / 4).cast("int") % 3 + 1)).alias("review_status"), F.when(d % 36 == 0, "").otherwise("someone").alias("reviewed_by"), F.lit("read").alias("review_notes"),
+    )
+
+
+def _originals(r: DataFrame) -> DataFrame:
+    return r.select("review_id", "product_id", "review_text", F.col("truth").alias("label"), F.col("truth").alias("text_label"), F.lit("train").alias("partition"), (F.col("doc_id") % 5).cast("int").alias("fold"))
+
+
+@on_reviews(
+    "augmentation_violations",
+    r"""SELECT CASE WHEN doc_id % 40 = 0 THEN review_id ELSE 'draft_' || doc_id END AS review_id, array_to_string(r, ',') AS reasons FROM (SELECT doc_id, review_id, list_filter([
+    CASE WHEN doc_id % 40 = 0 THEN 'id_of_original' END, CASE WHEN doc_id % 28 = 0 THEN 'missing_source' END, CASE WHEN (doc_id // 4) % 3 = 0 AND doc_id % 36 = 0 THEN 'unsigned_approval' END,
+    CASE WHEN doc_id % 28 <> 0 AND doc_id % 12 = 0 THEN 'text_unchanged' END, CASE WHEN doc_id % 28 <> 0 AND doc_id % 20 = 0 AND truth <> 2 THEN 'label_changed' END], lambda x: x IS NOT NULL) AS r FROM reviews WHERE doc_id % 4 = 0) WHERE len(r) > 0""",
+)
+def augmentation_violations(r: DataFrame) -> DataFrame:
+    return augment.draft_violations(augment.check_columns(drafts(r)), _originals(r)).select("review_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@on_reviews("augmented_union", "SELECT review_id, '' AS source_review_id FROM reviews UNION ALL SELECT CASE WHEN doc_id % 40 = 0 THEN review_id ELSE 'draft_' || doc_id END, CASE WHEN doc_id % 28 = 0 THEN 'nowhere' ELSE review_id END FROM reviews WHERE doc_id % 4 = 0 AND (doc_id // 4) % 3 = 0")
+def augmented_union(r: DataFrame) -> DataFrame:
+    return augment.augmented(r.select("review_id", "review_text"), drafts(r)).select("review_id", "source_review_id")
+
+
+@on_reviews("diverse_sources", ", a AS (SELECT review_id, product_id, (doc_id % 5)::INT AS fold, row_number() OVER (PARTITION BY doc_id % 5, product_id ORDER BY review_id) AS r FROM reviews), b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY r, product_id)::INT AS turn FROM a) SELECT review_id, product_id, fold, turn FROM b ORDER BY turn, fold LIMIT 30")
+def diverse_sources(r: DataFrame) -> DataFrame:
+    return augment.diverse_sources(_originals(r), 30)
+
+
+@on_reviews("balance_report", "SELECT (doc_id % 5)::INT AS fold, truth AS label, count(*) AS reviews, count(DISTINCT product_id) AS products FROM reviews GROUP BY 1, 2")
+def balance_report(r: DataFrame) -> DataFrame:
+    return augment.balance(_originals(r))
+
+
+@on_reviews("image_scope_audit", ", u AS (SELECT product_id, doc_id % 3 AS part, 'i' || (doc_id % 97) AS url FROM reviews UNION ALL SELECT product_id, doc_id % 3, 'j' || doc_id FROM reviews) SELECT url, count(DISTINCT product_id) AS products, count(DISTINCT part) AS partitions FROM u GROUP BY 1 HAVING count(DISTINCT product_id) > 1 OR count(DISTINCT part) > 1")
+def image_scope_audit(r: DataFrame) -> DataFrame:
+    d = F.col("doc_id")
+    return augment.image_reuse(r.select("product_id", (d % 3).alias("partition"), F.array(F.concat(F.lit("i"), (d % 97).cast("string")), F.concat(F.lit("j"), d.cast("string"))).alias("urls")))
+
+
+@on_reviews("paraphrase_variants")
+def paraphrase_variants(r: DataFrame) -> DataFrame:
+    return augment.paraphrase(r, {"the": ["this", "that"], "and": ["plus"], "de": ["du", "des"]}).select("review_id", F.sha2("variant", 256).alias("digest"))
+
+
+@on_reviews("dataset_fingerprint")
+def dataset_fingerprint(r: DataFrame) -> DataFrame:
+    return audit.fingerprint(r.select("review_id", "product_id", "review_text", "star_rating"), "review_id")
+
+
+@on_reviews(
+    "metric_delta",
+    """, s AS (SELECT f.label, count(*) FILTER (r.truth = f.label) AS support, count(*) FILTER (r.pred = f.label) AS predicted, count(*) FILTER (r.truth = f.label AND r.pred = f.label) AS tp, count(*) FILTER (r.star_rating % 4 = f.label) AS predicted2, count(*) FILTER (r.truth = f.label AND r.star_rating % 4 = f.label) AS tp2 FROM four f CROSS JOIN reviews r GROUP BY 1)
+    SELECT label, round(round(CASE WHEN support = 0 THEN 0 ELSE tp / support END, 9) - round(CASE WHEN support = 0 THEN 0 ELSE tp2 / support END, 9), 9) AS recall_delta FROM s""",
+)
+def metric_delta(r: DataFrame) -> DataFrame:
+    other = r.select(F.col("truth").alias("actual"), (F.col("star_rating") % 4).cast("int").alias("pred"))
+    return audit.metric_delta(metrics.class_metrics(judged(r)), metrics.class_metrics(other), ["label"], ["recall"])
+
+
+@query("html_reviews")
+def html_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return S.html_reviews(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query("scan_sessions", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 10 MINUTE)::INT, 1) AS new FROM events)) GROUP BY user_id, s", False)
+def scan_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return scans.quiet_periods(spark.read.parquet(f"{d}/events.parquet"), "10 minutes")
