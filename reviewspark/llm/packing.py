@@ -51,16 +51,17 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         rows = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for row in rows for w in row} - self.known.keys()
+        known = self.known  # looked up word by word: a difference of sets would walk over all that is known
+        fresh = {w for row in rows for w in row if w not in known}
         bare = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() else (w, "") for w in fresh}
-        need = {w for pair in bare.values() for w in pair} - self.known.keys()
+        need = {w for pair in bare.values() for w in pair if w not in known}
         plain = [w for w in need if w.isalpha()]
         made = self.many(plain) if plain else {}
         made |= {w: self.one(w) for w in need if w not in made}
-        look = {**made, **{w: made.get(a, self.known.get(a)) + made.get(b, self.known.get(b)) for w, (a, b) in bare.items()}}
-        if len(self.known) + len(look) <= CACHE:
-            self.known |= {w: v for w, v in look.items() if len(w) < 64}
-        get = lambda w, known=self.known: known[w] if w in known else look[w]
+        look = {**made, **{w: made.get(a, known.get(a)) + made.get(b, known.get(b)) for w, (a, b) in bare.items()}}
+        if len(known) + len(look) <= CACHE:
+            known |= {w: v for w, v in look.items() if len(w) < 64}
+        get = lambda w: known[w] if w in known else look[w]
         return [b"".join(map(get, row)) for row in rows]
 
 
@@ -84,8 +85,8 @@ def pieces(df: DataFrame, path: str, end_id: int, size: int, text: str = "text",
                 out += [(k, s, min(size, n - s), zlib.crc32(view[4 * s : 4 * min(s + size, n)]), n) for s in range(0, n, size)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+        keys, texts, held = [], [], 0
         for b in it:
-            keys, texts, held = [], [], 0
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
                 if texts and held + len(t) > ROUND:
@@ -94,8 +95,8 @@ def pieces(df: DataFrame, path: str, end_id: int, size: int, text: str = "text",
                 keys.append(k)
                 texts.append(t)
                 held += len(t)
-            if texts:
-                yield rows(keys, texts)
+        if texts:
+            yield rows(keys, texts)
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
