@@ -19,6 +19,8 @@ TILE = 2048
 WIDE_TILE = 32768
 #: Rows of a tile that meet the others at once.
 STRIP = 256
+#: Bits that two sets of at most so many shingles may differ in besides the radius: few hashes give coarse majorities.
+TINY, TINY_MORE = 8, 8
 
 
 def fingerprint(data: bytes, words: int, wide: bool = False) -> tuple[int, ...]:
@@ -90,8 +92,10 @@ def compare(fp: np.ndarray, size: np.ndarray, side: np.ndarray, own: np.ndarray,
     ``fp`` has a row of 64-bit words for each fingerprint. Rows are sorted by population count, and
     strips whose counts differ by more than the radius never meet. Unless ``inner``, only rows of
     different ``side`` meet; of two rows at least one must be ``own``. ``ratio`` is the least ratio
-    of sizes. Returns two arrays of indices.
+    of sizes; with it, the radius grows by ``TINY_MORE`` where all sizes are tiny. Returns two arrays of indices.
     """
+    if ratio and size.max() <= TINY:
+        radius += TINY_MORE
     pop = np.bitwise_count(fp).sum(1, dtype=np.int32)
     order = np.argsort(pop, kind="stable")
     f, p, z, sd, ow = fp[order], pop[order], size[order].astype(np.float64), side[order], own[order]
@@ -203,6 +207,123 @@ def components(df: DataFrame, words: int = 4, radius: int = 4, blocks: int | Non
     return docs.join(named, ["fp0", "fp1"], "left").select(F.col("key").alias(key), "fp0", "fp1", "size", "component")
 
 
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 128-bit hashes (two words each) of the shingles of a text, cut as for ``fingerprint``."""
+    import xxhash
+
+    parts = data.translate(LOWER).split()
+    n = max(1, len(parts) - words + 1) if parts else 0
+    kinds = {b" ".join(parts[i : i + words]) for i in range(n)}
+    return np.frombuffer(b"".join(sorted(xxhash.xxh3_128_digest(k, 42) for k in kinds)), ">u8").astype("<u8").reshape(-1, 2)
+
+
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Majority bits of distinct shingles, as two signed words; none give zero."""
+    if not len(hashes):
+        return np.zeros(2, np.int64)
+    bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")
+
+
+def verified(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, inner: bool, radius: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows within the radius whose sorted sets have that Jaccard similarity, less those that close a ring.
+
+    A pair whose rows are joined by links found before isn't looked at, since it can't change a group.
+    """
+    size = np.array([len(s) for s in sets])
+    label, left, right = np.arange(len(fp)), [], []
+    for a in range(len(fp) - 1):
+        rest = slice(a + 1, len(fp))
+        ok = (label[rest] != label[a]) & (np.minimum(size[a], size[rest]) >= (threshold - 1e-9) * np.maximum(size[a], size[rest]))
+        if not inner:
+            ok &= side[rest] != side[a]
+        some = np.flatnonzero(ok) + a + 1
+        near = np.bitwise_count(fp[some] ^ fp[a]).sum(1, dtype=np.int32) <= radius + TINY_MORE * (np.maximum(size[some], size[a]) <= TINY)
+        for b in some[near].tolist():
+            if label[a] == label[b]:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= threshold * (size[a] + size[b] - both):
+                label[label == label[b]] = label[a]
+                left.append(a)
+                right.append(b)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of texts chained by Jaccard similarity ``threshold`` of their shingle sets: ``key, component``.
+
+    Equal sets are one node. Fingerprints of distinct shingles within ``radius`` of 128 bits give
+    candidate groups; every group is then judged on the sets themselves, in tiles, so that only
+    verified links join texts. ``component`` is the smallest key reached (null where all are null);
+    texts without words are equal.
+    """
+    spark = df.sparkSession
+    schema = df.select(F.col(key).alias("key")).schema.add("d0", "long").add("d1", "long").add("fp0", "long").add("fp1", "long").add("size", "long")
+
+    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in it:
+            rows = []
+            for t in b.column(1):
+                s = shingle_set(text_bytes(t.as_py()), words)
+                rows.append([*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8").tolist(), *set_fingerprint(s).tolist(), len(s)])
+            c = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5))], names=schema.names)
+
+    docs = materialise(df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(told, schema), "copies")
+    nodes = materialise(docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("node")), "copies-nodes")
+    size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    near = materialise(links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9), "copies-near")
+    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "copies-groups")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size_before)
+
+    def with_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingle_set(text_bytes(t.as_py()), words) for t in b.column(2)]
+            fps = np.stack([set_fingerprint(s) for s in sets]) if sets else np.zeros((0, 2), np.int64)
+            # Half of each hash is enough to tell shingles apart.
+            half = pa.array([np.sort(s[:, 0]).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), pa.array(fps[:, 1]), half], names=["group", "node", "fp0", "fp1", "hashes"])
+
+    own = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(groups, "node")
+    own = own.groupBy("group", "node", F.sha2("__text", 256).alias("__sha")).agg(F.first("__text").alias("__text")).select("group", "node", "__text")
+    members = materialise(own.mapInArrow(with_sets, "group long, node long, fp0 long, fp1 long, hashes binary"), "copies-members")
+    tiles = members.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = (
+        members.join(tiles, "group")
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "fp0", "fp1", "hashes")
+    )
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            fp = np.array([r[5:7] for r in rows], np.int64).view(np.uint64)
+            node, side = np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows])
+            a, b = verified(fp, [np.frombuffer(r[7], np.uint64) for r in rows], side, rows[0][1] == rows[0][2], radius, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["src", "dst"])
+
+        held: list[tuple] = []
+        for b in it:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][:3] != r[:3]:
+                    yield out(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield out(held)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unit = ["group", "i", "j"]
+    sure = materialise(dealt.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(judge, "src long, dst long"), "copies-sure")
+    found = connected_components(sure)
+    named = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component"))
+    return docs.join(named, ["d0", "d1"], "left").select(F.col("key").alias(key), "component")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint all documents and name the group of each."""
     out = components(table(spark, sf_dir, "documents"))
