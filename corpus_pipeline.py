@@ -38,8 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every passage of 400 bytes or more that occurs twice."""
-    out = suffix.remove_repeats(docs, ["doc_id", "lang", "source"], as_text=True)
+    """Removes every passage of over 50 words that occurs twice, however few bytes it has."""
+    out = suffix.remove_passages(docs, ["doc_id", "lang", "source"], words=51)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

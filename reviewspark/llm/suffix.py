@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes
+from reviewspark.llm.common import materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
 
 PREFIX = 100
 #: Bytes of text in a block, unless one document is longer.
@@ -37,7 +37,9 @@ BLOCK = 2 << 20
 #: String starts worked on at once.
 SEGMENT = 1 << 18
 MOST = np.uint64(2**64 - 1)
-_ONE, _TWO, _THREE = table_of_bytes(91), table_of_bytes(92), table_of_bytes(93)
+#: Bytes that a word takes where passages are counted in words.
+WORD = 8
+_ONE, _TWO, _THREE, _FOUR = table_of_bytes(91), table_of_bytes(92), table_of_bytes(93), table_of_bytes(94)
 
 
 def sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -137,7 +139,8 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
         for b in it:
             lone = b.select(list(range(b.num_columns - 1)))
             for i in range(b.num_rows):
-                t = text_bytes(b.column(b.num_columns - 1)[i].as_py())
+                t = b.column(b.num_columns - 1)[i].as_py()
+                t = t if isinstance(t, bytes) else text_bytes(t)
                 if texts and held + len(t) > BLOCK:
                     yield block(rows, texts)
                     rows, texts, held = [], [], 0
@@ -410,20 +413,21 @@ class Stretches:
         return at, *string_hashes(unpack(row["data"]), near, near + length)
 
 
-def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False, places: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty), strings never cross documents, and all are judged on the
     input. Returns the columns ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
-    runs) and ``kept`` (binary, or with ``as_text`` a string without the halves of cut characters). Rows come out as often as they went in.
+    runs) and ``kept`` (binary, or with ``as_text`` a string without the halves of cut characters; with
+    ``places`` the starts and ends of the removed runs instead). Rows come out as often as they went in.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialise(blocks_of(df, keep, text, length), "suffix-blocks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
-    places = materialise(repeated(blocks, n), "suffix-places")
-    around = blocks.select("block", "ends", "data", "pos", "which").join(told(places, "places"), "block")
+    again_at = materialise(repeated(blocks, n), "suffix-places")
+    around = blocks.select("block", "ends", "data", "pos", "which").join(told(again_at, "places"), "block")
     found = materialise(around.mapInArrow(stretches(length), ", ".join(f"{k} {'long' if t == LONG else 'binary'}" for k, t in STRETCHES.items())), "suffix-stretches")
 
     def send_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +525,7 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
                 a, z = place[d], place[d + 1]
                 edges = [start, *np.stack([lo[a:z], hi[a:z]], 1).ravel().tolist(), end]
                 kept = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((end - start, end - start - len(kept), int(z - a), kept))
+                out.append((end - start, end - start - len(kept), int(z - a), (np.stack([lo[a:z], hi[a:z]], 1) - start).tobytes() if places else kept))
                 start = end
             base = 0
             for m in pa.ipc.open_stream(row["meta"]).read_all().combine_chunks().to_batches():
@@ -533,6 +537,45 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     return final.mapInArrow(finish, schema)
 
 
+def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str = "text") -> DataFrame:
+    """Remove every word covered by ``words`` words in a row that also start anywhere else: ``keep`` and ``kept``.
+
+    Words are runs without ASCII white space, of any length in bytes; each stands as a hash of
+    ``WORD`` bytes, so that so many words are one string of fixed length to ``remove_repeats``.
+    """
+
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for t in b.column(b.num_columns - 1):
+                data = np.frombuffer(text_bytes(t.as_py()), np.uint8)
+                start, end = word_bounds(data)
+                out.append(mix(span_hash(prefix_hash(data, _FOUR), start, end)).tobytes() if len(start) else b"")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, BIN)], names=coded.names)
+
+    rows = df.select(*keep, F.col(text).alias("__whole"))
+    coded = rows.select("*").schema.add("__codes", "binary")
+    found = remove_repeats(rows.mapInArrow(code, coded), [*keep, "__whole"], WORD * words, "__codes", places=True)
+    schema = df.select(*keep).schema.add("kept", "string")
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for t, z in zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True):
+                raw, at = text_bytes(t.as_py()), 0
+                gone = np.frombuffer(z.as_py(), np.int64).reshape(-1, 2)
+                kept = []
+                if len(gone):
+                    start = [*word_bounds(np.frombuffer(raw, np.uint8))[0].tolist(), len(raw)]
+                    for lo, hi in zip((-(-gone[:, 0] // WORD)).tolist(), (gone[:, 1] // WORD).tolist(), strict=True):
+                        kept.append(raw[at : start[lo]])
+                        at = start[hi]
+                out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.string())], names=schema.names)
+
+    return found.select(*keep, "__whole", "kept").mapInArrow(cut, schema)
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated strings of 400 bytes from all documents."""
     out = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -48,3 +48,31 @@ def test_near_duplicate_stage_against_brute_force(spark):
     rows = [(i, t, "aa", "s", None) for i, t in enumerate(texts)]
     got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([*rows, (None, "no id", None, None, None)], DOCS), "")
     assert {r.doc_id for r in got.collect()} == kept | {None}
+
+
+def test_repeats_stage_takes_passages_of_51_words(spark):
+    texts, want = [], []
+    for n in (20, 50, 51, 52, 55, 60, 300):
+        for size in (1, 9):  # in bytes such a passage is anything from 101 up
+            passage = [w[:size] for w in prose(n)]
+            for gap in (" ", "\n"):
+                before, after = [prose(RNG.randint(20, 90)) for _ in range(2)]
+                texts.append(gap.join([*before, *passage, *after]))
+                want.append([*before, *(passage if n < 51 else []), *after])
+    twice = " ".join(prose(40) + [w for _ in range(2) for w in texts[20].split()[-60:]])
+    texts += [None, "", " \n", twice, "\u00dcn\u00ef \U0001f600 " * 20]
+    rows = [(i, t, "aa", "s", None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in corpus_pipeline.repeats_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    naive = removed_by_brute_force([(t or "").split() for t in texts])
+    assert len(got) == len(texts) and all(got[i].n_chars == len(got[i].text) for i in got)
+    assert [got[i].text.split() for i in range(len(texts))] == naive
+    assert [naive[i] for i in range(20)] == want[:20]
+
+
+def removed_by_brute_force(texts, n=51):
+    starts = {}
+    for d, words in enumerate(texts):
+        for i in range(len(words) - n + 1):
+            starts.setdefault(tuple(words[i : i + n]), []).append((d, i))
+    gone = {(d, i + k) for where in starts.values() if len(where) > 1 for d, i in where for k in range(n)}
+    return [[w for i, w in enumerate(words) if (d, i) not in gone] for d, words in enumerate(texts)]
