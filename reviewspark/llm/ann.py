@@ -19,8 +19,6 @@ PROBES = 12
 CHUNK = 8192
 #: Parts that equal vectors are first cut into.
 SALTS = 16
-#: Vectors above which each table joins two hashes.
-TWO_HASHES = 4_000_000
 
 
 def rotate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -38,22 +36,10 @@ def rotate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return x
 
 
-def axes(unit: np.ndarray, table_no: int, hashes: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each unit vector in one table, nearest first (joined, for two hashes)."""
-    score, name = None, None
-    for h in range(hashes):
-        r = rotate(unit, np.random.default_rng([table_no, h]))
-        both = np.concatenate([r, -r], 1)
-        top = np.argsort(-both, 1, kind="stable")[:, : max(probes, 1)]
-        s = np.take_along_axis(both, top, 1)
-        if score is None:
-            score, name = s, top.astype(np.int64)
-        else:
-            score = (score[:, :, None] + s[:, None, :]).reshape(len(unit), -1)
-            name = (name[:, :, None] * both.shape[1] + top[:, None, :]).reshape(len(unit), -1)
-            best = np.argsort(-score, 1, kind="stable")[:, :probes]
-            score, name = np.take_along_axis(score, best, 1), np.take_along_axis(name, best, 1)
-    return name
+def axes(unit: np.ndarray, table_no: int, probes: int) -> np.ndarray:
+    """The ``probes`` nearest signed axes of each unit vector in one table, nearest first."""
+    r = rotate(unit, np.random.default_rng([table_no, 0]))
+    return np.argsort(-np.concatenate([r, -r], 1), 1, kind="stable")[:, : max(probes, 1)].astype(np.int64)
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -84,7 +70,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         few = few.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     entries = materialise(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-entries")
     asked = materialise(usable(queries, key, vector).groupBy("v", "id").agg(F.count("*").alias("n")).select("v", F.array("id").alias("ids")), "ann-queries")
-    hashes = 1 if entries.count() <= TWO_HASHES else 2
 
     def deal(probes: int, kind: int):  # noqa: ANN202
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +81,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     raw = pa.array([r.tobytes() for r in x], pa.binary())
                     for t in range(tables):
-                        names = axes(unit, t, hashes, probes)
+                        names = axes(unit, t, probes)
                         for p in range(names.shape[1]):
                             size = len(at)
                             yield pa.RecordBatch.from_arrays(

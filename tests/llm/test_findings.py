@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from reviewspark.llm import ann
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 9))) for _ in range(3000)]
@@ -76,3 +79,16 @@ def removed_by_brute_force(texts, n=51):
             starts.setdefault(tuple(words[i : i + n]), []).append((d, i))
     gone = {(d, i + k) for where in starts.values() if len(where) > 1 for d, i in where for k in range(n)}
     return [[w for i, w in enumerate(words) if (d, i) not in gone] for d, words in enumerate(texts)]
+
+
+def test_ann_recall_does_not_depend_on_a_threshold(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TWO_HASHES", 0, raising=False)  # a size above which the search used to change
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    truth = set()
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        truth |= {(int(ids[i]), v) for _, v in sorted((s, int(v)) for s, v in zip(d, ids, strict=True) if v != ids[i])[:10]}
+    got = {(r.query_id, r.vec_id) for r in ann.op7_ann(spark, sf).collect()}
+    assert len(got & truth) >= 0.9 * len(truth)
