@@ -7,9 +7,9 @@ times P(place | class, history), both softmaxes over the sum of hashed feature r
 the one before that (skip) and both together (n-gram). All other words share one place, divided
 by their smoothed counts, so that probabilities of all words sum to one.
 
-Training takes every document's positions at a fixed stride. Each round, tasks add up the gradient
-of their positions (observed less expected feature counts) and what the model expects; a step is the
-gradient scaled by the expectation, log-damped. Only arrays of fixed size reach the driver.
+Training takes every position of every document; equal events are worked out once, with their
+count. Each round, tasks add up what they observe and what the model expects; a step is the gradient
+(observed less expected) scaled by the expectation, log-damped. Only arrays of fixed size reach the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ NGRAMS = 8192
 PLACES = 8192
 ROWS = 2 * (VOCABULARY + 1) + NGRAMS
 BLOCK = 1 << 20
-STRIDE = 16
 ROUNDS = 4
 BATCH = 4096
 SHARDS = 32
@@ -241,10 +240,10 @@ class Model:
         return out
 
 
-def sums(e: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gradient and expectation of the feature rows over some events: classes, then places."""
-    gc, ec = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32)
-    gp, ep = np.zeros((PLACES, CLASSES), np.float32), np.zeros((PLACES, CLASSES), np.float32)
+def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Observed and expected counts of the feature rows over some events with their counts: classes, then places."""
+    ec, ep = np.zeros((ROWS, CLASSES), np.float32), np.zeros((PLACES, CLASSES), np.float32)
+    gc, gp = np.zeros((ROWS, CLASSES)), np.zeros((PLACES, CLASSES))
 
     def add(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
@@ -253,34 +252,25 @@ def sums(e: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     for lo in range(0, len(e), BATCH):
         a, b, cls, place, cr, pr = model.forward(e[lo : lo + BATCH])
-        i = np.arange(len(a))
+        n = count[lo : lo + BATCH].astype(np.float32)
         for rows, lp, hit, g, x in ((cr, a, cls, gc, ec), (pr, b, place, gp, ep)):
-            p = np.exp(lp)
-            d = -p
-            d[i, hit] += 1
+            p = np.exp(lp) * n[:, None]
             for f in range(rows.shape[1]):
                 add(x, rows[:, f], p)
-                add(g, rows[:, f], d)
-    return gc, ec, gp, ep
+                np.add.at(g.ravel(), rows[:, f] * CLASSES + hit, n)
+    return gc.astype(np.float32), ec, gp.astype(np.float32), ep
 
 
-def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Fit the feature rows on every training document (each position whose place and document hash to the stride)."""
-    spark = blocks.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(model)
+def counted(e: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct events and how often each occurs."""
+    kinds, of = np.unique(np.ascontiguousarray(e).view(np.uint64).ravel(), return_inverse=True)
+    return kinds.view(np.uint16).reshape(-1, 4), np.bincount(of, count, minlength=len(kinds)).astype(np.int64)
 
-    def take(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for meta, ends, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, size = tokens(ends, z)
-                learn = ~np.repeat(meta_of(meta).column(held_out).to_numpy(), size)
-                last = np.repeat(h[np.maximum(np.cumsum(size) - 2, 0)], size)
-                chosen = learn & ((np.arange(len(h), dtype=np.uint64) + last) % np.uint64(stride) == 0)
-                e = shared.value.events(h, size)[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(e.tobytes(), 1)])], names=["events"])
 
-    events = materialise(blocks.select("meta", "ends", "data").mapInArrow(take, "events binary"), "maxent-events")
+def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS) -> Model:
+    """Fit the feature rows on every position of every training document."""
+    spark = blocks.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
@@ -289,15 +279,17 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS,
 
             def add() -> None:
                 nonlocal total
-                some = sums(np.concatenate(held), now.value)
+                some = sums(*counted(*(np.concatenate(x) for x in zip(*held, strict=True))), now.value)
                 total = some if total is None else tuple(x + y for x, y in zip(total, some, strict=True))
 
             for b in it:
-                for z in b.column(0).to_pylist():
-                    e = np.frombuffer(zstandard.decompress(z), np.uint16).reshape(-1, 4)
-                    held.append(e)
+                for meta, ends, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    h, sizes = tokens(ends, z)
+                    learn = ~np.repeat(meta_of(meta).column(held_out).to_numpy(), sizes)
+                    e, times = counted(now.value.events(h, sizes)[learn])
+                    held.append((e, times))
                     size += len(e)
-                    if size > 200_000:
+                    if size > 1_000_000:
                         add()
                         held, size = [], 0
             if size:
@@ -316,11 +308,12 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS,
             for s, x in got.items():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["shard", "x"])
 
-        parts = {r["shard"]: np.frombuffer(r["x"], np.float32) for r in events.mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary").collect()}
+        parts = {r["shard"]: np.frombuffer(r["x"], np.float32) for r in blocks.select("meta", "ends", "data").mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary").collect()}
         if not parts:
             break
         gc, ec, gp, ep = (np.concatenate([parts[k * SHARDS + s] for s in range(SHARDS)]).reshape(-1, CLASSES) for k in range(4))
         for rows, g, e, features in ((model.class_rows, gc, ec, 3), (model.place_rows, gp, ep, 2)):
+            g = g - e
             rows += np.sign(g) * np.log1p(np.abs(g) / (e + 2.0)) / features
         now.unpersist()
     return model

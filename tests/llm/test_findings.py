@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from reviewspark.llm import ann
+from reviewspark.llm import ann, maxent
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 9))) for _ in range(3000)]
@@ -92,3 +92,21 @@ def test_ann_recall_does_not_depend_on_a_threshold(spark, monkeypatch):
         truth |= {(int(ids[i]), v) for _, v in sorted((s, int(v)) for s, v in zip(d, ids, strict=True) if v != ids[i])[:10]}
     got = {(r.query_id, r.vec_id) for r in ann.op7_ann(spark, sf).collect()}
     assert len(got & truth) >= 0.9 * len(truth)
+
+
+def test_maxent_learns_every_position_of_all_documents(spark):
+    docs = [(i, " ".join(prose(RNG.randint(1, 14))), False) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+    blocks = maxent.blocks_of(df, ["doc_id", "held_out"])
+    words = maxent.common_words(maxent.word_counts(blocks, "held_out"))
+    n = sum(len(t.split()) + 1 for _, t, _ in docs)
+    got = maxent.train(blocks, maxent.Model(words, n, len(words)), "held_out", rounds=1)
+    h = [maxent.tokens(r["ends"], r["data"]) for r in blocks.collect()]
+    start = maxent.Model(words, n, len(words))
+    e = np.concatenate([start.events(*x) for x in h])
+    want = maxent.Model(words, n, len(words))
+    gc, ec, gp, ep = maxent.sums(e, np.ones(len(e), np.int64), start)
+    for rows, g, x, features in ((want.class_rows, gc, ec, 3), (want.place_rows, gp, ep, 2)):
+        g = g - x
+        rows += np.sign(g) * np.log1p(np.abs(g) / (x + 2.0)) / features
+    assert len(e) == n and np.allclose(got.class_rows, want.class_rows, atol=1e-4) and np.allclose(got.place_rows, want.place_rows, atol=1e-4)
