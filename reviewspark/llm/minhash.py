@@ -6,12 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, MULT, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.simhash import verified_links
 from reviewspark.operators.graph import connected_components
 
 #: Hash permutations of a fingerprint, each kept as one byte.
@@ -151,9 +151,9 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """Class of near-duplicate texts for each row: ``key, class_id`` (the smallest key of the class).
 
-    Equal texts are one node. Nodes that share a band of their signature are compared with the
-    smallest node of that band, whose shingle sets must have Jaccard similarity ``threshold`` or more;
-    verified links join classes. Bands are aggregated, never paired within themselves. A null text is
+    Equal texts are one node. Nodes that bands of their signatures chain to each other are a candidate
+    group, in which all pairs not yet joined meet, in tiles; those whose shingle sets have Jaccard
+    similarity ``threshold`` or more join classes. Bands are aggregated, never paired. A null text is
     empty and joins other empty ones; null keys are left out of links but kept as their own rows.
     """
     docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -170,21 +170,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(h.view(np.int64).ravel())], names=["node", "band"])
 
     keyed = first.mapInArrow(bands, "node long, band long")
-    pairs = keyed.join(keyed.groupBy("band").agg(F.min("node").alias("head")), "band").where("node <> head").select("node", "head").distinct()
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            p, q = (np.unique(shingle_hashes([text_bytes(t)])[0]) for t in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return both / max(1, len(p) + len(q) - both)
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    linked = (
-        pairs.join(first, "node").join(first.select(F.col("node").alias("head"), F.col("text").alias("head_text")), "head").where(jaccard("text", "head_text") >= threshold)
-    )
-    classes = connected_components(linked.select(F.col("node").alias("src"), F.col("head").alias("dst")))
+    near = keyed.join(keyed.groupBy("band").agg(F.min("node").alias("head")), "band").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
+    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "minhash-groups")
+    classes = connected_components(verified_links(first, groups, SHINGLE, 128, threshold, "node"))
     return (
         docs.withColumn("sha", sha).join(nodes, "sha", "left").join(classes, "node", "left").select(F.col("key").alias(key), F.coalesce("component", "node").alias("class_id"))
     )

@@ -243,42 +243,16 @@ def verified(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, inner: bo
             if label[a] == label[b]:
                 continue
             both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both >= threshold * (size[a] + size[b] - both):
+            if both and both >= threshold * (size[a] + size[b] - both):
                 label[label == label[b]] = label[a]
                 left.append(a)
                 right.append(b)
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of texts chained by Jaccard similarity ``threshold`` of their shingle sets: ``key, component``.
-
-    Equal sets are one node. Fingerprints of distinct shingles within ``radius`` of 128 bits give
-    candidate groups; every group is then judged on the sets themselves, in tiles, so that only
-    verified links join texts. ``component`` is the smallest key reached (null where all are null);
-    texts without words are equal.
-    """
+def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links ``src, dst`` between the texts of a candidate group (``node, group``), judged on their shingle sets in tiles."""
     spark = df.sparkSession
-    schema = df.select(F.col(key).alias("key")).schema.add("d0", "long").add("d1", "long").add("fp0", "long").add("fp1", "long").add("size", "long")
-
-    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in it:
-            rows = []
-            for t in b.column(1):
-                s = shingle_set(text_bytes(t.as_py()), words)
-                rows.append([*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8").tolist(), *set_fingerprint(s).tolist(), len(s)])
-            c = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5))], names=schema.names)
-
-    docs = materialise(df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(told, schema), "copies")
-    nodes = materialise(docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("node")), "copies-nodes")
-    size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
-    near = materialise(links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9), "copies-near")
-    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "copies-groups")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size_before)
 
     def with_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -318,8 +292,40 @@ def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: floa
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unit = ["group", "i", "j"]
-    sure = materialise(dealt.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(judge, "src long, dst long"), "copies-sure")
-    found = connected_components(sure)
+    return materialise(dealt.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(judge, "src long, dst long"), "copies-sure")
+
+
+def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of texts chained by Jaccard similarity ``threshold`` of their shingle sets: ``key, component``.
+
+    Equal sets are one node. Fingerprints of distinct shingles within ``radius`` of 128 bits give
+    candidate groups; every group is then judged on the sets themselves, in tiles, so that only
+    verified links join texts. ``component`` is the smallest key reached (null where all are null);
+    texts without words are equal.
+    """
+    spark = df.sparkSession
+    schema = df.select(F.col(key).alias("key")).schema.add("d0", "long").add("d1", "long").add("fp0", "long").add("fp1", "long").add("size", "long")
+
+    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in it:
+            rows = []
+            for t in b.column(1):
+                s = shingle_set(text_bytes(t.as_py()), words)
+                rows.append([*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8").tolist(), *set_fingerprint(s).tolist(), len(s)])
+            c = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5))], names=schema.names)
+
+    docs = materialise(df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(told, schema), "copies")
+    nodes = materialise(docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("node")), "copies-nodes")
+    size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    near = materialise(links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9), "copies-near")
+    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "copies-groups")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size_before)
+
+    found = connected_components(verified_links(df, groups, words, radius, threshold, key, text))
     named = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component"))
     return docs.join(named, ["d0", "d1"], "left").select(F.col("key").alias(key), "component")
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from reviewspark.llm import ann, maxent
+from reviewspark.llm import ann, maxent, minhash
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 9))) for _ in range(3000)]
@@ -110,3 +110,12 @@ def test_maxent_learns_every_position_of_all_documents(spark):
         g = g - x
         rows += np.sign(g) * np.log1p(np.abs(g) / (x + 2.0)) / features
     assert len(e) == n and np.allclose(got.class_rows, want.class_rows, atol=1e-4) and np.allclose(got.place_rows, want.place_rows, atol=1e-4)
+
+
+def test_near_duplicates_whose_band_head_is_unlike_them(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BANDS", 1)  # all permutations in one band, which here all texts share
+    monkeypatch.setattr(minhash, "signatures", lambda texts: np.zeros((len(texts), minhash.PERMUTATIONS), np.uint32))
+    head, a = prose(200), prose(200)
+    texts = [head, a, [*a[:190], *prose(10)], [*head[:195], *prose(5)], [*a[:100], *prose(100)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4}
