@@ -21,6 +21,18 @@ ASPECTS = (
     "seller_service",
     "accuracy_of_description",
 )
+DEFINITIONS = {
+    "product_quality": "Overall build, material quality, durability, or craftsmanship.",
+    "functionality": "Whether the product has the expected features or capabilities.",
+    "performance": "How well functions work: speed, responsiveness, lag, accuracy, sound, battery performance, results, effectiveness, or reliability.",
+    "design": "Ergonomics, form, layout, fit, comfort, feel in the hand, non-beauty texture, or ease of use.",
+    "aesthetics": "Purely visual appeal: color, appearance, style, or look.",
+    "sensory_experience": "Beauty, skincare, and personal care only: smell, fragrance, texture, consistency, or feel on the skin.",
+    "value": "Worth its price: sulit, affordable, expensive, or overpriced.",
+    "packaging": "Box condition, wrapping, protection, presentation, or secure packing.",
+    "seller_service": "Concrete seller responsiveness, communication, assistance, support, or problem resolution; exclude general thanks or praise.",
+    "accuracy_of_description": "Reviewer-stated agreement or mismatch with advertised size, color, variation, specifications, or features.",
+}
 CONTEXT_TOKENS, TITLE_TOKENS = 28, 10
 
 ANNOTATIONS = "array<struct<category:string,text:string,sentiment:string>>"
@@ -88,6 +100,51 @@ def quality_input_text(review: Column, title: Column, description: Column) -> Co
     return F.concat(F.lit("Review: "), clean(review), F.lit("\nProduct title: "), clean(title), F.lit("\nProduct description: "), clean(description))
 
 
+def quality_input_parts(text: Column) -> Column:
+    """Review, title and description of a text in the form of ``quality_input_text``; any other text is a review alone."""
+    names = ("Review: ", "Product title: ", "Product description: ")
+    lines = F.split(text, "\n")
+    whole = F.size(lines) == 3
+    for i, n in enumerate(names):
+        whole = whole & F.coalesce(F.startswith(F.get(lines, F.lit(i)), F.lit(n)), F.lit(False))
+    part = lambda i, other: F.when(whole, F.substring(F.get(lines, F.lit(i)), len(names[i]) + 1, 2**31 - 1)).otherwise(other)
+    return F.struct(part(0, F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).alias("review"), part(1, F.lit("")).alias("title"), part(2, F.lit("")).alias("description"))
+
+
+def quality_input_pair(review: Column, title: Column, description: Column, max_length: Column, specials: int = 4) -> Column:
+    """Review and context cut to the budgets of ``context_budget``, counted in words between spaces.
+
+    The title comes first and takes no more than its own budget, the description what is left of the
+    context, and the review all tokens that the context leaves.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")), " "), lambda x: x != "")
+    b = context_budget(max_length, specials)
+    t = F.slice(words(title), F.lit(1), b["title"])
+    context = F.concat(t, F.slice(words(description), F.lit(1), F.greatest(F.lit(0), b["context"] - F.size(t))))
+    return F.struct(F.array_join(F.slice(words(review), F.lit(1), b["content"] - F.size(context)), " ").alias("review"), F.array_join(context, " ").alias("context"))
+
+
+def aspect_prompt(category: Column) -> Column:
+    """A category and what it means."""
+    return F.concat_ws(": ", category, F.element_at(F.create_map(*[F.lit(x) for kv in DEFINITIONS.items() for x in kv]), category))
+
+
+def annotation_pairs(raw: Column, text: Column, exact: bool = False) -> Column:
+    """Distinct ``aspect, sentiment`` indices of JSON annotations; null where one is invalid.
+
+    ``exact`` also asks that each has exactly three fields, evidence that stands in the text, and a
+    lower-case polarity.
+    """
+    items = F.from_json(raw, "array<string>")
+    read = F.transform(items, lambda x: F.from_json(x, "category string, text string, sentiment string"))
+    rows = F.transform(read, lambda x: F.struct((F.array_position(F.array(*map(F.lit, ASPECTS)), x["category"]) - 1).cast("int").alias("aspect"), map_polarity(x["sentiment"]).alias("sentiment"), x["text"].alias("text"), x["sentiment"].alias("name")))
+    ok = items.isNotNull() & F.forall(rows, lambda x: (F.coalesce(x["aspect"], F.lit(-1)) >= 0) & x["sentiment"].isNotNull() & (F.trim(F.coalesce(x["text"], F.lit(""))) != ""))
+    if exact:
+        keys = F.array(F.lit("category"), F.lit("sentiment"), F.lit("text"))
+        ok = ok & F.forall(items, lambda x: F.array_sort(F.json_object_keys(x)) == keys) & F.forall(rows, lambda x: F.contains(text, x["text"]) & x["name"].isin("negative", "neutral", "positive"))
+    return F.when(ok, F.array_sort(F.array_distinct(F.transform(rows, lambda x: F.struct(x["aspect"].alias("aspect"), x["sentiment"].alias("sentiment"))))))
+
+
 def context_budget(max_length: Column, specials: int = 4) -> Column:
     """Tokens for content, context, title and review under a length limit."""
     content = max_length - F.lit(specials)

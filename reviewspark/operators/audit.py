@@ -8,17 +8,45 @@ from pyspark.sql import functions as F
 from reviewspark.functions.contract import argmax
 
 
+def judged(rows: DataFrame, sure: float = 0.8) -> DataFrame:
+    """Adds ``prediction``, ``confidence``, ``wrong`` and ``sure_wrong`` to rows with ``probabilities`` and ``label``, and the population and family of each.
+
+    ``source_review_id`` is blank or null for an original, else it names the original of a draft.
+    """
+    source = F.coalesce(F.col("source_review_id"), F.lit(""))
+    out = rows.withColumns({"prediction": argmax(F.col("probabilities")), "confidence": F.array_max("probabilities"), "population": F.when(source == "", "original").otherwise("synthetic"), "family": F.when(source == "", F.col("review_id")).otherwise(source)})
+    return out.withColumn("wrong", F.col("prediction") != F.col("label")).withColumn("sure_wrong", F.col("wrong") & (F.col("confidence") >= sure))
+
+
+def error_summary(rows: DataFrame) -> DataFrame:
+    """Rows and errors of all, of each population, and of each fold and population, in one grouping-sets pass."""
+    grains = rows.groupingSets([[], [F.col("population")], [F.col("fold"), F.col("population")]], F.col("fold"), F.col("population"))
+    return grains.agg(F.count("*").alias("n"), F.count_if("wrong").alias("errors"), F.count_if("sure_wrong").alias("sure_errors"), F.count_if(F.col("label") != F.col("ground_truth")).alias("targets_differ"))
+
+
 def family_errors(rows: DataFrame) -> DataFrame:
-    """Rows, errors and errors with a chance of 0.8 or more, by family (``probabilities`` against ``label``)."""
-    wrong = argmax(F.col("probabilities")) != F.col("label")
-    return rows.groupBy("family").agg(F.count("*").alias("rows"), F.count_if(wrong).alias("errors"), F.count_if(wrong & (F.array_max("probabilities") >= 0.8)).alias("sure_errors"))
+    """Families with drafts: their drafts, rows and errors."""
+    draft = F.col("population") == "synthetic"
+    return rows.groupBy("family").agg(F.count_if(draft).alias("drafts"), F.count("*").alias("rows"), F.count_if(draft & F.col("wrong")).alias("errors"), F.count_if(draft & F.col("sure_wrong")).alias("sure_errors")).where("drafts > 0")
+
+
+def concentration(families: DataFrame, top: int = 5) -> DataFrame:
+    """One row: drafts in all, families, the largest family, and the share of the ``top`` largest (ties by name)."""
+    first = families.orderBy(F.desc("drafts"), "family").limit(top).agg(F.sum("drafts").alias("top"))
+    return families.agg(F.coalesce(F.sum("drafts"), F.lit(0)).alias("drafts"), F.count("*").alias("families"), F.coalesce(F.max("drafts"), F.lit(0)).alias("largest")).crossJoin(F.broadcast(first)).select("drafts", "families", "largest", F.round(F.col("top") / F.col("drafts"), 9).alias("top_share"))
 
 
 def audit_sample(rows: DataFrame, per: int = 3) -> DataFrame:
-    """The first error of each family, then at most ``per`` by class."""
-    wrong = rows.where(argmax(F.col("probabilities")) != F.col("label"))
-    one = wrong.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy("id"))).where("r = 1")
-    return one.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= per).select("id", "family", "label", "r")
+    """The first sure error of each family and class in a population, then at most ``per`` by population and class."""
+    w = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("fold", "review_id"))
+    one = rows.where("sure_wrong").withColumn("r", w("population", "label", "family")).where("r = 1")
+    return one.withColumn("r", w("population", "label")).where(F.col("r") <= per).select("review_id", "family", "population", "label", "r")
+
+
+def errors_with_source(rows: DataFrame) -> DataFrame:
+    """Wrong rows in the order of reports, each with the product and fold of its family's original."""
+    source = rows.where("population = 'original'").select(F.col("review_id").alias("family"), F.col("product_id").alias("source_product"), F.col("fold").alias("source_fold"))
+    return rows.where("wrong").join(source, "family", "left").select("population", "fold", "review_id", "family", "source_product", "source_fold", "prediction", F.round("confidence", 9).alias("confidence")).orderBy("population", "fold", "review_id")
 
 
 def feature_table(reviews: DataFrame, oof: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -27,19 +55,6 @@ def feature_table(reviews: DataFrame, oof: DataFrame, similarity: DataFrame) ->
     return reviews.join(oof, "review_id").join(similarity, "review_id", "left").select("review_id", "product_id", *p, F.coalesce("best_score", F.lit(0.0)).alias("dim5"), ((F.col("star_rating") - 1) / 4).alias("dim6"))
 
 
-def feature_violations(features: DataFrame) -> DataFrame:
-    """Rows that break a rule of the feature table, by rule."""
-    dims = [F.col(f"dim{i}") for i in range(1, 7)]
-    bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
-    finite = F.lit(False)
-    for d in dims:
-        finite = finite | d.isNull() | F.isnan(d) | (F.abs(d) == float("inf"))
-    total = sum(dims[1:4], dims[0])
-    return features.agg(
-        bad(finite).alias("not_finite"), bad(F.abs(total - 1) > 1e-5).alias("chances_not_one"), bad(F.least(*dims[:4]) < 0).alias("negative_chance"), bad(F.abs(dims[4]) > 1.00001).alias("similarity_range"), bad(~dims[5].between(0, 1)).alias("star_range")
-    )
-
-
 def feature_distribution(features: DataFrame, by: str) -> DataFrame:
     """Share of rows without image similarity and means, by class."""
     return features.groupBy(by).agg(
@@ -50,10 +65,11 @@ def feature_distribution(features: DataFrame, by: str) -> DataFrame:
 def fingerprint(df: DataFrame, key: str) -> DataFrame:
     """One row: a digest of all rows that depends on neither their order nor their partitions.
 
-    Rows are hashed and hashes added up in four 60-bit lanes, so no task holds the table.
+    Rows (values as text, columns by name) are hashed and hashes added up in four 60-bit lanes, so no
+    task holds the table. The key makes rows distinct, so what moves between rows shows.
     """
-    row = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(df.columns)])), 256)
-    lanes = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    row = F.sha2(F.concat_ws("\u001f", F.col(key).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]), 256)
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
     return df.select(row.alias("h")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", *lanes), 256).alias("fingerprint"))
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder in ``spark.checkpoint.dir``; a temporary one only in local mode, where all tasks see it."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="reviewspark-")
     sc.setCheckpointDir(folder)
     return folder
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Returns ``node, component``.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").checkpoint()
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     pairs = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     nodes = nodes.checkpoint()

@@ -35,7 +35,8 @@ def class_metrics(df: DataFrame, by: tuple[str, ...] = (), k: int = 4) -> DataFr
 
 def macro(df: DataFrame, by: tuple[str, ...] = (), k: int = 4) -> DataFrame:
     """Accuracy and plain means over the fixed label list."""
-    m = class_metrics(df, by, k).groupBy(*by).agg(*[F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    some = F.sum("support") > 0  # of no rows there are no means
+    m = class_metrics(df, by, k).groupBy(*by).agg(*[F.when(some, F.round(F.avg(c), 6)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
     a = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((F.col("actual") == F.col("pred")).cast("int")), 9).alias("accuracy"))
     return a.join(m, list(by)) if by else a.crossJoin(m)
 
@@ -50,6 +51,14 @@ def multilabel(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return s.select(*by, "label", "tp", "fp", "fn", "tn", F.round(prec, 9).alias("precision"), F.round(rec, 9).alias("recall"), F.round(f1, 9).alias("f1"))
 
 
+def multilabel_report(df: DataFrame, by: str) -> DataFrame:
+    """Counts and F1 of each label over all rows (``by`` null) and for each ``by``, in one pass over ``id, label, truth, pred``."""
+    t, p = F.col("truth") == 1, F.col("pred") == 1
+    n = lambda c, name: F.count_if(c).alias(name)
+    s = df.groupingSets([[F.col("label")], [F.col(by), F.col("label")]], F.col(by), F.col("label")).agg(n(t & p, "tp"), n(~t & p, "fp"), n(t & ~p, "fn"))
+    return s.withColumn("f1", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 9))
+
+
 def multilabel_summary(df: DataFrame) -> DataFrame:
     """Macro means, micro F1 and the share of rows with all labels right."""
     per = multilabel(df)
@@ -59,10 +68,19 @@ def multilabel_summary(df: DataFrame) -> DataFrame:
     return m.crossJoin(exact)
 
 
-def threshold_search(df: DataFrame, candidates: list[float]) -> DataFrame:
-    """The candidate with the best macro F1 over labels of ``label, truth, p``; ties to the nearest of 0.5, then the least."""
+def threshold_search(df: DataFrame, candidates: list[float], fallback: str | None = None) -> DataFrame:
+    """The candidate with the best macro F1 over labels of ``label, truth, p``; ties to the nearest of 0.5, then the least.
+
+    With ``fallback`` (the column that names an instance), one none of whose chances reaches the candidate
+    takes its first greatest label.
+    """
     spark = df.sparkSession
     t = spark.createDataFrame([(float(c),) for c in candidates], "threshold double")
-    per = multilabel(df.crossJoin(F.broadcast(t)).withColumn("pred", (F.col("p") >= F.col("threshold")).cast("int")), ("threshold",))
+    pick = F.col("p") >= F.col("threshold")
+    if fallback:
+        best = df.groupBy(fallback).agg(F.max(F.struct("p", (-F.col("label")).alias("back"))).alias("best"))
+        df = df.join(best, fallback)
+        pick = pick | ((F.col("best.p") < F.col("threshold")) & (F.col("label") == -F.col("best.back")))
+    per = multilabel(df.crossJoin(F.broadcast(t)).withColumn("pred", pick.cast("int")), ("threshold",))
     f = per.groupBy("threshold").agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
     return f.orderBy(F.desc("macro_f1"), F.round(F.abs(F.col("threshold") - 0.5), 9), "threshold").limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.functions.text import Lexicon
@@ -51,6 +51,37 @@ def families(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("doc_id").alias("id"), (F.floor(F.col("doc_id") / 3) * 3).cast("long").alias("family")).select("id", "family", (F.col("family") % 4).cast("int").alias("label"))
 
 
+def assigned(rows: DataFrame) -> DataFrame:
+    """Reviews with a stated ``partition`` and ``fold``: by product number, so that shared texts leak."""
+    pn = F.substring("product_id", 2, 20).try_cast("bigint") % 20  # null for a product of another kind
+    name = F.when(pn < 14, "train").when(pn < 17, "validation").otherwise("test")
+    return rows.withColumn("partition", name).withColumn("fold", F.when(pn < 14, pn % 5).otherwise(-1).cast("int"))
+
+
+def broken_split(rows: DataFrame) -> DataFrame:
+    """The stated split with some reviews left out, some stated twice and some moved to test."""
+    a, d = assigned(rows), F.col("doc_id")
+    moved = F.when(d % 101 == 0, "test").otherwise(F.col("partition"))
+    first = a.where(d % 97 != 0).select("review_id", "product_id", moved.alias("partition"), "fold")
+    return first.union(a.where(d % 89 == 0).select("review_id", "product_id", "partition", "fold"))
+
+
+def chances(d: Column | str = "doc_id") -> Column:
+    """Chances of four classes: tenths by the id."""
+    d = F.col(d) if isinstance(d, str) else d
+    return F.array(*[((d * 3 + i) % 4 + 1) / 10.0 for i in range(4)])
+
+
+def out_of_fold(rows: DataFrame) -> DataFrame:
+    """Out-of-fold predictions of training reviews, some of which break rules."""
+    a, d = assigned(rows).where("partition = 'train'"), F.col("doc_id")
+    fold = F.when(d % 59 == 0, (F.col("fold") + 1) % 5).otherwise(F.col("fold"))
+    source = F.when(d % 61 == 0, "final_text_model").otherwise(F.concat(F.lit("oof_fold_"), fold.cast("string")))
+    p = F.when(d % 67 == 0, F.array(F.lit(0.9), F.lit(0.9), F.lit(0.0), F.lit(0.0))).otherwise(chances())
+    one = a.where(d % 53 != 0).select("review_id", F.when(d % 71 == 0, "elsewhere").otherwise(F.col("product_id")).alias("product_id"), fold.cast("int").alias("fold"), source.alias("probability_source"), p.alias("probabilities"))
+    return one.union(a.where(d % 73 == 0).select("review_id", "product_id", "fold", F.concat(F.lit("oof_fold_"), F.col("fold").cast("string")), chances()))
+
+
 #: The same relation for DuckDB.
 SQL = """
 WITH num AS (SELECT greatest(40, count(*) // 5) AS n FROM documents),
@@ -69,5 +100,11 @@ predicted AS (
   FROM (SELECT review_id, doc_id, doc_id % 10 AS a FROM reviews UNION ALL SELECT review_id, doc_id, (doc_id * 3 + 1) % 10 FROM reviews WHERE doc_id % 7 <> 0)),
 fam AS (SELECT doc_id AS id, (doc_id // 3) * 3 AS family, (((doc_id // 3) * 3) % 4)::INT AS label FROM documents),
 aspects AS (SELECT unnest(range(10))::INT AS aspect),
-four AS (SELECT unnest(range(4))::INT AS label)
+four AS (SELECT unnest(range(4))::INT AS label),
+assigned AS (SELECT *, CASE WHEN pn < 14 THEN 'train' WHEN pn < 17 THEN 'validation' ELSE 'test' END AS part, (CASE WHEN pn < 14 THEN pn % 5 ELSE -1 END)::INT AS fold FROM (SELECT *, substr(product_id, 2)::BIGINT % 20 AS pn FROM reviews)),
+split AS (SELECT review_id, product_id, CASE WHEN doc_id % 101 = 0 THEN 'test' ELSE part END AS part, fold FROM assigned WHERE doc_id % 97 <> 0 UNION ALL SELECT review_id, product_id, part, fold FROM assigned WHERE doc_id % 89 = 0),
+oof AS (SELECT review_id, CASE WHEN doc_id % 71 = 0 THEN 'elsewhere' ELSE product_id END AS product_id, f AS fold, CASE WHEN doc_id % 61 = 0 THEN 'final_text_model' ELSE 'oof_fold_' || f END AS source, doc_id % 67 = 0 AS bad,
+    CASE WHEN doc_id % 67 = 0 THEN [0.9, 0.9, 0.0, 0.0] ELSE [((doc_id * 3) % 4 + 1) / 10.0, ((doc_id * 3 + 1) % 4 + 1) / 10.0, ((doc_id * 3 + 2) % 4 + 1) / 10.0, ((doc_id * 3 + 3) % 4 + 1) / 10.0] END AS p
+  FROM (SELECT *, (CASE WHEN doc_id % 59 = 0 THEN (fold + 1) % 5 ELSE fold END)::INT AS f FROM assigned WHERE part = 'train') WHERE doc_id % 53 <> 0
+  UNION ALL SELECT review_id, product_id, fold, 'oof_fold_' || fold, false, [((doc_id * 3) % 4 + 1) / 10.0, ((doc_id * 3 + 1) % 4 + 1) / 10.0, ((doc_id * 3 + 2) % 4 + 1) / 10.0, ((doc_id * 3 + 3) % 4 + 1) / 10.0] FROM assigned WHERE part = 'train' AND doc_id % 73 = 0)
 """

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewspark.functions import contract as C
 from reviewspark.functions import text as T
-from reviewspark.operators import ablation, audit, augment, metrics, splits, summary, views, weights
+from reviewspark.operators import ablation, audit, augment, metrics, provenance, splits, summary, views, weights
 from reviewspark.plans import relation as R
 from reviewspark.sources import reviews as S
 from reviewspark.streaming import scans
@@ -82,9 +82,9 @@ def aspect_rollup(r: DataFrame) -> DataFrame:
     return summary.aspect_rollup(as_predicted(r), R.predicted_pairs(r))
 
 
-@on_reviews("quality_counts_zero_filled", "SELECT f.label, ['authentic', 'deceptive', 'liv', 'irrelevant'][f.label + 1] AS class, count(r.pred) AS n FROM four f LEFT JOIN reviews r ON r.pred = f.label AND r.doc_id % 4 <> 3 GROUP BY 1")
+@on_reviews("quality_counts_zero_filled", "SELECT f.label, ['authentic', 'deceptive', 'liv', 'irrelevant'][f.label + 1] AS class, count(r.pred) AS n FROM four f LEFT JOIN reviews r ON r.pred = f.label GROUP BY 1")
 def quality_counts(r: DataFrame) -> DataFrame:
-    return summary.quality_counts(as_predicted(r.where("doc_id % 4 <> 3")))
+    return summary.quality_counts(as_predicted(r))
 
 
 _RAW_LABELS = ("authentic", " Deceptive", "vague", "low-value", "3", "2.0", "1.5", "nan", "-1", "irrelevant ", "", "other")
@@ -343,17 +343,17 @@ def gold_category_sentiment(r: DataFrame) -> DataFrame:
     return metrics.multilabel(rows.select(F.concat_ws(":", "review_id", "aspect").alias("id"), "label", (F.col("sentiment") == F.col("label")).cast("int").alias("truth"), F.coalesce((F.col("guess") == F.col("label")).cast("int"), F.lit(0)).alias("pred")))
 
 
-def _search(top: int, shift: int) -> str:
-    return f""", x AS (SELECT r.doc_id, k.a AS label, ((r.doc_id + k.a) % {top} = 0)::INT AS truth, (((r.doc_id * 7 + k.a * {shift}) % 10) / 20.0 + (CASE WHEN (r.doc_id + k.a) % {top} = 0 THEN 0.35 ELSE 0 END))::DOUBLE AS p FROM reviews r CROSS JOIN (SELECT unnest(range({top}))::INT AS a) k),
+def _search(top: int, shift: int, lift: float = 0.35) -> str:
+    return f""", x AS (SELECT r.doc_id, k.a AS label, ((r.doc_id + k.a) % {top} = 0)::INT AS truth, (((r.doc_id * 7 + k.a * {shift}) % 10) / 20.0 + (CASE WHEN (r.doc_id + k.a) % {top} = 0 THEN {lift} ELSE 0 END))::DOUBLE AS p FROM reviews r CROSS JOIN (SELECT unnest(range({top}))::INT AS a) k),
     t AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold),
     s AS (SELECT threshold, label, count(*) FILTER (truth = 1 AND p >= threshold) AS tp, count(*) FILTER ((truth = 1) <> (p >= threshold)) AS er FROM x CROSS JOIN t GROUP BY 1, 2)
     SELECT threshold, round(avg(round(CASE WHEN 2 * tp + er = 0 THEN 0 ELSE 2 * tp / (2 * tp + er) END, 9)), 6) AS macro_f1 FROM s GROUP BY 1 ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold LIMIT 1"""
 
 
-def _scored(r: DataFrame, top: int, shift: int) -> DataFrame:
+def _scored(r: DataFrame, top: int, shift: int, lift: float = 0.35) -> DataFrame:
     k = r.sparkSession.range(top).select(F.col("id").cast("int").alias("label"))
     hit = (F.col("doc_id") + F.col("label")) % top == 0
-    p = ((F.col("doc_id") * 7 + F.col("label") * shift) % 10) / 20.0 + F.when(hit, 0.35).otherwise(0.0)
+    p = ((F.col("doc_id") * 7 + F.col("label") * shift) % 10) / 20.0 + F.when(hit, lift).otherwise(0.0)
     return r.select("doc_id").crossJoin(F.broadcast(k)).select("doc_id", "label", hit.cast("int").alias("truth"), p.alias("p"))
 
 
@@ -362,9 +362,20 @@ def detection_threshold(r: DataFrame) -> DataFrame:
     return metrics.threshold_search(_scored(r, 10, 3), THRESHOLDS)
 
 
-@on_reviews("sentiment_threshold", _search(3, 5))
+_PICK = _search(3, 5, 0.15).replace("p >= threshold", "pick").replace("FROM x CROSS JOIN t GROUP BY 1, 2)", "FROM (SELECT *, p >= threshold OR (top < threshold AND label = best) AS pick FROM (SELECT *, max(p) OVER (PARTITION BY doc_id) AS top, arg_max(label, (p, -label)) OVER (PARTITION BY doc_id) AS best FROM x) CROSS JOIN t) GROUP BY 1, 2)")
+
+
+@on_reviews("sentiment_threshold", _PICK)
 def sentiment_threshold(r: DataFrame) -> DataFrame:
-    return metrics.threshold_search(_scored(r, 3, 5), THRESHOLDS)
+    return metrics.threshold_search(_scored(r, 3, 5, 0.15), THRESHOLDS, fallback="doc_id")
+
+
+BASELINE_THRESHOLDS = [0.1 + i * 0.05 for i in range(17)]  # as they come, not rounded
+
+
+@on_reviews("baseline_thresholds", _PICK.replace(str(THRESHOLDS), str(BASELINE_THRESHOLDS)).replace("SELECT threshold, round(avg", "SELECT round(threshold, 12) AS sentiment, round(avg").replace("GROUP BY 1 ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold", "GROUP BY threshold ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold"))
+def baseline_thresholds(r: DataFrame) -> DataFrame:
+    return metrics.threshold_search(_scored(r, 3, 5, 0.15), BASELINE_THRESHOLDS, fallback="doc_id").select(F.round("threshold", 12).alias("sentiment"), "macro_f1")
 
 
 def _score_cte(name: str, pairs: str, gate: str) -> str:
@@ -432,23 +443,46 @@ SQL["product_components"] = _COMP
 
 @on_reviews("split_assignment")
 def split_assignment(r: DataFrame) -> DataFrame:
-    return splits.assign(r)
-
-
-@on_reviews("split_violations", "SELECT unnest(['coverage', 'assigned_once', 'fold_range', 'product_partition', 'product_fold', 'text_partition', 'text_fold']) AS rule, 0::BIGINT AS n")
+    return splits.assign(r.withColumn("label", F.col("truth")))
+
+
+@on_reviews("split_search_checks", "SELECT unnest(['coverage', 'assigned_once', 'fold_range', 'product_partition', 'product_fold', 'text_partition', 'text_fold', 'empty_partition', 'empty_fold', 'class_without_rows', 'share_off_by_tenth']) AS rule, 0::BIGINT AS n")
+def split_search_checks(r: DataFrame) -> DataFrame:
+    """What a searched split must keep: no rule is broken, every part holds every class, and shares are near those asked for."""
+    split = splits.assign(r.withColumn("label", F.col("truth"))).checkpoint()
+    sized = split.join(r.select("review_id", "truth"), "review_id").groupBy("partition", "truth").agg(F.count("*").alias("n"))
+    missing = sized.agg((F.lit(12) - F.count("*")).alias("n")).select(F.lit("class_without_rows").alias("rule"), "n")
+    share = sized.groupBy("partition").agg(F.sum("n").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    want = F.when(F.col("partition") == "train", 0.7).otherwise(0.15)
+    off = share.agg(F.count_if(F.abs(F.col("share") - want) > 0.1).alias("n")).select(F.lit("share_off_by_tenth").alias("rule"), "n")
+    return splits.violations(r, split).union(missing).union(off)
+
+
+_VIOLATIONS = f"""
+, k AS (SELECT review_id, product_id, {_KEY} AS k FROM reviews), j AS (SELECT coalesce(k.product_id, s.product_id) AS product_id, k.k, s.part, s.fold FROM k FULL JOIN split s ON s.review_id = k.review_id AND s.product_id = k.product_id)
+SELECT 'coverage' AS rule, count(*) AS n FROM j WHERE part IS NULL OR k IS NULL
+UNION ALL SELECT 'assigned_once', count(*) FROM (SELECT review_id FROM split GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'fold_range', count(*) FROM split WHERE CASE WHEN part = 'train' THEN fold NOT BETWEEN 0 AND 4 ELSE fold <> -1 END
+UNION ALL SELECT 'product_partition', count(*) FROM (SELECT product_id FROM j GROUP BY 1 HAVING count(DISTINCT part) > 1)
+UNION ALL SELECT 'product_fold', count(*) FROM (SELECT product_id FROM j WHERE part = 'train' GROUP BY 1 HAVING count(DISTINCT fold) > 1)
+UNION ALL SELECT 'text_partition', count(*) FROM (SELECT k FROM j GROUP BY 1 HAVING count(DISTINCT part) > 1)
+UNION ALL SELECT 'text_fold', count(*) FROM (SELECT k FROM j WHERE part = 'train' GROUP BY 1 HAVING count(DISTINCT fold) > 1)
+UNION ALL SELECT 'empty_partition', 3 - count(DISTINCT part) FROM split UNION ALL SELECT 'empty_fold', 5 - count(DISTINCT fold) FROM split WHERE part = 'train'"""
+
+
+@on_reviews("split_violations", _VIOLATIONS)
 def split_violations(r: DataFrame) -> DataFrame:
-    return splits.violations(r, splits.assign(r))
+    """A stated split of which rows were left out, repeated and moved."""
+    return splits.violations(r, R.broken_split(r))
 
 
-@on_reviews("split_counts", "SELECT (doc_id % 3)::INT AS part, count(*) AS reviews, count(DISTINCT product_id) AS products FROM reviews GROUP BY 1")
+@on_reviews("split_counts", "SELECT part, count(*) AS reviews, count(DISTINCT product_id) AS products FROM assigned GROUP BY 1")
 def split_counts(r: DataFrame) -> DataFrame:
-    return r.groupBy((F.col("doc_id") % 3).cast("int").alias("part")).agg(F.count("*").alias("reviews"), F.count_distinct("product_id").alias("products"))
+    return R.assigned(r).groupBy(F.col("partition").alias("part")).agg(F.count("*").alias("reviews"), F.count_distinct("product_id").alias("products"))
 
 
 def oof(r: DataFrame) -> DataFrame:
-    """Chances of four classes: tenths by the id."""
-    d = F.col("doc_id")
-    return r.select("review_id", F.array(((d * 3) % 4 + 1) / 10.0, ((d * 3 + 1) % 4 + 1) / 10.0, ((d * 3 + 2) % 4 + 1) / 10.0, ((d * 3 + 3) % 4 + 1) / 10.0).alias("probabilities"))
+    return r.select("review_id", R.chances().alias("probabilities"))
 
 
 def similarity(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
@@ -481,9 +515,96 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return audit.feature_table(r, oof(r), similarity(spark, d, r))
 
 
-@query("feature_violations", "SELECT 0::BIGINT AS not_finite, 0::BIGINT AS chances_not_one, 0::BIGINT AS negative_chance, 0::BIGINT AS similarity_range, 0::BIGINT AS star_range")
+_DIM = [f"((doc_id * 3 + {i}) % 4 + 1) / 10.0::DOUBLE" for i in range(4)]
+_BROKEN = f""", feats AS (SELECT review_id, product_id, part, fold, CASE WHEN doc_id % 103 = 0 THEN 9 ELSE truth END AS ground_truth, CASE WHEN doc_id % 107 = 0 THEN 'other' WHEN part = 'train' THEN 'oof_fold_' || fold ELSE 'final_text_model' END AS source,
+  (CASE WHEN doc_id % 71 = 0 THEN -0.1 ELSE {_DIM[0]} END)::DOUBLE AS d1, (CASE WHEN doc_id % 73 = 0 THEN 'nan' ELSE {_DIM[1]} END)::DOUBLE AS d2, ({_DIM[2]})::DOUBLE AS d3, ({_DIM[3]})::DOUBLE AS d4, (CASE WHEN doc_id % 79 = 0 THEN 1.5 ELSE coalesce(best_score, 0) END)::DOUBLE AS d5, (CASE WHEN doc_id % 83 = 0 THEN 2 ELSE (star_rating - 1) / 4 END)::DOUBLE AS d6
+  FROM assigned LEFT JOIN sim USING (review_id) WHERE (part <> 'test' OR doc_id % 113 = 0) AND doc_id % 97 <> 0),
+ex AS (SELECT review_id, product_id, part, fold, truth FROM assigned WHERE part <> 'test'), jn AS (SELECT f.*, ex.truth FROM feats f LEFT JOIN ex USING (review_id, product_id, part, fold))"""
+
+
+def broken_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A feature table of training and validation reviews with rows that break rules, and the reviews it belongs to."""
+    r = R.reviews(spark, d)
+    a, k = R.assigned(r), F.col("doc_id")
+    f = audit.feature_table(r, oof(r), similarity(spark, d, r)).drop("product_id").join(a, "review_id").where(((F.col("partition") != "test") | (k % 113 == 0)) & (k % 97 != 0))
+    source = F.when(k % 107 == 0, "other").when(F.col("partition") == "train", F.concat(F.lit("oof_fold_"), F.col("fold").cast("string"))).otherwise("final_text_model")
+    swap = {"dim1": (71, -0.1), "dim2": (73, float("nan")), "dim5": (79, 1.5), "dim6": (83, 2.0)}
+    f = f.withColumns({c: F.when(k % m == 0, F.lit(v)).otherwise(F.col(c)) for c, (m, v) in swap.items()})
+    return f.select("review_id", "product_id", "partition", "fold", F.when(k % 103 == 0, 9).otherwise(F.col("truth")).alias("ground_truth"), source.alias("probability_source"), *[f"dim{i}" for i in range(1, 7)]), a
+
+
+@query(
+    "feature_violations",
+    _SIM
+    + _BROKEN
+    + """ SELECT count(*) FILTER (truth IS NULL) AS not_expected, count(*) FILTER (ground_truth <> truth) AS label_differs, count(*) FILTER (source <> CASE WHEN part = 'train' THEN 'oof_fold_' || fold ELSE 'final_text_model' END) AS other_source,
+    count(*) FILTER (isnan(d2)) AS not_finite, count(*) FILTER (NOT isnan(d2) AND abs(d1 + d2 + d3 + d4 - 1) > 1e-5) AS chances_not_one, count(*) FILTER (NOT isnan(d2) AND least(d1, d2, d3, d4) < 0) AS negative_chance, count(*) FILTER (abs(d5) > 1.00001) AS similarity_range,
+    count(*) FILTER (d6 NOT BETWEEN 0 AND 1) AS star_range, (SELECT count(*) FROM ex ANTI JOIN feats USING (review_id)) AS not_covered FROM jn""",
+)
 def feature_violations(spark: SparkSession, d: str) -> DataFrame:
-    return audit.feature_violations(feature_table(spark, d))
+    return provenance.feature_violations(*broken_features(spark, d))
+
+
+@on_reviews("oof_join", "SELECT a.review_id, a.fold, round(list_max(o.p), 9) AS best FROM assigned a JOIN oof o ON o.review_id = a.review_id AND o.product_id = a.product_id AND o.fold = a.fold WHERE a.part = 'train'")
+def oof_join(r: DataFrame) -> DataFrame:
+    return provenance.training_oof(R.assigned(r), R.out_of_fold(r)).select("review_id", "fold", F.round(F.array_max("probabilities"), 9).alias("best"))
+
+
+@on_reviews(
+    "oof_violations",
+    """, t AS (SELECT review_id, product_id AS tp, fold AS tf FROM assigned WHERE part = 'train'), c AS (SELECT review_id, count(*) AS c FROM oof GROUP BY 1), j AS (SELECT o.*, tp, tf, c FROM oof o LEFT JOIN t USING (review_id) JOIN c USING (review_id))
+    SELECT count(*) FILTER (tp IS NULL) AS not_in_training, count(*) FILTER (c > 1) AS repeated, count(*) FILTER (product_id <> tp) AS other_product, count(*) FILTER (fold <> tf) AS other_fold, count(*) FILTER (source <> 'oof_fold_' || fold) AS other_source, count(*) FILTER (bad) AS bad_chances,
+    (SELECT count(*) FROM t ANTI JOIN oof USING (review_id)) AS not_predicted FROM j""",
+)
+def oof_violations(r: DataFrame) -> DataFrame:
+    return provenance.oof_violations(R.out_of_fold(r), R.assigned(r))
+
+
+_SIDES = ", sides AS (SELECT k AS fold, CASE WHEN a.fold = k THEN 'held' ELSE 'fit' END AS side, review_id, product_id, doc_id FROM assigned a CROSS JOIN (SELECT unnest(range(5))::INT AS k) WHERE part = 'train')"
+
+
+def _number(c: str = "review_id") -> Column:
+    return F.substring_index(c, "_", -1).cast("bigint")
+
+
+@on_reviews("oof_cohorts", _SIDES + ", st AS (SELECT fold, side, review_id FROM sides WHERE doc_id % 61 <> 0 UNION ALL SELECT 0, 'fit', review_id FROM assigned WHERE part = 'test' AND doc_id % 67 = 0) SELECT coalesce(e.fold, s.fold) AS fold, coalesce(e.side, s.side) AS side, count(*) FILTER (s.review_id IS NULL) AS missing, count(*) FILTER (e.review_id IS NULL) AS extra FROM sides e FULL JOIN st s ON s.fold = e.fold AND s.side = e.side AND s.review_id = e.review_id GROUP BY 1, 2")
+def oof_cohorts(r: DataFrame) -> DataFrame:
+    """Reviews that folds state they were fitted on and held out, some missing and some from test, against the split."""
+    a = R.assigned(r)
+    sides = provenance.fold_sides(a)
+    stated = sides.where(_number() % 61 != 0).select("fold", "side", "review_id").union(a.where("partition = 'test' and doc_id % 67 = 0").select(F.lit(0), F.lit("fit"), "review_id"))
+    return provenance.set_differences(stated, sides, ["fold", "side"], "review_id")
+
+
+@on_reviews("fold_overlap", _SIDES + ", m AS (SELECT fold, CASE WHEN doc_id % 41 = 0 THEN 'held' ELSE side END AS side, product_id FROM sides) SELECT fold, count(*) FILTER (k > 1) AS shared FROM (SELECT fold, product_id, count(DISTINCT side) AS k FROM m GROUP BY 1, 2) GROUP BY 1")
+def fold_overlap(r: DataFrame) -> DataFrame:
+    """Products that stand on both sides of a fold once some reviews are moved."""
+    sides = provenance.fold_sides(R.assigned(r))
+    return provenance.fold_overlap(sides.withColumn("side", F.when(_number() % 41 == 0, "held").otherwise(F.col("side"))))
+
+
+@on_reviews("bundle_cohorts", """, e AS (SELECT unnest(CASE WHEN truth = 0 THEN ['text', 'booster', 'aspects'] ELSE ['text', 'booster'] END) AS model, CASE WHEN part = 'train' THEN 'fit' ELSE 'validation' END AS side, review_id, doc_id FROM assigned WHERE part <> 'test'),
+  s AS (SELECT model, side, review_id FROM e WHERE NOT (model = 'booster' AND doc_id % 31 = 0) UNION ALL SELECT 'aspects', 'fit', review_id FROM assigned WHERE part = 'train' AND truth = 2 AND doc_id % 5 = 0)
+  SELECT coalesce(e.model, s.model) AS model, coalesce(e.side, s.side) AS side, count(*) FILTER (s.review_id IS NULL) AS missing, count(*) FILTER (e.review_id IS NULL) AS extra FROM e FULL JOIN s ON s.model = e.model AND s.side = e.side AND s.review_id = e.review_id GROUP BY 1, 2""")
+def bundle_cohorts(r: DataFrame) -> DataFrame:
+    """Reviews that three models state, against those they must have been fitted on and validated by."""
+    a = R.assigned(r)
+    expected = provenance.cohorts(a)
+    stated = expected.where(~((F.col("model") == "booster") & (_number() % 31 == 0))).union(a.where("partition = 'train' and truth = 2 and doc_id % 5 = 0").select(F.lit("aspects"), F.lit("fit"), "review_id"))
+    return provenance.set_differences(stated, expected, ["model", "side"], "review_id")
+
+
+@on_reviews("settings_difference", ", a AS (SELECT label::VARCHAR AS name, count(*)::VARCHAR AS value FROM (SELECT truth AS label FROM reviews) GROUP BY 1), b AS (SELECT label::VARCHAR AS name, count(*)::VARCHAR AS value FROM (SELECT pred AS label FROM reviews) WHERE label <> 3 GROUP BY 1) SELECT coalesce(a.name, b.name) AS name, a.value AS a, b.value AS b FROM a FULL JOIN b USING (name) WHERE a.value IS DISTINCT FROM b.value")
+def settings_difference(r: DataFrame) -> DataFrame:
+    """Class counts as the settings of two runs, one of which lacks a class."""
+    side = lambda c, keep: r.where(keep).groupBy(F.col(c).cast("string").alias("name")).agg(F.count("*").cast("string").alias("value"))
+    return provenance.settings_difference(side("truth", "true"), side("pred", "pred <> 3"))
+
+
+@on_reviews("challenge_overlap", ", t AS (SELECT DISTINCT lower(review_text) AS k FROM assigned WHERE part = 'train') SELECT review_id FROM assigned WHERE part = 'test' AND lower(review_text) IN (SELECT k FROM t)")
+def challenge_overlap(r: DataFrame) -> DataFrame:
+    a = R.assigned(r)
+    return provenance.text_overlap(a.where("partition = 'test'"), a.where("partition = 'train'")).select("review_id")
 
 
 @query("feature_distribution", _SIM + " SELECT truth, count(*) AS n, round(avg((coalesce(best_score, 0) = 0)::INT), 9) AS zero_share, round(avg(coalesce(best_score, 0)), 6) AS mean_similarity, round(avg((star_rating - 1) / 4), 9) AS mean_star, 0.4::DOUBLE AS mean_best FROM reviews LEFT JOIN sim USING (review_id) GROUP BY 1")
@@ -500,19 +621,46 @@ for _name, _fn, _sql in (
     on_reviews(_name, _sql)(lambda r, f=_fn: f(R.families(r)))
 
 
-@on_reviews("source_families", ", w AS (SELECT family, (list_position(p, list_max(p)) - 1) <> label AS wrong FROM (SELECT family, label, [((id * 3) % 4 + 1) / 10.0, ((id * 3 + 1) % 4 + 1) / 10.0, ((id * 3 + 2) % 4 + 1) / 10.0, ((id * 3 + 3) % 4 + 1) / 10.0] AS p FROM fam)) SELECT family, count(*) AS rows, count(*) FILTER (wrong) AS errors, 0::BIGINT AS sure_errors FROM w GROUP BY 1")
+def judged_oof(r: DataFrame) -> DataFrame:
+    """Training reviews with chances, every third of which counts as a draft of the one before it."""
+    d, a = F.col("doc_id"), R.assigned(r)
+    first = F.concat(F.lit("review_"), (F.floor(d / 3) * 3).cast("string"))
+    sure = F.transform(R.chances(), lambda x: F.when(d % 2 == 0, F.when(x > 0.35, 0.85).otherwise(0.05)).otherwise(x))
+    rows = a.where("partition = 'train'").withColumns({"source_review_id": F.when(d % 3 == 0, "").otherwise(first), "probabilities": sure, "label": F.col("pred"), "ground_truth": F.col("truth")})
+    return audit.judged(rows.select("review_id", "product_id", "fold", "source_review_id", "probabilities", "label", "ground_truth"))
+
+
+_JUDGED = """, ch AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'original' ELSE 'synthetic' END AS population, 'review_' || ((doc_id // 3) * 3) AS family, [((doc_id * 3) % 4 + 1) / 10.0, ((doc_id * 3 + 1) % 4 + 1) / 10.0, ((doc_id * 3 + 2) % 4 + 1) / 10.0, ((doc_id * 3 + 3) % 4 + 1) / 10.0] AS p FROM assigned WHERE part = 'train'),
+jd AS (SELECT review_id, product_id, fold, population, family, pred AS label, truth, (list_position(p, list_max(p)) - 1)::INT AS prediction, (CASE WHEN doc_id % 2 = 0 THEN 0.85 ELSE list_max(p) END)::DOUBLE AS confidence, list_position(p, list_max(p)) - 1 <> pred AS wrong, list_position(p, list_max(p)) - 1 <> pred AND doc_id % 2 = 0 AS sure_wrong FROM ch)
+"""
+
+
+@on_reviews("oof_error_summary", _JUDGED + "SELECT fold, population, count(*) AS n, count(*) FILTER (wrong) AS errors, count(*) FILTER (sure_wrong) AS sure_errors, count(*) FILTER (label <> truth) AS targets_differ FROM jd GROUP BY GROUPING SETS ((), (population), (fold, population))")
+def oof_error_summary(r: DataFrame) -> DataFrame:
+    return audit.error_summary(judged_oof(r))
+
+
+_FAM = _JUDGED + ", f AS (SELECT family, count(*) FILTER (population = 'synthetic') AS drafts, count(*) AS rows, count(*) FILTER (population = 'synthetic' AND wrong) AS errors, count(*) FILTER (population = 'synthetic' AND sure_wrong) AS sure_errors FROM jd GROUP BY 1 HAVING count(*) FILTER (population = 'synthetic') > 0) "
+
+
+@on_reviews("source_families", _FAM + "SELECT * FROM f")
 def source_families(r: DataFrame) -> DataFrame:
-    return audit.family_errors(_judged_families(r))
+    return audit.family_errors(judged_oof(r))
 
 
-def _judged_families(r: DataFrame) -> DataFrame:
-    p = oof(r).select(F.substring_index("review_id", "_", -1).cast("bigint").alias("id"), "probabilities")
-    return R.families(r).join(p, "id")
+@on_reviews("source_concentration", _FAM + "SELECT sum(drafts)::BIGINT AS drafts, count(*) AS families, max(drafts) AS largest, round((SELECT sum(drafts) FROM (SELECT drafts FROM f ORDER BY drafts DESC, family LIMIT 5)) / sum(drafts), 9) AS top_share FROM f")
+def source_concentration(r: DataFrame) -> DataFrame:
+    return audit.concentration(audit.family_errors(judged_oof(r)))
 
 
-@on_reviews("audit_sample", ", w AS (SELECT id, family, label, (list_position(p, list_max(p)) - 1) <> label AS wrong FROM (SELECT id, family, label, [((id * 3) % 4 + 1) / 10.0, ((id * 3 + 1) % 4 + 1) / 10.0, ((id * 3 + 2) % 4 + 1) / 10.0, ((id * 3 + 3) % 4 + 1) / 10.0] AS p FROM fam)), o AS (SELECT family, label, min(id) AS id FROM w WHERE wrong GROUP BY 1, 2) SELECT * FROM (SELECT id, family, label, row_number() OVER (PARTITION BY label ORDER BY id)::INT AS r FROM o) WHERE r <= 3")
+@on_reviews("audit_sample", _JUDGED + ", o AS (SELECT *, row_number() OVER (PARTITION BY population, label, family ORDER BY fold, review_id) AS a FROM jd WHERE sure_wrong), q AS (SELECT review_id, family, population, label, row_number() OVER (PARTITION BY population, label ORDER BY fold, review_id)::INT AS r FROM o WHERE a = 1) SELECT * FROM q WHERE r <= 3")
 def audit_sample(r: DataFrame) -> DataFrame:
-    return audit.audit_sample(_judged_families(r))
+    return audit.audit_sample(judged_oof(r))
+
+
+@on_reviews("oof_errors", _JUDGED + "SELECT a.population, a.fold, a.review_id, a.family, s.product_id AS source_product, s.fold AS source_fold, a.prediction, round(a.confidence, 9) AS confidence FROM jd a LEFT JOIN jd s ON s.review_id = a.family AND s.population = 'original' WHERE a.wrong")
+def oof_errors(r: DataFrame) -> DataFrame:
+    return audit.errors_with_source(judged_oof(r))
 
 
 def drafts(r: DataFrame) -> DataFrame:
@@ -568,7 +716,10 @@ def paraphrase_variants(r: DataFrame) -> DataFrame:
     return augment.paraphrase(r, {"the": ["this", "that"], "and": ["plus"], "de": ["du", "des"]}).select("review_id", F.sha2("variant", 256).alias("digest"))
 
 
-@on_reviews("dataset_fingerprint")
+_LANES = ", ':', ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@on_reviews("dataset_fingerprint", f"SELECT count(*) AS n, sha256(concat({_LANES})) AS fingerprint FROM (SELECT sha256(concat(review_id, chr(31), product_id, chr(31), review_id, chr(31), review_text, chr(31), star_rating)) AS h FROM reviews)")
 def dataset_fingerprint(r: DataFrame) -> DataFrame:
     return audit.fingerprint(r.select("review_id", "product_id", "review_text", "star_rating"), "review_id")
 
