@@ -43,6 +43,17 @@ def by_aspect(pairs: DataFrame) -> DataFrame:
     )
 
 
+def counts(pairs: DataFrame) -> DataFrame:
+    """By aspect: products, and of these those with a truth, paired, excluded, or missing a side; and the mean improvement."""
+    t, f, u = (F.col(c).isNotNull() for c in ("truth_score", "filtered", "unfiltered"))
+    own = F.col("eligible")
+    n = lambda c, name: F.count_if(c).alias(name)
+    return pairs.groupBy("aspect").agg(
+        F.count("*").alias("products"), n(t, "with_truth"), n(own, "paired"), n(t & ~own, "excluded"), n(~t, "without_truth"), n(t & ~f, "missing_filtered"), n(t & ~u, "missing_unfiltered"), n(~t & f, "filtered_without_truth"), n(~t & u, "unfiltered_without_truth"),
+        F.round(F.avg(F.when(own, F.col("improvement"))), 6).alias("improvement"),
+    )
+
+
 def overall(pairs: DataFrame) -> DataFrame:
     """Pooled means over eligible pairs and means over the aspects that have any."""
     own = F.col("eligible")
