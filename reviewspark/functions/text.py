@@ -33,34 +33,52 @@ DEFAULT = Lexicon(
 )
 
 
-def word_hits(lowered: Column, terms: tuple[str, ...]) -> Column:
-    """How many of the terms occur as whole words."""
-    hit = lambda t: lowered.rlike(rf"(^|[^a-zà-ž0-9])\Q{t}\E($|[^a-zà-ž0-9])").cast("int")
-    return sum((hit(t) for t in terms), F.lit(0))
+# Fixed value: what a word of the classifier consists of.
+TOKEN = "([a-zà-ž0-9]+)"
+
+
+def word_hits(lowered: Column, terms: tuple[str, ...], tokens: Column | None = None) -> Column:
+    """How many of the terms occur as whole words. Terms of one word are looked up among the tokens, all at once."""
+    tokens = F.regexp_extract_all(lowered, F.lit(TOKEN), 1) if tokens is None else tokens
+    single = [t for t in terms if " " not in t]
+    found = F.size(F.array_intersect(tokens, F.array(*map(F.lit, single)))) if single else F.lit(0)
+    phrase = lambda t: F.coalesce(lowered.rlike(rf"(^|[^a-zà-ž0-9])\Q{t}\E($|[^a-zà-ž0-9])"), F.lit(False)).cast("int")
+    return sum((phrase(t) for t in terms if " " in t), F.greatest(found, F.lit(0)))
 
 
 def classify(text: Column, rating: Column, words: Lexicon) -> Column:
-    """The rule ladder of the page's own classifier: struct of label, sentiment, tokens and hits."""
-    low = F.lower(F.trim(text))
-    tokens = F.size(F.regexp_extract_all(low, F.lit("([a-zà-ž0-9]+)"), 1))
-    pos, neg, delivery, product = (word_hits(low, w) for w in (words.positive, words.negative, words.delivery, words.product))
-    generic = F.lit(False)
-    for g in words.generic:
-        generic = generic | (low == g) | (low == g + "!") | ((tokens <= 6) & low.contains(g))
-    label = (
-        F.when(F.coalesce(low, F.lit("")) == "", "unavailable")
-        .when((tokens <= 4) | (F.length(low) < 24) | generic, "liv")
-        .when((delivery > 0) & (product == 0) & (tokens < words.delivery_tokens), "irrelevant")
-        .when(((rating >= 4) & (neg > pos)) | ((rating <= 2) & (pos > neg)), "deceptive")
-        .otherwise("authentic")
-    )
-    mood = F.when(F.coalesce(low, F.lit("")) == "", F.lit(None)).when(pos == neg, "neutral").when(pos > neg, "positive").otherwise("negative")
-    return F.struct(label.alias("label"), mood.alias("sentiment"), tokens.alias("tokens"), pos.alias("pos"), neg.alias("neg"))
+    """The rule ladder of the page's own classifier: struct of label, sentiment, tokens and hits.
+
+    Text is cut into tokens once, and hits are counted once for all rules that ask for them.
+    """
+    low = F.coalesce(F.lower(F.trim(text)), F.lit(""))
+    cut = F.array(F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(TOKEN), 1).alias("tokens")))
+    hits = F.transform(cut, lambda x: F.struct(x["low"].alias("low"), F.size(x["tokens"]).alias("n"), *[word_hits(x["low"], w, x["tokens"]).alias(k) for k, w in (("pos", words.positive), ("neg", words.negative), ("delivery", words.delivery), ("product", words.product))]))
+
+    def judge(h: Column) -> Column:
+        generic = F.lit(False)
+        for g in words.generic:
+            generic = generic | (h["low"] == g) | (h["low"] == g + "!") | ((h["n"] <= 6) & h["low"].contains(g))
+        label = (
+            F.when(h["low"] == "", "unavailable")
+            .when((h["n"] <= 4) | (F.length(h["low"]) < 24) | generic, "liv")
+            .when((h["delivery"] > 0) & (h["product"] == 0) & (h["n"] < words.delivery_tokens), "irrelevant")
+            .when(((rating >= 4) & (h["neg"] > h["pos"])) | ((rating <= 2) & (h["pos"] > h["neg"])), "deceptive")
+            .otherwise("authentic")
+        )
+        mood = F.when(h["low"] == "", F.lit(None)).when(h["pos"] == h["neg"], "neutral").when(h["pos"] > h["neg"], "positive").otherwise("negative")
+        return F.struct(label.alias("label"), mood.alias("sentiment"), h["n"].alias("tokens"), h["pos"].alias("pos"), h["neg"].alias("neg"))
+
+    return F.transform(hits, judge)[0]
+
+
+# Fixed value: where sentences end.
+SENTENCE_END = r"(?<=[.!?…])\s+|\n+"
 
 
 def sentences(c: Column) -> Column:
     """Pieces cut at white space after an end mark, and at line ends."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?…])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def evidence_segments(c: Column) -> Column:

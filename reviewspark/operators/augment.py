@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewspark.functions.contract import map_quality, text_key
+from reviewspark.functions.contract import annotation_pairs, map_quality, text_key
 
 # The columns of a draft and their domains.
 COLUMNS = ("review_id", "source_review_id", "review_text", "text_label", "ground_truth", "aspect_annotations", "image_mode", "image_source_review_id", "augmentation_method", "review_status", "reviewed_by", "review_notes")
@@ -22,18 +22,43 @@ def check_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in COLUMNS])
 
 
+def image_scopes(reviews: DataFrame) -> DataFrame:
+    """``url, scopes, scope``: in how many parts and folds an address occurs, and one of them (``image_urls`` is an array)."""
+    each = reviews.select(F.explode("image_urls").alias("url"), F.concat_ws("/", "partition", F.col("fold").cast("string")).alias("scope")).distinct()
+    return each.groupBy("url").agg(F.count("*").alias("scopes"), F.min("scope").alias("scope"))
+
+
+def shared_images(reviews: DataFrame) -> DataFrame:
+    """Reviews one of whose addresses occurs in another fold or part too."""
+    wide = image_scopes(reviews).where("scopes > 1")
+    return reviews.select("review_id", F.explode("image_urls").alias("url")).join(wide, "url", "left_semi").select("review_id").distinct()
+
+
 def draft_violations(drafts: DataFrame, reviews: DataFrame) -> DataFrame:
     """``review_id, reasons``: the rules that each draft breaks (only drafts that break one).
 
-    ``reviews``: review_id, review_text, label, text_label, partition, fold.
+    ``reviews``: review_id, review_text, label, text_label, partition, fold; with ``aspect_annotations``
+    evidence and pairs are judged, with ``image_urls`` the images that a draft would use.
     """
-    source = reviews.select(F.col("review_id").alias("source_review_id"), F.lit(True).alias("s_found"), F.col("review_text").alias("s_text"), F.col("label").alias("s_label"), F.col("text_label").alias("s_text_label"), F.col("partition").alias("s_part"), F.col("fold").alias("s_fold"))
-    donor = reviews.select(F.col("review_id").alias("image_source_review_id"), F.lit(True).alias("d_found"), F.col("fold").alias("d_fold"), F.col("partition").alias("d_part"))
+    has = set(reviews.columns)
+    none = F.lit(None).cast("string")
+    notes = F.col("aspect_annotations") if "aspect_annotations" in has else none
+    shared = shared_images(reviews).withColumn("wide", F.lit(True)) if "image_urls" in has else None
+    facts = reviews.select("review_id", "review_text", "label", "text_label", "partition", "fold", notes.alias("notes"), (F.size("image_urls") if "image_urls" in has else F.lit(1)).alias("images"))
+    facts = facts.join(shared, "review_id", "left") if shared is not None else facts.withColumn("wide", F.lit(False))
+    source = facts.select(F.col("review_id").alias("source_review_id"), F.lit(True).alias("s_found"), F.col("label").alias("s_label"), F.col("text_label").alias("s_text_label"), F.col("partition").alias("s_part"), F.col("fold").alias("s_fold"), F.col("review_text").alias("s_text"), F.col("notes").alias("s_notes"))
+    donor = facts.select(F.col("review_id").alias("image_of"), F.lit(True).alias("d_found"), F.col("fold").alias("d_fold"), F.col("partition").alias("d_part"), F.col("images").alias("d_images"), F.coalesce("wide", F.lit(False)).alias("d_wide"))
+    key = lambda c: F.sha2(text_key(F.col(c)), 256)
+    known = reviews.select(key("review_text").alias("k")).distinct().withColumn("k_known", F.lit(True))
     same = reviews.select("review_id", F.lit(True).alias("taken"))
     twice = drafts.groupBy("review_id").count().where("count > 1").select("review_id", F.lit(True).alias("twice"))
-    j = drafts.join(source, "source_review_id", "left").join(donor, "image_source_review_id", "left").join(same, "review_id", "left").join(twice, "review_id", "left")
+    mode, method, giver = F.col("image_mode"), F.col("augmentation_method"), F.col("image_source_review_id")
+    image_of = F.when(mode == "source", F.col("source_review_id")).when(mode == "donor", giver)
+    j = drafts.withColumns({"image_of": image_of, "k": key("review_text")})
+    j = j.join(source, "source_review_id", "left").join(donor, "image_of", "left").join(same, "review_id", "left").join(twice, "review_id", "left").join(known, "k", "left")
     is_ = lambda c: F.coalesce(c, F.lit(False))
-    found, mode, method = is_(F.col("s_found")), F.col("image_mode"), F.col("augmentation_method")
+    found, d_found, mismatch = is_(F.col("s_found")), is_(F.col("d_found")), method == "controlled_image_mismatch"
+    pairs, before = annotation_pairs(F.col("aspect_annotations"), F.col("review_text"), exact=True), annotation_pairs(F.col("s_notes"), F.col("s_text"))
     rules: list[tuple[str, Column]] = [
         ("blank_id", F.col("review_id") == ""),
         ("duplicate_id", is_(F.col("twice"))),
@@ -45,14 +70,21 @@ def draft_violations(drafts: DataFrame, reviews: DataFrame) -> DataFrame:
         ("source_not_in_train", found & ~is_(F.col("s_part") == "train")),
         ("unsigned_approval", (F.col("review_status") == "approved") & ((F.col("reviewed_by") == "") | (F.col("review_notes") == ""))),
         ("blank_text", F.col("review_text") == ""),
-        ("text_unchanged", found & (method == "paraphrase") & (text_key(F.col("review_text")) == text_key(F.col("s_text")))),
-        ("label_changed", found & (method == "paraphrase") & ~is_(map_quality(F.col("ground_truth")) == F.col("s_label"))),
+        ("text_known", (F.col("review_text") != "") & is_(F.col("k_known"))),
+        ("label_changed", found & ~is_(map_quality(F.col("ground_truth")) == F.col("s_label"))),
         ("text_label_changed", found & ~is_(map_quality(F.col("text_label")) == F.col("s_text_label"))),
-        ("mismatch_without_donor", (method == "controlled_image_mismatch") & (mode != "donor")),
-        ("mismatch_label", (method == "controlled_image_mismatch") & ~is_(map_quality(F.col("ground_truth")).isin(1, 3))),
-        ("missing_donor", (mode == "donor") & ~is_(F.col("d_found"))),
-        ("donor_other_fold", (mode == "donor") & is_(F.col("d_found")) & ~(is_(F.col("d_fold") == F.col("s_fold")) & is_(F.col("d_part") == "train"))),
-        ("donor_without_mode", (mode != "donor") & (F.col("image_source_review_id") != "")),
+        ("mismatch_without_donor", mismatch & (mode != "donor")),
+        ("mismatch_label", mismatch & ~is_(F.col("s_label").isin(1, 3))),
+        ("bad_evidence", pairs.isNull()),
+        ("pairs_changed", found & is_(F.col("s_label") == 0) & F.col("s_notes").isNotNull() & pairs.isNotNull() & ~pairs.eqNullSafe(before)),
+        ("donor_without_mode", (mode == "none") & (giver != "")),
+        ("source_mode_with_other", (mode == "source") & (giver != "") & (giver != F.col("source_review_id"))),
+        ("donor_without_mismatch", (mode == "donor") & ~mismatch),
+        ("missing_donor", (mode == "donor") & ~d_found),
+        ("donor_is_source", (mode == "donor") & (giver == F.col("source_review_id"))),
+        ("donor_other_fold", d_found & found & ~(is_(F.col("d_fold") == F.col("s_fold")) & is_(F.col("d_part") == "train"))),
+        ("no_images", d_found & is_(F.col("d_images") == 0)),
+        ("image_in_other_scope", d_found & is_(F.col("d_wide"))),
     ]
     return j.select("review_id", F.array_compact(F.array(*[F.when(c, r) for r, c in rules])).alias("reasons")).where(F.size("reasons") > 0)
 
@@ -72,7 +104,8 @@ def diverse_sources(rows: DataFrame, limit: int) -> DataFrame:
     """The first sources, round robin over folds and in each over products."""
     r = F.row_number().over(Window.partitionBy("fold", "product_id").orderBy("review_id"))
     i = F.row_number().over(Window.partitionBy("fold").orderBy("r", "product_id"))
-    return rows.withColumn("r", r).withColumn("i", i).orderBy("i", "fold").limit(limit).select("review_id", "product_id", "fold", F.col("i").alias("turn"))
+    few = rows.withColumn("r", r).where(F.col("r") <= limit)  # no product gives more than all of them
+    return few.withColumn("i", i).where(F.col("i") <= limit).orderBy("i", "fold").limit(limit).select("review_id", "product_id", "fold", F.col("i").alias("turn"))
 
 
 def balance(rows: DataFrame) -> DataFrame:

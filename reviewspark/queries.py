@@ -663,34 +663,67 @@ def oof_errors(r: DataFrame) -> DataFrame:
     return audit.errors_with_source(judged_oof(r))
 
 
+_NOTES = ('[{"category":"value","text":"new","sentiment":"positive"}]', "[]", '[{"category":"value","text":"absent here","sentiment":"neutral"}]', '[{"category":"value","text":"new","sentiment":"Positive"}]', '[{"category":"cost","text":"new","sentiment":"positive"}]', '[{"category":"value","text":"new","sentiment":"positive","x":1}]')
+
+
 def drafts(r: DataFrame) -> DataFrame:
-    """A draft of every fourth review, some of which break rules."""
-    d = F.col("doc_id")
+    """A draft of every fourth review; each rule is broken by some."""
+    d, a = F.col("doc_id"), R.assigned(r)
     name = F.element_at(F.array(*map(F.lit, C.CLASSES)), F.col("truth") + 1)
-    return r.where("doc_id % 4 = 0").select(
-        F.when(d % 40 == 0, F.col("review_id")).otherwise(F.concat(F.lit("draft_"), d.cast("string"))).alias("review_id"),
-        F.when(d % 28 == 0, "nowhere").otherwise(F.col("review_id")).alias("source_review_id"),
-        F.when(d % 12 == 0, F.col("review_text")).otherwise(F.concat(F.lit("new "), F.col("review_text"))).alias("review_text"),
-        name.alias("text_label"), F.when(d % 20 == 0, "liv").otherwise(name).alias("ground_truth"), F.lit("[]").alias("aspect_annotations"), F.lit("source").alias("image_mode"), F.lit("").alias("image_source_review_id"), F.lit("paraphrase").alias("augmentation_method"),
-        F.element_at(F.array(F.lit("approved"), F.lit("pending"), F.lit("rejected")), ((d / 4).cast("int") % 3 + 1)).alias("review_status"), F.when(d % 36 == 0, "").otherwise("someone").alias("reviewed_by"), F.lit("read").alias("review_notes"),
+    ident = F.when(d % 40 == 0, F.col("review_id")).when(d % 132 == 0, "").when(d % 124 == 0, "draft_twice").otherwise(F.concat(F.lit("draft_"), d.cast("string")))
+    mode = F.when(d % 44 == 0, "other").otherwise(F.element_at(F.array(F.lit("source"), F.lit("none"), F.lit("donor")), ((d / 4).cast("int") % 3 + 1)))
+    giver = F.when(d % 3 == 2, F.when(d % 52 == 0, "gone").when(d % 68 == 0, F.col("review_id")).otherwise(F.concat(F.lit("review_"), (d + 100).cast("string")))).when(d % 76 == 0, "review_1").otherwise("")
+    return a.where("doc_id % 4 = 0").select(
+        ident.alias("review_id"), F.when(d % 28 == 0, "nowhere").otherwise(F.col("review_id")).alias("source_review_id"), F.when(d % 12 == 0, F.when(d % 24 == 0, F.col("review_text")).otherwise("")).otherwise(F.concat(F.lit("new "), F.col("review_text"))).alias("review_text"),
+        F.when(d % 60 == 4, "liv").otherwise(name).alias("text_label"), F.when(d % 20 == 0, "liv").otherwise(name).alias("ground_truth"), F.element_at(F.array(*map(F.lit, _NOTES)), ((d / 4).cast("int") % 6 + 1)).alias("aspect_annotations"), mode.alias("image_mode"), giver.alias("image_source_review_id"),
+        F.when(d % 92 == 0, "other").when((d / 4).cast("int") % 2 == 0, "paraphrase").otherwise("controlled_image_mismatch").alias("augmentation_method"),
+        F.when(d % 116 == 0, "other").otherwise(F.element_at(F.array(F.lit("approved"), F.lit("pending"), F.lit("rejected")), ((d / 4).cast("int") % 3 + 1))).alias("review_status"), F.when(d % 36 == 0, "").otherwise("someone").alias("reviewed_by"), F.lit("read").alias("review_notes"),
     )
 
 
 def _originals(r: DataFrame) -> DataFrame:
-    return r.select("review_id", "product_id", "review_text", F.col("truth").alias("label"), F.col("truth").alias("text_label"), F.lit("train").alias("partition"), (F.col("doc_id") % 5).cast("int").alias("fold"))
+    return r.select("doc_id", "review_id", "product_id", "review_text", F.col("truth").alias("label"), F.col("truth").alias("text_label"), F.lit("train").alias("partition"), (F.col("doc_id") % 5).cast("int").alias("fold"))
+
+
+def draft_sources(r: DataFrame) -> DataFrame:
+    """Originals as drafts are judged against: with annotations of two kinds and images of which some are shared."""
+    d = F.col("doc_id")
+    note = F.when(d % 8 == 0, _NOTES[0].replace('"new"', '"x"')).otherwise("[]")
+    urls = F.when(d % 16 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("i"), F.when(d % 10 == 4, d % 30).otherwise(d).cast("string"))))
+    return R.assigned(r).select("review_id", "product_id", "review_text", F.col("truth").alias("label"), F.col("truth").alias("text_label"), "partition", "fold", note.alias("aspect_annotations"), urls.alias("image_urls"))
+
+
+_DRAFTS = r""", so AS (SELECT doc_id, review_id, product_id, review_text, truth, part, fold, CASE WHEN doc_id % 8 = 0 THEN '6/2' ELSE '' END AS pairs, CASE WHEN doc_id % 16 = 0 THEN NULL ELSE 'i' || CASE WHEN doc_id % 10 = 4 THEN doc_id % 30 ELSE doc_id END END AS url FROM assigned),
+sc AS (SELECT url, count(DISTINCT part || '/' || fold) AS k FROM so WHERE url IS NOT NULL GROUP BY 1),
+dr AS (SELECT doc_id, truth, CASE WHEN doc_id % 40 = 0 THEN review_id WHEN doc_id % 132 = 0 THEN '' WHEN doc_id % 124 = 0 THEN 'draft_twice' ELSE 'draft_' || doc_id END AS id, CASE WHEN doc_id % 28 = 0 THEN 'nowhere' ELSE review_id END AS source, trim(CASE WHEN doc_id % 12 = 0 THEN CASE WHEN doc_id % 24 = 0 THEN review_text ELSE '' END ELSE 'new ' || review_text END) AS txt,
+  CASE WHEN doc_id % 60 = 4 THEN 2 ELSE truth END AS tl, CASE WHEN doc_id % 20 = 0 THEN 2 ELSE truth END AS gt, (doc_id // 4) % 6 AS nk, CASE WHEN doc_id % 44 = 0 THEN 'other' ELSE ['source', 'none', 'donor'][(doc_id // 4) % 3 + 1] END AS mode,
+  CASE WHEN doc_id % 3 = 2 THEN CASE WHEN doc_id % 52 = 0 THEN 'gone' WHEN doc_id % 68 = 0 THEN review_id ELSE 'review_' || (doc_id + 100) END WHEN doc_id % 76 = 0 THEN 'review_1' ELSE '' END AS giver, CASE WHEN doc_id % 92 = 0 THEN 'other' WHEN (doc_id // 4) % 2 = 0 THEN 'paraphrase' ELSE 'controlled_image_mismatch' END AS method,
+  CASE WHEN doc_id % 116 = 0 THEN 'other' ELSE ['approved', 'pending', 'rejected'][(doc_id // 4) % 3 + 1] END AS status, CASE WHEN doc_id % 36 = 0 THEN '' ELSE 'someone' END AS signed FROM assigned WHERE doc_id % 4 = 0),
+jd AS (SELECT d.*, s.review_id IS NOT NULL AS fnd, s.truth AS s_label, s.part AS s_part, s.fold AS s_fold, s.pairs AS s_pairs, g.review_id IS NOT NULL AS dfnd, g.part AS g_part, g.fold AS g_fold, g.url AS g_url, coalesce(sc.k, 0) AS g_k, count(*) OVER (PARTITION BY d.id) AS again,
+  lower(trim(regexp_replace(d.txt, '\s+', ' ', 'g'))) IN (SELECT lower(trim(regexp_replace(review_text, '\s+', ' ', 'g'))) FROM assigned) AS kn, d.id IN (SELECT review_id FROM assigned) AS taken, CASE nk WHEN 0 THEN CASE WHEN contains(d.txt, 'new') THEN '6/2' END WHEN 1 THEN '' END AS pr
+  FROM dr d LEFT JOIN so s ON s.review_id = d.source LEFT JOIN so g ON g.review_id = CASE d.mode WHEN 'source' THEN d.source WHEN 'donor' THEN d.giver END LEFT JOIN sc ON sc.url = g.url)"""
 
 
 @on_reviews(
     "augmentation_violations",
-    r"""SELECT CASE WHEN doc_id % 40 = 0 THEN review_id ELSE 'draft_' || doc_id END AS review_id, array_to_string(r, ',') AS reasons FROM (SELECT doc_id, review_id, list_filter([
-    CASE WHEN doc_id % 40 = 0 THEN 'id_of_original' END, CASE WHEN doc_id % 28 = 0 THEN 'missing_source' END, CASE WHEN (doc_id // 4) % 3 = 0 AND doc_id % 36 = 0 THEN 'unsigned_approval' END,
-    CASE WHEN doc_id % 28 <> 0 AND doc_id % 12 = 0 THEN 'text_unchanged' END, CASE WHEN doc_id % 28 <> 0 AND doc_id % 20 = 0 AND truth <> 2 THEN 'label_changed' END], lambda x: x IS NOT NULL) AS r FROM reviews WHERE doc_id % 4 = 0) WHERE len(r) > 0""",
+    _DRAFTS
+    + """ SELECT review_id, reasons FROM (SELECT doc_id, id AS review_id, array_to_string(list_filter([CASE WHEN id = '' THEN 'blank_id' END, CASE WHEN again > 1 THEN 'duplicate_id' END, CASE WHEN taken THEN 'id_of_original' END, CASE WHEN status = 'other' THEN 'unknown_status' END, CASE WHEN method = 'other' THEN 'unknown_method' END, CASE WHEN mode = 'other' THEN 'unknown_image_mode' END,
+    CASE WHEN NOT fnd THEN 'missing_source' END, CASE WHEN fnd AND s_part <> 'train' THEN 'source_not_in_train' END, CASE WHEN status = 'approved' AND signed = '' THEN 'unsigned_approval' END, CASE WHEN txt = '' THEN 'blank_text' END, CASE WHEN txt <> '' AND kn THEN 'text_known' END, CASE WHEN fnd AND gt <> s_label THEN 'label_changed' END, CASE WHEN fnd AND tl <> s_label THEN 'text_label_changed' END,
+    CASE WHEN method = 'controlled_image_mismatch' AND mode <> 'donor' THEN 'mismatch_without_donor' END, CASE WHEN method = 'controlled_image_mismatch' AND NOT coalesce(s_label IN (1, 3), false) THEN 'mismatch_label' END, CASE WHEN pr IS NULL THEN 'bad_evidence' END, CASE WHEN fnd AND s_label = 0 AND pr IS NOT NULL AND pr <> s_pairs THEN 'pairs_changed' END, CASE WHEN mode = 'none' AND giver <> '' THEN 'donor_without_mode' END,
+    CASE WHEN mode = 'source' AND giver <> '' AND giver <> source THEN 'source_mode_with_other' END, CASE WHEN mode = 'donor' AND method <> 'controlled_image_mismatch' THEN 'donor_without_mismatch' END, CASE WHEN mode = 'donor' AND NOT dfnd THEN 'missing_donor' END, CASE WHEN mode = 'donor' AND giver = source THEN 'donor_is_source' END, CASE WHEN dfnd AND fnd AND NOT (g_fold = s_fold AND g_part = 'train') THEN 'donor_other_fold' END,
+    CASE WHEN dfnd AND g_url IS NULL THEN 'no_images' END, CASE WHEN dfnd AND g_k > 1 THEN 'image_in_other_scope' END], lambda x: x IS NOT NULL), ',') AS reasons FROM jd) WHERE reasons <> ''""",
 )
 def augmentation_violations(r: DataFrame) -> DataFrame:
-    return augment.draft_violations(augment.check_columns(drafts(r)), _originals(r)).select("review_id", F.array_join("reasons", ",").alias("reasons"))
+    return augment.draft_violations(augment.check_columns(drafts(r)), draft_sources(r)).select("review_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@on_reviews("draft_rule_counts", SQL["augmentation_violations"][len(R.SQL):].replace("SELECT review_id, reasons FROM", "SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS rule FROM", 1) + ") GROUP BY 1")
+def draft_rule_counts(r: DataFrame) -> DataFrame:
+    found = augment.draft_violations(augment.check_columns(drafts(r)), draft_sources(r))
+    return found.select(F.explode("reasons").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@on_reviews("augmented_union", "SELECT review_id, '' AS source_review_id FROM reviews UNION ALL SELECT CASE WHEN doc_id % 40 = 0 THEN review_id ELSE 'draft_' || doc_id END, CASE WHEN doc_id % 28 = 0 THEN 'nowhere' ELSE review_id END FROM reviews WHERE doc_id % 4 = 0 AND (doc_id // 4) % 3 = 0")
+@on_reviews("augmented_union", _DRAFTS + " SELECT review_id, '' AS source_review_id FROM reviews UNION ALL SELECT id, source FROM dr WHERE status = 'approved'")
 def augmented_union(r: DataFrame) -> DataFrame:
     return augment.augmented(r.select("review_id", "review_text"), drafts(r)).select("review_id", "source_review_id")
 
