@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewspark.operators.graph import ensure_checkpoint_dir
 
-#: Rows that one Arrow batch holds, so that whole texts stay small next to a worker's memory.
+#: Rows of whole texts that a worker turns into Python objects at once; Spark itself bounds the bytes of an Arrow batch.
 ARROW_ROWS = 500
+#: Steps that a range of keys is cut into at once.
+CELLS = 4096
 #: The characters that end a word in the contracts: space and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -20,29 +25,92 @@ MULT = np.uint64(6364136223846793005)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, read in small Arrow batches from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written since ``scratch`` was entered, innermost last.
+_written: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: lineage ends and rows are fixed."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function that turns columns (as lists) into columns, one batch at a time."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                out = fn({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Names the folders that ``materialise`` writes meanwhile, for ``forget`` once nothing reads them any more."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        _written.pop()
+
+
+def forget(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of intermediate tables."""
+    for f in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(it: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for b in it:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def range_cuts(df: DataFrame, key: str, parts: int, weight: Column | None = None) -> list[int]:
+    """Ascending keys that cut an integer column into ranges of about equal weight (rows, if none is given).
+
+    Exact weights of ``CELLS`` or more equal steps of the key come to the driver; steps that hold more than a
+    range's weight are cut again. The cuts depend on the rows alone, not on how they are stored; a key
+    that holds more than a range by itself is not cut.
+    """
+    cells = max(CELLS, 8 * parts)
+    rows = df.select(F.col(key).cast("long").alias("k"), (F.lit(1) if weight is None else weight).cast("long").alias("w")).where("k is not null")
+    low, high, total = rows.agg(F.min("k"), F.max("k"), F.sum("w")).first()
+    if parts < 2 or low is None:
+        return []
+    share = max(1, total // parts)
+
+    def weights(a: int, b: int) -> list[tuple[int, int, int]]:
+        step = -(-(b - a + 1) // cells)
+        cell = F.expr(f"(cast(k as decimal(20, 0)) - cast('{a}' as decimal(20, 0))) div cast('{step}' as decimal(20, 0))")
+        found = rows.where(F.col("k").between(a, b)).groupBy(cell.alias("c")).agg(F.sum("w").alias("w")).orderBy("c").collect()
+        out = []
+        for r in found:
+            lo = a + r["c"] * step
+            hi = min(b, lo + step - 1)
+            out += weights(lo, hi) if r["w"] > share and hi > lo else [(lo, hi, r["w"])]
+        return out
+
+    cuts, held = [], 0
+    for lo, _, w in weights(low, high):
+        if held and held + w > share:
+            cuts.append(lo)
+            held = 0
+        held += w
+    return cuts
+
+
+def range_of(key: str, cuts: list[int]) -> Column:
+    """Number of the range that a key falls in (null: the first), looked up in Arrow batches."""
+    at = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def look(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, k.to_numpy(np.int64), side="right").astype(np.int32))
+
+    least = F.lit(-(2**63))
+    return look(F.coalesce(F.col(key).cast("long"), least)) if cuts else F.lit(0)
 
 
 def text_bytes(s: str | None) -> bytes:
