@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import table
+from reviewspark.llm.common import sliced, table
 
 #: Each byte is written as this character plus its value, so that every piece is plain text.
 BASE = 0x4E00
@@ -155,13 +155,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     """Ids of every whole text.
 
     Returns the columns ``keep``, ``n_tokens`` and ``ids`` (binary: little-endian unsigned 32-bit
-    integers). A null or empty text has no ids. Other columns are ignored, repeated rows stay.
+    integers). A null or empty text has no ids. Other columns are ignored,
+    repeated rows stay, an empty table gives no rows.
     """
     schema = df.select(*keep).schema.add("n_tokens", "long").add("ids", "binary")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern)
-        for b in it:
+        for b in sliced(it):
             texts = b.column(b.num_columns - 1).to_pylist()
             ids = [x for some in rounds([len(t or "") for t in texts]) for x in codec.encode_all(texts[some])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
@@ -175,7 +176,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern)
-        for b in it:
+        for b in sliced(it):
             held = b.column(b.num_columns - 1).to_pylist()
             out = [x for some in rounds([len(h or b"") for h in held]) for x in codec.decode_all([h or b"" for h in held[some]])]
             out = [None if h is None else x for h, x in zip(held, out, strict=True)]
@@ -185,7 +186,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode all documents, decode the ids again and return digests of both."""
+    """Encode all documents, decode the ids again and return digests of both. See ``encode``."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import table, text_bytes
+from reviewspark.llm.common import sliced, table, text_bytes
 
 #: Bytes that stand before the first of a text, so that it has contexts too.
 PAD = b"\n\n\n"
@@ -118,7 +118,8 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """Count byte contexts for each language on a bounded sample of the labelled rows of ``df``.
 
     ``docs_per_language`` (documented bound) is the expected number of whole documents taken for each
-    language, by a hash of the key; languages with fewer give all. Null languages and texts give none.
+    language, by a hash of the key; languages with fewer give all. Null languages and texts give none,
+    nor does an empty table; repeated rows count as often as they occur; other columns have no part.
     """
     labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -129,7 +130,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in it:
+        for b in sliced(it):
             by: dict[str, list[np.ndarray]] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(k, []).append(grams(text_bytes(t)))
@@ -151,6 +152,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     ``und`` with score 0 where the text is null or has no letter, or where no language was learned.
     The score is the posterior share of the best language at equal priors; ties go to the first name.
+    Repeated rows are predicted alike, an empty table gives no rows, other columns have no part.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
@@ -160,7 +162,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
         m, letter = shared.value, regex.compile(r"\p{L}")
         rows = m.rows()
-        for b in it:
+        for b in sliced(it):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             named = [bool(m.langs and t and letter.search(t)) for t in texts]
             cost = m.score([text_bytes(t) if ok else b"" for t, ok in zip(texts, named, strict=True)], rows)
@@ -175,7 +177,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learn from three quarters of the labelled documents, predict all."""
+    """Learn from three quarters of the labelled documents, predict all. See ``train`` and ``predict``."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     out = predict(docs, train(docs.where(~F.coalesce(held_out, F.lit(False)))))

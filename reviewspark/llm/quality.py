@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes
+from reviewspark.llm.common import LOWER, mix, prefix_hash, sliced, span_hash, table, table_of_bytes, text_bytes
 
 BUCKETS = 1 << 20
 LEVELS = 8
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame | None, max_docs: int = 8000) -> Sc
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in it:
+        for b in sliced(it):
             raw = [text_bytes(t) for t in b.column(1).to_pylist()]
             doc, feat, stats = features(raw)
             order = np.argsort(doc, kind="stable")
@@ -208,13 +208,14 @@ def train(docs: DataFrame, labels: DataFrame | None, max_docs: int = 8000) -> Sc
 def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``quality_score`` (1 less the chance of "bad") of every whole text, and whether it is over a half (``accepted``).
 
-    A null text counts as empty. Repeated rows are scored alike; other columns are ignored.
+    A null text counts as empty, a null id stays null. Repeated rows are scored alike; an empty table
+    gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = docs.select(*keep).schema.add("quality_score", "double").add("accepted", "boolean")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             good = 1 - shared.value.bad([text_bytes(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(good), pa.array(good > 0.5)], names=schema.names)
 
@@ -222,6 +223,6 @@ def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score all documents with a model of the labelled ones."""
+    """Score all documents with a model of the labelled ones. See ``train`` and ``score``."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
