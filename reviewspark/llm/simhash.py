@@ -7,16 +7,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, materialise, table, text_bytes
+from reviewspark.llm.common import LOWER, materialise, sliced, table, text_bytes
 from reviewspark.operators.graph import connected_components
 
-#: Fingerprints compared in one go; larger groups are cut into tiles, and each two tiles are a unit of work.
-TILE = 2048
-#: The same where rows meet by size alone: larger, since each row is sent to every tile of its group.
-WIDE_TILE = 32768
+#: Fingerprints of a tile: larger groups are cut, and each two tiles near enough are a unit of work.
+TILE = 16384
+#: Texts of a tile where shingle sets are compared.
+SET_TILE = 2048
+#: Tiled counts that are sent to all tasks, and parts that a hot group is met in beyond that.
+FEW, SALTS = 100_000, 64
 #: Rows of a tile that meet the others at once.
 STRIP = 256
 #: Bits that two sets of at most so many shingles may differ in besides the radius: few hashes give coarse majorities.
@@ -58,7 +60,7 @@ def fingerprints(df: DataFrame, words: int = 4, wide: bool = False, key: str = "
     schema = df.select(key).schema.add("fp0", "long").add("fp1", "long").add("size", "long")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             fps = np.zeros((b.num_rows, 2), np.uint64)
             sizes = []
             for i, t in enumerate(b.column(1)):
@@ -134,29 +136,56 @@ def block_keys(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - radius)]
 
 
+def hot_tiles(keyed: DataFrame) -> DataFrame:
+    """For groups of more than a tile's rows: ``kind, key, pop``, the tiles of that population count and what each meets.
+
+    The rows of a group are cut into tiles along their population counts, a count with more than a
+    tile's rows into several. ``first`` and ``tiles`` number the tiles of a count; ``meets`` holds
+    for each of them the tiles whose counts are within the radius.
+    """
+    n = keyed.groupBy("kind", "key", "pop", "reach").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("kind", "key")
+    n = n.withColumn("total", F.sum("n").over(group)).where(F.col("total") > TILE)
+    upto = F.sum("n").over(group.orderBy("pop"))
+    cut = n.select("kind", "key", "pop", "reach", F.floor((upto - F.col("n")) / TILE).cast("int").alias("first"), F.floor((upto - 1) / TILE).cast("int").alias("last"))
+    each = cut.select("kind", "key", "pop", F.explode(F.sequence("first", "last")).alias("tile"))
+    span = each.groupBy("kind", "key", "tile").agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"))
+    other = span.select("kind", "key", F.col("tile").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # A tile's row takes part wherever its own count, not just its tile's, is near enough.
+    near = cut.join(other, ["kind", "key"]).where((F.col("lo2") <= F.col("pop") + F.col("reach")) & (F.col("hi2") >= F.col("pop") - F.col("reach")))
+    return near.groupBy("kind", "key", "pop", "first", "last").agg(F.collect_list("other").alias("meets"))
+
+
 def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float = 0.0) -> DataFrame:
     """Links ``src, dst`` between rows ``node, fp0, fp1, size`` that differ in ``radius`` bits or less.
 
     With ``blocks``, rows meet that agree on enough blocks of ``fp0`` (exact, no link is lost); with
     ``ratio``, rows meet whose sizes are in the same or neighbouring steps of that ratio. Groups of
-    more than a tile's rows are cut into tiles by a hash, and every two tiles are a unit of work, so
-    that a hot group is dealt over many tasks. Each unit gives at most one link a row.
+    more than a tile's rows are cut into tiles along their population counts (``hot_tiles``), and
+    every two tiles are a unit of work, so that a hot group is dealt over many tasks; tiles whose
+    counts differ by more than the radius are never sent to each other. Each unit gives at most one
+    link a row.
     """
     spark = nodes.sparkSession
+    pop = (F.bit_count("fp0") + F.bit_count("fp1")).cast("int")
     if blocks:
         signed = [m - 2**64 if m >= 2**63 else m for m in block_keys(radius, blocks)]
         keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp0").bitwiseAND(F.lit(m)).alias("key"), F.lit(True).alias("own")) for i, m in enumerate(signed)])
     else:
         step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1 / ratio)) + F.lit(1e-9)).cast("long")
         keys = F.array(F.struct(F.lit(0).alias("kind"), step.alias("key"), F.lit(True).alias("own")), F.struct(F.lit(0).alias("kind"), (step + 1).alias("key"), F.lit(False).alias("own")))
-    keyed = nodes.withColumn("k", F.explode(keys)).select("node", "fp0", "fp1", "size", "k.*")
-    tile = TILE if blocks else WIDE_TILE
-    hot = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("kind", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    reach = F.lit(radius) if blocks else F.lit(radius + TINY_MORE)
+    keyed = nodes.withColumn("k", F.explode(keys)).select("node", "fp0", "fp1", "size", "k.*", pop.alias("pop"), reach.alias("reach"))
+    hot = materialise(hot_tiles(keyed), "simhash-tiles")
+    if hot.count() <= FEW:
+        joined = keyed.join(F.broadcast(hot), ["kind", "key", "pop"], "left")
+    else:  # too many to send to all: met in parts, so that no task takes in a hot group
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "key", "pop", "salt"], "left").drop("salt")
+    own_tile = F.coalesce(F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1).cast("int"), F.lit(0))
     dealt = (
-        keyed.join(hot, ["kind", "key"], "left")
-        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        joined.withColumn("tile", own_tile)
+        .withColumn("other", F.explode(F.coalesce("meets", F.array(F.lit(0)))))
         .select("kind", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "own", "node", "fp0", "fp1", "size")
     )
     unit = ["kind", "key", "i", "j"]
@@ -193,14 +222,13 @@ def components(df: DataFrame, words: int = 4, radius: int = 4, blocks: int | Non
     """Near-duplicate groups of whole texts: ``key, fp0, fp1, size, component``.
 
     Equal fingerprints are one node; ``component`` is the smallest key that can be reached over links
-    (null where all keys of it are null). Repeated rows stay. Texts without words have fingerprint
-    zero and are linked like any other.
+    (null where all keys of it are null). Repeated rows stay. Null texts are empty; texts without words
+    have fingerprint zero and are linked like any other. An empty table gives no rows; other columns
+    have no part.
     """
     docs = materialise(fingerprints(df, words, wide, key, text).withColumnRenamed(key, "key"), "simhash")
     # Fingerprints stand for nodes by their hash row: the smallest key names each.
     nodes = docs.groupBy("fp0", "fp1").agg(F.min("key").alias("node"), F.min("size").alias("size"))
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
     known = materialise(nodes, "simhash-nodes")
     found = connected_components(links(known.where("node is not null"), radius, blocks, ratio))
     named = known.join(found, "node", "left").select("fp0", "fp1", F.coalesce("component", "node").alias("component"))
@@ -255,7 +283,7 @@ def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, th
     spark = df.sparkSession
 
     def with_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             sets = [shingle_set(text_bytes(t.as_py()), words) for t in b.column(2)]
             fps = np.stack([set_fingerprint(s) for s in sets]) if sets else np.zeros((0, 2), np.int64)
             # Half of each hash is enough to tell shingles apart.
@@ -265,7 +293,7 @@ def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, th
     own = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(groups, "node")
     own = own.groupBy("group", "node", F.sha2("__text", 256).alias("__sha")).agg(F.first("__text").alias("__text")).select("group", "node", "__text")
     members = materialise(own.mapInArrow(with_sets, "group long, node long, fp0 long, fp1 long, hashes binary"), "copies-members")
-    tiles = members.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = members.groupBy("group").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
     dealt = (
         members.join(tiles, "group")
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -281,7 +309,7 @@ def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, th
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["src", "dst"])
 
         held: list[tuple] = []
-        for b in it:
+        for b in sliced(it):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[0][:3] != r[:3]:
                     yield out(held)
@@ -303,13 +331,12 @@ def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: floa
     verified links join texts. ``component`` is the smallest key reached (null where all are null);
     texts without words are equal.
     """
-    spark = df.sparkSession
     schema = df.select(F.col(key).alias("key")).schema.add("d0", "long").add("d1", "long").add("fp0", "long").add("fp1", "long").add("size", "long")
 
     def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in it:
+        for b in sliced(it):
             rows = []
             for t in b.column(1):
                 s = shingle_set(text_bytes(t.as_py()), words)
@@ -319,18 +346,14 @@ def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: floa
 
     docs = materialise(df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(told, schema), "copies")
     nodes = materialise(docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("node")), "copies-nodes")
-    size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
-    near = materialise(links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9), "copies-near")
+    near = links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9)
     groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "copies-groups")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size_before)
-
     found = connected_components(verified_links(df, groups, words, radius, threshold, key, text))
     named = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component"))
     return docs.join(named, ["d0", "d1"], "left").select(F.col("key").alias(key), "component")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint all documents and name the group of each."""
+    """Fingerprint all documents and name the group of each. See ``components``."""
     out = components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
