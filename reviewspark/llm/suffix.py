@@ -1,5 +1,7 @@
 """Operator 9: removal of long repeated byte strings by merging front-coded sorted suffix runs.
 
+The merge finds which suffixes repeat, by their first ``PREFIX`` bytes; the strings around those are
+then judged by their hashes, which is cheaper than merging common prefixes of the whole length.
 A string of ``length`` bytes is told by sparse suffixes: the first ``PREFIX`` bytes at those
 positions whose hash is the least in some window of the string. Equal strings have equal such
 positions, so a string can only repeat where a sparse suffix repeats.
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import materialise, mix, prefix_hash, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
 
 PREFIX = 100
 #: Bytes of text in a block, unless one document is longer.
@@ -37,8 +39,10 @@ BLOCK = 2 << 20
 #: String starts worked on at once.
 SEGMENT = 1 << 18
 MOST = np.uint64(2**64 - 1)
-#: Bytes that a word takes where passages are counted in words.
-WORD = 8
+#: Bytes of a hash that stands for a word where passages are counted in words.
+WORD = 4
+#: Bytes of text whose suffixes one range of the suffix order takes in.
+RANGE = 128 << 20
 _ONE, _TWO, _THREE, _FOUR = table_of_bytes(91), table_of_bytes(92), table_of_bytes(93), table_of_bytes(94)
 
 
@@ -117,7 +121,7 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
         def block(rows: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
             nonlocal done
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows[0].schema) as w:
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(pa.Table.from_batches(rows).combine_chunks())
             raw = b"".join(texts)
             data, ends = np.frombuffer(raw, np.uint8), np.cumsum([len(t) for t in texts])
@@ -136,7 +140,7 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=[x.split()[0] for x in schema.split(", ")])
 
         rows, texts, held = [], [], 0
-        for b in it:
+        for b in sliced(it, 100):
             lone = b.select(list(range(b.num_columns - 1)))
             for i in range(b.num_rows):
                 t = b.column(b.num_columns - 1)[i].as_py()
@@ -241,7 +245,7 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
     total = max(1, blocks.count())
 
     def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it, 4):
             for rep, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = np.frombuffer(rep, np.int64)
                 if len(at):
@@ -253,7 +257,7 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
     cuts = sorted({bytes(some[i * len(some) // n]) for i in range(1, n)}) if some else []
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it, 4):
             for block, rep, z, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.frombuffer(rep, np.int64)
                 if not len(at):
@@ -343,7 +347,7 @@ def batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in it:
+    for b in sliced(it, 4):
         yield from b.to_pylist()
 
 
@@ -419,13 +423,12 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     Texts are UTF-8 bytes (null: empty), strings never cross documents, and all are judged on the
     input. Returns the columns ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
     runs) and ``kept`` (binary, or with ``as_text`` a string without the halves of cut characters; with
-    ``places`` the starts and ends of the removed runs instead). Rows come out as often as they went in.
+    ``places`` the starts and ends of the removed runs instead). Rows come out as often as they went in;
+    an empty table gives no rows; columns other than ``keep`` and the text have no part.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialise(blocks_of(df, keep, text, length), "suffix-blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() * BLOCK // RANGE))
     again_at = materialise(repeated(blocks, n), "suffix-places")
     around = blocks.select("block", "ends", "data", "pos", "which").join(told(again_at, "places"), "block")
     found = materialise(around.mapInArrow(stretches(length), ", ".join(f"{k} {'long' if t == LONG else 'binary'}" for k, t in STRETCHES.items())), "suffix-stretches")
@@ -541,16 +544,17 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
     """Remove every word covered by ``words`` words in a row that also start anywhere else: ``keep`` and ``kept``.
 
     Words are runs without ASCII white space, of any length in bytes; each stands as a hash of
-    ``WORD`` bytes, so that so many words are one string of fixed length to ``remove_repeats``.
+    ``WORD`` bytes, so that so many words are one string of fixed length to ``remove_repeats``. Rows
+    come out as often as they went in; a null text becomes an empty one; an empty table gives no rows.
     """
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it, 100):
             out = []
             for t in b.column(b.num_columns - 1):
                 data = np.frombuffer(text_bytes(t.as_py()), np.uint8)
                 start, end = word_bounds(data)
-                out.append(mix(span_hash(prefix_hash(data, _FOUR), start, end)).tobytes() if len(start) else b"")
+                out.append((mix(span_hash(prefix_hash(data, _FOUR), start, end)) >> np.uint64(32)).astype(np.uint32).tobytes() if len(start) else b"")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, BIN)], names=coded.names)
 
     rows = df.select(*keep, F.col(text).alias("__whole"))
@@ -559,7 +563,7 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
     schema = df.select(*keep).schema.add("kept", "string")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it, 100):
             out = []
             for t, z in zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True):
                 raw, at = text_bytes(t.as_py()), 0
