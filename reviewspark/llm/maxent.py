@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
 
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
@@ -31,16 +31,48 @@ START = VOCABULARY
 NGRAMS = 8192
 PLACES = 8192
 ROWS = 2 * (VOCABULARY + 1) + NGRAMS
-BLOCK = 1 << 20
+#: Bytes of text in a block, unless one document is longer.
+BLOCK = 2 << 20
 ROUNDS = 4
+#: Rows of 64 floats worked on at once, so that they stay in a core's cache.
 BATCH = 4096
+#: Events sorted together before they are worked out.
+EVENTS = 2_000_000
+#: Distinct words of blocks that one range of the hash space takes in.
+RANGE = 2_000_000
 SHARDS = 32
 END = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = table_of_bytes(33)
 
 
-def blocks_of(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Documents in blocks of about ``BLOCK`` bytes: kept columns (Arrow), ends and packed lower-case text."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of some texts, an end after each text, and the number of tokens of each."""
+    data = np.frombuffer(b"\n".join(texts).translate(LOWER) + b"\n", np.uint8)
+    stop = np.cumsum([len(t) + 1 for t in texts])
+    lo, hi = word_bounds(data)
+    h = np.zeros(len(lo), np.uint64)
+    for a in range(0, len(data), 1 << 18):
+        i, j = np.searchsorted(lo, [a, a + (1 << 18)])
+        if i < j:
+            part = data[a : hi[j - 1]]
+            h[i:j] = mix(span_hash(prefix_hash(part, _VALUES), lo[i:j] - a, hi[i:j] - a))
+    n = np.diff(np.searchsorted(lo, stop), prepend=0) + 1
+    out = np.empty(len(h) + len(stop), np.uint64)
+    at = np.cumsum(n) - 1
+    out[at] = END
+    words = np.ones(len(out), bool)
+    words[at] = False
+    out[words] = h
+    return out, n
+
+
+def blocks_of(df: DataFrame, keep: list[str], held_out: str, text: str = "text") -> DataFrame:
+    """Documents in blocks of about ``BLOCK`` bytes, each with its distinct words.
+
+    ``meta`` holds the kept columns (Arrow), ``sizes`` the tokens of each document, ``words`` the
+    ascending hashes of the block's words, ``counts`` how often each stands in documents to learn
+    from, and ``codes`` (packed) the place of every token among the words.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,15 +81,19 @@ def blocks_of(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
         def block(rows: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
             nonlocal done
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows[0].schema) as w:
-                w.write_table(pa.Table.from_batches(rows).combine_chunks())
-            cells = [first + done, sink.getvalue().to_pybytes(), np.cumsum([len(t) + 1 for t in texts]).tobytes(), zstandard.compress(b"\n".join(texts).translate(LOWER) + b"\n", 3)]
+            sink, meta = pa.BufferOutputStream(), pa.Table.from_batches(rows).combine_chunks()
+            with pa.ipc.new_stream(sink, meta.schema) as w:
+                w.write_table(meta)
+            h, sizes = tokens(texts)
+            words, codes = np.unique(h, return_inverse=True)
+            learn = ~np.repeat(meta.column(held_out).to_numpy(), sizes)
+            counts = np.bincount(codes, learn, len(words)).astype(np.uint32)
+            cells = [first + done, sink.getvalue().to_pybytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts.tobytes(), zstandard.compress(codes.astype(np.uint32).tobytes(), 3), len(words)]
             done += 1
-            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "meta", "ends", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "meta", "sizes", "words", "counts", "codes", "n_words"])
 
         rows, texts, held = [], [], 0
-        for b in it:
+        for b in sliced(it):
             lone = b.select(list(range(b.num_columns - 1)))
             for i in range(b.num_rows):
                 t = text_bytes(b.column(b.num_columns - 1)[i].as_py())
@@ -70,73 +106,66 @@ def blocks_of(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         if texts:
             yield block(rows, texts)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, "block long, meta binary, ends binary, data binary")
-
-
-def tokens(ends: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of a block, an end after each document, and the number of tokens of each document."""
-    data, stop = np.frombuffer(zstandard.decompress(z), np.uint8), np.frombuffer(ends, np.int64)
-    lo, hi = word_bounds(data)
-    h = np.zeros(len(lo), np.uint64)
-    for a in range(0, len(data), 1 << 18):
-        i, j = np.searchsorted(lo, [a, a + (1 << 18)])
-        if i < j:
-            part = data[a : hi[j - 1]]
-            h[i:j] = mix(span_hash(prefix_hash(part, _VALUES), lo[i:j] - a, hi[i:j] - a))
-    of = np.searchsorted(stop, lo, side="right")
-    n = np.bincount(of, minlength=len(stop)) + 1
-    out = np.empty(len(h) + len(stop), np.uint64)
-    at = np.cumsum(n) - 1
-    out[at] = END
-    words = np.ones(len(out), bool)
-    words[at] = False
-    out[words] = h
-    return out, n
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, "block long, meta binary, sizes binary, words binary, counts binary, codes binary, n_words long")
 
 
 def meta_of(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
-def word_counts(blocks: DataFrame, held_out: str) -> DataFrame:
-    """Totals of words in the training documents: answers to blocks (``kind`` 0) and sums and common words of each range (1)."""
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def learned(meta: bytes, sizes: np.ndarray, held_out: str) -> np.ndarray:
+    """Of each token, whether its document is one to learn from."""
+    return ~np.repeat(meta_of(meta).column(held_out).to_numpy(), sizes)
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """Totals of words in the training documents: answers to blocks (``kind`` 0) and sums and common words of each range (1).
+
+    The number of ranges follows from the number of words that blocks send, so that a range fits a task.
+    """
+    sent = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-sent // RANGE), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for block, meta, ends, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, size = tokens(ends, z)
-                learn = ~np.repeat(meta_of(meta).column(held_out).to_numpy(), size)
-                words, back = np.unique(h, return_inverse=True)
-                count = np.bincount(back, learn, len(words)).astype(np.uint32)
+        for b in sliced(it, 4):
+            for block, raw, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, count = np.frombuffer(raw, np.uint64), np.frombuffer(times, np.uint32)
                 part = ((words >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
                 edges = np.searchsorted(part, np.arange(n + 1))
                 out = [(p, block, words[a:e].tobytes(), count[a:e].tobytes()) for p, (a, e) in enumerate(zip(edges, edges[1:], strict=False)) if a < e]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "words", "counts"])
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        for part in dict.fromkeys(r[0] for r in rows):
-            mine = [r for r in rows if r[0] == part]
-            words = np.concatenate([np.frombuffer(r[2], np.uint64) for r in mine])
-            counts = np.concatenate([np.frombuffer(r[3], np.uint32) for r in mine])
-            kinds, back = np.unique(words, return_inverse=True)
-            total = np.bincount(back, counts, len(kinds)).astype(np.int64)
-            at = 0
-            for r in mine:
-                size = len(r[3]) // 4
-                yield made(0, r[1], part, total[back[at : at + size]].tobytes(), b"", 0, 0)
-                at += size
-            top = np.lexsort([kinds, -total])[:OTHER]
-            top = top[total[top] > 0]
-            yield made(1, 0, part, total[top].tobytes(), kinds[top].tobytes(), int(total.sum()), int((total > 0).sum()))
+        held: list[tuple] = []
+        for b in sliced(it, 100):
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    yield from totals(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from totals(held)
+
+    def totals(mine: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([np.frombuffer(r[2], np.uint64) for r in mine])
+        counts = np.concatenate([np.frombuffer(r[3], np.uint32) for r in mine])
+        kinds, back = np.unique(words, return_inverse=True)
+        total = np.bincount(back, counts, len(kinds)).astype(np.int64)
+        at, part = 0, mine[0][0]
+        for r in mine:
+            size = len(r[3]) // 4
+            yield made(0, r[1], part, total[back[at : at + size]].tobytes(), b"", 0, 0)
+            at += size
+        top = np.lexsort([kinds, -total])[:OTHER]
+        top = top[total[top] > 0]
+        yield made(1, 0, part, total[top].tobytes(), kinds[top].tobytes(), int(total.sum()), int((total > 0).sum()))
 
     def made(*cells: object) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["kind", "block", "part", "totals", "words", "n", "v"])
 
-    sent = blocks.select("block", "meta", "ends", "data").mapInArrow(send, "part int, block long, words binary, counts binary")
-    return sent.repartitionById(n, F.col("part")).mapInArrow(add, "kind int, block long, part int, totals binary, words binary, n long, v long")
+    rows = blocks.select("block", "words", "counts").mapInArrow(send, "part int, block long, words binary, counts binary")
+    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(add, "kind int, block long, part int, totals binary, words binary, n long, v long")
 
 
 def common_words(counts: DataFrame) -> list[tuple[int, int]]:
@@ -167,6 +196,21 @@ def common_words(counts: DataFrame) -> list[tuple[int, int]]:
     return [(r["word"], r["n"]) for r in rows.collect()]
 
 
+def before(x: np.ndarray, steps: int, blank: np.ndarray, fill: object) -> np.ndarray:
+    """The value so many places before each, and ``fill`` where ``blank``."""
+    out = np.concatenate([np.full(min(steps, len(x)), fill, x.dtype), x[:-steps]])[: len(x)]
+    out[blank] = fill
+    return out
+
+
+def add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """Add each row of p to that row of ``out``."""
+    order = np.argsort(rows, kind="stable")
+    s = rows[order]
+    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+    out[s[first]] += np.add.reduceat(p[order], first, axis=0)
+
+
 class Model:
     """Vocabulary, base counts and feature rows."""
 
@@ -175,7 +219,7 @@ class Model:
         count = np.zeros(VOCABULARY)
         count[: len(common)] = [c for _, c in common]
         order = np.argsort(words)
-        self.words, self.ids = words[order], order.astype(np.int64)
+        self.words, self.ids = words[order], order.astype(np.uint16)
         self.n, self.v = n, v
         self.n_other, self.v_other = n - int(count.sum()), v - len(common)
         count[OTHER] = self.n_other + 0.1 * (self.v_other + 1)
@@ -185,86 +229,107 @@ class Model:
             self.place_bias = np.nan_to_num(np.maximum(np.log(by / by.sum(1, keepdims=True)), -30), nan=-30.0).astype(np.float32)
         self.class_rows = np.zeros((ROWS, CLASSES), np.float32)
         self.place_rows = np.zeros((PLACES, CLASSES), np.float32)
+        self.fresh = True
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word hash."""
         if not len(self.words):
-            return np.full(len(h), OTHER)
+            return np.full(len(h), OTHER, np.uint16)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.ids[at], OTHER)
-
-    def events(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each token: its number, the numbers of the two before it, and the hash of both words."""
-        y = self.known(h)
-        first = np.zeros(len(h), bool)
-        first[np.cumsum(size)[:-1]] = True
-        first[:1] = True
-        second = np.concatenate([[False], first[:-1]])
-        one, two = np.concatenate([[START], y[:-1]]), np.concatenate([[START, START], y[:-2]])[: len(y)]
-        g, k = np.concatenate([[END], h[:-1]]), np.concatenate([[END, END], h[:-2]])[: len(h)]
-        one[first], two[first | second] = START, START
-        g[first], k[first | second] = END, END
-        pair = (mix(k * MULT + g) % np.uint64(NGRAMS)).astype(np.int64)
-        return np.stack([y, one, two, pair], 1).astype(np.uint16)
+        return np.where(self.words[at] == h, self.ids[at], np.uint16(OTHER))
+
+    def events(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each token as one integer: n-gram, the two words before (skip, then last), the word, 16 bits each."""
+        y, h = self.known(words)[codes], words[codes]
+        first = np.cumsum(sizes) - sizes
+        second = first[sizes > 1] + 1
+        both = np.concatenate([first, second])
+        one, two = before(y, 1, first, START), before(y, 2, both, START)
+        pair = mix(before(h, 2, both, END) * MULT + before(h, 1, first, END)) & np.uint64(NGRAMS - 1)
+        return pair << np.uint64(48) | two.astype(np.uint64) << np.uint64(32) | one.astype(np.uint64) << np.uint64(16) | y
+
+    @staticmethod
+    def class_features(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature rows of the class: last word, skip, n-gram."""
+        part = lambda k: (e >> np.uint64(k) & np.uint64(0xFFFF)).astype(np.int32)
+        return part(16), part(32) + np.int32(VOCABULARY + 1), part(48) + np.int32(2 * (VOCABULARY + 1))
 
     @staticmethod
-    def rows_of(e: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the class features, and of the place features given the class."""
-        one, two, pair = e[:, 1].astype(np.int64), e[:, 2].astype(np.int64), e[:, 3].astype(np.int64)
-        cr = np.stack([one, VOCABULARY + 1 + two, 2 * (VOCABULARY + 1) + pair], 1)
-        c = cls.astype(np.uint64) + np.uint64(1)
-        pr = np.stack([mix(one.astype(np.uint64) * MULT + c * np.uint64(0x9E3779B1)), mix((pair.astype(np.uint64) + np.uint64(1 << 20)) * MULT + c)], 1) % np.uint64(PLACES)
-        return cr, pr.astype(np.int64)
-
-    def forward(self, e: np.ndarray) -> tuple:
-        """Log-probabilities of classes and of places in the true class, with the rows that made them."""
-        y = e[:, 0].astype(np.int64)
-        cls, place = y // CLASSES, y % CLASSES
-        cr, pr = self.rows_of(e, cls)
-        a = self.class_bias + self.class_rows[cr[:, 0]] + self.class_rows[cr[:, 1]] + self.class_rows[cr[:, 2]]
-        b = self.place_bias[cls] + self.place_rows[pr[:, 0]] + self.place_rows[pr[:, 1]]
-        for x in (a, b):
-            x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return a, b, cls, place, cr, pr
+    def place_features(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Feature rows of the place: last word and n-gram, each with the class."""
+        one, pair, c = e >> np.uint64(16) & np.uint64(0xFFFF), e >> np.uint64(48), (e & np.uint64(0xFFFF)) // np.uint64(CLASSES) + np.uint64(1)
+        hashed = lambda x: (mix(x) & np.uint64(PLACES - 1)).astype(np.int32)
+        return hashed(one * MULT + c * np.uint64(0x9E3779B1)), hashed((pair + np.uint64(1 << 20)) * MULT + c)
+
+    def class_odds(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Odds of the classes, not yet divided by their sum."""
+        a = self.class_rows[rows[0]]
+        a += self.class_bias
+        for r in rows[1:]:
+            a += self.class_rows[r]
+        return np.exp(a, out=a)
+
+    def place_odds(self, cls: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Odds of the places in a class, not yet divided by their sum."""
+        a = self.place_bias[cls]
+        for r in rows:
+            a += self.place_rows[r]
+        return np.exp(a, out=a)
 
     def log10(self, e: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 P of each token; ``base``: its count in training."""
         out = np.empty(len(e))
+        y = (e & np.uint64(0xFFFF)).astype(np.int64)
         for lo in range(0, len(e), BATCH):
-            a, b, cls, place, _, _ = self.forward(e[lo : lo + BATCH])
-            i = np.arange(len(a))
-            out[lo : lo + BATCH] = (a[i, cls].astype(np.float64) + b[i, place]) / np.log(10)
-        other = e[:, 0] == OTHER
+            some, cls = e[lo : lo + BATCH], y[lo : lo + BATCH] // CLASSES
+            a, b = self.class_odds(self.class_features(some)), self.place_odds(cls, self.place_features(some))
+            i = np.arange(len(some))
+            out[lo : lo + BATCH] = np.log10(a[i, cls].astype(np.float64) / a.sum(1)) + np.log10(b[i, y[lo : lo + BATCH] % CLASSES].astype(np.float64) / b.sum(1))
+        other = y == OTHER
         out[other] += np.log10((base[other] + 0.1) / (self.n_other + 0.1 * (self.v_other + 1)))
         return out
 
 
 def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Observed and expected counts of the feature rows over some events with their counts: classes, then places."""
-    ec, ep = np.zeros((ROWS, CLASSES), np.float32), np.zeros((PLACES, CLASSES), np.float32)
-    gc, gp = np.zeros((ROWS, CLASSES)), np.zeros((PLACES, CLASSES))
-
-    def add(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        kinds, first = np.unique(rows[order], return_index=True)
-        out[kinds] += np.add.reduceat(p[order], first, axis=0)
+    """Observed and expected counts of the feature rows over distinct ascending events with their counts: classes, then places.
 
+    Class odds depend on the history alone, and are worked out once for all words that follow one.
+    While all rows are zero, what is expected follows from counts of features.
+    """
+    y = (e & np.uint64(0xFFFF)).astype(np.int64)
+    cls, place, n = y // CLASSES, y % CLASSES, count.astype(np.float32)
+    tally = lambda rows, of, size: np.bincount(rows.astype(np.int64) * CLASSES + of, count, size * CLASSES).reshape(size, CLASSES)
+    cr, pr = model.class_features(e), model.place_features(e)
+    gc, gp = sum(tally(r, cls, ROWS) for r in cr), sum(tally(r, place, PLACES) for r in pr)
+    if model.fresh:
+        prior = np.exp(model.class_bias)
+        ec = gc.sum(1, keepdims=True) * (prior / prior.sum())
+        odds = np.exp(model.place_bias)
+        ep = sum(tally(r, cls, PLACES) for r in pr) @ (odds / odds.sum(1, keepdims=True))
+        return tuple(x.astype(np.float32) for x in (gc, ec, gp, ep))
+    ec, ep = np.zeros((ROWS, CLASSES), np.float32), np.zeros((PLACES, CLASSES), np.float32)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(e >> np.uint64(16))) + 1])
+    times, hr = np.add.reduceat(n, first), [r[first] for r in cr]
+    for lo in range(0, len(first), BATCH):
+        rows = [r[lo : lo + BATCH] for r in hr]
+        p = model.class_odds(rows)
+        p *= (times[lo : lo + BATCH] / p.sum(1))[:, None]
+        for r in rows:
+            add_rows(ec, r, p)
     for lo in range(0, len(e), BATCH):
-        a, b, cls, place, cr, pr = model.forward(e[lo : lo + BATCH])
-        n = count[lo : lo + BATCH].astype(np.float32)
-        for rows, lp, hit, g, x in ((cr, a, cls, gc, ec), (pr, b, place, gp, ep)):
-            p = np.exp(lp) * n[:, None]
-            for f in range(rows.shape[1]):
-                add(x, rows[:, f], p)
-                np.add.at(g.ravel(), rows[:, f] * CLASSES + hit, n)
+        rows = [r[lo : lo + BATCH] for r in pr]
+        p = model.place_odds(cls[lo : lo + BATCH], rows)
+        p *= (n[lo : lo + BATCH] / p.sum(1))[:, None]
+        for r in rows:
+            add_rows(ep, r, p)
     return gc.astype(np.float32), ec, gp.astype(np.float32), ep
 
 
-def counted(e: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct events and how often each occurs."""
-    kinds, of = np.unique(np.ascontiguousarray(e).view(np.uint64).ravel(), return_inverse=True)
-    return kinds.view(np.uint16).reshape(-1, 4), np.bincount(of, count, minlength=len(kinds)).astype(np.int64)
+def counted(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct events, ascending, and how often each occurs."""
+    s = np.sort(e)
+    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1]) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
 
 
 def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS) -> Model:
@@ -279,17 +344,16 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS)
 
             def add() -> None:
                 nonlocal total
-                some = sums(*counted(*(np.concatenate(x) for x in zip(*held, strict=True))), now.value)
+                some = sums(*counted(np.concatenate(held)), now.value)
                 total = some if total is None else tuple(x + y for x, y in zip(total, some, strict=True))
 
-            for b in it:
-                for meta, ends, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    h, sizes = tokens(ends, z)
-                    learn = ~np.repeat(meta_of(meta).column(held_out).to_numpy(), sizes)
-                    e, times = counted(now.value.events(h, sizes)[learn])
-                    held.append((e, times))
-                    size += len(e)
-                    if size > 1_000_000:
+            for b in sliced(it, 4):
+                for meta, lengths, words, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    sizes = np.frombuffer(lengths, np.uint32).astype(np.int64)
+                    e = now.value.events(np.frombuffer(words, np.uint64), np.frombuffer(zstandard.decompress(codes), np.uint32), sizes)
+                    held.append(e[learned(meta, sizes, held_out)])
+                    size += len(held[-1])
+                    if size > EVENTS:
                         add()
                         held, size = [], 0
             if size:
@@ -297,7 +361,7 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS)
             if total is not None:
                 for kind, x in enumerate(total):
                     for s, part in enumerate(np.array_split(x, SHARDS)):
-                        yield pa.RecordBatch.from_arrays([pa.array([kind * SHARDS + s], pa.int32()), pa.array([zstandard.compress(part.astype(np.float32).tobytes(), 1)])], names=["shard", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array([kind * SHARDS + s], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)])], names=["shard", "x"])
 
         def add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got: dict[int, np.ndarray] = {}
@@ -308,13 +372,15 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS)
             for s, x in got.items():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["shard", "x"])
 
-        parts = {r["shard"]: np.frombuffer(r["x"], np.float32) for r in blocks.select("meta", "ends", "data").mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary").collect()}
+        summed = blocks.select("meta", "sizes", "words", "codes").mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary")
+        parts = {r["shard"]: np.frombuffer(r["x"], np.float32) for r in summed.collect()}
         if not parts:
             break
         gc, ec, gp, ep = (np.concatenate([parts[k * SHARDS + s] for s in range(SHARDS)]).reshape(-1, CLASSES) for k in range(4))
         for rows, g, e, features in ((model.class_rows, gc, ec, 3), (model.place_rows, gp, ep, 2)):
             g = g - e
             rows += np.sign(g) * np.log1p(np.abs(g) / (e + 2.0)) / features
+        model.fresh = False
         now.unpersist()
     return model
 
@@ -325,11 +391,12 @@ def score_documents(df: DataFrame, held_out: str = "held_out", key: str = "doc_i
     Tokens are runs without ASCII white space, A-Z lower-cased, and one end for each text (null: empty).
     Returns ``key, held_out, n_tokens, n_known`` (tokens seen in training), ``train_tokens``,
     ``base_score`` (unigrams, 0.1 added, one more word than seen) and ``score`` (the model), both log10.
+    Repeated rows count and come out as often as they went in; an empty table gives no rows; with
+    nothing to learn from all words are equally new. Other columns, whatever their names, have no part.
     """
     spark = df.sparkSession
-    blocks = materialise(blocks_of(df, [key, held_out], text), "maxent-blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
-    counts = materialise(word_counts(blocks, held_out), "maxent-counts")
+    blocks = materialise(blocks_of(df, [key, held_out], held_out, text), "maxent-blocks")
+    counts = materialise(word_counts(blocks), "maxent-counts")
     got = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     model = train(blocks, Model(common_words(counts), got["n"], got["v"]), held_out)
     shared = spark.sparkContext.broadcast(model)
@@ -338,23 +405,23 @@ def score_documents(df: DataFrame, held_out: str = "held_out", key: str = "doc_i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in it:
-            for meta, ends, z, totals in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, size = tokens(ends, z)
-                c = np.frombuffer(b"".join(totals), np.int64)[np.unique(h, return_inverse=True)[1]]
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                base = np.log10((c + 0.1) / (m.n + 0.1 * (m.v + 1)))
-                full = m.log10(m.events(h, size), c)
+        for b in sliced(it, 4):
+            for meta, lengths, words, z, totals in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                size, codes = np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(zstandard.decompress(z), np.uint32)
+                total = np.frombuffer(b"".join(totals), np.int64)
+                first = np.cumsum(size) - size
+                base = np.log10((total + 0.1) / (m.n + 0.1 * (m.v + 1)))[codes]
+                full = m.log10(m.events(np.frombuffer(words, np.uint64), codes, size), total[codes])
                 t = meta_of(meta).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays(
-                    [*t.columns, pa.array(size.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(size), m.n, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(full, first))],
+                    [*t.columns, pa.array(size), pa.array(np.add.reduceat((total > 0)[codes].astype(np.int64), first)), pa.array(np.full(len(size), m.n, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(full, first))],
                     names=schema.names,
                 )
 
-    return blocks.join(told, "block").select("meta", "ends", "data", "totals").mapInArrow(run, schema)
+    return blocks.join(told, "block").select("meta", "sizes", "words", "codes", "totals").mapInArrow(run, schema)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learn from nine tenths of the documents, score all."""
+    """Learn from nine tenths of the documents, score all; rows without an id are never held out. See ``score_documents``."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))))

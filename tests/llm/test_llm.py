@@ -121,9 +121,9 @@ def test_maxent_beats_unigrams_and_sums_to_one(spark):
     assert got.s > got.b
     m = maxent.Model([(i, 50 - i) for i in range(30)], 2000, 90)
     m.class_rows += np.random.default_rng(1).normal(size=m.class_rows.shape).astype(np.float32)
-    e = np.stack([np.arange(maxent.VOCABULARY), *np.zeros((3, maxent.VOCABULARY), int)], 1).astype(np.uint16)
-    a, b, cls, place, _, _ = m.forward(e)
-    assert np.exp(a[np.arange(len(a)), cls].astype(float) + b[np.arange(len(b)), place]).sum() == pytest.approx(1, abs=1e-3)
+    e = np.arange(maxent.VOCABULARY, dtype=np.uint64)
+    unseen = -0.1 * np.ones(len(e)) + m.n_other + 0.1 * (m.v_other + 1)  # all other words together
+    assert (10 ** m.log10(e, unseen)).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_quality(spark, rows, none):
