@@ -106,6 +106,6 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def missing_vectors(wanted: DataFrame, cache: DataFrame, key: str = "content_key") -> DataFrame:
-    """Contents that have no vector in the cache yet."""
-    return wanted.join(cache.select(key), key, "left_anti")
+def write_json_once(df: DataFrame, path: str) -> None:
+    """The same as JSON lines."""
+    df.write.mode("errorifexists").json(path)
