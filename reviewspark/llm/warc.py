@@ -12,12 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import table, text_bytes
+from reviewspark.llm.common import range_cuts, range_of, sliced, table, text_bytes
 from reviewspark.operators.graph import ensure_checkpoint_dir
 
 #: Every record carries this date, so that equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
 SPACE = uuid.UUID("8a1b2f70-51d4-5d0c-9b43-0f4f6a0d6c11")
+#: Pages from which on a payload is hot, hot payloads that are sent to all tasks, and parts of a hot payload beyond that.
+HOT, FEW, SALTS = 10_000, 100_000, 64
+#: Ranges at most.
+MOST = 20_000
 MANIFEST = "file string, records long, bytes long, sha1 string"
 
 
@@ -56,31 +60,46 @@ def revisits(pages: DataFrame, least: int, key: str = "page_id") -> DataFrame:
     """``page_id, refers_to`` of pages whose payload (of ``least`` bytes or more) a smaller page has too.
 
     Payloads are told apart by SHA-1 alone; only keys and digests are shuffled, and equal digests are
-    aggregated before they meet.
+    aggregated before they meet. Payloads of more than ``HOT`` pages, of which there are at most one
+    in ``HOT`` pages, are looked up in place (sent to all tasks while they are few), so that no task
+    takes in a hot payload.
     """
     small = pages.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", F.sha1("html").alias("sha"))
-    heads = small.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return small.join(heads, "sha").where("page_id > refers_to").select("page_id", "refers_to").distinct()
-
-
-def write(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int = 8 << 20, level: int = 6) -> DataFrame:
+    heads = small.groupBy("sha").agg(F.min("page_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    hot = heads.where(F.col("n") > HOT).select("sha", F.col("head").alias("hot_head")).persist()
+    if hot.count() <= FEW:
+        seen = small.join(F.broadcast(hot), "sha", "left")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        seen = small.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left").drop("salt")
+    rest = seen.where("hot_head is null").join(heads.where(F.col("n") <= HOT).select("sha", "head"), "sha")
+    both = seen.where("hot_head is not null").select("page_id", F.col("hot_head").alias("refers_to")).union(rest.select("page_id", F.col("head").alias("refers_to")))
+    return both.where("page_id > refers_to").distinct()
+
+
+def write(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int = 8 << 20, level: int = 6, shard_bytes: int = 8 << 20) -> DataFrame:
     """Write a WARC record for each row of ``page_id, url, html`` and return the manifest.
 
-    Rows are range-sorted by page; each range is written to files that are closed once they reach
-    ``roll_bytes`` compressed. A file is written under a temporary name and then renamed to one that
-    depends only on its range and number, so a task that runs again replaces it by equal bytes. The
-    manifest (``MANIFEST``) is written last, next to the files, and names the files that count. A null
-    html is an empty payload, a null url an empty one; repeated pages are repeated records.
+    Rows are range-sorted by page, in ranges of about ``shard_bytes`` of payload (``MOST`` ranges at
+    most) whose cuts depend on the rows alone; each range is written to files that are closed once
+    they reach ``roll_bytes`` compressed. A file is written under a temporary name and then renamed to
+    one that depends only on its range and number, so a task that runs again replaces it by equal
+    bytes, and equal tables give equal archives. The manifest (``MANIFEST``) is written last, next to
+    the files, and names the files that count. A null html is an empty payload, a null url an empty
+    one; a null page is a response in the first range; repeated pages are repeated records; an empty
+    table gives an empty manifest.
     """
     spark = pages.sparkSession
     clean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     marks = revisits(clean, least)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = clean.agg(F.coalesce(F.sum(F.octet_length("html") + 200), F.lit(0)).alias("n")).first()["n"]
+    cuts = range_cuts(clean, "page_id", min(MOST, max(1, -(-total // shard_bytes))), F.octet_length("html") + 200)
     rows = (
         marks.select("page_id", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
         .union(clean.select("page_id", F.lit(1), F.lit(None).cast("long"), "url", "html"))
-        .repartitionByRange(n, "page_id")
-        .sortWithinPartitions("page_id", "kind", "url", "html")
+        .select(range_of("page_id", cuts).alias("part"), "page_id", "kind", "refers_to", "url", "html")
+        .repartitionById(len(cuts) + 1, F.col("part"))
+        .sortWithinPartitions("part", "page_id", "kind", "url", "html")
     )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +121,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int = 8 <<
             out, size, count, sha = None, 0, 0, hashlib.sha1()
 
         mark = (None, None)
-        for b in it:
-            for key, kind, refers, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for b in sliced(it):
+            for key, kind, refers, url, html in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 if not kind:
                     mark = (key, refers)
                     continue
