@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, range_cuts, range_of, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
 from reviewspark.llm.simhash import verified_links
 from reviewspark.operators.graph import connected_components
 
@@ -19,6 +19,8 @@ PERMUTATIONS = 128
 SHINGLE = 5
 BANDS = 32
 CHUNK = 1 << 18
+#: Bytes of text in a range of keys.
+RANGE = 64 << 20
 _BYTES = table_of_bytes(5)
 _RNG = np.random.default_rng(55)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,28 +84,25 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return (signatures(texts) & np.uint32(255)).astype(np.uint8)
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows dealt to ranges of the key, each range followed by the row that comes next in the whole table.
 
-    Ranges are cut at quantiles; the first row of each is repeated (``halo``) at the end of the one
-    before, and the very first at the end of the last. Only one key a range comes to the driver.
+    Ranges hold about ``RANGE`` bytes of text; the first row of each is repeated (``halo``) at the end
+    of the one before, and the very first at the end of the last. Only cuts and one key a range come
+    to the driver. Rows with one key are one range, however many: sorted (with spill) and streamed.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(docs.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
-    dealt = docs.withColumn("part", F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("key")))).cast("int"))
+    docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = F.octet_length("text") + 100
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    cuts = range_cuts(docs, "key", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE)), size)
+    dealt = docs.withColumn("part", range_of("key", cuts))
     firsts = dealt.groupBy("part").agg(F.min(F.struct(F.col("key").isNotNull(), "key")).alias("f")).select("part", "f.key").orderBy("part").collect()
-    target = {firsts[(i + 1) % len(firsts)]["key"]: firsts[i]["part"] for i in range(len(firsts))}
-    plain = {k: p for k, p in target.items() if k is not None}
-    halo = dealt.where(F.col("key").isin(list(plain)) if plain else F.lit(False))
-    if plain:
-        halo = halo.withColumn("part", F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])[F.col("key")])
-    if None in target:
-        halo = halo.union(dealt.where("key is null").withColumn("part", F.lit(target[None])))
-    rows = dealt.withColumn("halo", F.lit(0)).union(halo.withColumn("halo", F.lit(1)))
-    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "halo", F.col("key").asc_nulls_first(), "text"), n
+    target = [(firsts[(i + 1) % len(firsts)]["key"], firsts[i]["part"]) for i in range(len(firsts))]
+    named = spark.createDataFrame(target, "first long, to int")  # a row a range
+    halo = dealt.join(F.broadcast(named), F.col("key").eqNullSafe(F.col("first"))).select("key", "text", F.col("to").alias("part"))
+    rows = dealt.withColumn("halo", F.lit(0)).unionByName(halo.withColumn("halo", F.lit(1)))
+    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "halo", F.col("key").asc_nulls_first(), "text")
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,11 +111,12 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     The edited text has its last half (rounded down) replaced by as many first characters of the
     next document in ascending key order, the last being followed by the first. Rows with equal keys
     follow each other by text, nulls come first, a null text is empty, a lone row follows itself.
+    Repeated rows come out as often as they went in; an empty table gives no rows; other columns have no part.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[tuple] = []
-        for b in it:
+        for b in sliced(it):
             rows = carry + list(zip(*(b.column(c).to_pylist() for c in ("part", "halo", "key", "text")), strict=True))
             carry = rows[-1:]
             pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1] and x[0] == y[0]]
@@ -145,7 +145,7 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
                 )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(df, key, text)[0].mapInArrow(run, schema)
+    return with_next(df, key, text).mapInArrow(run, schema)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     first = docs.withColumn("sha", sha).join(nodes, "sha").where("key = node").dropDuplicates(["node"]).select("node", "text")
 
     def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             sig = signatures([text_bytes(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, BANDS, -1)
             h = np.zeros((b.num_rows, BANDS), np.uint64)
             for j in range(sig.shape[2]):
@@ -179,5 +179,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint all documents and their edited texts."""
+    """Fingerprint all documents and their edited texts. See ``edited_fingerprints``."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
