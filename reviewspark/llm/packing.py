@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import table
+from reviewspark.llm.common import sliced, table
 
 #: Words a worker remembers; beyond it, new ones are encoded each time they occur.
 CACHE = 500_000
@@ -53,7 +53,8 @@ class WordIds:
         rows = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.known  # looked up word by word: a difference of sets would walk over all that is known
         fresh = {w for row in rows for w in row if w not in known}
-        bare = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() else (w, "") for w in fresh}
+        # A mark after an ASCII letter is a pre-token of its own; after other letters it may join what they turn into.
+        bare = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isascii() and w[-2].isalpha() else (w, "") for w in fresh}
         need = {w for pair in bare.values() for w in pair if w not in known}
         plain = [w for w in need if w.isalpha()]
         made = self.many(plain) if plain else {}
@@ -86,7 +87,7 @@ def pieces(df: DataFrame, path: str, end_id: int, size: int, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
         keys, texts, held = [], [], 0
-        for b in it:
+        for b in sliced(it):
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
                 if texts and held + len(t) > ROUND:
@@ -132,10 +133,10 @@ def first_fit(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
 def pack(items: DataFrame, n_groups: int, size: int, seed: int = 17) -> DataFrame:
     """Pack pieces (columns of ``PIECES``) into sequences of at most ``size`` tokens.
 
-    Each piece goes to one of ``n_groups`` groups at random (by a seeded hash of all its values);
-    first-fit decreasing runs in each group by itself, ties in length by document and start.
-    Adds ``sequence_id`` (unique over groups) and ``offset``. Repeated rows are packed as often as
-    they occur; an empty table gives no rows.
+    Each piece goes to one of ``n_groups`` groups at random (by a seeded hash of its values and its
+    place in the input, so that repeated rows are spread too); first-fit decreasing runs in each group
+    by itself, ties in length by document and start. Adds ``sequence_id`` (unique over groups) and
+    ``offset``. Repeated rows are packed as often as they occur; an empty table gives no rows.
     """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,18 +144,22 @@ def pack(items: DataFrame, n_groups: int, size: int, seed: int = 17) -> DataFram
         bins, offsets = first_fit(pdf.length.tolist(), size)
         return pdf.assign(sequence_id=pdf.grp * 2**31 + np.array(bins, np.int64), offset=np.array(offsets, np.int64)).drop(columns="grp")
 
-    keyed = items.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(n_groups)))
+    keyed = items.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_groups)))
     return keyed.groupBy("grp").applyInPandas(group, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, end_id: int = 2, size: int = 4096, group_docs: int = 2048) -> DataFrame:
-    """Tokenize, cut and pack documents; a null text counts as empty and is one end token."""
+    """Tokenize, cut and pack documents: rows of ``pack``.
+
+    A null or empty text is one end token; a null id stays null; repeated rows are packed as often as
+    they occur; an empty table gives no rows; columns other than id and text have no part.
+    """
     n_groups = max(1, -(-df.count() // group_docs))
     return pack(pieces(df, path, end_id, size), n_groups, size)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of 4096 tokens."""
+    """Pack all documents into sequences of 4096 tokens. See ``pack_documents``."""
     import public_tokenizers as P
 
     return pack_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
