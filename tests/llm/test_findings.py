@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from reviewspark.llm import ann, maxent, minhash
+from reviewspark.llm import ann, common, maxent, minhash, packing, simhash, suffix, warc
+from reviewspark.operators import graph
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 9))) for _ in range(3000)]
@@ -95,21 +96,33 @@ def test_ann_recall_does_not_depend_on_a_threshold(spark, monkeypatch):
 
 
 def test_maxent_learns_every_position_of_all_documents(spark):
-    docs = [(i, " ".join(prose(RNG.randint(1, 14))), False) for i in range(40)]
+    docs = [(i, " ".join(prose(RNG.randint(1, 14))), i % 5 == 0) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
-    blocks = maxent.blocks_of(df, ["doc_id", "held_out"])
-    words = maxent.common_words(maxent.word_counts(blocks, "held_out"))
-    n = sum(len(t.split()) + 1 for _, t, _ in docs)
-    got = maxent.train(blocks, maxent.Model(words, n, len(words)), "held_out", rounds=1)
-    h = [maxent.tokens(r["ends"], r["data"]) for r in blocks.collect()]
-    start = maxent.Model(words, n, len(words))
-    e = np.concatenate([start.events(*x) for x in h])
-    want = maxent.Model(words, n, len(words))
-    gc, ec, gp, ep = maxent.sums(e, np.ones(len(e), np.int64), start)
-    for rows, g, x, features in ((want.class_rows, gc, ec, 3), (want.place_rows, gp, ep, 2)):
-        g = g - x
-        rows += np.sign(g) * np.log1p(np.abs(g) / (x + 2.0)) / features
-    assert len(e) == n and np.allclose(got.class_rows, want.class_rows, atol=1e-4) and np.allclose(got.place_rows, want.place_rows, atol=1e-4)
+    blocks = maxent.blocks_of(df, ["doc_id", "held_out"], "held_out")
+    words = maxent.common_words(maxent.word_counts(blocks))
+    learn = [t.split() for _, t, out in docs if not out]
+    n = sum(len(t) + 1 for t in learn)
+    assert sum(c for _, c in words) == n and len(words) == len({w for t in learn for w in t}) + 1
+    got = maxent.train(blocks, maxent.Model(words, n, len(words)), "held_out", rounds=2)
+    naive = maxent.Model(words, n, len(words))
+    seen = []
+    for t in learn:
+        h, size = maxent.tokens([" ".join(t).encode()])
+        seen += naive.events(h, np.arange(len(h)), size).tolist()
+    assert len(seen) == n
+    for _ in range(2):  # one position after the other, with plain softmaxes
+        g, x = (np.zeros((maxent.ROWS, maxent.CLASSES)) for _ in range(2))
+        gp, xp = (np.zeros((maxent.PLACES, maxent.CLASSES)) for _ in range(2))
+        for e in np.array(seen, np.uint64):
+            y, cr, pr = int(e) & 0xFFFF, [r[0] for r in naive.class_features(e[None])], [r[0] for r in naive.place_features(e[None])]
+            for rows, bias, fs, hit, obs, ex in ((naive.class_rows, naive.class_bias, cr, y // 64, g, x), (naive.place_rows, naive.place_bias[y // 64], pr, y % 64, gp, xp)):
+                p = np.exp(bias + rows[fs].sum(0))
+                for f in fs:
+                    obs[f, hit] += 1
+                    ex[f] += p / p.sum()
+        for rows, a, b, features in ((naive.class_rows, g, x, 3), (naive.place_rows, gp, xp, 2)):
+            rows += np.sign(a - b) * np.log1p(np.abs(a - b) / (b + 2.0)) / features
+    assert np.allclose(got.class_rows, naive.class_rows, atol=2e-3) and np.allclose(got.place_rows, naive.place_rows, atol=2e-3)
 
 
 def test_near_duplicates_whose_band_head_is_unlike_them(spark, monkeypatch):
@@ -119,3 +132,63 @@ def test_near_duplicates_whose_band_head_is_unlike_them(spark, monkeypatch):
     texts = [head, a, [*a[:190], *prose(10)], [*head[:195], *prose(5)], [*a[:100], *prose(100)]]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4}
+
+
+def test_packing_ids_against_the_tokenizer_on_odd_strings():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.WordIds(path)
+    odd = [*"aZbé.,;:!?'0 9ΣσςİıßẞÅK\n\ṫ́  ñ中🙂-_'", " ", " ", "\n", "'s", "'LL", "don't", "ΑΣ", "word", "Word.", "The"]
+    strings = ["".join(RNG.choices(odd, k=RNG.randint(1, 9))) for _ in range(60_000)]
+    for lo in range(0, len(strings), 2000):
+        some = strings[lo : lo + 2000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(some, add_special_tokens=False)]
+        bad = [s for s, a, b in zip(some, own.encode(some), want, strict=True) if a != b]
+        assert not bad, bad[:5]
+
+
+def test_repeated_passages_are_counted_in_words(spark):
+    passage = prose(55)
+    texts = [" ".join([*prose(30), *passage, *prose(20)]), " ".join([*passage, *prose(70)]), " ".join(prose(200)), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeated_words for r in suffix.repeated_passages(df, ["doc_id"]).collect()}
+    assert got == {0: 55, 1: 55, 2: 0, 3: 0, 4: 0}
+
+
+def test_range_cuts_follow_the_rows_alone(spark):
+    keys = [*range(1000), *[10**15 + i * i for i in range(500)], *[5] * 400, None, -(2**62)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    cuts = common.range_cuts(df, "k", 8)
+    assert cuts == common.range_cuts(df.repartition(7), "k", 8) == sorted(set(cuts)) and 4 <= len(cuts) <= 12
+    got = df.select("k", common.range_of("k", cuts).alias("p")).collect()
+    assert all(r.p == (0 if r.k is None else int(np.searchsorted(cuts, r.k, side="right"))) for r in got)
+    sizes = np.bincount([r.p for r in got])
+    assert sizes.max() <= 2 * len(keys) / 8 + 400
+    assert common.range_cuts(df.limit(0), "k", 8) == [] and common.range_cuts(df, "k", 1) == []
+
+
+def test_archives_do_not_depend_on_how_rows_are_stored(spark, tmp_path):
+    pages = spark.createDataFrame([(i * 7 % 900, f"http://h/{i}", f"page {i % 50} " * 30) for i in range(900)], "page_id long, url string, html string")
+    out = []
+    for name, df in (("a", pages), ("b", pages.repartition(13))):
+        warc.write(df, f"file://{tmp_path}/{name}", roll_bytes=4000, shard_bytes=20_000)
+        out.append({p.name: p.read_bytes() for p in (tmp_path / name).glob("*.warc.gz")})
+    assert out[0] == out[1] and len(out[0]) > 10
+
+
+def test_tiles_of_a_hot_group_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    gen = np.random.default_rng(3)
+    base = gen.integers(0, 2**63, 40, dtype=np.uint64) & ~np.uint64(0x1FFF)  # one block is equal: a hot key
+    fps = np.unique(np.concatenate([base, base ^ np.uint64(1 << 40), base ^ np.uint64(0b11 << 20), gen.integers(0, 2**63, 60, dtype=np.uint64)]))
+    nodes = spark.createDataFrame([(i, int(f.view(np.int64)), 0, 9) for i, f in enumerate(fps)], "node long, fp0 long, fp1 long, size long")
+    label = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if int(fps[a] ^ fps[b]).bit_count() <= 4 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r.node: r.component for r in graph.connected_components(simhash.links(nodes, 4, 5)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == label
