@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = {
@@ -51,3 +51,9 @@ def coverage(reviews: DataFrame) -> DataFrame:
 def first_seen(reviews: DataFrame, key: str = "k", pos: str = "doc_id") -> DataFrame:
     """The first review of each text, and how many there are."""
     return reviews.groupBy(key).agg(F.min(pos).alias("first"), F.count("*").alias("n"))
+
+
+def ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows in an order, with their places."""
+    top = rows.orderBy(*order).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -28,3 +28,9 @@ def source_class_balanced(df: DataFrame) -> DataFrame:
     total = df.agg(F.count("*").alias("n"))
     per = df.groupBy("label").agg(F.count_distinct("family").alias("k"))
     return _with(df, ["family"], "c").join(F.broadcast(per), "label").crossJoin(F.broadcast(total)).select("id", F.round(F.col("n") / (4 * F.col("k") * F.col("c")), 9).alias("weight"))
+
+
+def family_violations(rows: DataFrame) -> DataFrame:
+    """One row: families whose rows differ in label or product, and families without their original (``family, label, product, original``)."""
+    f = rows.groupBy("family").agg(F.count_distinct("label").alias("l"), F.count_distinct("product").alias("p"), F.max("original").alias("own"))
+    return f.agg(F.count_if(F.col("l") > 1).alias("labels_differ"), F.count_if(F.col("p") > 1).alias("products_differ"), F.count_if(~F.coalesce("own", F.lit(False))).alias("without_original"))

@@ -15,3 +15,12 @@ def quiet_periods(events: DataFrame, gap: str = "2200 milliseconds", late: str =
 def changes(scans: DataFrame, key: str = "key", signature: str = "signature") -> DataFrame:
     """Scans whose signature is new for their key."""
     return scans.dropDuplicates([key, signature])
+
+
+def latest(runs: DataFrame, key: str, run: str) -> DataFrame:
+    """The row of each key with the greatest run: whatever earlier runs bring later is stale.
+
+    In a stream this is for ``foreachBatch``: each batch is joined to the table of latest runs first.
+    """
+    last = runs.groupBy(key).agg(F.max(F.struct(run, *[c for c in runs.columns if c not in (key, run)])).alias("last"))
+    return last.select(key, "last.*")
