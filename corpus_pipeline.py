@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.llm import langid, packing, quality, simhash, suffix
-from reviewspark.llm.common import materialise, table
+from reviewspark.llm.common import forget, materialise, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits of 128 that candidates may differ in: at a Jaccard similarity of 0.8 about 19 do, and more than 38 in one pair of 10^5.
@@ -64,7 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again, over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as used:
+            out = stage(spark, docs, sf_dir)
+        with scratch() as read_next:
+            docs = materialise(out, f"pipeline-{name}")
+        forget(spark, [*used, *read])  # the stage's own tables and its input
+        read = read_next
     return docs
