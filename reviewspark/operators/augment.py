@@ -125,23 +125,39 @@ def quality_gain(final: dict[int, int], text: dict[int, int], target: int, pair:
     return sum(x > 0 for x in lack), sum(lack)
 
 
-def paraphrase(texts: DataFrame, words: dict[str, list[str]], seed: int = 42, key: str = "review_id", text: str = "review_text") -> DataFrame:
-    """Texts with dictionary words replaced, longest first, by a choice that depends on the key alone."""
+def paraphrase(texts: DataFrame, words: dict[str, list[str]], seed: int = 42, key: str = "review_id", text: str = "review_text", evidence: str | None = None) -> DataFrame:
+    """Texts with dictionary words replaced, longest first, by a choice that depends on the key alone: adds ``variant``.
+
+    Every occurrence of a word in a text gets the same replacement. Fields between bars are put in
+    another order, the last (the narrative) stays last; not where there are fewer than three fields or
+    a piece of evidence crosses them. With ``evidence`` (an array of text) its pieces are replaced in
+    the same way and come back as ``variant_evidence``; where one is no longer part of the text, both are null.
+    """
     names = sorted(words, key=lambda w: (-len(w), w))
 
-    @F.pandas_udf("string")
-    def variant(k: pd.Series, t: pd.Series) -> pd.Series:
+    @F.pandas_udf("variant string, variant_evidence array<string>")
+    def variant(k: pd.Series, t: pd.Series, e: pd.Series) -> pd.DataFrame:
+        import random
         import re
         import zlib
 
         pattern = re.compile("|".join(rf"\b{re.escape(w)}\b" for w in names) or r"(?!)", re.I)
 
-        def one(key: str, s: str | None) -> str | None:
+        def one(key: str, s: str | None, pieces: list[str]) -> tuple[str | None, list[str] | None]:
             if s is None:
-                return None
+                return None, None
             pick = lambda m: words[m[0].lower()][zlib.crc32(f"{seed}:{key}:{m[0].lower()}".encode()) % len(words[m[0].lower()])]
-            return pattern.sub(pick, s)
-
-        return pd.Series([one(a, b) for a, b in zip(k, t, strict=True)], dtype=object)
-
-    return texts.withColumn("variant", variant(F.col(key).cast("string"), F.col(text)))
+            out, moved = pattern.sub(pick, s), [pattern.sub(pick, p) for p in pieces]
+            fields = re.split(r"\s*\|\s*", out)
+            if len(fields) > 2 and all(any(p in f for f in fields) for p in moved):
+                order = fields[:-1]
+                random.Random(zlib.crc32(f"{seed}:{key}".encode())).shuffle(order)
+                out = " | ".join([*order, fields[-1]])
+            return (out, moved) if all(p in out for p in moved) else (None, None)
+
+        made = [one(a, b, [] if c is None else list(c)) for a, b, c in zip(k, t, e, strict=True)]
+        return pd.DataFrame({"variant": pd.Series([m[0] for m in made], dtype=object), "variant_evidence": pd.Series([m[1] for m in made], dtype=object)})
+
+    pieces = F.col(evidence) if evidence else F.array().cast("array<string>")
+    out = texts.withColumn("__v", variant(F.col(key).cast("string"), F.col(text), pieces))
+    return out.select(*texts.columns, "__v.variant", *(["__v.variant_evidence"] if evidence else []))

@@ -489,7 +489,8 @@ def similarity(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
     """Best cosine of each review's two image vectors to its text vector; none for every third review."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = e.count()
-    w = r.where("doc_id % 3 <> 0").select("review_id", (F.col("doc_id") % n).alias("tv"), F.posexplode(F.array((F.col("doc_id") * 3 + 1) % n, (F.col("doc_id") * 5 + 2) % n)).alias("pos", "iv"))
+    images = F.when(F.col("doc_id") % 3 != 0, F.array((F.col("doc_id") * 3 + 1) % n, (F.col("doc_id") * 5 + 2) % n))  # null: no image
+    w = r.select("review_id", (F.col("doc_id") % n).alias("tv"), F.posexplode(images).alias("pos", "iv"))
     j = w.join(e.select(F.col("vec_id").alias("tv"), F.col("v").alias("t")), "tv").join(e.select(F.col("vec_id").alias("iv"), F.col("v").alias("i")), "iv")
     return audit.best_image(j.select("review_id", "pos", F.round(C.cosine(F.col("t"), F.col("i")), 6).alias("score")))
 
@@ -757,6 +758,14 @@ def dataset_fingerprint(r: DataFrame) -> DataFrame:
     return audit.fingerprint(r.select("review_id", "product_id", "review_text", "star_rating"), "review_id")
 
 
+@on_reviews("paraphrase_changes", r"SELECT review_id, regexp_matches(lower(review_text), '(^|[^\p{L}\p{N}_])(the|and|de)($|[^\p{L}\p{N}_])') AS changed FROM reviews")
+def paraphrase_changes(r: DataFrame) -> DataFrame:
+    """Whether a variant holds other fields, in whatever order: just where a word of the dictionary stands."""
+    v = augment.paraphrase(r, {"the": ["this", "that"], "and": ["plus"], "de": ["du", "des"]})
+    fields = lambda c: F.array_sort(F.split(c, r"\s*\|\s*"))
+    return v.select("review_id", (fields("variant") != fields("review_text")).alias("changed"))
+
+
 @on_reviews(
     "metric_delta",
     """, s AS (SELECT f.label, count(*) FILTER (r.truth = f.label) AS support, count(*) FILTER (r.pred = f.label) AS predicted, count(*) FILTER (r.truth = f.label AND r.pred = f.label) AS tp, count(*) FILTER (r.star_rating % 4 = f.label) AS predicted2, count(*) FILTER (r.truth = f.label AND r.star_rating % 4 = f.label) AS tp2 FROM four f CROSS JOIN reviews r GROUP BY 1)

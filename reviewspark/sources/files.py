@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions.contract import annotation_pairs, map_polarity, parse_image_urls
 from reviewspark.operators import augment, provenance, splits
+from reviewspark.operators.audit import same_rows
 from reviewspark.sources.reviews import read_reviews
 
 OOF = "review_id string, product_id string, fold int, probability_source string, probabilities array<double>"
@@ -163,3 +164,35 @@ def export_json(payload: DataFrame, analysis: DataFrame, on: str) -> DataFrame:
     """Input and analysis of each key as one JSON document."""
     pack = lambda df, n: df.select(on, F.struct(*[c for c in df.columns if c != on]).alias(n))
     return pack(payload, "input").join(pack(analysis, "analysis"), on).select(on, F.to_json(F.struct(F.lit("1.0").alias("schemaVersion"), "input", "analysis")).alias("document"))
+
+
+def write_bundle(parts: dict[str, DataFrame], path: str, meta: dict[str, object]) -> None:
+    """Tables of a bundle, each in a folder of its name, and behind them a manifest with their rows, columns and the metadata."""
+    if not parts:
+        raise ValueError("a bundle needs a table")
+    spark = next(iter(parts.values())).sparkSession
+    rows = {}
+    for name, df in parts.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        rows[name] = {"rows": spark.read.parquet(f"{path}/{name}").count(), "columns": df.columns}
+    spark.createDataFrame([(json.dumps({**meta, "parts": rows}, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+
+
+def read_bundle(spark: SparkSession, path: str, expected: dict[str, object]) -> dict[str, DataFrame]:
+    """Tables of a bundle whose manifest has the expected metadata and whose tables have the rows and columns it names; others raise."""
+    meta = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    wrong = sorted(k for k, v in expected.items() if meta.get(k) != v)
+    out = {}
+    for name, told in meta["parts"].items():
+        out[name] = spark.read.parquet(f"{path}/{name}")
+        wrong += [name] if (out[name].count(), out[name].columns) != (told["rows"], told["columns"]) else []
+    if wrong:
+        raise ValueError(f"bundle differs: {', '.join(wrong)}")
+    return out
+
+
+def assemble(parts: dict[str, DataFrame], cohorts: tuple[DataFrame, DataFrame], path: str, meta: dict[str, object]) -> None:
+    """Write a bundle, but only of models whose cohorts hold the same rows on the columns they share."""
+    if not same_rows(*cohorts):
+        raise ValueError("the cohorts of the models differ")
+    write_bundle(parts, path, meta)

@@ -187,3 +187,31 @@ def test_results_are_written_once_and_compared_whole(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         S.write_once(df, path)
     assert same_rows(df, spark.read.parquet(path).repartition(3)) and not same_rows(df, df.distinct())
+
+
+def test_bundles_are_assembled_of_equal_cohorts(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "review_id int, side string")
+    path = str(tmp_path / "b")
+    files.assemble({"text": a, "booster": a.limit(1)}, (a, a.repartition(3)), path, {"version": "1"})
+    assert {k: v.count() for k, v in files.read_bundle(spark, path, {"version": "1"}).items()} == {"text": 2, "booster": 1}
+    with pytest.raises(ValueError, match="version"):
+        files.read_bundle(spark, path, {"version": "2"})
+    a.write.mode("append").parquet(f"{path}/text")
+    with pytest.raises(ValueError, match="text"):
+        files.read_bundle(spark, path, {"version": "1"})
+    with pytest.raises(ValueError, match="cohorts"):
+        files.assemble({"text": a}, (a, a.limit(1)), str(tmp_path / "c"), {})
+
+
+def test_paraphrases_keep_evidence_and_move_fields(spark):
+    from reviewspark.operators import augment
+
+    rows = [("k", "Size: big | Color: red | Fit: good | the very good thing and more", ["very good", "big"]), ("l", "a good | b | c", ["good | b"]), ("m", "no word here", []), ("n", None, []), ("o", "good", ["gone"])]
+    df = spark.createDataFrame(rows, "review_id string, review_text string, parts array<string>")
+    got = {r.review_id: r for r in augment.paraphrase(df, {"very good": ["great"], "good": ["fine", "nice"], "and": ["plus"]}, evidence="parts").collect()}
+    fields = got["k"].variant.split(" | ")
+    assert fields[-1] == "the great thing plus more" and {f.split(":")[0] for f in fields[:-1]} == {"Size", "Color", "Fit"} and got["k"].variant_evidence == ["great", "big"]
+    assert got["l"].variant.endswith(" | b | c") and got["m"].variant == "no word here" and got["n"].variant is None
+    assert got["o"].variant is None and got["o"].variant_evidence is None
+    again = {r.review_id: r.variant for r in augment.paraphrase(df.repartition(4), {"very good": ["great"], "good": ["fine", "nice"], "and": ["plus"]}, evidence="parts").collect()}
+    assert again == {k: r.variant for k, r in got.items()}
