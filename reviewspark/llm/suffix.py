@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import materialise, mix, prefix_hash, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import forget, materialise, mix, prefix_hash, scratch, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
 
 PREFIX = 100
 #: Bytes of text in a block, unless one document is longer.
@@ -41,6 +41,8 @@ SEGMENT = 1 << 18
 MOST = np.uint64(2**64 - 1)
 #: Bytes of a hash that stands for a word where passages are counted in words.
 WORD = 4
+#: Words at the head of a suffix that are merged, and parts that copies of a text are looked up in.
+WORDS_MERGED, SALTS = 12, 16
 #: Bytes of text whose suffixes one range of the suffix order takes in.
 RANGE = 128 << 20
 _ONE, _TWO, _THREE, _FOUR = table_of_bytes(91), table_of_bytes(92), table_of_bytes(93), table_of_bytes(94)
@@ -62,17 +64,17 @@ def sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
 class Window:
     """The strings of a block that start in [lo, hi), with the hashes of their prefixes."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, lo: int, hi: int, length: int) -> None:
+    def __init__(self, data: np.ndarray, ends: np.ndarray, lo: int, hi: int, length: int, prefix: int) -> None:
         part = data[lo : min(len(data), hi + length - 1)]
         self.lo, self.n = lo, max(0, min(hi - lo, len(part) - length + 1))
-        w = length - PREFIX + 1
+        w = length - prefix + 1
         if not self.n:
             return
-        at = np.arange(lo, lo + len(part) - PREFIX + 1)
+        at = np.arange(lo, lo + len(part) - prefix + 1)
         end = ends[np.searchsorted(ends, at, side="right")]
         grams = np.arange(len(at))
-        self.h = mix(span_hash(prefix_hash(part, _ONE), grams, grams + PREFIX))
-        self.h[end - at < PREFIX] = MOST
+        self.h = mix(span_hash(prefix_hash(part, _ONE), grams, grams + prefix))
+        self.h[end - at < prefix] = MOST
         self.least = sliding(self.h, w, np.minimum, MOST)[: self.n]
         self.valid = (end - at >= length)[: self.n]
         self.w = w
@@ -100,16 +102,16 @@ class Window:
         return hit + self.lo, self.least[hit]
 
 
-def windows(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[Window]:
+def windows(data: np.ndarray, ends: np.ndarray, length: int, prefix: int) -> Iterator[Window]:
     for lo in range(0, max(0, len(data) - length + 1), SEGMENT):
-        yield Window(data, ends, lo, lo + SEGMENT, length)
+        yield Window(data, ends, lo, lo + SEGMENT, length, prefix)
 
 
 def unpack(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(z), np.uint8)
 
 
-def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFrame:
+def blocks_of(df: DataFrame, keep: list[str], text: str, length: int, prefix: int) -> DataFrame:
     """Documents in blocks: kept columns, lengths, packed text, positions of sparse suffixes and, of those that differ, the sorted order."""
     schema = "block long, meta binary, ends binary, data binary, pos binary, which binary, rep binary, twice binary"
 
@@ -125,10 +127,10 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
                 w.write_table(pa.Table.from_batches(rows).combine_chunks())
             raw = b"".join(texts)
             data, ends = np.frombuffer(raw, np.uint8), np.cumsum([len(t) for t in texts])
-            found = [w.anchors() for w in windows(data, ends, length)]
+            found = [w.anchors() for w in windows(data, ends, length, prefix)]
             pos = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             at: dict[bytes, int] = {}
-            each = [raw[p : p + PREFIX] for p in pos.tolist()]
+            each = [raw[p : p + prefix] for p in pos.tolist()]
             for p, s in zip(pos.tolist(), each, strict=True):
                 at.setdefault(s, p)
             order = sorted(at)
@@ -157,8 +159,8 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int) -> DataFra
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def matrix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return data[at[:, None] + np.arange(PREFIX)]
+def matrix(data: np.ndarray, at: np.ndarray, prefix: int) -> np.ndarray:
+    return data[at[:, None] + np.arange(prefix)]
 
 
 def front_code(m: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -172,8 +174,8 @@ def front_code(m: np.ndarray) -> tuple[np.ndarray, bytes]:
 class Run:
     """A sorted run that is decoded as it is read: the string at its head, and what that shares with the last one taken."""
 
-    def __init__(self, same: bytes, rest: bytes) -> None:
-        self.same, self.rest, self.i, self.at, self.head, self.shared = same, rest, -1, 0, b"", 0
+    def __init__(self, same: bytes, rest: bytes, prefix: int = PREFIX) -> None:
+        self.same, self.rest, self.i, self.at, self.head, self.shared, self.prefix = same, rest, -1, 0, b"", 0, prefix
         self.step()
 
     def step(self) -> None:
@@ -182,7 +184,7 @@ class Run:
             self.head, self.shared = None, -1
             return
         s = self.same[self.i]
-        to = self.at + PREFIX - s
+        to = self.at + self.prefix - s
         self.head, self.shared, self.at = self.head[:s] + self.rest[self.at : to], s, to
 
 
@@ -208,7 +210,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
         h = x.shared
         p, q = x.head[h:], y.head[h:]
         if p == q:
-            y.shared = PREFIX
+            y.shared = y.prefix
             return a, b
         both = h + len(p) - ((int.from_bytes(p) ^ int.from_bytes(q)).bit_length() + 7) // 8
         if p < q:
@@ -240,7 +242,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-def repeated(blocks: DataFrame, n: int) -> DataFrame:
+def repeated(blocks: DataFrame, n: int, prefix: int) -> DataFrame:
     """Of each block, the places (in its sorted order) of sparse suffixes that occur twice anywhere."""
     total = max(1, blocks.count())
 
@@ -249,7 +251,7 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
             for rep, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = np.frombuffer(rep, np.int64)
                 if len(at):
-                    m = matrix(unpack(z), at[len(at) // 32 :: max(1, len(at) // 16)])
+                    m = matrix(unpack(z), at[len(at) // 32 :: max(1, len(at) // 16)], prefix)
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in m])], names=["s"])
 
     share = min(1.0, 4 * n / total)
@@ -270,13 +272,13 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
                         return len(at)
 
                     def __getitem__(self, i: int, at: np.ndarray = at, raw: bytes = raw) -> bytes:
-                        return raw[at[i] : at[i] + PREFIX]
+                        return raw[at[i] : at[i] + prefix]
 
                 edges = [0, *[bisect_left(Keys(), c) for c in cuts], len(at)]
                 out = []
                 for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                     if lo < hi:
-                        same, rest = front_code(matrix(data, at[lo:hi]))
+                        same, rest = front_code(matrix(data, at[lo:hi], prefix))
                         out.append((p, block, lo, same.tobytes(), zstandard.compress(rest, 3), twice[lo:hi]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "base", "same", "rest", "twice"])
 
@@ -294,8 +296,8 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
         hits: list[list[int]] = [[] for _ in rows]
         last: tuple[int, int] | None = None
         open_ = False
-        for run, i, shared in merge([Run(r[3], zstandard.decompress(r[4])) for r in rows]):
-            if shared == PREFIX and last is not None:
+        for run, i, shared in merge([Run(r[3], zstandard.decompress(r[4]), prefix) for r in rows]):
+            if shared == prefix and last is not None:
                 if not open_:
                     hits[last[0]].append(last[1])
                     open_ = True
@@ -363,7 +365,7 @@ BIN, LONG, INT = pa.binary(), pa.int64(), pa.int32()
 STRETCHES = {"block": LONG, "ends": BIN, "start": BIN, "size": BIN, "least": BIN, "one": BIN, "two": BIN, "region": BIN, "data": BIN}
 
 
-def stretches(length: int):  # noqa: ANN201
+def stretches(length: int, prefix: int):  # noqa: ANN201
     """Candidate stretches of each block: starts, numbers of strings, suffix and content hashes; and the text around them alone."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +375,7 @@ def stretches(length: int):  # noqa: ANN201
             pos = np.frombuffer(row["pos"], np.uint32 if len(row["pos"]) == 4 * len(which) else np.int64).astype(np.int64)
             hit = np.zeros(int(which.max()) + 1, bool)
             hit[np.frombuffer(b"".join(row["places"]), np.uint32)] = True
-            found = [w.candidates(pos[hit[which]]) for w in windows(data, ends, length)]
+            found = [w.candidates(pos[hit[which]]) for w in windows(data, ends, length, prefix)]
             at, least = np.concatenate([a for a, _ in found]), np.concatenate([m for _, m in found])
             if not len(at):
                 continue
@@ -417,21 +419,22 @@ class Stretches:
         return at, *string_hashes(unpack(row["data"]), near, near + length)
 
 
-def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False, places: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False, places: bool = False, prefix: int = PREFIX) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty), strings never cross documents, and all are judged on the
     input. Returns the columns ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
     runs) and ``kept`` (binary, or with ``as_text`` a string without the halves of cut characters; with
     ``places`` the starts and ends of the removed runs instead). Rows come out as often as they went in;
-    an empty table gives no rows; columns other than ``keep`` and the text have no part.
+    an empty table gives no rows; columns other than ``keep`` and the text have no part. ``prefix``
+    bytes of a suffix are merged: fewer are cheaper to exchange, but may repeat where strings don't.
     """
     spark = df.sparkSession
-    blocks = materialise(blocks_of(df, keep, text, length), "suffix-blocks")
+    blocks = materialise(blocks_of(df, keep, text, length, prefix), "suffix-blocks")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() * BLOCK // RANGE))
-    again_at = materialise(repeated(blocks, n), "suffix-places")
+    again_at = materialise(repeated(blocks, n, prefix), "suffix-places")
     around = blocks.select("block", "ends", "data", "pos", "which").join(told(again_at, "places"), "block")
-    found = materialise(around.mapInArrow(stretches(length), ", ".join(f"{k} {'long' if t == LONG else 'binary'}" for k, t in STRETCHES.items())), "suffix-stretches")
+    found = materialise(around.mapInArrow(stretches(length, prefix), ", ".join(f"{k} {'long' if t == LONG else 'binary'}" for k, t in STRETCHES.items())), "suffix-stretches")
 
     def send_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(it):
@@ -515,20 +518,21 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
             yield batch([(row["block"], np.stack([lo[first], np.maximum.reduceat(hi, first)]).tobytes())], {"block": LONG, "spans": BIN})
 
     removed = judged.join(told(bits, "bits", "part"), "block", "left").mapInArrow(spans, "block long, spans binary")
-    final = blocks.select("block", "meta", "ends", "data").join(removed, "block", "left")
+    final = blocks.select("block", "meta", "ends", *([] if places else ["data"])).join(removed, "block", "left")
     schema = df.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(it):
             ends = np.frombuffer(row["ends"], np.int64)
             lo, hi = np.frombuffer(row["spans"] or b"", np.int64).reshape(2, -1)
-            raw, out, start = zstandard.decompress(row["data"]), [], 0
+            raw, out, start = b"" if places else zstandard.decompress(row["data"]), [], 0
             place = np.searchsorted(np.searchsorted(ends, lo, side="right"), np.arange(len(ends) + 1))
             for d, end in enumerate(ends.tolist()):
                 a, z = place[d], place[d + 1]
-                edges = [start, *np.stack([lo[a:z], hi[a:z]], 1).ravel().tolist(), end]
-                kept = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((end - start, end - start - len(kept), int(z - a), (np.stack([lo[a:z], hi[a:z]], 1) - start).tobytes() if places else kept))
+                gone = np.stack([lo[a:z], hi[a:z]], 1)
+                edges = [start, *gone.ravel().tolist(), end]
+                kept = (gone - start).tobytes() if places else b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                out.append((end - start, int((gone[:, 1] - gone[:, 0]).sum()), int(z - a), kept))
                 start = end
             base = 0
             for m in pa.ipc.open_stream(row["meta"]).read_all().combine_chunks().to_batches():
@@ -540,13 +544,16 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     return final.mapInArrow(finish, schema)
 
 
-def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str = "text") -> DataFrame:
-    """Remove every word covered by ``words`` words in a row that also start anywhere else: ``keep`` and ``kept``.
+def repeated_passages(df: DataFrame, keep: list[str], words: int = 51, text: str = "text") -> DataFrame:
+    """``keep``, ``n_repeated_words`` and ``spans``: words of each text that are covered by ``words`` words in a row that also start anywhere else.
 
     Words are runs without ASCII white space, of any length in bytes; each stands as a hash of
-    ``WORD`` bytes, so that so many words are one string of fixed length to ``remove_repeats``. Rows
-    come out as often as they went in; a null text becomes an empty one; an empty table gives no rows.
+    ``WORD`` bytes, so that so many words are one string of fixed length to ``remove_repeats``.
+    ``spans`` holds the covered runs (pairs of places in the hashes). Rows come out as often as they
+    went in; a null text is empty; an empty table gives no rows.
     """
+    rows = df.select(*keep, F.col(text).alias("__text"))
+    schema = df.select(*keep).schema.add("__codes", "binary")
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(it, 100):
@@ -555,11 +562,17 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
                 data = np.frombuffer(text_bytes(t.as_py()), np.uint8)
                 start, end = word_bounds(data)
                 out.append((mix(span_hash(prefix_hash(data, _FOUR), start, end)) >> np.uint64(32)).astype(np.uint32).tobytes() if len(start) else b"")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, BIN)], names=coded.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, BIN)], names=schema.names)
+
+    found = remove_repeats(rows.mapInArrow(code, schema), keep, WORD * words, "__codes", places=True, prefix=WORD * WORDS_MERGED)
+    return found.select(*keep, (F.col("n_removed") / WORD).cast("long").alias("n_repeated_words"), F.col("kept").alias("spans"))
+
+
+def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str = "text") -> DataFrame:
+    """Remove every word covered by ``words`` words in a row that also start anywhere else: ``keep`` and ``kept``.
 
-    rows = df.select(*keep, F.col(text).alias("__whole"))
-    coded = rows.select("*").schema.add("__codes", "binary")
-    found = remove_repeats(rows.mapInArrow(code, coded), [*keep, "__whole"], WORD * words, "__codes", places=True)
+    See ``repeated_passages``; a null text becomes an empty one.
+    """
     schema = df.select(*keep).schema.add("kept", "string")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -577,10 +590,23 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.string())], names=schema.names)
 
-    return found.select(*keep, "__whole", "kept").mapInArrow(cut, schema)
+    rows = df.select(*keep, F.col(text).alias("__whole"), F.col(text).alias("__coded"))
+    return repeated_passages(rows, [*keep, "__whole"], words, "__coded").select(*keep, "__whole", "spans").mapInArrow(cut, schema)
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove repeated strings of 400 bytes from all documents."""
-    out = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Remove repeated strings of 400 bytes from all documents, and count the words of repeated passages of over 50 words.
+
+    ``n_repeated_words`` is a further column: a passage of 51 words is mostly shorter than 400 bytes,
+    and stays in the text here. Equal texts have equal counts, so counts are found by the digest of
+    the text. See ``remove_repeats`` and ``repeated_passages``.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    with scratch() as used:
+        words = repeated_passages(docs, ["sha"]).where("n_repeated_words > 0").groupBy("sha").agg(F.max("n_repeated_words").alias("n_repeated_words"))
+    known = materialise(words, "suffix-words")
+    forget(spark, used)
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
+    out = remove_repeats(docs, ["doc_id", "sha"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = out.select("doc_id", "sha", "salt", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.join(salted, ["sha", "salt"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_repeated_words", F.lit(0)).alias("n_repeated_words"))
