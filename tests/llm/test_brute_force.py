@@ -161,3 +161,22 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert passage not in left[9005] and passage not in left[9006] and left[9007] == planted[9007]
     packed = corpus_pipeline.packing_stage(spark, now, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_suffix_query_on_whole_texts(spark, tmp_path):
+    from reviewspark.llm import queries
+
+    passage, long_ = words("xx", 56), words("yy", 120)
+    texts = [f"{words('xx', 40)} {passage} {words('yy', 9)}", f"{passage} {words('yy', 60)}", f"{words('xx', 9)} {long_}", long_, long_, None, "", words("xx", 150)]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)] + [(None, words("yy", 5), None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op9_suffix"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    starts = Counter(t[i : i + 400] for t in (r[1] or "" for r in rows) for i in range(len(t) - 399))
+    for i, t in ((r[0], r[1] or "") for r in rows):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if starts[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        assert (got[i].n_bytes, got[i].n_removed) == (len(t), int(gone.sum()))
+        assert got[i].n_repeated_words == {0: 56, 1: 56, 2: 120, 3: 120, 4: 120}.get(i, 0)
