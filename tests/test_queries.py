@@ -9,8 +9,6 @@ import pytest
 from reviewspark import catalog
 
 BASE = "/root/testdata/sf0.001"
-#: A split with five groups of each class in train does not exist at this scale, and must fail.
-NO_SPLIT = ("split_assignment", "split_search_checks")
 
 
 @pytest.fixture(scope="module")
@@ -38,16 +36,10 @@ def in_order(rows, columns):
     return sorted(repr([plain(r[i]) for i in at]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - set(NO_SPLIT)))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_against_sql(spark, con, name):
     got = catalog.QUERIES[name](spark, BASE)
     want = con.execute(catalog.SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert in_order([tuple(r) for r in got.collect()], got.columns) == in_order(want.fetchall(), columns)
-
-
-def test_split_fails_where_a_class_is_too_rare(spark):
-    for name in NO_SPLIT:
-        with pytest.raises(ValueError, match="no split"):
-            catalog.QUERIES[name](spark, BASE).collect()
