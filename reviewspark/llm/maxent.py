@@ -32,15 +32,17 @@ NGRAMS = 8192
 PLACES = 8192
 ROWS = 2 * (VOCABULARY + 1) + NGRAMS
 #: Bytes of text in a block, unless one document is longer.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 ROUNDS = 4
-#: Rows of 64 floats worked on at once, so that they stay in a core's cache.
-BATCH = 4096
+#: Rows of 64 floats worked on at once.
+BATCH = 16384
 #: Events sorted together before they are worked out.
 EVENTS = 2_000_000
 #: Distinct words of blocks that one range of the hash space takes in.
 RANGE = 2_000_000
 SHARDS = 32
+#: Bytes of text whose gradient one task adds up, so that arrays of fixed size stay small next to the text.
+GRADIENT = 32 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = table_of_bytes(33)
 
@@ -88,9 +90,9 @@ def blocks_of(df: DataFrame, keep: list[str], held_out: str, text: str = "text")
             words, codes = np.unique(h, return_inverse=True)
             learn = ~np.repeat(meta.column(held_out).to_numpy(), sizes)
             counts = np.bincount(codes, learn, len(words)).astype(np.uint32)
-            cells = [first + done, sink.getvalue().to_pybytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts.tobytes(), zstandard.compress(codes.astype(np.uint32).tobytes(), 3), len(words)]
+            cells = [first + done, sink.getvalue().to_pybytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts.tobytes(), zstandard.compress(codes.astype(np.uint32).tobytes(), 3), len(words), sum(map(len, texts))]
             done += 1
-            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "meta", "sizes", "words", "counts", "codes", "n_words"])
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "meta", "sizes", "words", "counts", "codes", "n_words", "n_bytes"])
 
         rows, texts, held = [], [], 0
         for b in sliced(it):
@@ -106,7 +108,7 @@ def blocks_of(df: DataFrame, keep: list[str], held_out: str, text: str = "text")
         if texts:
             yield block(rows, texts)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, "block long, meta binary, sizes binary, words binary, counts binary, codes binary, n_words long")
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, "block long, meta binary, sizes binary, words binary, counts binary, codes binary, n_words long, n_bytes long")
 
 
 def meta_of(raw: bytes) -> pa.Table:
@@ -154,7 +156,8 @@ def word_counts(blocks: DataFrame) -> DataFrame:
         at, part = 0, mine[0][0]
         for r in mine:
             size = len(r[3]) // 4
-            yield made(0, r[1], part, total[back[at : at + size]].tobytes(), b"", 0, 0)
+            told = total[back[at : at + size]]
+            yield made(0, r[1], part, zstandard.compress(told.tobytes(), 1), b"", 0, 0)
             at += size
         top = np.lexsort([kinds, -total])[:OTHER]
         top = top[total[top] > 0]
@@ -203,12 +206,33 @@ def before(x: np.ndarray, steps: int, blank: np.ndarray, fill: object) -> np.nda
     return out
 
 
-def add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
-    """Add each row of p to that row of ``out``."""
-    order = np.argsort(rows, kind="stable")
+def add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray, often: int = 16) -> None:
+    """Add each row of p to that row of ``out``.
+
+    Rows that occur often are summed in one go; of the others the first, second, .. occurrences are
+    added together, so that no call names a row twice.
+    """
+    order = np.argsort(rows, kind="stable")  # 16 bits: a radix sort
     s = rows[order]
     first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-    out[s[first]] += np.add.reduceat(p[order], first, axis=0)
+    size = np.diff(np.append(first, len(s)))
+    hot = size > often
+    if hot.any():
+        out[s[first[hot]]] += np.add.reduceat(p[order[np.repeat(hot, size)]], np.cumsum(size[hot]) - size[hot], axis=0)
+    at, left, k = first[~hot], size[~hot], 0
+    while len(at):
+        out[s[at]] += p[order[at + k]]
+        k += 1
+        at, left = at[left > k], left[left > k]
+
+
+def add_runs(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """The same where equal rows stand together: long runs are summed where they lie."""
+    first = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+    if len(rows) < 16 * len(first):
+        return add_rows(out, rows, p)
+    for r, a, b in zip(rows[first].tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+        out[r] += p[a:b].sum(0)
 
 
 class Model:
@@ -251,14 +275,14 @@ class Model:
     @staticmethod
     def class_features(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Feature rows of the class: last word, skip, n-gram."""
-        part = lambda k: (e >> np.uint64(k) & np.uint64(0xFFFF)).astype(np.int32)
-        return part(16), part(32) + np.int32(VOCABULARY + 1), part(48) + np.int32(2 * (VOCABULARY + 1))
+        part = lambda k: (e >> np.uint64(k)).astype(np.uint16)
+        return part(16), part(32) + np.uint16(VOCABULARY + 1), part(48) + np.uint16(2 * (VOCABULARY + 1))
 
     @staticmethod
     def place_features(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feature rows of the place: last word and n-gram, each with the class."""
         one, pair, c = e >> np.uint64(16) & np.uint64(0xFFFF), e >> np.uint64(48), (e & np.uint64(0xFFFF)) // np.uint64(CLASSES) + np.uint64(1)
-        hashed = lambda x: (mix(x) & np.uint64(PLACES - 1)).astype(np.int32)
+        hashed = lambda x: (mix(x) & np.uint64(PLACES - 1)).astype(np.uint16)
         return hashed(one * MULT + c * np.uint64(0x9E3779B1)), hashed((pair + np.uint64(1 << 20)) * MULT + c)
 
     def class_odds(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -296,9 +320,16 @@ def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np
     Class odds depend on the history alone, and are worked out once for all words that follow one.
     While all rows are zero, what is expected follows from counts of features.
     """
-    y = (e & np.uint64(0xFFFF)).astype(np.int64)
-    cls, place, n = y // CLASSES, y % CLASSES, count.astype(np.float32)
-    tally = lambda rows, of, size: np.bincount(rows.astype(np.int64) * CLASSES + of, count, size * CLASSES).reshape(size, CLASSES)
+    y = e.astype(np.uint16)
+    cls, place, n = (y // CLASSES).astype(np.uint8), (y % CLASSES).astype(np.uint8), count.astype(np.float32)
+
+    def tally(rows: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size * CLASSES)
+        for lo in range(0, len(rows), 1 << 18):
+            some = slice(lo, lo + (1 << 18))
+            out += np.bincount(rows[some].astype(np.int64) * CLASSES + of[some], count[some], size * CLASSES)
+        return out.reshape(size, CLASSES)
+
     cr, pr = model.class_features(e), model.place_features(e)
     gc, gp = sum(tally(r, cls, ROWS) for r in cr), sum(tally(r, place, PLACES) for r in pr)
     if model.fresh:
@@ -314,14 +345,17 @@ def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np
         rows = [r[lo : lo + BATCH] for r in hr]
         p = model.class_odds(rows)
         p *= (times[lo : lo + BATCH] / p.sum(1))[:, None]
-        for r in rows:
-            add_rows(ec, r, p)
+        add_rows(ec, rows[0], p)
+        add_rows(ec, rows[1], p)
+        add_runs(ec, rows[2], p)  # events ascend by n-gram
+    order = np.argsort(pr[1], kind="stable")
+    cls, n, pr = cls[order], n[order], [r[order] for r in pr]
     for lo in range(0, len(e), BATCH):
         rows = [r[lo : lo + BATCH] for r in pr]
         p = model.place_odds(cls[lo : lo + BATCH], rows)
         p *= (n[lo : lo + BATCH] / p.sum(1))[:, None]
-        for r in rows:
-            add_rows(ep, r, p)
+        add_rows(ep, rows[0], p)
+        add_runs(ep, rows[1], p)
     return gc.astype(np.float32), ec, gp.astype(np.float32), ep
 
 
@@ -336,6 +370,8 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS)
     """Fit the feature rows on every position of every training document."""
     spark = blocks.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
+    dealt = blocks.select("meta", "sizes", "words", "codes").coalesce(max(spark.sparkContext.defaultParallelism, -(-size // GRADIENT)))
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
@@ -372,7 +408,7 @@ def train(blocks: DataFrame, model: Model, held_out: str, rounds: int = ROUNDS)
             for s, x in got.items():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["shard", "x"])
 
-        summed = blocks.select("meta", "sizes", "words", "codes").mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary")
+        summed = dealt.mapInArrow(gradient, "shard int, x binary").repartitionById(min(n, 4 * SHARDS), F.col("shard")).mapInArrow(add_up, "shard int, x binary")
         parts = {r["shard"]: np.frombuffer(r["x"], np.float32) for r in summed.collect()}
         if not parts:
             break
@@ -408,7 +444,7 @@ def score_documents(df: DataFrame, held_out: str = "held_out", key: str = "doc_i
         for b in sliced(it, 4):
             for meta, lengths, words, z, totals in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 size, codes = np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(zstandard.decompress(z), np.uint32)
-                total = np.frombuffer(b"".join(totals), np.int64)
+                total = np.frombuffer(b"".join(map(zstandard.decompress, totals)), np.int64)
                 first = np.cumsum(size) - size
                 base = np.log10((total + 0.1) / (m.n + 0.1 * (m.v + 1)))[codes]
                 full = m.log10(m.events(np.frombuffer(words, np.uint64), codes, size), total[codes])
@@ -418,7 +454,7 @@ def score_documents(df: DataFrame, held_out: str = "held_out", key: str = "doc_i
                     names=schema.names,
                 )
 
-    return blocks.join(told, "block").select("meta", "sizes", "words", "codes", "totals").mapInArrow(run, schema)
+    return blocks.drop("counts").join(told, "block").select("meta", "sizes", "words", "codes", "totals").mapInArrow(run, schema)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
