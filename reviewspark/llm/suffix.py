@@ -580,7 +580,7 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
             out = []
             for t, z in zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True):
                 raw, at = text_bytes(t.as_py()), 0
-                gone = np.frombuffer(z.as_py(), np.int64).reshape(-1, 2)
+                gone = np.frombuffer(z.as_py() or b"", np.int64).reshape(-1, 2)
                 kept = []
                 if len(gone):
                     start = [*word_bounds(np.frombuffer(raw, np.uint8))[0].tolist(), len(raw)]
@@ -590,8 +590,12 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.string())], names=schema.names)
 
-    rows = df.select(*keep, F.col(text).alias("__whole"), F.col(text).alias("__coded"))
-    return repeated_passages(rows, [*keep, "__whole"], words, "__coded").select(*keep, "__whole", "spans").mapInArrow(cut, schema)
+    rows = df.select(*keep, F.col(text).alias("__whole"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__sha"))
+    with scratch() as used:  # equal texts have equal runs: those found are looked up by the digest of the text
+        runs = repeated_passages(rows, ["__sha"], words, "__whole").where("n_repeated_words > 0").groupBy("__sha").agg(F.min("spans").alias("spans"))
+    known = materialise(runs, "suffix-runs")
+    forget(df.sparkSession, used)
+    return rows.join(known, "__sha", "left").select(*keep, "__whole", "spans").mapInArrow(cut, schema)
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
