@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.llm import langid, packing, quality, simhash, suffix
-from reviewspark.llm.common import forget, materialise, scratch, table
+from reviewspark.llm.common import bound_batches, forget, materialise, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits of 128 that candidates may differ in: at a Jaccard similarity of 0.8 about 19 do, and more than 38 in one pair of 10^5.
@@ -20,18 +20,21 @@ RADIUS = 38
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the weak-label quality model (fitted on ``labels``) accepts."""
+    bound_batches(spark)
     scorer = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, scorer, COLUMNS).where("accepted").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which one learned language has at least half of the posterior; those without letters go."""
+    bound_batches(spark)
     out = langid.predict(docs, langid.train(docs), keep=COLUMNS)
     return out.where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
+    bound_batches(spark)
     found = simhash.near_copies(docs, words=5, radius=RADIUS, threshold=0.8)
     gone = found.where("doc_id <> component").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -39,12 +42,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every passage of over 50 words that occurs twice, however few bytes it has."""
+    bound_batches(spark)
     out = suffix.remove_passages(docs, ["doc_id", "lang", "source"], words=51)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
+    bound_batches(spark)
     import public_tokenizers as P
 
     return packing.pack_documents(docs, P.path("word_bpe_49k.json"))
