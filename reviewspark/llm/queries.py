@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from reviewspark.llm.align import op12_alignment
 from reviewspark.llm.ann import op7_ann
 from reviewspark.llm.bpe import op10_bpe
+from reviewspark.llm.decontam import OP11_SQL, op11_decontamination
 from reviewspark.llm.langid import op2_language_id
 from reviewspark.llm.maxent import op3_lm_score
+from reviewspark.llm.merkle import OP13_SQL, op13_merkle
 from reviewspark.llm.minhash import op5_fingerprints
 from reviewspark.llm.packing import op1_packing
 from reviewspark.llm.quality import op4_quality
@@ -24,12 +27,17 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix": op9_suffix,
     "op10_bpe": op10_bpe,
+    "op11_decontamination": op11_decontamination,
+    "op12_alignment": op12_alignment,
+    "op13_merkle": op13_merkle,
 }
 
 #: Base32 of a SHA-1 in hexadecimal: eight groups of five digits, each group four letters.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {5 * i + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
 
 SQL = {
+    "op11_decontamination": OP11_SQL,
+    "op13_merkle": OP13_SQL,
     "op6_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
              f AS (SELECT html, min(page_id) AS head FROM p GROUP BY html)
