@@ -84,19 +84,6 @@ def source_issue(category: Column, evidence: Column, polarity: Column, title: Co
     )
 
 
-def greedy_fill(sources: DataFrame, have: DataFrame, target: int) -> DataFrame:
-    """Which source is used for which further row, so that every class reaches ``target``.
-
-    ``sources``: review_id, label, fold, product_id, used, capacity (variants it can still give);
-    ``have``: label, n. The source used least comes first, then by fold, product and id; counts grow as
-    rows are added, so the uses of all sources of a class are ranked together.
-    """
-    uses = sources.where("capacity > 0").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("capacity") - 1))).withColumn("use", F.col("use") + F.col("used"))
-    lack = have.select("label", F.greatest(F.lit(0), F.lit(target) - F.col("n")).alias("lack"))
-    turn = F.row_number().over(Window.partitionBy("label").orderBy("use", "fold", "product_id", "review_id"))
-    return uses.join(F.broadcast(lack), "label").withColumn("turn", turn).where(F.col("turn") <= F.col("lack")).select("label", "turn", "review_id", "use")
-
-
 def best_so_far(history: DataFrame, by: str) -> DataFrame:
     """Of each run the step with the best score, the earliest of equals (``score``, ``step``)."""
     return history.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "step"))).where("r = 1").drop("r")

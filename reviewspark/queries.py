@@ -19,23 +19,24 @@ SQL: dict[str, str] = {}
 THRESHOLDS = [round(0.1 + 0.05 * i, 2) for i in range(17)]
 
 
-def query(name: str, sql: str | None = None, with_relation: bool = True):  # noqa: ANN201
+def query(name: str, sql: str | None = None, with_relation: bool = True, recursive: bool = False):  # noqa: ANN201
     """Register a query, and the SQL that gives the same rows."""
+    relation = R.SQL.replace("WITH", "WITH RECURSIVE", 1) if recursive else R.SQL
 
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = fn
         if sql:
-            SQL[name] = (R.SQL if with_relation else "") + sql
+            SQL[name] = (relation if with_relation else "") + sql
         return fn
 
     return add
 
 
-def on_reviews(name: str, sql: str | None = None):  # noqa: ANN201
+def on_reviews(name: str, sql: str | None = None, recursive: bool = False):  # noqa: ANN201
     """Register a query over the projected reviews."""
 
     def add(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        query(name, sql)(lambda spark, d: fn(R.reviews(spark, d)))
+        query(name, sql, recursive=recursive)(lambda spark, d: fn(R.reviews(spark, d)))
         return fn
 
     return add

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions import contract as C
 from reviewspark.functions import text as T
-from reviewspark.operators import ablation, metrics, panels, reports, summary
+from reviewspark.operators import ablation, fill, metrics, panels, reports, summary
 from reviewspark.plans import relation as R
 from reviewspark.queries import _ABL, _CM, _PRODUCT, _pairs, as_predicted, judged, on_reviews
 from reviewspark.queries_panel import picked, sql_picked
@@ -99,7 +99,42 @@ def greedy_fill(r: DataFrame) -> DataFrame:
     have = t.groupBy("label").agg(F.count("*").alias("n"))
     top = have.agg(F.max("n")).first()[0] or 0
     s = t.select("review_id", "label", "fold", "product_id", (d % 3).cast("int").alias("used"), (d % 5).cast("int").alias("capacity"))
-    return reports.greedy_fill(s, have, top).select("label", F.col("turn").cast("bigint").alias("turn"), "review_id", F.col("use").cast("bigint").alias("use"))
+    counts = {r["label"]: r["n"] for r in have.collect()}
+    return fill.one_target(s, counts, top).select("label", F.col("turn").cast("bigint").alias("turn"), "review_id", F.col("use").cast("bigint").alias("use"))
+
+
+#: Least number of authentic training reviews (with drafts) that hold each pair.
+PAIR_MINIMUM = 12
+
+
+@on_reviews(
+    "greedy_targets",
+    _TRAIN
+    + f""", co AS (SELECT review_id, list(DISTINCT aspect * 3 + sentiment) AS codes FROM gold GROUP BY 1),
+    sr AS (SELECT review_id, label, text_label, doc_id % 3 AS used, doc_id % 5 AS cap, CASE WHEN label = 0 THEN codes END AS codes, row_number() OVER (ORDER BY fold, product_id, review_id) AS i FROM tr JOIN co USING (review_id)),
+    pc AS (SELECT c AS code, count(review_id) AS n FROM (SELECT unnest(range(30)) AS c) LEFT JOIN sr ON list_contains(codes, c) GROUP BY 1),
+    st AS (
+      SELECT 1 AS k, (SELECT list(used ORDER BY i) FROM sr) AS uses, (SELECT list(cap ORDER BY i) FROM sr) AS rest, (SELECT list(n ORDER BY code) FROM pc) AS cnt, (SELECT list(code ORDER BY n, code) FROM pc) AS po,
+             (SELECT list(n ORDER BY label) FROM (SELECT f.label, count(tr.review_id) AS n FROM four f LEFT JOIN tr ON tr.label = f.label GROUP BY 1)) AS q, (SELECT list(n ORDER BY label) FROM (SELECT f.label, count(tr.review_id) AS n FROM four f LEFT JOIN tr ON tr.text_label = f.label GROUP BY 1)) AS t, 0::BIGINT AS goal, 0::BIGINT AS tgoal, 0::BIGINT AS pick, 0::BIGINT AS use, false AS done
+      UNION ALL
+      SELECT k + (k <= 30 AND p IS NULL)::INT, list_transform(uses, lambda x, j: x + (j = coalesce(p, 0))::INT), list_transform(rest, lambda x, j: x - (j = coalesce(p, 0))::INT),
+             list_transform(cnt, lambda x, j: x + coalesce(list_contains(picked.codes, j - 1), false)::INT), po,
+             list_transform(q, lambda x, j: x + coalesce(picked.label + 1 = j, false)::INT), list_transform(t, lambda x, j: x + coalesce(picked.text_label + 1 = j, false)::INT),
+             CASE WHEN k <= 30 THEN list_max(q) ELSE goal END, CASE WHEN k <= 30 THEN list_max(t) ELSE tgoal END, coalesce(p, 0), coalesce(uses[p], 0), k = 31 AND p IS NULL
+      FROM (SELECT st.*, CASE WHEN k <= 30 THEN (SELECT i FROM sr WHERE st.cnt[st.po[st.k] + 1] < {PAIR_MINIMUM} AND list_contains(codes, st.po[st.k]) AND st.rest[i] > 0 ORDER BY st.uses[i], i LIMIT 1)
+            ELSE (SELECT i FROM sr WHERE st.rest[i] > 0 AND (st.goal > st.q[label + 1] OR st.tgoal > st.t[text_label + 1])
+                  ORDER BY (st.goal > st.q[label + 1])::INT + (st.tgoal > st.t[text_label + 1])::INT DESC, st.uses[i], greatest(0, st.goal - st.q[label + 1]) + greatest(0, st.tgoal - st.t[text_label + 1]) DESC, i LIMIT 1) END AS p FROM st WHERE NOT done) LEFT JOIN sr AS picked ON picked.i = p)
+    SELECT review_id, use FROM st JOIN sr ON i = pick""",
+    recursive=True,
+)
+def greedy_targets(r: DataFrame) -> DataFrame:
+    t, d = training(r), F.col("doc_id")
+    pairs = R.gold_pairs(r)
+    s = t.select("review_id", "label", "text_label", "fold", "product_id", (d % 3).cast("int").alias("used"), (d % 5).cast("int").alias("capacity"))
+    own = pairs.join(t.where("label = 0"), "review_id", "left_semi").groupBy("aspect", "sentiment").count().collect()
+    count = lambda c: {x[0]: x[1] for x in t.groupBy(c).count().collect()}
+    out = fill.fill_targets(s, pairs, count("label"), count("text_label"), {(x[0], x[1]): x[2] for x in own}, PAIR_MINIMUM)
+    return out.picks.select("review_id", F.col("use").cast("bigint").alias("use"))
 
 
 _HISTORY = ", hi AS (SELECT product_id AS run, doc_id AS step, ((doc_id * 7) % 11) / 10.0 AS score FROM reviews)"
