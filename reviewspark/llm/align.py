@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewspark.llm.bpe import rounds
 from reviewspark.llm.common import materialise, sliced, table
 from reviewspark.llm.decontam import ranges
 
@@ -94,6 +95,8 @@ class Aligner:
         b_bytes = {i: bytes([int(p.piece[3:5], 16)]) if p.type == pb.ModelProto.SentencePiece.BYTE else p.piece.replace("▁", " ").encode() for i, p in enumerate(model.pieces)}
         self.bytes = a_bytes, b_bytes
         self.size = tuple(np.array([len(x[i]) for i in range(len(x))], np.int64) for x in self.bytes)
+        self.digits = np.array([len(str(i)) for i in range(max(map(len, self.bytes)))], np.int64)
+        self.names = [f"{i}{c}" for i in range(len(self.digits)) for c in ",|;"]
         self.clear()
 
     def clear(self) -> None:
@@ -145,21 +148,28 @@ class Aligner:
         n = int(ends[0][-1]) + 1
         marks = Bitset(n, ends[0]), Bitset(n, ends[1])
         cuts = (marks[0] & marks[1]).select()
-        upto = [np.concatenate([[0], m.rank(cuts)]) for m in marks]
-        na, nb = np.diff(upto[0]), np.diff(upto[1])
+        ua, ub = (np.concatenate([[0], m.rank(cuts)]) for m in marks)
+        na, nb = np.diff(ua), np.diff(ub)
         # Every link: the group's tokens of one side, for each of the other.
         first = np.repeat(np.arange(len(a)), np.repeat(nb, na))
-        second = ranges(np.repeat(upto[1][:-1], na), np.repeat(upto[1][1:], na))
-        pairs = (a[first] << ID) | b[second]
+        second = ranges(np.repeat(ub[:-1], na), np.repeat(ub[1:], na))
+        pairs = ((a[first] << ID) | b[second]).tobytes()
         links = np.concatenate([[0], np.cumsum(na * nb)])
-        part = np.searchsorted(cuts, np.cumsum([len(p.encode("utf-8", "replace")) for p in parts]) - 1) + 1
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        ua, ub = upto[0].tolist(), upto[1].tolist()
-        groups = [f"{','.join(sa[i:j])}|{','.join(sb[k:m])}" for i, j, k, m in zip(ua, ua[1:], ub, ub[1:], strict=False)]
-        lo = 0
-        for p, hi in zip(parts, part.tolist(), strict=True):
-            self.keep(p, (ua[hi] - ua[lo], ub[hi] - ub[lo], hi - lo, int(links[hi] - links[lo])), ";".join(groups[lo:hi]), pairs[links[lo] : links[hi]].tobytes())
-            lo = hi
+        # The groups as text: each id with what follows it, the tokens of a group's two sides one after another.
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[ua[1:] - 1], after_b[ub[1:] - 1] = 1, 2
+        row = np.empty(len(a) + len(b), np.int64)
+        row[np.arange(len(a)) + np.repeat(ub[:-1], na)] = 3 * a + after_a
+        row[np.arange(len(b)) + np.repeat(ua[1:], nb)] = 3 * b + after_b
+        upto = np.concatenate([[0], np.cumsum(self.digits[row // 3] + 1)])
+        text = "".join(map(self.names.__getitem__, row.tolist()))
+        part = np.concatenate([[0], np.searchsorted(cuts, np.cumsum([len(p.encode("utf-8", "replace")) for p in parts]) - 1) + 1])
+        at = ua[part], ub[part], part, links[part]
+        counts = zip(*(np.diff(x).tolist() for x in at), strict=True)
+        ends_of = upto[at[0] + at[1]].tolist()
+        link = (8 * at[3]).tolist()
+        for k, (p, c) in enumerate(zip(parts, counts, strict=True)):
+            self.keep(p, c, text[ends_of[k] : ends_of[k + 1] - 1], pairs[link[k] : link[k + 1]])
 
     def keep(self, part: str, counts: tuple[int, int, int, int], text: str, pairs: bytes) -> None:
         self.known[part] = len(self.counts)
@@ -168,26 +178,23 @@ class Aligner:
         self.pairs.append(pairs)
         self.table = None
 
-    def parts(self, text: str | None) -> np.ndarray:
-        """Numbers of the parts of a space and the text, all known from now on; a null or empty text has none."""
-        out = []
-        for stretch in stretches(" " + text) if text else ():
-            pieces = CUT.split(stretch)
-            fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
-            held, size = [], 0
-            for p in fresh:
-                if p[-1].isspace():  # what follows it could join it
-                    self.align([p])
-                    continue
-                held.append(p)
-                size += len(p)
-                if size > FRESH:
-                    self.align(held)
-                    held, size = [], 0
-            if held:
+    def parts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the numbers of the parts of a space and the text, all known from now on; a null or empty text has none."""
+        rows = [[p for some in stretches(" " + t) for p in CUT.split(some)] if t else [] for t in texts]
+        known = self.known
+        held, size = [], 0
+        for p in dict.fromkeys(p for row in rows for p in row if p not in known):
+            if p[-1].isspace():  # what follows it could join it
+                self.align([p])
+                continue
+            held.append(p)
+            size += len(p)
+            if size > FRESH:
                 self.align(held)
-            out.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+                held, size = [], 0
+        if held:
+            self.align(held)
+        return [np.fromiter(map(known.__getitem__, row), np.int64, len(row)) for row in rows]
 
     def tables(self) -> np.ndarray:
         """Counts of all known parts, a row each."""
@@ -248,7 +255,10 @@ def blocks_of(df: DataFrame, a_path: str, b_path: str, keep: list[str], text: st
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(own)
-        parts, which = np.unique(np.concatenate(docs), return_inverse=True)
+        every = np.concatenate(docs)
+        there = np.zeros(len(al.counts), bool)
+        there[every] = True
+        parts, which = np.flatnonzero(there), (np.cumsum(there) - 1)[every]
         al.use(parts)
         n = max(1, len(parts))
         cell, times = np.unique(np.repeat(np.arange(len(docs)), [len(p) for p in docs]) * n + which, return_counts=True)
@@ -274,16 +284,17 @@ def blocks_of(df: DataFrame, a_path: str, b_path: str, keep: list[str], text: st
         lone, docs, held = [], [], 0
         for b in sliced(it, 100):
             rest = b.select(list(range(b.num_columns - 1)))
-            for i in range(b.num_rows):
-                t = b.column(b.num_columns - 1)[i].as_py()
-                if docs and (held + len(t or "") > BLOCK or len(al.known) > CACHE):
+            texts = b.column(b.num_columns - 1).to_pylist()
+            for some in rounds([len(t or "") for t in texts]):
+                more = sum(len(t or "") for t in texts[some])
+                if docs and (held + more > BLOCK or len(al.known) > CACHE):
                     yield block(first + done, al, lone, docs)
                     lone, docs, held, done = [], [], 0, done + 1
                     if len(al.known) > CACHE:
                         al.make_room()
-                lone.append(rest.slice(i, 1))
-                docs.append(al.parts(t))
-                held += len(t or "")
+                lone.append(rest.slice(some.start, some.stop - some.start))
+                docs += al.parts(texts[some])
+                held += more
         if docs:
             yield block(first + done, al, lone, docs)
 
