@@ -88,7 +88,8 @@ def evidence_segments(c: Column) -> Column:
     clauses = cut(sentences(c), lambda x: F.regexp_replace(x, rf"(?i)\s+(?=({'|'.join(CONNECTORS)})\b)", mark))
     parts = cut(clauses, lambda x: F.regexp_replace(x, r"(\s*[;|])\s*", "$1" + mark))
     out = cut(parts, lambda x: F.when(F.size(F.split(x, r"\s+")) > 20, F.regexp_replace(x, ",", "," + mark)).otherwise(x))
-    return F.when(F.size(out) > 0, out).otherwise(F.array(F.trim(c)))
+    # Bound once: a plain "when" would work the whole expression out for the test and again for the result.
+    return F.transform(F.array(out), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(F.trim(c))))[0]
 
 
 def excerpt(c: Column, query: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,19 +68,39 @@ def multilabel_summary(df: DataFrame) -> DataFrame:
     return m.crossJoin(exact)
 
 
+def threshold_counts(df: DataFrame, candidates: list[float], fallback: str | None = None) -> DataFrame:
+    """``threshold, label, tp, fp, fn`` of rows ``label, truth, p`` for every candidate, from one aggregation.
+
+    Rows are counted by label and cell, the number of candidates that ``p`` reaches; a candidate's counts are those of the cells
+    from its own on. With ``fallback`` (the column that names an instance) the first greatest label of an instance
+    counts as reaching every candidate: it does up to its own chance, and beyond that no other does.
+    """
+    steps = sorted(set(map(float, candidates)))
+    cell = sum(((F.col("p") >= c).cast("int") for c in steps), F.lit(0))
+    if fallback:
+        best = F.max(F.struct("p", (-F.col("label")).alias("back"))).over(Window.partitionBy(fallback))
+        df = df.withColumn("best", best)
+        cell = F.when(F.col("label") == -F.col("best.back"), F.lit(len(steps))).otherwise(cell)
+    counts = df.groupBy("label", F.coalesce(cell, F.lit(0)).alias("cell")).agg(F.count("*").alias("n"), F.count_if(F.col("truth") == 1).alias("hits"))
+    each = counts.select("label", "cell", "n", "hits", F.posexplode(F.array(*map(F.lit, steps))).alias("i", "threshold"))
+    picked = F.col("cell") > F.col("i")
+    some = lambda c, v: F.sum(F.when(c, v).otherwise(0)).cast("bigint")
+    return each.groupBy("threshold", "label").agg(some(picked, F.col("hits")).alias("tp"), some(picked, F.col("n") - F.col("hits")).alias("fp"), some(~picked, F.col("hits")).alias("fn"))
+
+
 def threshold_search(df: DataFrame, candidates: list[float], fallback: str | None = None) -> DataFrame:
     """The candidate with the best macro F1 over labels of ``label, truth, p``; ties to the nearest of 0.5, then the least.
 
     With ``fallback`` (the column that names an instance), one none of whose chances reaches the candidate
     takes its first greatest label.
     """
-    spark = df.sparkSession
-    t = spark.createDataFrame([(float(c),) for c in candidates], "threshold double")
-    pick = F.col("p") >= F.col("threshold")
-    if fallback:
-        best = df.groupBy(fallback).agg(F.max(F.struct("p", (-F.col("label")).alias("back"))).alias("best"))
-        df = df.join(best, fallback)
-        pick = pick | ((F.col("best.p") < F.col("threshold")) & (F.col("label") == -F.col("best.back")))
-    per = multilabel(df.crossJoin(F.broadcast(t)).withColumn("pred", pick.cast("int")), ("threshold",))
-    f = per.groupBy("threshold").agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    f1 = F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 9)
+    f = threshold_counts(df, candidates, fallback).groupBy("threshold").agg(F.round(F.avg(f1), 6).alias("macro_f1"))
     return f.orderBy(F.desc("macro_f1"), F.round(F.abs(F.col("threshold") - 0.5), 9), "threshold").limit(1)
+
+
+def joint_thresholds(detection: DataFrame, sentiment: DataFrame, detection_candidates: list[float], sentiment_candidates: list[float], instance: str) -> DataFrame:
+    """One row: the threshold of polarities, chosen over the instances of gold aspects, and then that of aspect detection, with their macro F1."""
+    s = threshold_search(sentiment, sentiment_candidates, fallback=instance).select(F.col("threshold").alias("sentiment_threshold"), F.col("macro_f1").alias("sentiment_f1"))
+    d = threshold_search(detection, detection_candidates).select(F.col("threshold").alias("detection_threshold"), F.col("macro_f1").alias("detection_f1"))
+    return s.crossJoin(d)  # one row with one

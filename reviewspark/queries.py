@@ -374,9 +374,15 @@ def sentiment_threshold(r: DataFrame) -> DataFrame:
 BASELINE_THRESHOLDS = [0.1 + i * 0.05 for i in range(17)]  # as they come, not rounded
 
 
-@on_reviews("baseline_thresholds", _PICK.replace(str(THRESHOLDS), str(BASELINE_THRESHOLDS)).replace("SELECT threshold, round(avg", "SELECT round(threshold, 12) AS sentiment, round(avg").replace("GROUP BY 1 ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold", "GROUP BY threshold ORDER BY macro_f1 DESC, round(abs(threshold - 0.5), 9), threshold"))
+@on_reviews(
+    "baseline_thresholds",
+    f""" SELECT round(s.threshold, 12) AS sentiment_threshold, s.macro_f1 AS sentiment_f1, round(d.threshold, 12) AS detection_threshold, d.macro_f1 AS detection_f1
+    FROM (WITH {_PICK[2:]}) s, (WITH {_search(10, 3).replace(str(THRESHOLDS), str(BASELINE_THRESHOLDS))[2:]}) d""",
+)
 def baseline_thresholds(r: DataFrame) -> DataFrame:
-    return metrics.threshold_search(_scored(r, 3, 5, 0.15), BASELINE_THRESHOLDS, fallback="doc_id").select(F.round("threshold", 12).alias("sentiment"), "macro_f1")
+    """Both stages: polarities over rounded candidates, then detection over those that aren't."""
+    found = metrics.joint_thresholds(_scored(r, 10, 3), _scored(r, 3, 5, 0.15), BASELINE_THRESHOLDS, THRESHOLDS, "doc_id")
+    return found.withColumns({c: F.round(c, 12) for c in ("sentiment_threshold", "detection_threshold")})
 
 
 def _score_cte(name: str, pairs: str, gate: str) -> str:
