@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, range_cuts, range_of, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
-from reviewspark.llm.simhash import verified_links
+from reviewspark.llm.simhash import set_rows, verified_links
 from reviewspark.operators.graph import connected_components
 
 #: Hash permutations of a fingerprint, each kept as one byte.
@@ -151,9 +151,9 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """Class of near-duplicate texts for each row: ``key, class_id`` (the smallest key of the class).
 
-    Equal texts are one node. Nodes that bands of their signatures chain to each other are a candidate
-    group, in which all pairs not yet joined meet, in tiles; those whose shingle sets have Jaccard
-    similarity ``threshold`` or more join classes. Bands are aggregated, never paired. A null text is
+    Equal texts are one node. The nodes of a bucket (one band of their signatures is equal) that aren't joined yet
+    meet in tiles; those whose shingle sets have Jaccard similarity ``threshold`` or more join classes.
+    Buckets are aggregated, never paired, and those with the same nodes count once. A null text is
     empty and joins other empty ones; null keys are left out of links but kept as their own rows.
     """
     docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -170,9 +170,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(h.view(np.int64).ravel())], names=["node", "band"])
 
     keyed = first.mapInArrow(bands, "node long, band long")
-    near = keyed.join(keyed.groupBy("band").agg(F.min("node").alias("head")), "band").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
-    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "minhash-groups")
-    classes = connected_components(verified_links(first, groups, SHINGLE, 128, threshold, "node"))
+    # Buckets that hold the same nodes count once.
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    buckets = buckets.groupBy("n", "low", "sum").agg(F.min("band").alias("band"))
+    groups = materialise(keyed.join(buckets.select("band"), "band", "left_semi").select(F.col("band").alias("group"), "node"), "minhash-groups")
+    some = first.join(groups.select("node").distinct(), "node", "left_semi")
+    sets = materialise(set_rows(some, SHINGLE, "node", "text", True).select(F.col("key").alias("node"), "fp0", "fp1", "hashes"), "minhash-sets")
+    classes = connected_components(verified_links(sets, groups, 128, threshold))
     return (
         docs.withColumn("sha", sha).join(nodes, "sha", "left").join(classes, "node", "left").select(F.col("key").alias(key), F.coalesce("component", "node").alias("class_id"))
     )

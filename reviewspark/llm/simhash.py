@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,8 +16,8 @@ from reviewspark.operators.graph import connected_components
 
 #: Fingerprints of a tile: larger groups are cut, and each two tiles near enough are a unit of work.
 TILE = 16384
-#: Texts of a tile where shingle sets are compared.
-SET_TILE = 2048
+#: Texts of a tile where shingle sets are compared, and bytes of their sets.
+SET_TILE, SET_BYTES = 2048, 24 << 20
 #: Tiled counts that are sent to all tasks, and parts that a hot group is met in beyond that.
 FEW, SALTS = 100_000, 64
 #: Rows of a tile that meet the others at once.
@@ -88,20 +89,19 @@ def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(fp: np.ndarray, size: np.ndarray, side: np.ndarray, own: np.ndarray, inner: bool, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one unit of work, reduced to a star from the first node of each connected group.
+def near_pairs(fp: np.ndarray, size: np.ndarray, side: np.ndarray, own: np.ndarray, inner: bool, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs in one unit of work, as two arrays of indices for each two strips of rows.
 
     ``fp`` has a row of 64-bit words for each fingerprint. Rows are sorted by population count, and
     strips whose counts differ by more than the radius never meet. Unless ``inner``, only rows of
     different ``side`` meet; of two rows at least one must be ``own``. ``ratio`` is the least ratio
-    of sizes; with it, the radius grows by ``TINY_MORE`` where all sizes are tiny. Returns two arrays of indices.
+    of sizes; with it, the radius grows by ``TINY_MORE`` where all sizes are tiny.
     """
     if ratio and size.max() <= TINY:
         radius += TINY_MORE
     pop = np.bitwise_count(fp).sum(1, dtype=np.int32)
     order = np.argsort(pop, kind="stable")
     f, p, z, sd, ow = fp[order], pop[order], size[order].astype(np.float64), side[order], own[order]
-    left, right = [], []
     for i in range(0, len(f), STRIP):
         to = np.searchsorted(p, p[min(i + STRIP, len(f)) - 1] + radius, side="right")
         for j in range(i, to, 4 * STRIP):
@@ -116,14 +116,26 @@ def compare(fp: np.ndarray, size: np.ndarray, side: np.ndarray, own: np.ndarray,
                 ok &= sd[a] != sd[b]
             if ratio:
                 ok &= np.minimum(z[a], z[b]) >= ratio * np.maximum(z[a], z[b])
-            left.append(a[ok])
-            right.append(b[ok])
-    a, b = np.concatenate(left), np.concatenate(right)
+            yield order[a[ok]], order[b[ok]]
+
+
+def compare(fp: np.ndarray, *unit: object) -> tuple[np.ndarray, np.ndarray]:
+    """The links of ``near_pairs``, reduced to a star from the first node of each connected group."""
+    pairs = list(near_pairs(fp, *unit))
+    a, b = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
     if not len(a):
         return a, b
-    root = settle(len(f), a, b)
-    node = np.flatnonzero(root != np.arange(len(f)))
-    return order[root[node]], order[node]
+    root = settle(len(fp), a, b)
+    node = np.flatnonzero(root != np.arange(len(fp)))
+    return root[node], node
+
+
+def members(fp: np.ndarray, *unit: object) -> np.ndarray:
+    """Rows of a unit of work that are near another."""
+    there = np.zeros(len(fp), bool)
+    for a, b in near_pairs(fp, *unit):
+        there[a] = there[b] = True
+    return np.flatnonzero(there)
 
 
 def block_keys(radius: int, blocks: int) -> list[int]:
@@ -156,7 +168,7 @@ def hot_tiles(keyed: DataFrame) -> DataFrame:
     return near.groupBy("kind", "key", "pop", "first", "last").agg(F.collect_list("other").alias("meets"))
 
 
-def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float = 0.0) -> DataFrame:
+def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float = 0.0, whole: bool = True) -> DataFrame:
     """Links ``src, dst`` between rows ``node, fp0, fp1, size`` that differ in ``radius`` bits or less.
 
     With ``blocks``, rows meet that agree on enough blocks of ``fp0`` (exact, no link is lost); with
@@ -164,7 +176,7 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float
     more than a tile's rows are cut into tiles along their population counts (``hot_tiles``), and
     every two tiles are a unit of work, so that a hot group is dealt over many tasks; tiles whose
     counts differ by more than the radius are never sent to each other. Each unit gives at most one
-    link a row.
+    link a row. If not ``whole``, ``src`` is the number of a unit of work instead, and ``dst`` a row that is near another there.
     """
     spark = nodes.sparkSession
     pop = (F.bit_count("fp0") + F.bit_count("fp1")).cast("int")
@@ -192,11 +204,18 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, ratio: float
     width = 1 if blocks else 2
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         def found(c: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
             src, dst = [c[6][:0]], [c[6][:0]]
             fp = np.stack(c[7 : 7 + width], 1).view(np.uint64)
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a > 1:
+                if b - a > 1 and not whole:
+                    near = members(fp[a:b], c[9][a:b], c[4][a:b], c[5][a:b], c[2][a] == c[3][a], radius, ratio)
+                    number = xxhash.xxh64_intdigest(np.array([c[k][a] for k in range(4)], np.int64).tobytes()) - 2**63
+                    src.append(np.full(len(near), number, np.int64))
+                    dst.append(c[6][a:b][near])
+                elif b - a > 1:
                     x, y = compare(fp[a:b], c[9][a:b], c[4][a:b], c[5][a:b], c[2][a] == c[3][a], radius, ratio)
                     src.append(c[6][a:b][x])
                     dst.append(c[6][a:b][y])
@@ -278,24 +297,18 @@ def verified(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, inner: bo
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links ``src, dst`` between the texts of a candidate group (``node, group``), judged on their shingle sets in tiles."""
-    spark = df.sparkSession
+def verified_links(sets: DataFrame, groups: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """Links ``src, dst`` between texts that meet in a group, judged on their shingle sets.
 
-    def with_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(it):
-            sets = [shingle_set(text_bytes(t.as_py()), words) for t in b.column(2)]
-            fps = np.stack([set_fingerprint(s) for s in sets]) if sets else np.zeros((0, 2), np.int64)
-            # Half of each hash is enough to tell shingles apart.
-            half = pa.array([np.sort(s[:, 0]).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), pa.array(fps[:, 1]), half], names=["group", "node", "fp0", "fp1", "hashes"])
-
-    own = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(groups, "node")
-    own = own.groupBy("group", "node", F.sha2("__text", 256).alias("__sha")).agg(F.first("__text").alias("__text")).select("group", "node", "__text")
-    members = materialise(own.mapInArrow(with_sets, "group long, node long, fp0 long, fp1 long, hashes binary"), "copies-members")
-    tiles = members.groupBy("group").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
+    ``sets``: node, fp0, fp1 and hashes (sorted 64-bit words), one row a node; ``groups``: group, node, where a
+    node may be in several. A group is cut into tiles of bounded rows and bytes, and every two of its tiles are a unit of work.
+    """
+    spark = sets.sparkSession
+    held = sets.join(groups, "node")
+    cut = F.greatest(F.ceil(F.count("*") / SET_TILE), F.ceil(F.sum(F.octet_length("hashes")) / SET_BYTES), F.lit(1)).cast("int")
+    tiles = held.groupBy("group").agg(cut.alias("tiles"))
     dealt = (
-        members.join(tiles, "group")
+        held.join(tiles, "group")
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "fp0", "fp1", "hashes")
@@ -323,34 +336,53 @@ def verified_links(df: DataFrame, groups: DataFrame, words: int, radius: int, th
     return materialise(dealt.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(judge, "src long, dst long"), "copies-sure")
 
 
-def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of texts chained by Jaccard similarity ``threshold`` of their shingle sets: ``key, component``.
+def set_rows(df: DataFrame, words: int, key: str, text: str, hashes: bool) -> DataFrame:
+    """``key``, SHA-256 of the text, digest of the shingle set (d0, d1), fingerprint (fp0, fp1), ``size`` and, if asked for, half of each hash, sorted."""
+    schema = df.select(F.col(key).alias("key")).schema.add("sha", "binary")
+    for c in ("d0", "d1", "fp0", "fp1", "size"):
+        schema = schema.add(c, "long")
+    schema = schema.add("hashes", "binary") if hashes else schema
 
-    Equal sets are one node. Fingerprints of distinct shingles within ``radius`` of 128 bits give
-    candidate groups; every group is then judged on the sets themselves, in tiles, so that only
-    verified links join texts. ``component`` is the smallest key reached (null where all are null);
-    texts without words are equal.
-    """
-    schema = df.select(F.col(key).alias("key")).schema.add("d0", "long").add("d1", "long").add("fp0", "long").add("fp1", "long").add("size", "long")
-
-    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in sliced(it):
-            rows = []
+            rows, half, sha = [], [], []
             for t in b.column(1):
-                s = shingle_set(text_bytes(t.as_py()), words)
+                raw = text_bytes(t.as_py())
+                s = shingle_set(raw, words)
+                sha.append(hashlib.sha256(raw).digest())
                 rows.append([*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8").tolist(), *set_fingerprint(s).tolist(), len(s)])
+                half.append(np.sort(s[:, 0]).tobytes() if hashes else b"")  # enough to tell shingles apart
             c = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5))], names=schema.names)
-
-    docs = materialise(df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(told, schema), "copies")
-    nodes = materialise(docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("node")), "copies-nodes")
-    near = links(nodes.where("node is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9)
-    groups = materialise(connected_components(near).withColumnRenamed("component", "group"), "copies-groups")
-    found = connected_components(verified_links(df, groups, words, radius, threshold, key, text))
-    named = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component"))
-    return docs.join(named, ["d0", "d1"], "left").select(F.col("key").alias(key), "component")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), *(pa.array(c[:, i]) for i in range(5)), *([pa.array(half, pa.binary())] if hashes else [])], names=schema.names)
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def near_copies(df: DataFrame, words: int = 5, radius: int = 38, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of texts chained by Jaccard similarity ``threshold`` of their shingle sets: ``key, sha, component``, a row for each of ``df``.
+
+    ``sha`` is the SHA-256 of the row's text. Equal sets are one node, whatever keys they have, and
+    rows of one key with other texts are nodes of their own. Rows whose fingerprints of distinct shingles are within ``radius`` of 128 bits
+    in some unit of work are judged there on the sets themselves, so that only verified links join texts.
+    ``component`` is the smallest key reached (null where all are null); texts without words are equal.
+    """
+    docs = materialise(set_rows(df, words, key, text, False), "copies")
+    nodes = docs.groupBy("d0", "d1", "fp0", "fp1", "size").agg(F.min("key").alias("first")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "copies-nodes")
+    near = links(nodes.where("first is not null").select("node", "fp0", "fp1", "size"), radius, None, threshold - 1e-9, whole=False)
+    groups = materialise(near.select(F.col("src").alias("group"), F.col("dst").alias("node")), "copies-groups")
+    some = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("d0", "d1", "node", "first")
+    rows = df.join(some.select(F.col("first").alias(key)).distinct(), key, "left_semi")
+    sets = set_rows(rows, words, key, text, True).join(some.withColumnRenamed("first", "key"), ["d0", "d1", "key"])
+    sets = materialise(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "hashes")]), "copies-members")
+    sure = materialise(verified_links(sets, groups, radius, threshold), "copies-sure")
+    found = connected_components(sure).join(nodes.select("node", "first"), "node")
+    least = found.groupBy("component").agg(F.min("first").alias("least"))
+    found = found.join(least, "component").select("node", "least")
+    named = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("least", "first").alias("component"))
+    return docs.join(named, ["d0", "d1"], "left").select(F.col("key").alias(key), "sha", "component")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

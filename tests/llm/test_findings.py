@@ -54,6 +54,32 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert {r.doc_id for r in got.collect()} == kept | {None}
 
 
+def test_near_duplicate_stage_keeps_other_texts_of_an_id(spark):
+    a, b, c = " ".join(prose(80)), " ".join(prose(80)), " ".join(prose(80))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (0, c), (2, c), (2, c + " more"), (4, None), (4, a + " more"), (None, a)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), "")
+    want = [(1, a), (2, b), (0, c), (4, None), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_duplicate_stage_with_chains_of_false_candidates(spark, monkeypatch):
+    """Each text shares three fifths with the next: fingerprints chain them all, shingles none but the planted copies; in small tiles."""
+    monkeypatch.setattr(simhash, "TILE", 24)
+    monkeypatch.setattr(simhash, "SET_TILE", 7)
+    words = prose(120)
+    texts = []
+    for i in range(90):
+        at = 14 * i % 120
+        words = [*words[:at], *prose(14), *words[at + 14 :]][:120]
+        texts.append(" ".join(words))
+    texts += [texts[i] + " more" for i in range(0, 90, 9)]
+    kept, _ = kept_by_brute_force(texts)
+    assert 70 <= len(kept) < 100
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.near_copies(df).collect()
+    assert {r.doc_id for r in found if r.doc_id == r.component} == kept
+
+
 def test_repeats_stage_takes_passages_of_51_words(spark):
     texts, want = [], []
     for n in (20, 50, 51, 52, 55, 60, 300):
