@@ -33,11 +33,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
+    """Keeps the smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more).
+
+    Rows that repeat a kept row stay with it; rows of one id with other texts are judged by their own texts. An empty table gives no rows.
+    """
     bound_batches(spark)
     found = simhash.near_copies(docs, words=5, radius=RADIUS, threshold=0.8)
-    gone = found.where("doc_id <> component").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # A row goes by its key and its own text: other texts under the same key stay.
+    gone = found.where("doc_id <> component").select("doc_id", "sha").distinct()
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.select(*COLUMNS).withColumn("sha", sha).join(gone, ["doc_id", "sha"], "left_anti").select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
