@@ -118,7 +118,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """Count byte contexts for each language on a bounded sample of the labelled rows of ``df``.
 
     ``docs_per_language`` (documented bound) is the expected number of whole documents taken for each
-    language, by a hash of the key; languages with fewer give all. Null languages and texts give none,
+    language, by a hash of the key and the text; languages with fewer give all. Null languages and texts give none,
     nor does an empty table; repeated rows count as often as they occur; other columns have no part.
     """
     labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null and text is not null")
@@ -126,7 +126,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     if not sizes:
         return Model({})
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(2**20, -(-docs_per_language * 2**20 // n))))])
-    taken = labelled.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(2**20)) < share[F.col("lang")])
+    taken = labelled.where(F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(2**20)) < share[F.col("lang")])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame | None, max_docs: int = 8000) -> Sc
     """Fit on a bounded sample of the labelled documents, about ``max_docs`` by a hash of the id (documented bound).
 
     ``labels`` has ``doc_id, quality, toxic`` (either may be null); where it is missing or names no
-    document, the sample is of all documents and only the heuristics vote. Texts that repeat count once.
+    document, the sample is of all documents, by a hash of id and text, and only the heuristics vote. Texts
+    that repeat count once, with the least quality and the most toxicity that any of them is labelled with.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     taken = None
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame | None, max_docs: int = 8000) -> Sc
                 taken = None
     if taken is None:
         n = max(1, base.count())
-        taken = base.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(2**20)) < min(2**20, -(-max_docs * 2**20 // n)))
+        taken = base.where(F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(2**20)) < min(2**20, -(-max_docs * 2**20 // n)))
         taken = taken.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +182,10 @@ def train(docs: DataFrame, labels: DataFrame | None, max_docs: int = 8000) -> Sc
                 names=["sha", "features", "stats", "quality", "toxic"],
             )
 
-    rows = taken.select("doc_id", "text", "quality", "toxic").mapInArrow(extract, "sha binary, features binary, stats binary, quality int, toxic int").toArrow().to_pandas()
-    rows = rows.sort_values("sha").drop_duplicates("sha")
+    # Once a text, before anything goes to the driver.
+    taken = taken.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = taken.select("digest", "text", "quality", "toxic").mapInArrow(extract, "sha binary, features binary, stats binary, quality int, toxic int").toArrow().to_pandas()
+    rows = rows.sort_values("sha")
     if rows.empty:
         return Scorer(np.zeros(SIZE), -1.0, np.zeros((len(LABELLERS), 2)))
     sets = [np.frombuffer(x, np.uint32) for x in rows["features"]]
