@@ -68,6 +68,39 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_details(pages.page_nodes(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")), "lazada").select("page_id", "title")
 
 
+@query(
+    "page_outline",
+    r"""SELECT page_id, len(regexp_extract_all(html, '<a\s'))::INT AS links, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, len(regexp_extract_all(html, '<li>'))::INT AS items,
+    trim(regexp_replace(replace(replace(regexp_extract(html, '<footer>([^<]*)', 1), '&copy;', '©'), '&middot;', '·'), '\s+', ' ', 'g')) AS footer FROM pages""",
+    False,
+)
+def page_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of elements and the text of the footer, of the pages as they are."""
+    n = F.col("nodes")
+    of = lambda tag: F.size(F.filter(n, lambda x: x["tag"] == tag))
+    footer = F.transform(F.filter(n, lambda x: x["tag"] == "footer"), lambda x: pages.clean(pages.text_of(F.col("page_text"), x)))
+    found = pages.page_nodes(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html"))
+    return found.select("page_id", of("a").alias("links"), of("p").alias("paragraphs"), of("li").alias("items"), F.coalesce(F.get(footer, F.lit(0)), F.lit("")).alias("footer"))
+
+
+@query(
+    "product_flags",
+    r"""SELECT page_id, page_id % 3 = 0 AS by_url, page_id % 4 < 3 AS by_schema, page_id % 5 = 0 AS by_mark, CASE WHEN page_id % 4 < 2 THEN name END AS name, CASE WHEN page_id % 4 < 2 THEN page_id % 5 + 0.5 END::DOUBLE AS rating
+    FROM (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS name FROM pages)""",
+    False,
+)
+def product_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as they are, with a shop's address for a third, and with their own heading as embedded product: alone, in a graph, cut off, or not at all."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    k = F.col("page_id")
+    heading = pages.page_details(pages.page_nodes(p), "lazada").select("page_id", "title")
+    product = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.struct((k % 5 + 0.5).alias("ratingValue")).alias("aggregateRating")))
+    other = F.when(k % 4 == 0, product).when(k % 4 == 1, F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, '), product, F.lit("]}"))).when(k % 4 == 2, F.concat(F.substring(product, 1, 20), F.lit(","))).otherwise(F.lit('{"@type": "WebSite"}'))
+    html = F.concat("html", F.lit("<script type='application/ld+json'>"), other, F.lit("</script>"), F.when(k % 5 == 0, "<div class='product-detail'></div>").otherwise(""))
+    url = F.concat(F.lit("https://"), F.when(k % 3 == 0, "shopee.ph").otherwise("e.org"), F.lit("/x-i.1."), k.cast("string"))
+    return pages.product_pages(pages.page_nodes(p.join(heading, "page_id").select("page_id", url.alias("url"), html.alias("html"))), "shopee").drop("description")
+
+
 @query("dated_cards", "SELECT page_id, pos, 'lazada-' || (pos + 1) AS id, 'Body number ' || pos || ' of page ' || page_id AS text FROM pages CROSS JOIN (SELECT unnest([0, 1])::INT AS pos)", False)
 def dated_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards without any known mark, found around their dates."""

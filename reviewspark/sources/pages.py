@@ -1,12 +1,15 @@
 """Reviews and product details of market pages: a page is a row of its nodes, and all rules are expressions over them.
 
-``page_nodes`` is the only Python step: it turns HTML into an array of nodes in document order. What
-is a review card, a text, a rating, a name or an image is decided by adapters (plain data) in
-expressions over that array, so a page never leaves its row and nothing is shuffled.
+``page_nodes`` is the only Python step: it turns HTML into an array of nodes in document order, and indexes them in one
+pass: where a node's text stands in the page's, which part it plays by the adapters (plain data), and the nearest
+node around it that plays some part. What is a review card, a text, a rating, a name or an image is decided in
+expressions over that array, cut to a card's own nodes first, so a page never leaves its row, nothing is shuffled and the work grows with the nodes.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -16,9 +19,13 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions import panel as P
 
-NODE = "i int, last int, up int, tag string, cls string, a map<string,string>, t string"
-BLOCKS = frozenset("div p section article li br dt dd header footer".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: A node: its place, that of its last descendant and of its parent; tag, class, attributes, own text; where its text starts and ends in the
+#: page's; element children; dates in its text, the length of such a text without further white space, and whether no child holds a date; for each market the first rule of each part that it meets (-1: none), and the
+#: nearest node around it, itself included, that plays each of the parts in AROUND (-1: none).
+NODE = "i int, last int, up int, tag string, cls string, a map<string,string>, t string, s int, e int, kids int, dates int, chars int, dated boolean, part array<tinyint>, near array<int>"
+# Elements whose text stands on lines of its own, and elements without an end.
+BLOCKS = frozenset(("div", "p", "section", "article", "li", "br", "dt", "dd", "header", "footer"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 MOST, IMAGES, TITLE, DESCRIPTION, BODY = 20, 5, 500, 2000, 2000
 
 Rule = tuple[str, ...]
@@ -53,23 +60,77 @@ ADAPTERS: dict[str, dict[str, tuple[Rule, ...]]] = {
         "score": (("class", "score-average"), ("class", "pdp-review-summary__link"), ("within", "rating", "class_has", "score")),
     },
 }
+# What names, profile links and images of other things look like.
 HANDLE, NO_HANDLE = r"^[\p{L}\p{N}_.\-*•]{2,100}$", r"(?i)^(?:verified|purchase|helpful|report|reply|follow|variation|seller|shop|like|star|stars)$"
 PROFILE, NO_PROFILE = r"(?i)^/(?:user|profile)/[\w.-]+/?$|^/[\w.-]{2,100}/?$", r"(?i)^/(?:shop|help|product|products|reviews|login)/?$"
 NO_IMAGE = r"avatar|profile|seller|shop|logo|icon|star|emoji"
+#: Parts that don't depend on the market.
+COMMON: dict[str, tuple[Rule, ...]] = {
+    "mark": (("attr", "data-review-id"), ("attr", "data-rating-id"), ("class", "shopee-product-rating"), ("class", "review-item"), ("within", "mod-reviews", "class", "item")),
+    "list": (("class_has", "mod-reviews"), ("class_has", "review-list"), ("attr_has", "data-testid", "review-list")),
+    "star": (("attr_has", "aria-label", "star"), ("attr", "data-rating"), ("attr", "data-star-rating")),
+    "body": (("tag", "p"), ("class_has", "review-content"), ("class_has", "review-comment"), ("class_has", "review-text")),
+    "hidden": (("attr", "hidden"), ("attr_has", "aria-hidden", "true"), ("tag", "button"), ("tag", "time"), ("class_has", "badge"), ("class_has", "verified")),
+    "strip": (("tag", "script"), ("tag", "style"), ("tag", "svg"), ("class_has", "badge"), ("class_has", "verified")),
+    "plain": (("tag", "img"), ("attr_has", "style", "background-image"), ("attr", "poster")),
+    "detail": (("class", "shopee-product-rating"), ("class_has", "product-detail")),
+}
+PARTS = ("review", "username", "content", "rating", "image", "seller", "score", "gone", *COMMON)
+#: Parts whose nearest node around a node is known.
+AROUND = ("gone", "seller", "hidden", "strip", "content", "list", "review")
+
+
+def _test(rule: Rule) -> Callable[[str, str, dict[str, str], list[str]], bool]:
+    """Whether an element (tag, class, attributes, classes around it) meets a rule."""
+    kind, *v = rule
+    if kind == "within":
+        inner = _test(tuple(v[1:]))
+        return lambda tag, cls, a, around: any(v[0] in c for c in around) and inner(tag, cls, a, around)
+    return {
+        "tag": lambda tag, cls, a, around: tag == v[0],
+        "class": lambda tag, cls, a, around: f" {v[0]} " in f" {cls} ",
+        "class_has": lambda tag, cls, a, around: v[0] in cls,
+        "attr": lambda tag, cls, a, around: v[0] in a,
+        "attr_has": lambda tag, cls, a, around: v[1] in a.get(v[0], "").lower(),
+        "meta": lambda tag, cls, a, around: tag == "meta" and a.get(v[0], "") == v[1],
+    }[kind]
+
+
+def _tests(market: str) -> list[list[Callable]]:
+    """The tests of each part of a market, in order."""
+    adapter = ADAPTERS[market] | COMMON
+    adapter["gone"] = (*ADAPTERS[market]["rating"], *ADAPTERS[market]["username"], *NOT_TEXT)
+    return [[_test(r) for r in adapter[p]] for p in PARTS]
 
 
 class _Nodes(HTMLParser):
-    """Elements and texts in document order, each with the place of its last descendant and of its parent."""
+    """Elements and texts in document order as rows of ``NODE``."""
 
-    def __init__(self) -> None:
+    date, year = re.compile(P.REVIEW_DATE, re.ASCII), re.compile(r"20\d{2}[-/.]", re.ASCII)
+
+    def __init__(self, tests: list[list[list[Callable]]]) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[int] = []
+        self.tests, self.rows, self.open, self.size = tests, [], [], 0
 
     def add(self, tag: str, attrs: list[tuple[str, str | None]], text: str) -> int:
-        a = {k: v or "" for k, v in attrs}
-        self.rows.append([len(self.rows), len(self.rows), self.open[-1] if self.open else -1, tag, a.get("class", ""), list(a.items()), text])
-        return len(self.rows) - 1
+        a, at, up = {k: v or "" for k, v in attrs}, len(self.rows), self.open[-1] if self.open else -1
+        cls = a.get("class", "")
+        none = len(PARTS) * len(self.tests)
+        around = self.rows[up][14] if up >= 0 else [-1] * (len(AROUND) * len(self.tests))
+        if tag == "#text":
+            part, near = [-1] * none, around
+        else:
+            classes = [self.rows[i][4] for i in self.open]
+            part = [next((k for k, t in enumerate(ts) if t(tag, cls, a, classes)), -1) for market in self.tests for ts in market]
+            near = [at if part[m * len(PARTS) + PARTS.index(p)] >= 0 else around[m * len(AROUND) + k] for m in range(len(self.tests)) for k, p in enumerate(AROUND)]
+            if up >= 0:
+                self.rows[up][9] += 1
+        self.rows.append([at, at, up, tag, cls, list(a.items()), text, self.size, self.size + len(text), 0, 0, 0, False, part, near])
+        self.size += len(text)
+        return at
+
+    def end(self, i: int) -> None:
+        self.rows[i][1], self.rows[i][8] = len(self.rows) - 1, self.size
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = self.add(tag, attrs, "")
@@ -85,68 +146,84 @@ class _Nodes(HTMLParser):
                 if self.rows[i][3] in BLOCKS:
                     self.handle_data("\n")
                 self.open.pop()
-                self.rows[i][1] = len(self.rows) - 1
+                self.end(i)
                 if self.rows[i][3] == tag:
                     break
 
     def handle_data(self, data: str) -> None:
         self.add("#text", [], data)
 
-    def done(self) -> list[tuple]:
+    def done(self) -> tuple[str, list[tuple]]:
         self.close()
         for i in self.open:
-            self.rows[i][1] = len(self.rows) - 1
-        return [tuple(r) for r in self.rows]
+            self.end(i)
+        text = "".join(r[6] for r in self.rows)
+        years = [m.start() for m in self.year.finditer(text)]
+        held = set()  # nodes a child of which holds a date
+        for r in reversed(self.rows):
+            if r[3] != "#text" and bisect_left(years, r[7]) < bisect_left(years, r[8]):
+                own = " ".join(text[r[7] : r[8]].split())
+                r[10], r[11] = len(self.date.findall(own)), len(own)
+                r[12] = r[10] > 0 and r[0] not in held
+                if r[10]:
+                    held.add(r[2])
+        return text, [tuple(r) for r in self.rows]
 
 
 def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``nodes`` (array of ``NODE``) to pages and drops the HTML; a null page has no nodes."""
+    """Adds ``page_text`` and ``nodes`` (array of ``NODE``) to pages and drops the HTML; a null page has no nodes."""
     keep = [c for c in pages.columns if c != html]
-    schema = pages.select(*keep, F.lit(None).cast(f"array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>").alias("nodes")).schema
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("a", pa.map_(pa.string(), pa.string())), ("t", pa.string())]))
+    fields = ",".join(x.strip().replace(" ", ":", 1) for x in re.split(r", (?=\w+ )", NODE))
+    schema = pages.select(*keep, F.lit("").alias("page_text"), F.lit(None).cast(f"array<struct<{fields}>>").alias("nodes")).schema
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int8()), pa.list_(pa.int32()))
+    kind = pa.list_(pa.struct([(f.name, k) for f, k in zip(schema["nodes"].dataType.elementType, kinds, strict=True)]))
     names = [f.name for f in kind.value_type]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = [_tests(m) for m in ADAPTERS]
         for b in it:
             for lo in range(0, b.num_rows, 100):
-                some, out = b.slice(lo, 100), []
+                some, texts, out = b.slice(lo, 100), [], []
                 for h in some.column(some.num_columns - 1).to_pylist():
-                    parser = _Nodes()
+                    parser = _Nodes(tests)
                     parser.feed(h or "")
-                    out.append([dict(zip(names, r, strict=True)) for r in parser.done()])
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(out, kind)], names=schema.names)
+                    text, rows = parser.done()
+                    texts.append(text)
+                    out.append([dict(zip(names, r, strict=True)) for r in rows])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(texts, pa.string()), pa.array(out, kind)], names=schema.names)
 
     return pages.select(*keep, html).mapInArrow(run, schema)
 
 
-def _rule(n: Column, rule: Rule, nodes: Column) -> Column:
+def _rule(n: Column, rule: Rule) -> Column:
+    """A rule as an expression, for rules of whole pages."""
     kind, *v = rule
     a = lambda k: F.coalesce(F.try_element_at(n["a"], F.lit(k)), F.lit(""))
-    if kind == "tag":
-        return n["tag"] == v[0]
-    if kind == "class":
-        return F.contains(F.concat(F.lit(" "), n["cls"], F.lit(" ")), F.lit(f" {v[0]} "))
-    if kind == "class_has":
-        return F.contains(n["cls"], F.lit(v[0]))
-    if kind == "attr":
-        return F.map_contains_key(n["a"], v[0])
-    if kind == "attr_has":
-        return F.contains(F.lower(a(v[0])), F.lit(v[1]))
-    if kind == "meta":
-        return (n["tag"] == "meta") & (a(v[0]) == v[1])
-    return _rule(n, tuple(v[1:]), nodes) & F.exists(nodes, lambda o: inside(n, o) & F.contains(o["cls"], F.lit(v[0])))
+    return {
+        "tag": lambda: n["tag"] == v[0],
+        "class": lambda: F.contains(F.concat(F.lit(" "), n["cls"], F.lit(" ")), F.lit(f" {v[0]} ")),
+        "class_has": lambda: F.contains(n["cls"], F.lit(v[0])),
+        "attr_has": lambda: F.contains(F.lower(a(v[0])), F.lit(v[1])),
+        "meta": lambda: (n["tag"] == "meta") & (a(v[0]) == v[1]),
+    }[kind]()
+
+
+class Market:
+    """The parts of nodes by one market's rules."""
 
+    def __init__(self, name: str) -> None:
+        self.name, self.adapter, self.at = name, ADAPTERS[name], list(ADAPTERS).index(name)
 
-def any_of(rules: tuple[Rule, ...], nodes: Column) -> Callable[[Column], Column]:
-    """Whether a node meets one of the rules."""
+    def rank(self, n: Column, part: str) -> Column:
+        """The first rule of a part that a node meets, or -1."""
+        return F.get(n["part"], F.lit(self.at * len(PARTS) + PARTS.index(part)))
 
-    def test(n: Column) -> Column:
-        out = F.lit(False)
-        for r in rules:
-            out = out | _rule(n, r, nodes)
-        return (n["tag"] != "#text") & out
+    def plays(self, n: Column, part: str) -> Column:
+        return self.rank(n, part) >= 0
 
-    return test
+    def near(self, n: Column, part: str) -> Column:
+        """Place of the nearest node around a node, itself included, that plays a part, or -1."""
+        return F.get(n["near"], F.lit(self.at * len(AROUND) + AROUND.index(part)))
 
 
 def inside(n: Column, outer: Column) -> Column:
@@ -157,10 +234,9 @@ def within(n: Column, outers: Column) -> Column:
     return F.exists(outers, lambda o: (n["i"] >= o["i"]) & (n["i"] <= o["last"]))
 
 
-def text_of(nodes: Column, n: Column, but: Column | None = None) -> Column:
-    """Text below a node, without what stands in the nodes ``but``."""
-    own = F.filter(nodes, lambda x: (x["tag"] == "#text") & inside(x, n) if but is None else (x["tag"] == "#text") & inside(x, n) & ~within(x, but))
-    return F.array_join(F.transform(own, lambda x: x["t"]), "")
+def text_of(text: Column, n: Column, start: Column | int = 0) -> Column:
+    """Text below a node, out of a text that starts at ``start`` in the page's."""
+    return F.substr(text, n["s"] - start + 1, n["e"] - n["s"])
 
 
 def clean(c: Column) -> Column:
@@ -183,145 +259,174 @@ def attribute(n: Column, name: str) -> Column:
 
 
 def top_level(found: Column) -> Column:
-    """Nodes that stand in no other of them."""
-    return let(found, lambda all_: F.filter(all_, lambda n: ~F.exists(all_, lambda o: inside(n, o))))
+    """Nodes that stand in no other of them: those that start behind all that came before."""
+    step = lambda s, n: F.when(n["i"] > s["last"], F.struct(n["last"].alias("last"), F.concat(s["all"], F.array(n["i"])).alias("all"))).otherwise(s)
+    first = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("all"))
+    return let(F.aggregate(found, first, step, lambda s: s["all"]), lambda at: F.filter(found, lambda n: F.array_contains(at, n["i"])))
 
 
-def credible(nodes: Column, n: Column) -> Column:
+def credible(nodes: Column, n: Column, m: Market) -> Column:
     """Whether a node that looks like a review card is one."""
-    mark = any_of((("attr", "data-review-id"), ("attr", "data-rating-id"), ("class", "shopee-product-rating"), ("class", "review-item"), ("within", "mod-reviews", "class", "item")), nodes)
-    star, body = any_of((("attr_has", "aria-label", "star"), ("attr", "data-rating"), ("attr", "data-star-rating")), nodes), any_of((("tag", "p"), ("class_has", "review-content"), ("class_has", "review-comment"), ("class_has", "review-text")), nodes)
-    listed = F.exists(nodes, lambda o: inside(n, o) & (F.contains(o["cls"], F.lit("mod-reviews")) | F.contains(o["cls"], F.lit("review-list"))))
-    return mark(n) | P.has_review_date(text_of(nodes, n)) | (listed & F.exists(nodes, lambda x: inside(x, n) & star(x)) & F.exists(nodes, lambda x: inside(x, n) & body(x)))
+    own = lambda part: F.exists(F.slice(nodes, n["i"] + 2, n["last"] - n["i"]), lambda x: m.plays(x, part))
+    return m.plays(n, "mark") | (n["dates"] > 0) | ((m.near(n, "list") >= 0) & own("star") & own("body"))
 
 
 def dated_cards(nodes: Column) -> Column:
-    """Cards around dates: from each innermost date at most eight parents up, the outermost with one date and 20 to 2,500 characters."""
-    state = lambda going, best: F.struct(going.alias("going"), best.cast("int").alias("best"))
-    count = F.transform(nodes, lambda n: F.when(n["tag"] == "#text", 0).otherwise(F.regexp_count(clean(text_of(nodes, n)), F.lit(P.REVIEW_DATE))))
+    """Cards around dates: from each innermost date at most eight parents up, the outermost with one date and 20 to 2,500 characters ."""
+    state = lambda at, going, best: F.struct(at.cast("int").alias("at"), going.alias("going"), best.cast("int").alias("best"))
 
-    def chosen(counts: Column) -> Column:
-        dates = lambda n: F.get(counts, n["i"])
-        marker = lambda n: n["tag"].isin("time", "span", "div", "p") & (dates(n) > 0) & ~F.exists(nodes, lambda c: (c["up"] == n["i"]) & (dates(c) > 0))
+    def climb(s: Column, _: Column) -> Column:
+        a = F.get(nodes, F.when(s["at"] >= 0, s["at"]))
+        go = F.coalesce(s["going"] & (s["at"] >= 0) & (a["dates"] <= 1), F.lit(False))
+        return state(F.when(go, a["up"]).otherwise(F.lit(-1)), go, F.when(go & (a["dates"] == 1) & a["chars"].between(20, 2500), a["i"]).otherwise(s["best"]))
 
-        def climb(s: Column, a: Column) -> Column:
-            go = s["going"] & (dates(a) <= 1)
-            return state(go, F.when(go & (dates(a) == 1) & F.length(clean(text_of(nodes, a))).between(20, 2500), a["i"]).otherwise(s["best"]))
+    best = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(8)), state(n["up"], F.lit(True), F.lit(-1)), climb, lambda s: s["best"])
+    markers = F.filter(nodes, lambda n: n["dated"] & n["tag"].isin("time", "span", "div", "p"))
+    return let(F.array_sort(F.array_distinct(F.transform(markers, best))), lambda at: F.transform(F.filter(at, lambda i: i >= 0), lambda i: F.get(nodes, i)))
 
-        def best(n: Column) -> Column:
-            parents = F.slice(F.reverse(F.filter(nodes, lambda a: (a["tag"] != "#text") & inside(n, a))), 1, 8)
-            return F.aggregate(parents, state(F.lit(True), F.lit(-1)), climb, lambda s: s["best"])
 
-        return F.array_distinct(F.transform(F.filter(nodes, marker), best))
+def cards(nodes: Column, m: Market) -> Column:
+    """Review cards of a page, each with its own nodes: known ones that are credible, else those around dates."""
+    known = top_level(F.filter(F.filter(nodes, lambda n: m.plays(n, "review")), lambda n: credible(nodes, n, m)))
+    found = let(known, lambda k: F.when(F.size(k) > 0, k).otherwise(top_level(dated_cards(nodes))))
+    return F.transform(found, lambda c: F.struct(c.alias("card"), below(nodes, c).alias("own")))
 
-    return let(let(count, chosen), lambda at: F.filter(nodes, lambda n: F.array_contains(at, n["i"])))
 
+def seller_replies(own: Column, card: Column, text: Column, m: Market) -> Column:
+    """Nodes of a card that hold what the seller answered: by their marks, or around a lone text that says so."""
+    alone = lambda n: (n["kids"] == 0) & n["tag"].isin("div", "section", "article", "p", "span") & P.seller_reply(clean(text_of(text, n, card["s"])))
+    parents = F.transform(F.filter(own, alone), lambda n: F.when(n["up"] == card["i"], n["i"]).otherwise(n["up"]))
+    return let(parents, lambda up: F.filter(own, lambda n: m.plays(n, "seller") | F.array_contains(up, n["i"])))
 
-def cards(nodes: Column, rules: tuple[Rule, ...]) -> Column:
-    """Review cards of a page: known ones that are credible, else those around dates."""
-    known = top_level(F.filter(F.filter(nodes, any_of(rules, nodes)), lambda n: credible(nodes, n)))
-    return let(known, lambda k: F.when(F.size(k) > 0, k).otherwise(dated_cards(nodes)))
 
-
-def seller_replies(nodes: Column, card: Column, rules: tuple[Rule, ...]) -> Column:
-    """Nodes of a card that hold what the seller answered."""
-
-    def found(own: Column) -> Column:
-        alone = lambda n: n["tag"].isin("div", "section", "article", "p", "span") & ~F.exists(own, lambda c: (c["up"] == n["i"]) & (c["tag"] != "#text")) & P.seller_reply(clean(text_of(own, n)))
-        parents = F.transform(F.filter(own, alone), lambda n: F.when(n["up"] == card["i"], n["i"]).otherwise(n["up"]))
-        return let(parents, lambda up: F.filter(own, lambda n: any_of(rules, nodes)(n) | F.array_contains(up, n["i"])))
-
-    return let(below(nodes, card), found)
-
-
-def card_text(nodes: Column, card: Column, adapter: dict[str, tuple[Rule, ...]], replies: Column) -> Column:
+def card_text(own: Column, card: Column, text: Column, m: Market, replies: Column, author: Column) -> Column:
     """The longest body of a card, without replies, ratings, names and counters; blank without any."""
+    named = lambda x: F.coalesce((x["i"] >= author["i"]) & (x["i"] <= author["last"]), F.lit(False))
 
-    def bodies(own: Column) -> Column:
-        def of(gone: Column) -> Column:
-            found = F.transform(F.filter(own, lambda n: any_of(adapter["content"], nodes)(n) & ~within(n, replies)), lambda n: P.body_text(text_of(own, n, gone)))
-            return let(F.filter(found, lambda t: F.length(t).between(1, BODY) & ~P.seller_reply(t)), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(P.body_text(text_of(own, card, gone)))))
-
-        return let(F.concat(replies, F.filter(own, any_of((*adapter["rating"], *adapter["username"], *NOT_TEXT), nodes))), of)
+    def body(n: Column) -> Column:
+        stays = lambda x: (x["tag"] == "#text") & inside(x, n) & (m.near(x, "gone") <= n["i"]) & ~named(x) & ~F.exists(replies, lambda o: (o["i"] > n["i"]) & (x["i"] >= o["i"]) & (x["i"] <= o["last"]))
+        return P.body_text(F.array_join(F.transform(F.filter(F.slice(own, n["i"] - card["i"] + 1, n["last"] - n["i"] + 1), stays), lambda x: x["t"]), ""))
 
-    kept = F.filter(let(below(nodes, card), bodies), lambda t: ~t.rlike(r"^\d{1,2}[\s/:.-]"))
+    found = F.transform(F.filter(own, lambda n: m.plays(n, "content") & ~within(n, replies)), body)
+    bodies = let(F.filter(found, lambda t: F.length(t).between(1, BODY) & ~P.seller_reply(t)), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(body(card))))
+    kept = F.filter(bodies, lambda t: ~t.rlike(r"^\d{1,2}[\s/:.-]"))
     return F.substring(F.aggregate(kept, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)), 1, BODY)
 
 
-def card_rating(nodes: Column, card: Column, rules: tuple[Rule, ...]) -> Column:
-    """A stated rating, else filled stars, else the width of a bar."""
+def first_of(own: Column, m: Market, part: str) -> Column:
+    """Of a card's inner nodes the first that meets the first rule of a part that any meets; null without one."""
+    some = F.filter(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda n: m.plays(n, part))
+    by = lambda n: F.struct(m.rank(n, part).alias("rank"), n["i"].alias("i"))
+    return let(F.array_min(F.transform(some, by)), lambda best: F.get(F.filter(some, lambda n: n["i"] == best["i"]), F.lit(0)))
 
-    def rating(own: Column) -> Column:
-        said = lambda n: P.rating_in_text(F.concat_ws(" ", attribute(n, "aria-label"), attribute(n, "data-rating"), attribute(n, "data-star-rating"), text_of(own, n)))
-        stated = F.get(F.filter(F.transform(F.concat(F.array(card), F.filter(own, any_of(rules, nodes))), said), lambda x: x.isNotNull()), F.lit(0))
-        filled = F.size(F.filter(own, lambda n: F.contains(n["cls"], F.lit("star")) & n["cls"].rlike("full|filled|active") | F.contains(n["cls"], F.lit("icon-rating-solid"))))
-        width = P.rating_of_width(F.array_join(F.transform(own, lambda n: attribute(n, "style")), " "))
-        return F.coalesce(stated, F.when(filled.between(1, 5), filled.cast("double")), width.cast("double"))
 
-    return let(below(nodes, card), rating)
-
-
-def card_username(nodes: Column, card: Column, rules: tuple[Rule, ...], replies: Column) -> Column:
-    """The visible name of a card's author by its marks, else of a link to a profile; blank without any."""
-
-    def named(own: Column) -> Column:
-        badge = F.filter(own, any_of((("tag", "script"), ("tag", "style"), ("tag", "svg"), ("class_has", "badge"), ("class_has", "verified")), nodes))
-
-        def of(gone: Column) -> Column:
-            name = lambda n: F.regexp_replace(clean(text_of(own, n, gone)), r"(?i)^by\s+", "")
-            path = lambda n: F.regexp_replace(F.coalesce(attribute(n, "href"), F.lit("")), r"^https?://[^/]+|[?#].*$", "")
-            free = lambda n: (n["i"] > card["i"]) & ~within(n, replies)
-            marked = F.filter(F.transform(F.filter(own, lambda n: any_of(rules, nodes)(n) & free(n)), name), lambda t: F.length(t).between(1, 100))
-            linked = F.transform(F.filter(own, lambda n: (n["tag"] == "a") & free(n) & path(n).rlike(PROFILE) & ~path(n).rlike(NO_PROFILE)), name)
-            return F.coalesce(F.get(marked, F.lit(0)), F.get(F.filter(linked, lambda t: t.rlike(HANDLE) & ~t.rlike(NO_HANDLE)), F.lit(0)), F.lit(""))
-
-        return let(badge, of)
-
-    return let(below(nodes, card), named)
-
-
-def card_images(nodes: Column, card: Column, rules: tuple[Rule, ...], replies: Column) -> Column:
+def card_rating(own: Column, card: Column, text: Column, m: Market) -> Column:
+    """A stated rating, else filled stars, else the width of a bar."""
+    said = lambda n: P.rating_in_text(F.concat_ws(" ", attribute(n, "aria-label"), attribute(n, "data-rating"), attribute(n, "data-star-rating"), text_of(text, n, card["s"])))
+    stated = F.get(F.filter(F.transform(F.concat(F.array(card), F.filter(own, lambda n: m.plays(n, "rating"))), said), lambda x: x.isNotNull()), F.lit(0))
+    filled = F.size(F.filter(own, lambda n: F.contains(n["cls"], F.lit("star")) & n["cls"].rlike("full|filled|active") | F.contains(n["cls"], F.lit("icon-rating-solid"))))
+    width = P.rating_of_width(F.array_join(F.transform(own, lambda n: attribute(n, "style")), " "))
+    return F.coalesce(stated, F.when(filled.between(1, 5), filled.cast("double")), width.cast("double"))
+
+
+def card_author(own: Column, card: Column, m: Market, replies: Column, host: Column) -> Column:
+    """``name, i, last`` of the node that names a card's author, or null: by its marks, else a link to a profile of the
+    same host, else the first leaf before the rating that reads like a handle. Hidden nodes, badges, replies and, without marks, bodies name nobody."""
+    free = lambda n: (n["i"] > card["i"]) & (m.near(n, "hidden") < 0) & ~within(n, replies)
+    outside = lambda n: m.near(n, "content") <= card["i"]
+
+    def read(n: Column) -> Column:
+        parts = F.filter(F.slice(own, n["i"] - card["i"] + 1, n["last"] - n["i"] + 1), lambda x: (x["tag"] == "#text") & (m.near(x, "strip") <= n["i"]))
+        return F.regexp_replace(clean(F.array_join(F.transform(parts, lambda x: x["t"]), "")), r"(?i)^by\s+", "")
+
+    named = lambda ns, ok: F.filter(F.transform(ns, lambda n: F.struct(read(n).alias("name"), n["i"].alias("i"), n["last"].alias("last"), m.rank(n, "username").alias("rank"))), lambda x: ok(x["name"]))
+    handle = lambda t: t.rlike(HANDLE) & ~t.rlike(NO_HANDLE)
+    href = lambda n: F.coalesce(attribute(n, "href"), F.lit(""))
+    path = lambda n: F.regexp_replace(href(n), r"^https?://[^/]+|[?#].*$", "")
+    other = lambda n: F.coalesce(F.lower(F.nullif(F.regexp_extract(href(n), r"(?i)^https?://([^/?#:]+)", 1), F.lit(""))) != F.lower(host), F.lit(False)) | href(n).rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:")
+    marked = named(F.filter(own, lambda n: m.plays(n, "username") & free(n)), lambda t: F.length(t).between(1, 100))
+    linked = named(F.filter(own, lambda n: (n["tag"] == "a") & free(n) & outside(n) & ~other(n) & path(n).rlike(PROFILE) & ~path(n).rlike(NO_PROFILE)), handle)
+    leaves = let(first_of(own, m, "rating"), lambda r: named(F.filter(own, lambda n: n["tag"].isin("a", "span", "div") & (n["kids"] == 0) & free(n) & outside(n) & F.coalesce(n["i"] < r["i"], F.lit(False))), handle))
+    best = F.array_min(F.transform(marked, lambda x: F.struct(x["rank"].alias("rank"), x["i"].alias("i"), x["last"].alias("last"), x["name"].alias("name"))))
+    pick = lambda x: F.struct(x["name"].alias("name"), x["i"].alias("i"), x["last"].alias("last"))
+    return F.coalesce(let(best, lambda b: F.when(b.isNotNull(), pick(b))), F.get(F.transform(linked, pick), F.lit(0)), F.get(F.transform(leaves, pick), F.lit(0)))
+
+
+def card_images(own: Column, m: Market, replies: Column) -> Column:
     """At most five different addresses of a card's images."""
     drawn = lambda n: F.nullif(F.regexp_extract(F.coalesce(attribute(n, "style"), F.lit("")), r"(?i)background-image\s*:\s*url\(([^)]+)\)", 1), F.lit(""))
     url = lambda n: P.web_url(F.coalesce(attribute(n, "src"), attribute(n, "data-src"), attribute(n, "data-ks-lazyload"), attribute(n, "poster"), drawn(n)))
+    marked, plain = F.filter(own, lambda n: m.plays(n, "image")), F.filter(own, lambda n: m.plays(n, "plain"))
+    chosen = let(marked, lambda x: F.when(F.size(x) > 0, x).otherwise(plain))
+    shown = F.filter(chosen, lambda n: ~within(n, replies) & ~F.lower(F.concat_ws(" ", n["cls"], attribute(n, "alt"))).rlike(NO_IMAGE))
+    return F.slice(F.array_distinct(F.filter(F.transform(shown, url), lambda u: u.isNotNull())), 1, IMAGES)
 
-    def found(own: Column) -> Column:
-        marked = F.filter(own, any_of(rules, nodes))
-        plain = F.filter(own, any_of((("tag", "img"), ("attr_has", "style", "background-image"), ("attr", "poster")), nodes))
-        chosen = let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(plain))
-        shown = F.filter(chosen, lambda n: ~within(n, replies) & ~F.lower(F.concat_ws(" ", n["cls"], attribute(n, "alt"))).rlike(NO_IMAGE))
-        return F.slice(F.array_distinct(F.filter(F.transform(shown, url), lambda u: u.isNotNull())), 1, IMAGES)
-
-    return let(below(nodes, card), found)
 
-
-def page_reviews(pages: DataFrame, market: str, page: str = "page_id") -> DataFrame:
+def page_reviews(pages: DataFrame, market: str, page: str = "page_id", url: str | None = None) -> DataFrame:
     """One row a review card of pages of a market: ``page, pos, id, username, text, rating, urls, seller_replies``.
 
-    ``pages`` has ``page`` and ``nodes``. Cards without text, rating and image, repeated texts and those
-    beyond the limit are for ``panels.accepted`` to leave out.
+    ``pages`` has ``page`` and what ``page_nodes`` adds; with ``url``, links to other hosts name nobody. Cards without text,
+    rating and image, repeated texts and those beyond the limit are for ``panels.accepted`` to leave out.
     """
-    adapter, nodes = ADAPTERS[market], F.col("nodes")
-    card = pages.select(page, "nodes", F.posexplode(cards(nodes, adapter["review"])).alias("pos", "card"))
-    card = card.withColumn("replies", seller_replies(nodes, F.col("card"), adapter["seller"]))
-    c, replies = F.col("card"), F.col("replies")
+    m = Market(market)
+    host = F.regexp_extract(F.col(url), r"(?i)^https?://([^/?#:]+)", 1) if url else F.lit(None).cast("string")
+    whole = F.col("page_text")
+    found = F.transform(cards(F.col("nodes"), m), lambda c: F.struct(c["card"].alias("card"), c["own"].alias("own"), text_of(whole, c["card"]).alias("text")))
+    card = pages.select(page, host.alias("host"), F.posexplode(found).alias("pos", "c")).select(page, "host", "pos", "c.*")
+    c, own, text, replies, author = (F.col(x) for x in ("card", "own", "text", "replies", "author"))
+    card = card.withColumn("replies", seller_replies(own, c, text, m)).withColumn("author", card_author(own, c, m, replies, F.col("host")))
     return card.select(
-        page, "pos", F.concat(F.lit(f"{market}-"), F.coalesce(attribute(c, "data-review-id"), attribute(c, "id"), (F.col("pos") + 1).cast("string"))).alias("id"), card_username(nodes, c, adapter["username"], replies).alias("username"), card_text(nodes, c, adapter, replies).alias("text"),
-        card_rating(nodes, c, adapter["rating"]).alias("rating"), card_images(nodes, c, adapter["image"], replies).alias("urls"), F.size(replies).alias("seller_replies"),
+        page, "pos", F.concat(F.lit(f"{market}-"), F.coalesce(attribute(c, "data-review-id"), attribute(c, "id"), (F.col("pos") + 1).cast("string"))).alias("id"), F.coalesce("author.name", F.lit("")).alias("username"),
+        card_text(own, c, text, m, replies, author).alias("text"), card_rating(own, c, text, m).alias("rating"), card_images(own, m, replies).alias("urls"), F.size(replies).alias("seller_replies"),
     )
 
 
 def page_details(pages: DataFrame, market: str, page: str = "page_id") -> DataFrame:
     """Title, description and overall rating of each page of a market (blank or null where it states none)."""
-    adapter, nodes = ADAPTERS[market], F.col("nodes")
-    content = lambda n: F.when(n["tag"] == "meta", F.coalesce(F.try_element_at(n["a"], F.lit("content")), F.lit(""))).otherwise(text_of(nodes, n))
+    m, nodes, whole = Market(market), F.col("nodes"), F.col("page_text")
+    content = lambda n: F.when(n["tag"] == "meta", F.coalesce(F.try_element_at(n["a"], F.lit("content")), F.lit(""))).otherwise(text_of(whole, n))
+
+    def met(rule: Rule) -> Column:
+        return F.get(F.filter(F.transform(F.filter(nodes, lambda n: (n["tag"] != "#text") & _rule(n, rule)), lambda n: clean(content(n))), lambda t: t != ""), F.lit(0))
 
     def first(rules: tuple[Rule, ...]) -> Column:
-        found = [F.get(F.filter(F.transform(F.filter(nodes, any_of((r,), nodes)), lambda n: clean(content(n))), lambda t: t != ""), F.lit(0)) for r in rules]
-        return F.coalesce(*found, F.lit(None).cast("string"))
+        return F.coalesce(*[met(r) for r in rules], F.lit(None).cast("string"))
 
     page_title = clean(F.regexp_extract(F.coalesce(first((("tag", "title"),)), F.lit("")), r"^([^|–—]*)", 1))
-    about = first((("meta", "property", "og:description"), ("meta", "name", "description"), ("attr_has", "itemprop", "description"), *adapter["description"]))
+    about = first((("meta", "property", "og:description"), ("meta", "name", "description"), ("attr_has", "itemprop", "description"), *m.adapter["description"]))
     stated = first((("meta", "itemprop", "ratingValue"), ("attr_has", "itemprop", "ratingvalue"), ("meta", "property", "product:rating:value"))).try_cast("double")
-    score = F.get(F.filter(F.transform(F.slice(F.filter(nodes, any_of(adapter["score"], nodes)), 1, 30), lambda n: F.nullif(F.regexp_extract(clean(text_of(nodes, n)), r"^([1-5](?:\.[0-9])?)$", 1), F.lit(""))), lambda x: x.isNotNull()), F.lit(0)).cast("double")
-    return pages.select(page, F.substring(F.coalesce(first(adapter["title"]), page_title), 1, TITLE).alias("title"), F.substring(F.coalesce(about, F.lit("")), 1, DESCRIPTION).alias("description"), F.coalesce(F.when(stated.between(1, 5), stated), score).alias("rating"))
+    told = F.transform(F.filter(nodes, lambda n: m.plays(n, "score")), lambda n: F.struct(m.rank(n, "score").alias("rank"), n["i"].alias("i"), F.nullif(F.regexp_extract(clean(text_of(whole, n)), r"^([1-5](?:\.[0-9])?)$", 1), F.lit("")).alias("x")))
+    score = F.array_min(F.filter(told, lambda x: x["x"].isNotNull()))["x"].cast("double")
+    return pages.select(page, F.substring(F.coalesce(first(m.adapter["title"]), page_title), 1, TITLE).alias("title"), F.substring(F.coalesce(about, F.lit("")), 1, DESCRIPTION).alias("description"), F.coalesce(F.when(stated.between(1, 5), stated), score).alias("rating"))
+
+
+def linked_data(nodes: Column) -> Column:
+    """The JSON-LD objects that a page embeds, as variants: of each script the object, or the members of its array or ``@graph``. Broken JSON gives none."""
+    scripts = F.filter(nodes, lambda n: (n["tag"] == "script") & (F.lower(F.coalesce(F.try_element_at(n["a"], F.lit("type")), F.lit(""))) == "application/ld+json"))
+    raw = F.transform(scripts, lambda n: F.get(nodes, n["i"] + 1)["t"])  # a script's text is its only child
+    parsed = F.filter(F.transform(raw, lambda t: F.try_parse_json(t)), lambda v: v.isNotNull())
+    many = lambda v, at: F.try_variant_get(v, at, "array<variant>")
+    one = lambda v: let(F.coalesce(many(v, "$"), F.array(v)), lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(many(x, '$["@graph"]'), F.array(x)))))
+    return F.flatten(F.transform(parsed, one))
+
+
+def linked_products(nodes: Column) -> Column:
+    """Of the embedded objects those of type Product: name, description and rating."""
+    text = lambda v, at: F.try_variant_get(v, at, "string")
+    types = lambda v: F.coalesce(F.try_variant_get(v, '$["@type"]', "array<string>"), F.array(text(v, '$["@type"]')))
+    product = lambda v: F.exists(types(v), lambda t: F.lower(F.coalesce(t, F.lit(""))) == "product")
+    return F.transform(F.filter(linked_data(nodes), product), lambda v: F.struct(text(v, "$.name").alias("name"), text(v, "$.description").alias("description"), text(v, "$.aggregateRating.ratingValue").try_cast("double").alias("rating")))
+
+
+def product_pages(pages: DataFrame, market: str, page: str = "page_id", url: str = "url") -> DataFrame:
+    """Whether each page shows a product: ``by_url`` (host and path), ``by_schema`` (item type, embedded or open-graph type), ``by_mark`` (nodes of the market), and the first embedded product."""
+    m, nodes = Market(market), F.col("nodes")
+    a = lambda n, k: F.coalesce(F.try_element_at(n["a"], F.lit(k)), F.lit(""))
+    typed = F.exists(nodes, lambda n: F.lower(a(n, "itemtype")).contains("schema.org/product"))
+    said = F.exists(nodes, lambda n: (n["tag"] == "#text") & F.get(nodes, F.when(n["up"] >= 0, n["up"]))["tag"].eqNullSafe("script") & n["t"].rlike(r"""(?i)["']@type["']\s*:\s*["']Product["']""") & (a(F.get(nodes, n["up"]), "type") == "application/ld+json"))
+    graph = F.exists(nodes, lambda n: (n["tag"] == "meta") & (a(n, "property") == "og:type") & F.lower(a(n, "content")).contains("product"))
+    first = F.get(linked_products(nodes), F.lit(0))
+    return pages.select(
+        page, F.coalesce(P.product_page(F.col(url)) == market, F.lit(False)).alias("by_url"), F.coalesce(typed | said | graph, F.lit(False)).alias("by_schema"), F.coalesce(F.exists(nodes, lambda n: m.plays(n, "detail")), F.lit(False)).alias("by_mark"),
+        first["name"].alias("name"), first["description"].alias("description"), first["rating"].alias("rating"),
+    )
