@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewspark.operators import lineage
 from reviewspark.operators.digest import ordered_digest
 from reviewspark.operators.graph import ensure_checkpoint_dir
 from reviewspark.plans import relation as R
@@ -137,3 +138,56 @@ def stream_additional(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(found.schema).parquet(out).where("url <> ''")
+
+
+#: What each artifact of a run rests on.
+INPUTS = {"report": ("metrics", "aspects"), "metrics": ("cohort",), "aspects": ("training", "validation"), "cohort": ("dataset",), "training": ("dataset",), "validation": ("dataset",)}
+_LINEAGE = f""", ru AS (SELECT DISTINCT product_id AS run, substr(product_id, 2)::BIGINT AS k FROM reviews),
+    ln AS (SELECT unnest({[a for a, xs in INPUTS.items() for _ in xs]}) AS artifact, unnest({[x for xs in INPUTS.values() for x in xs]}) AS input),
+    nm AS (SELECT unnest({[*INPUTS, "dataset"]}) AS artifact),
+    dg AS (SELECT run, k, artifact, sha256(artifact || ':' || CASE artifact WHEN 'dataset' THEN (k % 40 = 9)::INT WHEN 'training' THEN (k % 6 = 1)::INT WHEN 'cohort' THEN (k % 10 = 2)::INT WHEN 'validation' THEN 0 ELSE k END) AS digest FROM ru CROSS JOIN nm),
+    ar AS (SELECT run, artifact, digest FROM dg WHERE NOT (artifact = 'validation' AND k % 11 = 5)),
+    lk AS (SELECT d.run, ln.artifact, ln.input, CASE WHEN d.artifact = 'training' AND d.k % 7 = 3 THEN 'stale' ELSE d.digest END AS told FROM ln JOIN dg d ON d.artifact = ln.input WHERE NOT (ln.artifact = 'aspects' AND ln.input = 'validation' AND d.k % 17 = 4)),
+    wk AS (SELECT run, 'report' AS artifact, 0 AS depth FROM ru UNION ALL SELECT wk.run, lk.input, depth + 1 FROM wk JOIN lk ON lk.run = wk.run AND lk.artifact = wk.artifact),
+    sn AS (SELECT run, artifact, min(depth) AS depth FROM wk GROUP BY ALL),
+    wd AS (SELECT sn.*, ar.digest, CASE WHEN ar.digest IS NULL THEN 'missing' WHEN EXISTS (FROM lk JOIN sn s2 ON s2.run = lk.run AND s2.artifact = lk.artifact WHERE lk.run = sn.run AND lk.input = sn.artifact AND lk.told <> ar.digest) THEN 'altered' END AS problem FROM sn LEFT JOIN ar USING (run, artifact)),
+    pr AS (SELECT x.run AS a, y.run AS b FROM ru x JOIN ru y ON y.k = x.k + 1)"""
+
+
+def manifests(r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A run for each product: manifests, links, roots, settings and the pairs of neighbouring runs, some of them broken."""
+    k = F.substring("product_id", 2, 20).cast("bigint")
+    runs = r.select(F.col("product_id").alias("run"), k.alias("k")).distinct()
+    kind = lambda c: F.when(c == "dataset", (F.col("k") % 40 == 9).cast("bigint")).when(c == "training", (F.col("k") % 6 == 1).cast("bigint")).when(c == "cohort", (F.col("k") % 10 == 2).cast("bigint")).when(c == "validation", F.lit(0)).otherwise(F.col("k"))
+    digest = lambda c: F.sha2(F.concat(c, F.lit(":"), kind(c).cast("string")), 256)
+    each = runs.withColumn("artifact", F.explode(F.array(*map(F.lit, (*INPUTS, "dataset")))))
+    artifacts = each.where(~((F.col("artifact") == "validation") & (F.col("k") % 11 == 5))).select("run", "artifact", digest(F.col("artifact")).alias("digest"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("artifact"), F.lit(x).alias("input")) for a, xs in INPUTS.items() for x in xs])
+    links = runs.withColumn("l", F.explode(pairs)).select("run", "k", "l.*").where(~((F.col("artifact") == "aspects") & (F.col("input") == "validation") & (F.col("k") % 17 == 4)))
+    told = F.when((F.col("input") == "training") & (F.col("k") % 7 == 3), "stale").otherwise(digest(F.col("input")))
+    settings = runs.select("run", F.lit("protocol").alias("name"), F.when(F.col("k") % 13 == 6, "old").otherwise("ten aspects").alias("value"))
+    neighbours = runs.select(F.col("run").alias("a"), "k").join(runs.select(F.col("run").alias("b"), (F.col("k") - 1).alias("k")), "k").select("a", "b")
+    return artifacts, links.select("run", "artifact", "input", told.alias("input_digest")), runs.select("run", F.lit("report").alias("artifact")), settings, neighbours
+
+
+@on_reviews("lineage", _LINEAGE + " SELECT * FROM wd", recursive=True)
+def walked_lineage(r: DataFrame) -> DataFrame:
+    """What each run's report rests on, and where its manifests don't agree."""
+    artifacts, links, roots, _, _ = manifests(r)
+    return lineage.walk(artifacts, links, roots)
+
+
+@on_reviews(
+    "comparable_runs",
+    _LINEAGE
+    + """, sd AS (SELECT a, b, artifact, x.depth AS da, y.depth AS db, x.digest AS ga, y.digest AS gb, x.problem AS pa, y.problem AS pb
+      FROM (SELECT * FROM pr JOIN wd ON wd.run = a) x FULL JOIN (SELECT * FROM pr JOIN wd ON wd.run = b) y USING (a, b, artifact)),
+    fd AS (SELECT a, b, coalesce(least(da, db), da, db) AS depth, artifact AS node, coalesce(pa, pb, CASE WHEN artifact IN ('dataset', 'training', 'validation', 'cohort') THEN CASE WHEN da IS NULL OR db IS NULL THEN 'absent' WHEN ga <> gb THEN 'differs' END END) AS reason FROM sd
+      UNION ALL SELECT a, b, 99, 'protocol', 'setting' FROM pr WHERE (substr(a, 2)::BIGINT % 13 = 6) <> (substr(b, 2)::BIGINT % 13 = 6))
+    SELECT pr.a, pr.b, reason IS NULL AS comparable, node, reason FROM pr LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY depth, node, reason) AS r FROM fd WHERE reason IS NOT NULL) f ON f.a = pr.a AND f.b = pr.b AND r = 1""",
+    recursive=True,
+)
+def comparable_runs(r: DataFrame) -> DataFrame:
+    """Which neighbouring runs can be compared, and what speaks against the others."""
+    artifacts, links, roots, settings, pairs = manifests(r)
+    return lineage.comparable(lineage.walk(artifacts, links, roots), settings, pairs)
