@@ -18,6 +18,8 @@ from reviewspark.operators.graph import ensure_checkpoint_dir
 BATCH_CONF, DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2097152b"
 #: Rows of whole texts that a worker turns into Python objects at once.
 ARROW_ROWS = 500
+#: Bytes of a table that may be sent to all tasks.
+SMALL = 32 << 20
 #: Steps that a range of keys is cut into at once.
 CELLS = 4096
 #: The characters that end a word in the contracts: space and U+0009 to U+000D.
@@ -41,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, columns: list[str], limit: int = SMALL) -> bool:
+    """Whether a written table may be sent to all tasks: its text and binary ``columns`` and 64 bytes a row are at most ``limit``."""
+    held = F.count("*") * 64 + sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns), F.lit(0))
+    return df.agg(held.alias("n")).first()["n"] <= limit
+
+
 #: Folders written since ``scratch`` was entered, innermost last.
 _written: list[list[str]] = []
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import forget, materialise, mix, prefix_hash, scratch, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import forget, materialise, mix, prefix_hash, scratch, sliced, small, span_hash, table, table_of_bytes, text_bytes, word_bounds
 
 PREFIX = 100
 #: Bytes of text in a block, unless one document is longer.
@@ -328,9 +328,10 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
 
 
 def told(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
-    """What was told to each block, put together in order: never more than the block has."""
+    """What was told to each block (a written table), put together in order: never more than the block has. Sent to all tasks if it is small."""
     cells = F.array_sort(F.collect_list(F.struct(F.col(order or column).alias("o"), F.col(column).alias("v"))))
-    return df.groupBy("block").agg(F.transform(cells, lambda x: x["v"]).alias(column))
+    one = df.groupBy("block").agg(F.transform(cells, lambda x: x["v"]).alias(column))
+    return F.broadcast(one) if small(df, [column]) else one
 
 
 def dealt(part: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -595,6 +596,7 @@ def remove_passages(df: DataFrame, keep: list[str], words: int = 51, text: str =
         runs = repeated_passages(rows, ["__sha"], words, "__whole").where("n_repeated_words > 0").groupBy("__sha").agg(F.min("spans").alias("spans"))
     known = materialise(runs, "suffix-runs")
     forget(df.sparkSession, used)
+    known = F.broadcast(known) if small(known, ["__sha", "spans"]) else known
     return rows.join(known, "__sha", "left").select(*keep, "__whole", "spans").mapInArrow(cut, schema)
 
 

@@ -218,3 +218,24 @@ def test_tiles_of_a_hot_group_lose_no_link(spark, monkeypatch):
                 label = [low if x == high else x for x in label]
     got = {r.node: r.component for r in graph.connected_components(simhash.links(nodes, 4, 5)).collect()}
     assert [got.get(i, i) for i in range(len(fps))] == label
+
+
+def test_tables_too_large_to_send_give_the_same(spark, monkeypatch):
+    passage = " ".join(prose(70))
+    texts = [" ".join(prose(30)) + " " + (passage if i % 3 == 0 else " ".join(prose(20))) for i in range(40)] + ["", passage, passage]
+    df = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+
+    def found():
+        bytes_ = suffix.remove_repeats(df, ["doc_id"], 120).collect()
+        return sorted(map(tuple, bytes_)), sorted(map(tuple, corpus_pipeline.repeats_stage(spark, df, "").collect())), sorted(map(tuple, corpus_pipeline.near_duplicate_stage(spark, df, "").collect()))
+
+    sent = found()
+    assert any(r[2] for r in sent[0])
+    monkeypatch.setattr(suffix, "small", lambda *a: False)
+    monkeypatch.setattr(corpus_pipeline, "small", lambda *a: False)
+    assert found() == sent
+
+
+def test_small_counts_bytes_and_rows(spark):
+    df = spark.createDataFrame([("abc", None), (None, bytearray(b"xy"))], "a string, b binary")
+    assert common.small(df, ["a", "b"], 133) and not common.small(df, ["a", "b"], 132) and common.small(df.limit(0), ["a"], 0)
