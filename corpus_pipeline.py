@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewspark.llm import langid, packing, quality, simhash, suffix
-from reviewspark.llm.common import bound_batches, forget, materialise, scratch, table
+from reviewspark.llm.common import bound_batches, forget, materialise, scratch, small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits of 128 that candidates may differ in: at a Jaccard similarity of 0.8 about 19 do, and more than 38 in one pair of 10^5.
@@ -40,7 +40,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bound_batches(spark)
     found = simhash.near_copies(docs, words=5, radius=RADIUS, threshold=0.8)
     # A row goes by its key and its own text: other texts under the same key stay.
-    gone = found.where("doc_id <> component").select("doc_id", "sha").distinct()
+    gone = materialise(found.where("doc_id <> component").select("doc_id", "sha").distinct(), "copies-gone")
+    gone = F.broadcast(gone) if small(gone, ["sha"]) else gone
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     return docs.select(*COLUMNS).withColumn("sha", sha).join(gone, ["doc_id", "sha"], "left_anti").select(*COLUMNS)
 
