@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewspark.operators.ordering import kept, numbered
@@ -164,6 +164,13 @@ class Uses:
         return self.rows.join(F.broadcast(want), ["label", "text_label", "use"]).where("at < n").select("review_id", "use")
 
 
+def gains(label: Column, text_label: Column, lack: dict[int, int], text_lack: dict[int, int]) -> tuple[Column, Column]:
+    """Of a source by its two labels: how many of its targets are short, and how many rows they lack together."""
+    short = lambda c, of: F.greatest(F.lit(0), F.coalesce(*[F.when(c == k, F.lit(n)) for k, n in of.items()], F.lit(0)))
+    a, b = short(label, lack), short(text_label, text_lack)
+    return (a > 0).cast("int") + (b > 0).cast("int"), a + b
+
+
 def placed(row: tuple) -> tuple:
     """A row's values in an order with nulls first."""
     return tuple((x is not None, x if x is not None else 0) for x in row)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewspark.functions.contract import CLASSES, aspects, classes
+from reviewspark.operators.digest import ordered_digest
 
 POPULATIONS = ("original", "active", "projected")
 
@@ -135,6 +136,29 @@ def published(reviews: DataFrame, most: int = 20) -> DataFrame:
     return reviews.orderBy("id").limit(most).select("id", "ground_truth", "label", (F.col("ground_truth") == F.col("label")).alias("correct"))
 
 
+def matrix_problems(confusion: DataFrame, k: int = 4) -> DataFrame:
+    """One row: cells of a confusion table ``actual, pred, n`` that are missing, repeated, outside of ``k`` labels, or no count."""
+    c = confusion.withColumn("inside", F.coalesce(F.col("actual").between(0, k - 1) & F.col("pred").between(0, k - 1), F.lit(False)))
+    own = c.where("inside").groupBy("actual", "pred").agg(F.count("*").alias("times"))
+    cells = own.agg((F.lit(k * k) - F.count("*")).alias("missing_cells"), F.count_if(F.col("times") > 1).alias("repeated_cells"))
+    n = F.col("n")
+    return cells.crossJoin(c.agg(F.count_if(~F.col("inside")).alias("other_cells"), F.count_if(F.coalesce((n < 0) | (n != F.floor(n)) | F.isnan(n.cast("double")), F.lit(True))).alias("bad_counts")))  # one row with one
+
+
+def publication(reviews: DataFrame, confusion: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row to publish: ``source_sha256`` (of the rows that may be published, by id), ``comparisons`` and ``samples`` (JSON of the first 20); rows that break a rule raise.
+
+    ``reviews``: id, partition, ground_truth, label and whatever else a report holds: nothing else leaves it.
+    """
+    bad = publish_violations(reviews, metrics).crossJoin(matrix_problems(confusion, len(CLASSES))).first().asDict()  # one row with one
+    if any(bad.values()):
+        raise ValueError(f"not to be published: {', '.join(k for k, v in bad.items() if v)}")
+    open_ = reviews.select("id", "ground_truth", "label")
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "ground_truth", "label", "correct"))), lambda x: F.to_json(x)), ",")
+    samples = published(open_).agg(F.concat(F.lit("["), told, F.lit("]")).alias("samples"))
+    return ordered_digest(open_, ["id"]).select(F.col("digest").alias("source_sha256"), F.col("rows").alias("comparisons")).crossJoin(samples)
+
+
 def class_report(confusion: DataFrame, k: int = 4) -> DataFrame:
     """Precision, recall, F1 and support of each class from a confusion table ``actual, pred, n`` alone."""
     rows = confusion.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewspark.operators.ordering import numbered
+
+#: Rows that one task may sort for a page.
+TOP = 10_000
 ORDERS = {
     "original": ["pos"],
     "lowest": ["invalid", "star_rating", "pos"],
@@ -19,16 +23,29 @@ def search(reviews: DataFrame, query: str, label: int | None = None) -> DataFram
     return reviews.where(hit if label is None else hit & (F.col("label") == label))
 
 
+def keyed(reviews: DataFrame, order: str, pos: str = "doc_id") -> DataFrame:
+    """Reviews with the columns that ``ORDERS`` sorts by; reviews that tie in all of them come by their ids."""
+    return reviews.withColumns({"pos": F.col(pos), "invalid": ~F.coalesce(F.col("star_rating").between(1, 5), F.lit(False)), "down": -F.col("star_rating"), "shorter": -F.length("review_text")})
+
+
 def ordered(reviews: DataFrame, order: str, pos: str = "doc_id") -> DataFrame:
     """Reviews in an order of ``ORDERS``: invalid ratings last, then as they stood."""
-    keyed = reviews.withColumns({"pos": F.col(pos), "invalid": ~F.coalesce(F.col("star_rating").between(1, 5), F.lit(False)), "down": -F.col("star_rating"), "shorter": -F.length("review_text")})
-    return keyed.orderBy(*ORDERS[order]).drop("pos", "invalid", "down", "shorter") if pos == "doc_id" else keyed.orderBy(*ORDERS[order])
+    rows = keyed(reviews, order, pos).orderBy(*ORDERS[order])
+    return rows.drop("pos", "invalid", "down", "shorter") if pos == "doc_id" else rows
 
 
 def page(reviews: DataFrame, order: str, number: int, size: int = 20) -> DataFrame:
-    """One page, with the place of each review in the whole order."""
-    top = ordered(reviews, order).limit((number + 1) * size)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).where(F.col("place") > number * size)
+    """One page, with the place of each review in the whole order.
+
+    The first pages are the top rows of the order; a deep one is cut out of places that are counted over ranges, so that no task sorts all rows before it.
+    """
+    rows = keyed(reviews, order)
+    if (number + 1) * size <= TOP:
+        top = rows.orderBy(*ORDERS[order]).limit((number + 1) * size)
+        placed = top.withColumn("place", F.row_number().over(Window.orderBy(*ORDERS[order])))
+    else:
+        placed = numbered(rows, [], ORDERS[order], "at").withColumn("place", (F.col("at") + 1).cast("int"))
+    return placed.where((F.col("place") > number * size) & (F.col("place") <= (number + 1) * size)).select(*reviews.columns, "place")
 
 
 def top_evidence(pairs: DataFrame, n: int = 2) -> DataFrame:

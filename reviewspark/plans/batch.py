@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.functions.contract import ASPECTS, POLARITIES
+from reviewspark.functions.contract import ASPECTS, POLARITIES, parse_image_urls
 from reviewspark.operators import provenance
 from reviewspark.plans import online
 from reviewspark.sources.reviews import read_reviews, write_json_once
@@ -34,13 +34,22 @@ def score_aspects(rows: DataFrame, find_aspects: online.Step, path: str, authent
 
 
 def predict_part(assigned: DataFrame, find_aspects: online.Step, path: str, partition: str) -> None:
-    """Write the pairs of one part of the split as JSON; a part without reviews raises."""
-    rows = assigned.where(F.col("partition") == partition)
+    """Write the pairs of one part of the split, or of ``all``, as JSON; a part without reviews raises."""
+    rows = assigned if partition == "all" else assigned.where(F.col("partition") == partition)
     if not rows.head(1):
         raise ValueError(f"no review in {partition}")
     write_json_once(named_pairs(rows.select("review_id", "product_id"), find_aspects(rows)), path)
 
 
+def predict_text(spark: SparkSession, text: str, urls: str, find_aspects: online.Step) -> list[dict[str, str]]:
+    """The pairs of one text by name; a blank one raises. ``urls``: addresses of images, as in a table."""
+    if not text.strip():
+        raise ValueError("the text is blank")
+    row = spark.createDataFrame([("manual_review", text.strip(), urls)], "review_id string, review_text string, urls string")
+    row = row.select("review_id", "review_text", parse_image_urls(F.col("urls")).alias("image_urls"))
+    return [p.asDict() for p in named_pairs(row, find_aspects(row)).first()["aspectSentiment"]]
+
+
 def run_csv(spark: SparkSession, path: str, classify: online.Step, find_aspects: online.Step) -> tuple[DataFrame, DataFrame]:
     """Rows and one summary of a review CSV through the online plan; rows with problems raise."""
     reviews = read_reviews(spark, path)
@@ -63,10 +72,11 @@ def cross_fit(assigned: DataFrame, fit: Fit, folds: int = 5) -> DataFrame:
     return out
 
 
-def text_classifier(target: str, features: int = 1 << 14, rounds: int = 20) -> Fit:
+def text_classifier(target: str, features: int = 1 << 14, rounds: int = 20, weight: str | None = None) -> Fit:
     """A stand-in for a text encoder: hashed words, inverse document frequency, multinomial logistic regression.
 
-    Classes that no training row has get a chance of 0. Same interface as an encoder, not its accuracy.
+    Classes that no training row has get a chance of 0. ``weight`` names a column of row weights (``operators.weights``).
+    Same interface as an encoder, not its accuracy.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -74,7 +84,7 @@ def text_classifier(target: str, features: int = 1 << 14, rounds: int = 20) -> F
     from pyspark.ml.functions import vector_to_array
 
     def fit(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        steps = [RegexTokenizer(inputCol="review_text", outputCol="words", pattern=r"\s+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=features), IDF(inputCol="counts", outputCol="weighted"), LogisticRegression(featuresCol="weighted", labelCol=target, family="multinomial", maxIter=rounds, regParam=0.01)]
+        steps = [RegexTokenizer(inputCol="review_text", outputCol="words", pattern=r"\s+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=features), IDF(inputCol="counts", outputCol="weighted"), LogisticRegression(featuresCol="weighted", labelCol=target, family="multinomial", maxIter=rounds, regParam=0.01, **({"weightCol": weight} if weight else {}))]
         model = Pipeline(stages=steps).fit(rows.withColumn(target, F.col(target).cast("double")))
 
         def predict(df: DataFrame) -> DataFrame:

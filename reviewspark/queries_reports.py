@@ -137,6 +137,20 @@ def greedy_targets(r: DataFrame) -> DataFrame:
     return out.picks.select("review_id", F.col("use").cast("bigint").alias("use"))
 
 
+@on_reviews(
+    "source_gains",
+    _TRAIN + """, q AS (SELECT label, max(count(*)) OVER () - count(*) AS n FROM tr GROUP BY 1), t AS (SELECT text_label, max(count(*)) OVER () - count(*) AS n FROM tr GROUP BY 1)
+    SELECT review_id, (q.n > 0)::INT + (t.n > 0)::INT AS targets, (q.n + t.n)::INT AS lacks FROM tr JOIN q USING (label) JOIN t USING (text_label)""",
+)
+def source_gains(r: DataFrame) -> DataFrame:
+    """What each training review would help if every class were to grow to the largest of its target."""
+    t = training(r)
+    count = lambda c: {x[0]: x[1] for x in t.groupBy(c).count().collect()}
+    lacks = lambda n: {k: max(n.values()) - v for k, v in n.items()}
+    targets, lack = fill.gains(F.col("label"), F.col("text_label"), lacks(count("label")), lacks(count("text_label")))
+    return t.select("review_id", targets.alias("targets"), lack.alias("lacks"))
+
+
 _HISTORY = ", hi AS (SELECT product_id AS run, doc_id AS step, ((doc_id * 7) % 11) / 10.0 AS score FROM reviews)"
 
 

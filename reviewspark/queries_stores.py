@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.operators import lineage
+from reviewspark.functions import contract as C
+from reviewspark.operators import lineage, metrics, reports
 from reviewspark.operators.digest import ordered_digest
 from reviewspark.operators.graph import ensure_checkpoint_dir
 from reviewspark.plans import relation as R
-from reviewspark.queries import on_reviews, query
+from reviewspark.queries import judged, on_reviews, query
 from reviewspark.sources.snapshots import Snapshots
 from reviewspark.sources.vectors import VectorCache
 from reviewspark.streaming import additional, scans
@@ -25,13 +26,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _tree(rows: str) -> str:
+def _tree(rows: str, leaf: int = LEAF) -> str:
     """SQL of ``ordered_digest`` over ``rows`` (h, and i from 0)."""
     return f"""tree AS (
       SELECT i, h, (SELECT count(*) FROM {rows}) AS n FROM {rows}
       UNION ALL
-      SELECT i // {LEAF}, sha256(string_agg(h, '' ORDER BY i)), any_value((n + {LEAF - 1}) // {LEAF}) FROM tree WHERE n > {LEAF} GROUP BY i // {LEAF})
-    SELECT sha256(coalesce(string_agg(h, '' ORDER BY i), '')) AS digest, (SELECT count(*) FROM {rows}) AS rows FROM tree WHERE n <= {LEAF}"""
+      SELECT i // {leaf}, sha256(string_agg(h, '' ORDER BY i)), any_value((n + {leaf - 1}) // {leaf}) FROM tree WHERE n > {leaf} GROUP BY i // {leaf})
+    SELECT sha256(coalesce(string_agg(h, '' ORDER BY i), '')) AS digest, (SELECT count(*) FROM {rows}) AS rows FROM tree WHERE n <= {leaf}"""
 
 
 def _cell(c: str, value: str, null: str = "false") -> str:
@@ -191,3 +192,23 @@ def comparable_runs(r: DataFrame) -> DataFrame:
     """Which neighbouring runs can be compared, and what speaks against the others."""
     artifacts, links, roots, settings, pairs = manifests(r)
     return lineage.comparable(lineage.walk(artifacts, links, roots), settings, pairs)
+
+
+_NAMES = "['authentic', 'deceptive', 'liv', 'irrelevant']"
+
+
+@on_reviews(
+    "publication",
+    f""", te AS (SELECT review_id AS id, {_NAMES}[truth + 1] AS g, {_NAMES}[pred + 1] AS l FROM assigned WHERE part = 'test'),
+    hs AS (SELECT sha256({_cell("ground_truth", "'\"' || g || '\"'")} || {_cell("id", "'\"' || id || '\"'")} || {_cell("label", "'\"' || l || '\"'")}) AS h, id FROM te),
+    rw AS (SELECT h, row_number() OVER (ORDER BY id, h) - 1 AS i FROM hs),
+    dg AS ({"WITH RECURSIVE " + _tree("rw", 1000)})
+    SELECT digest AS source_sha256, rows AS comparisons, (SELECT '[' || string_agg('{{"id":"' || id || '","ground_truth":"' || g || '","label":"' || l || '","correct":' || (g = l)::VARCHAR || '}}', ',' ORDER BY id) || ']' FROM (FROM te ORDER BY id LIMIT 20)) AS samples FROM dg""",
+    recursive=True,
+)
+def publication(r: DataFrame) -> DataFrame:
+    """What may be published of the test reviews: a digest of the rows and the first of them, without texts."""
+    name = lambda c: F.element_at(F.array(*map(F.lit, C.CLASSES)), F.col(c) + 1)
+    test = R.assigned(r).where("partition = 'test'").select(F.col("review_id").alias("id"), "partition", "review_text", name("truth").alias("ground_truth"), name("pred").alias("label"))
+    confusion = metrics.confusion(judged(r))
+    return reports.publication(test, confusion, metrics.macro(judged(r).select("actual", "pred")).select(F.col("macro_f1").alias("value")))
