@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Connectors that begin a clause.
-CONNECTORS = "pero kaso ngunit subalit but however yet although though while kasi dahil because since".split()
+CONNECTORS = ("pero", "kaso", "ngunit", "subalit", "but", "however", "yet", "although", "though", "while", "kasi", "dahil", "because", "since")
 
 
 @dataclass(frozen=True)
@@ -25,10 +25,10 @@ class Lexicon:
 
 #: The words of the page's own classifier.
 DEFAULT = Lexicon(
-    positive=tuple("good great best love excellent perfect comfortable clear quality worth nice sulit maganda maayos malinaw matibay ganda okay ayos recommend".split()),
-    negative=(*"bad poor broken fake damaged disappointed waste uncomfortable mahina pangit sira mali sayang".split(), "hindi gumagana", "defective", "kulang", "madumi"),
+    positive=("good", "great", "best", "love", "excellent", "perfect", "comfortable", "clear", "quality", "worth", "nice", "sulit", "maganda", "maayos", "malinaw", "matibay", "ganda", "okay", "ayos", "recommend"),
+    negative=("bad", "poor", "broken", "fake", "damaged", "disappointed", "waste", "uncomfortable", "mahina", "pangit", "sira", "mali", "sayang", "hindi gumagana", "defective", "kulang", "madumi"),
     delivery=("delivery", "shipping", "courier", "rider", "parcel", "dumating", "mabilis dumating", "seller responsive", "packaging"),
-    product=tuple("quality matibay durable material build battery sound audio camera gumagana price presyo mahal affordable color kulay design size laki".split()),
+    product=("quality", "matibay", "durable", "material", "build", "battery", "sound", "audio", "camera", "gumagana", "price", "presyo", "mahal", "affordable", "color", "kulay", "design", "size", "laki"),
     generic=("good product", "nice product", "okay", "ok", "good quality", "recommended", "highly recommended", "perfect product", "maganda", "maayos", "sulit"),
 )
 
