@@ -22,6 +22,8 @@ SPACE = uuid.UUID("8a1b2f70-51d4-5d0c-9b43-0f4f6a0d6c11")
 HOT, FEW, SALTS = 10_000, 100_000, 64
 #: Ranges at most.
 MOST = 20_000
+#: Bytes of an archive that are unpacked at once.
+PIECE = 16 << 10
 MANIFEST = "file string, records long, bytes long, sha1 string"
 
 
@@ -147,11 +149,14 @@ def write(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int = 8 <<
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member."""
-    view = raw
-    while view:
-        z = zlib.decompressobj(31)
-        text = z.decompress(view) + z.flush()
-        view = z.unused_data
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):  # in pieces, so that what follows a member is copied once at most
+            piece = view[at : at + PIECE]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        text = b"".join(parts) + z.flush()
         head, _, rest = text.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]

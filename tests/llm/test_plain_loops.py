@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from reviewspark.llm import common, maxent, minhash
+from reviewspark.llm import common, maxent, minhash, warc
 
 RNG = random.Random(21)
 MASK, MULT = 2**64 - 1, 6364136223846793005
@@ -112,3 +112,14 @@ def test_scores_are_sums_of_log_probabilities(spark):
         row = got[doc_id]
         assert row.n_tokens == len(hashes) and row.train_tokens == n and row.n_known == sum(seen[h] > 0 for h in hashes)
         assert row.base_score == pytest.approx(base, abs=1e-9) and row.score == pytest.approx(total, abs=5e-3)
+
+
+def test_members_of_an_archive_are_read_in_pieces(monkeypatch):
+    pages = [(i, f"http://a/{i}", bytes(RNG.choices(range(256), k=RNG.choice([0, 1, 500, 40_000])))) for i in range(40)]
+    raw = b"".join(warc.member(k, url, payload, None, 6) for k, url, payload in pages)
+    for piece in (7, 1000, warc.PIECE):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        got = list(warc.records(raw))
+        assert [block.partition(b"\r\n\r\n")[2] for _, block in got] == [p for _, _, p in pages]
+        assert [f["WARC-Target-URI"] for f, _ in got] == [u for _, u, _ in pages]
+    assert list(warc.records(b"")) == []
