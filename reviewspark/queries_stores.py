@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions import contract as C
 from reviewspark.operators import lineage, metrics, reports
+from reviewspark.operators.audit import same_rows
 from reviewspark.operators.digest import ordered_digest
 from reviewspark.operators.graph import ensure_checkpoint_dir
+from reviewspark.plans import batch
 from reviewspark.plans import relation as R
 from reviewspark.queries import judged, on_reviews, query
+from reviewspark.sources import files
+from reviewspark.sources import reviews as S
 from reviewspark.sources.snapshots import Snapshots
 from reviewspark.sources.vectors import VectorCache
 from reviewspark.streaming import additional, scans
@@ -212,3 +216,73 @@ def publication(r: DataFrame) -> DataFrame:
     test = R.assigned(r).where("partition = 'test'").select(F.col("review_id").alias("id"), "partition", "review_text", name("truth").alias("ground_truth"), name("pred").alias("label"))
     confusion = metrics.confusion(judged(r))
     return reports.publication(test, confusion, metrics.macro(judged(r).select("actual", "pred")).select(F.col("macro_f1").alias("value")))
+
+
+def review_csv(r: DataFrame, broken: bool) -> DataFrame:
+    """Reviews as the columns of a review file, some of them with mistakes."""
+    d = F.col("doc_id")
+    bad = lambda k, value, else_: F.when(F.lit(broken) & (d % k == 0), F.lit(value)).otherwise(else_)
+    name = lambda c: F.element_at(F.array(*map(F.lit, C.CLASSES)), F.col(c) + 1)
+    one_id = F.when(F.lit(broken) & (d % 31 == 1), F.concat(F.lit("review_"), (d - 1).cast("string"))).otherwise(F.col("review_id"))
+    return r.select(
+        one_id.alias("review_id"), bad(37, " ", F.col("product_id")).alias("product_id"), F.lit('Lamp, "small"').alias("product_title"), bad(41, "  ", F.col("review_text")).alias("review_text"), bad(53, "[1", F.lit("https://a/1.jpg|https://a/2.jpg")).alias("review_image_urls"),
+        bad(43, "4.5", F.col("star_rating").cast("string")).alias("star_rating"), name("pred").alias("text_label"), bad(47, "unheard of", F.col("truth").cast("string")).alias("ground_truth"),
+    )
+
+
+def written_csv(df: DataFrame) -> str:
+    path = folder(df.sparkSession, "reviews-csv")
+    df.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@on_reviews(
+    "csv_reviews",
+    """, c AS (SELECT CASE WHEN doc_id % 31 = 1 THEN 'review_' || (doc_id - 1) ELSE review_id END AS review_id, CASE WHEN doc_id % 37 = 0 THEN '' ELSE product_id END AS product_id, doc_id % 41 = 0 AS blank, review_text, doc_id FROM reviews),
+    t AS (SELECT review_id, count(*) > 1 AS twice FROM c GROUP BY 1)
+    SELECT review_id, product_id, CASE WHEN blank THEN 2 ELSE length(review_text) END::INT AS n_chars, CASE WHEN doc_id % 53 = 0 THEN -1 ELSE 2 END::INT AS images,
+      array_to_string(list_filter([CASE WHEN product_id = '' THEN 'blank_id' END, CASE WHEN twice THEN 'duplicate_id' END, CASE WHEN blank THEN 'blank_text' END, CASE WHEN doc_id % 47 = 0 THEN 'bad_label' END, CASE WHEN doc_id % 43 = 0 THEN 'bad_rating' END, CASE WHEN doc_id % 53 = 0 THEN 'bad_image_list' END], lambda x: x IS NOT NULL), ',') AS problems
+    FROM c JOIN t USING (review_id)""",
+)
+def csv_reviews(r: DataFrame) -> DataFrame:
+    """A review file with mistakes, read back: what each row is charged with."""
+    rows = S.read_reviews(r.sparkSession, written_csv(review_csv(r, True)))
+    return rows.select("review_id", "product_id", F.length("review_text").alias("n_chars"), F.coalesce(F.size("image_urls"), F.lit(-1)).alias("images"), F.array_join("problems", ",").alias("problems"))
+
+
+@on_reviews(
+    "csv_online",
+    """ SELECT count(*) AS review_count, count(*) FILTER (truth = 0) AS authentic, count(*) FILTER (truth = 1) AS deceptive, count(*) FILTER (truth = 2) AS liv, count(*) FILTER (truth = 3) AS irrelevant,
+    round(100 * count(*) FILTER (truth = 0) / count(*), 9)::DOUBLE AS authentic_share, round(avg(star_rating) FILTER (truth = 0), 9) AS verified_rating, count(*) FILTER (truth = 0 AND star_rating <= 2) AS negative, count(*) FILTER (truth = 0 AND star_rating = 3) AS neutral, count(*) FILTER (truth = 0 AND star_rating > 3) AS positive FROM reviews WHERE trim(review_text) <> ''""",
+)
+def csv_online(r: DataFrame) -> DataFrame:
+    """A whole review file through the online plan, with the file's own labels and stars in place of models."""
+    classify = lambda df: df.withColumns({"probabilities": F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == F.col("label"), 0.7).otherwise(0.1)), "similarity": F.lit(0.0), "best_image": F.lit(None).cast("string")})
+    stars = F.col("star_rating")
+    aspects = lambda own: own.select("review_id", F.lit(6).alias("aspect"), F.when(stars <= 2, 0).when(stars == 3, 1).otherwise(2).alias("sentiment"))
+    _, total = batch.run_csv(r.sparkSession, written_csv(review_csv(r, False).where(F.trim("review_text") != "")), classify, aspects)
+    return total.drop("request_id", "aspects", "sentiment")
+
+
+@on_reviews("bundle_parts", """, n AS (SELECT count(*) FILTER (part = 'train') AS fit, count(*) FILTER (part = 'train' AND truth = 0) AS own FROM assigned) SELECT unnest(['text', 'booster', 'aspects']) AS part, unnest([fit, fit, own]) AS rows, unnest([true, true, false]) AS same_as_text FROM n""")
+def bundle_parts(r: DataFrame) -> DataFrame:
+    """A bundle of three models' cohorts, assembled after proof that two of them are the same, and read back."""
+    spark, at = r.sparkSession, folder(r.sparkSession, "bundle")
+    fit = R.assigned(r).where("partition = 'train'").select("review_id", "product_id", "fold", "truth")
+    parts = {"text": fit, "booster": fit.select("truth", "fold", "product_id", "review_id"), "aspects": fit.where("truth = 0")}
+    files.assemble(parts, (parts["text"], parts["booster"]), at, {"version": "1"})
+    found = files.read_bundle(spark, at, {"version": "1"})
+    told = [(name, found[name].count(), same_rows(found[name], found["text"])) for name in parts]
+    return spark.createDataFrame(told, "part string, rows long, same_as_text boolean")
+
+
+@on_reviews(
+    "report_markdown",
+    """, s AS (SELECT f.label, count(*) FILTER (r.truth = f.label) AS support, count(*) FILTER (r.pred = f.label) AS predicted, count(*) FILTER (r.truth = f.label AND r.pred = f.label) AS tp FROM four f CROSS JOIN reviews r GROUP BY 1),
+    m AS (SELECT label, support, round(CASE WHEN predicted + support = 0 THEN 0 ELSE 2 * tp / (predicted + support) END, 9) AS f1 FROM s)
+    SELECT '| label | support | f1 |' || chr(10) || '| - | - | - |' || chr(10) || string_agg('| ' || label || ' | ' || support || ' | ' || printf('%.4f', f1) || ' |', chr(10) ORDER BY label) AS markdown FROM m""",
+)
+def report_markdown(r: DataFrame) -> DataFrame:
+    """The report of classes as a table to paste."""
+    rows = metrics.class_metrics(judged(r)).select("label", "support", "f1")
+    return r.sparkSession.createDataFrame([(reports.markdown(rows, "label"),)], "markdown string")
