@@ -36,34 +36,38 @@ class WordIds:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def each(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each encoded by itself."""
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
 
     def many(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are letters only: each is one pre-token, so that its last id ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != len(words):
-            return {w: self.one(w) for w in words}
+            return self.each(words)
         raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
         return {w: raw[a:b] for w, a, b in zip(words, at, at[1:], strict=False)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         rows = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        known = self.known  # looked up word by word: a difference of sets would walk over all that is known
-        fresh = {w for row in rows for w in row if w not in known}
+        known = self.known
+        fresh = set().union(*rows).difference(known)  # known is a dict, so that words are looked up one by one, not all that is known walked over
         # A mark after an ASCII letter is a pre-token of its own; after other letters it may join what they turn into.
         bare = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isascii() and w[-2].isalpha() else (w, "") for w in fresh}
         need = {w for pair in bare.values() for w in pair if w not in known}
         plain = [w for w in need if w.isalpha()]
         made = self.many(plain) if plain else {}
-        made |= {w: self.one(w) for w in need if w not in made}
+        made |= self.each([w for w in need if w not in made])
         look = {**made, **{w: made.get(a, known.get(a)) + made.get(b, known.get(b)) for w, (a, b) in bare.items()}}
-        if len(known) + len(look) <= CACHE:
-            known |= {w: v for w, v in look.items() if len(w) < 64}
-        get = lambda w: known[w] if w in known else look[w]
-        return [b"".join(map(get, row)) for row in rows]
+        brief = look if len(known) + len(look) > CACHE else [w for w in look if len(w) >= 64]
+        known |= look  # none of these was known
+        out = [b"".join(map(known.__getitem__, row)) for row in rows]
+        for w in brief:
+            del known[w]
+        return out
 
 
 @lru_cache(2)
