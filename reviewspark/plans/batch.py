@@ -61,7 +61,7 @@ def run_csv(spark: SparkSession, path: str, classify: online.Step, find_aspects:
 
 def cross_fit(assigned: DataFrame, fit: Fit, folds: int = 5) -> DataFrame:
     """Out-of-fold predictions of all training rows: ``fit`` learns from the other folds and predicts (adds ``probabilities``) the one held out."""
-    training, parts = assigned.where("partition = 'train'"), []
+    training, parts = assigned.where("partition = 'train'"), []  # read several times for each fold
     for k in range(folds):
         model = fit(training.where(F.col("fold") != k))
         held = model(training.where(F.col("fold") == k))
@@ -72,24 +72,34 @@ def cross_fit(assigned: DataFrame, fit: Fit, folds: int = 5) -> DataFrame:
     return out
 
 
+def hashed_words(rows: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """``rows`` with ``counts``: how often each hash of a word stands in ``review_text``. It depends on no other row, so that cross-fitting needs it once for all folds."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    words = RegexTokenizer(inputCol="review_text", outputCol="words", pattern=r"\s+").transform(rows)
+    return HashingTF(inputCol="words", outputCol="counts", numFeatures=features).transform(words).drop("words")
+
+
 def text_classifier(target: str, features: int = 1 << 14, rounds: int = 20, weight: str | None = None) -> Fit:
     """A stand-in for a text encoder: hashed words, inverse document frequency, multinomial logistic regression.
 
-    Classes that no training row has get a chance of 0. ``weight`` names a column of row weights (``operators.weights``).
-    Same interface as an encoder, not its accuracy.
+    Rows come with their text or, as ``counts``, with their ``hashed_words`` of as many ``features``. Classes that no training row has
+    get a chance of 0. ``weight`` names a column of row weights (``operators.weights``). Same interface as an encoder, not its accuracy.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF
     from pyspark.ml.functions import vector_to_array
 
+    counted = lambda df: df if "counts" in df.columns else hashed_words(df, features)
+
     def fit(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        steps = [RegexTokenizer(inputCol="review_text", outputCol="words", pattern=r"\s+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=features), IDF(inputCol="counts", outputCol="weighted"), LogisticRegression(featuresCol="weighted", labelCol=target, family="multinomial", maxIter=rounds, regParam=0.01, **({"weightCol": weight} if weight else {}))]
-        model = Pipeline(stages=steps).fit(rows.withColumn(target, F.col(target).cast("double")))
+        steps = [IDF(inputCol="counts", outputCol="weighted"), LogisticRegression(featuresCol="weighted", labelCol=target, family="multinomial", maxIter=rounds, regParam=0.01, **({"weightCol": weight} if weight else {}))]
+        model = Pipeline(stages=steps).fit(counted(rows).withColumn(target, F.col(target).cast("double")))
 
         def predict(df: DataFrame) -> DataFrame:
             p = vector_to_array(F.col("probability"))
-            return model.transform(df).withColumn("probabilities", F.concat(p, F.array_repeat(F.lit(0.0), F.lit(4) - F.size(p))))
+            return model.transform(counted(df)).withColumn("probabilities", F.concat(p, F.array_repeat(F.lit(0.0), F.lit(4) - F.size(p))))
 
         return predict
 

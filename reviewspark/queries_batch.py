@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewspark.functions import contract as C
 from reviewspark.functions import text as T
 from reviewspark.operators import audit, metrics, views, weights
+from reviewspark.operators.ordering import kept
 from reviewspark.plans import batch
 from reviewspark.plans import relation as R
 from reviewspark.queries import _CM, _PER, on_reviews, query
@@ -43,7 +44,8 @@ def part_file(r: DataFrame) -> DataFrame:
 @on_reviews("oof_generated", "SELECT review_id, fold, 'oof_fold_' || fold AS source, 1.0::DOUBLE AS total FROM assigned WHERE part = 'train'")
 def oof_generated(r: DataFrame) -> DataFrame:
     """Cross-fitted predictions of a text classifier: one for every training review, by a model that saw none of its fold."""
-    a = R.assigned(r).withColumn("label", F.col("truth")).checkpoint()
+    a = batch.hashed_words(R.assigned(r).where("partition = 'train'").withColumn("label", F.col("truth")), 1 << 10)
+    a = kept(a.select("review_id", "product_id", "partition", "fold", "label", "counts"), "hashed")
     out = batch.cross_fit(a, batch.text_classifier("label", 1 << 10, 5))
     return out.select("review_id", "fold", F.col("probability_source").alias("source"), F.round(F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
