@@ -39,12 +39,15 @@ class VectorCache:
         """Compute and store vectors of contents that the cache lacks (of all, with ``force``); equal contents once.
 
         ``compute`` takes rows ``content_key`` and ``content`` and adds ``vector``. Returns how many contents were computed and how many reused.
+        What is missing is found by keys alone; only missing contents are then looked for, in a second reading of ``wanted``, which must give the same rows.
         """
-        keyed = kept(self.keyed(wanted, content).select("content_key", "prefix", F.col(content).alias("content")).dropDuplicates(["content_key"]), "vectors-wanted")
-        missing = keyed if force else kept(keyed.join(self.held(keyed).select("content_key"), "content_key", "left_anti"), "vectors-missing")
-        n, new = keyed.count(), missing.count()
+        keyed = self.keyed(wanted, content).select("content_key", "prefix", F.col(content).alias("content"))
+        keys = kept(keyed.select("content_key", "prefix").distinct(), "vectors-wanted")
+        missing = keys if force else kept(keys.join(self.held(keys).select("content_key"), "content_key", "left_anti"), "vectors-missing")
+        n, new = keys.count(), missing.count()
         if new:
-            made = compute(missing.select("content_key", "prefix", "content")).select("content_key", "vector", "prefix")
+            fresh = keyed if new == n else keyed.join(missing.select("content_key"), "content_key", "left_semi")
+            made = compute(fresh.dropDuplicates(["content_key"]).select("content_key", "prefix", "content")).select("content_key", "vector", "prefix").repartition(256, "prefix")  # else each task writes to all folders
             rest = self.store.read().join(missing.select("content_key"), "content_key", "left_anti") if force else None
             self.store.append(made) if rest is None else self.store.replace(rest.unionByName(made))
         return {"computed": new, "reused": n - new}
