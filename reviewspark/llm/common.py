@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewspark.operators.batches import BATCH_BYTES, BATCH_CONF, DEFAULT_BYTES, bound_batches  # noqa: F401
 from reviewspark.operators.graph import ensure_checkpoint_dir
 
-#: The setting that bounds Arrow batches, its default, and the bound that keeps two tasks of an executor small.
-BATCH_CONF, DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2097152b"
 #: Rows of whole texts that a worker turns into Python objects at once.
 ARROW_ROWS = 500
 #: Bytes of a table that may be sent to all tasks.
@@ -28,15 +27,6 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 MULT = np.uint64(6364136223846793005)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Spark send workers Arrow batches of at most ``BATCH_BYTES``, unless the session has a bound of its own.
-
-    Workers cut batches as they need them (``sliced``), so this changes memory alone, and no result.
-    """
-    if spark.conf.get(BATCH_CONF) == DEFAULT_BYTES:
-        spark.conf.set(BATCH_CONF, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     bound_batches(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewspark.functions.contract import annotation_pairs, map_quality, text_key
+from reviewspark.operators.batches import bound_batches
 
 # The columns of a draft and their domains.
 COLUMNS = ("review_id", "source_review_id", "review_text", "text_label", "ground_truth", "aspect_annotations", "image_mode", "image_source_review_id", "augmentation_method", "review_status", "reviewed_by", "review_notes")
@@ -133,6 +134,7 @@ def paraphrase(texts: DataFrame, words: dict[str, list[str]], seed: int = 42, ke
     a piece of evidence crosses them. With ``evidence`` (an array of text) its pieces are replaced in
     the same way and come back as ``variant_evidence``; where one is no longer part of the text, both are null.
     """
+    bound_batches(texts.sparkSession)  # a worker holds a batch of texts several times over
     names = sorted(words, key=lambda w: (-len(w), w))
 
     @F.pandas_udf("variant string, variant_evidence array<string>")
