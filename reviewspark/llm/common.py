@@ -142,19 +142,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Powers that a worker keeps.
+POWERS_KEPT = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse modulo 2**64."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _POWERS:
+    """The first n powers of the multiplier and of its inverse modulo 2**64.
+
+    Shorter arrays use the table of a longer one; one for more than ``POWERS_KEPT`` goes when a shorter one is asked for.
+    """
+    size, held = 1 << max(12, (n - 1).bit_length()), next(iter(_POWERS), 0)
+    if size > held or held > max(size, POWERS_KEPT):
         up = np.full(size, MULT)
         down = np.full(size, np.uint64(pow(int(MULT), -1, 2**64)))
         up[0] = down[0] = 1
         _POWERS.clear()
         _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _POWERS[size]
+    up, down = next(iter(_POWERS.values()))
     return up[:n], down[:n]
 
 
@@ -176,3 +181,14 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     is_word[list(SPACES)] = 0
     edge = np.diff(is_word[data], prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Hash of each data[start:end], for ascending starts of words that don't overlap."""
+    out = np.zeros(len(start), np.uint64)
+    for lo in range(0, len(data), step):
+        a, b = np.searchsorted(start, [lo, lo + step])
+        if a < b:
+            part = data[lo : end[b - 1]]
+            out[a:b] = mix(span_hash(prefix_hash(part, values), start[a:b] - lo, end[a:b] - lo))
+    return out

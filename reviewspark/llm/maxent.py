@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import LOWER, MULT, materialise, mix, prefix_hash, sliced, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import LOWER, MULT, materialise, mix, sliced, table, table_of_bytes, text_bytes, word_bounds, word_hashes
 
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
@@ -52,12 +52,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts).translate(LOWER) + b"\n", np.uint8)
     stop = np.cumsum([len(t) + 1 for t in texts])
     lo, hi = word_bounds(data)
-    h = np.zeros(len(lo), np.uint64)
-    for a in range(0, len(data), 1 << 18):
-        i, j = np.searchsorted(lo, [a, a + (1 << 18)])
-        if i < j:
-            part = data[a : hi[j - 1]]
-            h[i:j] = mix(span_hash(prefix_hash(part, _VALUES), lo[i:j] - a, hi[i:j] - a))
+    h = word_hashes(data, lo, hi, _VALUES)
     n = np.diff(np.searchsorted(lo, stop), prepend=0) + 1
     out = np.empty(len(h) + len(stop), np.uint64)
     at = np.cumsum(n) - 1

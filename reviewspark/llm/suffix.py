@@ -23,7 +23,7 @@ Every exchange is aggregated within a block first, so copies and hot passages co
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import forget, materialise, mix, prefix_hash, scratch, sliced, small, span_hash, table, table_of_bytes, text_bytes, word_bounds
+from reviewspark.llm.common import forget, materialise, mix, prefix_hash, scratch, sliced, small, span_hash, table, table_of_bytes, text_bytes, word_bounds, word_hashes
 
 PREFIX = 100
 #: Bytes of text in a block, unless one document is longer.
 BLOCK = 2 << 20
-#: String starts worked on at once.
+#: String starts worked on at once; no stretch goes on over a multiple of it.
 SEGMENT = 1 << 18
+#: String starts of a window, whose arrays stay near the processor.
+STEP = 1 << 17
 MOST = np.uint64(2**64 - 1)
 #: Bytes of a hash that stands for a word where passages are counted in words.
 WORD = 4
@@ -48,17 +50,15 @@ RANGE = 128 << 20
 _ONE, _TWO, _THREE, _FOUR = table_of_bytes(91), table_of_bytes(92), table_of_bytes(93), table_of_bytes(94)
 
 
-def sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """``op`` over each w neighbours: entry i covers x[i:i+w]."""
-    n = len(x) - w + 1
+def sliding(x: np.ndarray, w: int, op: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``op`` (least or greatest) over each w neighbours: entry i covers x[i:i+w]. Covers are doubled until two of them make one of w."""
+    n, k = len(x) - w + 1, 1
     if n <= 0:
         return x[:0]
-    full = np.full(-(-len(x) // w) * w, fill, np.uint64)
-    full[: len(x)] = x
-    rows = full.reshape(-1, w)
-    ahead = op.accumulate(rows, axis=1).ravel()
-    back = op.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[:n], ahead[w - 1 : w - 1 + n])
+    while 2 * k <= w:
+        x = op(x[:-k], x[k:])
+        k *= 2
+    return op(x[:n], x[w - k : w - k + n]) if k < w else x
 
 
 class Window:
@@ -70,13 +70,14 @@ class Window:
         w = length - prefix + 1
         if not self.n:
             return
-        at = np.arange(lo, lo + len(part) - prefix + 1)
-        end = ends[np.searchsorted(ends, at, side="right")]
-        grams = np.arange(len(at))
-        self.h = mix(span_hash(prefix_hash(part, _ONE), grams, grams + prefix))
-        self.h[end - at < prefix] = MOST
-        self.least = sliding(self.h, w, np.minimum, MOST)[: self.n]
-        self.valid = (end - at >= length)[: self.n]
+        size = len(part) - prefix + 1
+        prefixes = prefix_hash(part, _ONE)
+        self.h = mix(span_hash(prefixes, slice(0, size), slice(prefix, prefix + size)))
+        a, b = np.searchsorted(ends, [lo, lo + size - 1], side="right")
+        left = np.repeat(ends[a : b + 1], np.diff(np.minimum(ends[a : b + 1], lo + size), prepend=lo)) - np.arange(lo, lo + size)  # to the document's end
+        self.h[left < prefix] = MOST
+        self.least = sliding(self.h, w, np.minimum)[: self.n]
+        self.valid = (left >= length)[: self.n]
         self.w = w
 
     def anchors(self) -> np.ndarray:
@@ -84,7 +85,7 @@ class Window:
         if not self.n:
             return np.zeros(0, np.int64)
         pad = np.zeros(self.w - 1, np.uint64)
-        best = sliding(np.concatenate([pad, np.where(self.valid, self.least, np.uint64(0)), pad]), self.w, np.maximum, np.uint64(0))
+        best = sliding(np.concatenate([pad, np.where(self.valid, self.least, np.uint64(0)), pad]), self.w, np.maximum)
         return np.flatnonzero((best == self.h[: len(best)]) & (best > 0)) + self.lo
 
     def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +99,24 @@ class Window:
             return none
         at = repeated[a:b] - self.lo
         h[at] = self.h[at]
-        hit = np.flatnonzero((sliding(h, self.w, np.minimum, MOST)[: self.n] == self.least) & self.valid)
+        hit = np.flatnonzero((sliding(h, self.w, np.minimum)[: self.n] == self.least) & self.valid)
         return hit + self.lo, self.least[hit]
 
 
 def windows(data: np.ndarray, ends: np.ndarray, length: int, prefix: int) -> Iterator[Window]:
-    for lo in range(0, max(0, len(data) - length + 1), SEGMENT):
-        yield Window(data, ends, lo, lo + SEGMENT, length, prefix)
+    for lo in range(0, max(0, len(data) - length + 1), STEP):
+        yield Window(data, ends, lo, lo + STEP, length, prefix)
+
+
+def surroundings(data: np.ndarray, ends: np.ndarray, pos: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text that strings around ascending suffixes can cover, without the rest: where each piece starts in ``data``, what follows it in the text put together, and that text.
+
+    The text put together is cut at the second array and at the ends of documents.
+    """
+    lo, hi = np.maximum(pos - (length - prefix), 0), np.minimum(pos + length, len(data))
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    lo, hi = lo[first], hi[np.append(first[1:] - 1, len(pos) - 1)]
+    return lo, np.cumsum(hi - lo), np.concatenate([data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
 
 
 def unpack(z: bytes) -> np.ndarray:
@@ -376,15 +388,22 @@ def stretches(length: int, prefix: int):  # noqa: ANN201
             pos = np.frombuffer(row["pos"], np.uint32 if len(row["pos"]) == 4 * len(which) else np.int64).astype(np.int64)
             hit = np.zeros(int(which.max()) + 1, bool)
             hit[np.frombuffer(b"".join(row["places"]), np.uint32)] = True
-            found = [w.candidates(pos[hit[which]]) for w in windows(data, ends, length, prefix)]
-            at, least = np.concatenate([a for a, _ in found]), np.concatenate([m for _, m in found])
+            again = pos[hit[which]]
+            begin, cut, near = surroundings(data, ends, again, length, prefix)
+            shift = begin - np.concatenate([[0], cut[:-1]])  # from the text put together to the block's
+            inside = np.searchsorted(begin, ends, side="right") - 1
+            stops = (ends - shift[inside])[(inside >= 0) & (ends - shift[inside] < cut[inside])]
+            again = again - shift[np.searchsorted(begin, again, side="right") - 1]
+            found = [w.candidates(again) for w in windows(near, np.union1d(stops, cut), length, prefix)]
+            here, least = np.concatenate([a for a, _ in found]), np.concatenate([m for _, m in found])
+            at = here + shift[np.searchsorted(cut, here, side="right")]
             if not len(at):
                 continue
             new = np.flatnonzero((np.diff(at) > 1) | (least[1:] != least[:-1]) | (at[1:] % SEGMENT == 0)) + 1
             first = np.concatenate([[0], new])
             start, size = at[first], np.diff(np.concatenate([first, [len(at)]]))
             end = start + size - 1 + length
-            one, two = string_hashes(data, start, end)
+            one, two = string_hashes(near, here[first], here[first] + size - 1 + length)
             cut = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
             lo = start[np.concatenate([[0], cut])]
             hi = np.maximum.reduceat(end, np.concatenate([[0], cut]))
@@ -558,11 +577,12 @@ def repeated_passages(df: DataFrame, keep: list[str], words: int = 51, text: str
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(it, 100):
-            out = []
-            for t in b.column(b.num_columns - 1):
-                data = np.frombuffer(text_bytes(t.as_py()), np.uint8)
-                start, end = word_bounds(data)
-                out.append((mix(span_hash(prefix_hash(data, _FOUR), start, end)) >> np.uint64(32)).astype(np.uint32).tobytes() if len(start) else b"")
+            texts = [text_bytes(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+            start, end = word_bounds(data)
+            codes = (word_hashes(data, start, end, _FOUR) >> np.uint64(32)).astype(np.uint32)
+            edges = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]])).tolist()
+            out = [codes[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, BIN)], names=schema.names)
 
     found = remove_repeats(rows.mapInArrow(code, schema), keep, WORD * words, "__codes", places=True, prefix=WORD * WORDS_MERGED)
