@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,8 @@ ROWS = 2 * (VOCABULARY + 1) + NGRAMS
 #: Bytes of text in a block, unless one document is longer.
 BLOCK = 8 << 20
 ROUNDS = 4
-#: Rows of 64 floats worked on at once.
-BATCH = 16384
+#: Rows of 64 floats worked on at once: few enough to stay near the processor.
+BATCH = 2048
 #: Events sorted together before they are worked out.
 EVENTS = 2_000_000
 #: Distinct words of blocks that one range of the hash space takes in.
@@ -44,6 +45,7 @@ SHARDS = 32
 #: Bytes of text whose gradient one task adds up, so that arrays of fixed size stay small next to the text.
 GRADIENT = 32 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
+ONES = np.ones(CLASSES, np.float32)
 _VALUES = table_of_bytes(33)
 
 
@@ -63,6 +65,15 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending values and the place of each among them, by a hash table: only different values are sorted."""
+    at, kinds = pd.factorize(h)
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[at]
+
+
 def blocks_of(df: DataFrame, keep: list[str], held_out: str, text: str = "text") -> DataFrame:
     """Documents in blocks of about ``BLOCK`` bytes, each with its distinct words.
 
@@ -82,7 +93,7 @@ def blocks_of(df: DataFrame, keep: list[str], held_out: str, text: str = "text")
             with pa.ipc.new_stream(sink, meta.schema) as w:
                 w.write_table(meta)
             h, sizes = tokens(texts)
-            words, codes = np.unique(h, return_inverse=True)
+            words, codes = distinct(h)
             learn = ~np.repeat(meta.column(held_out).to_numpy(), sizes)
             counts = np.bincount(codes, learn, len(words)).astype(np.uint32)
             cells = [first + done, sink.getvalue().to_pybytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts.tobytes(), zstandard.compress(codes.astype(np.uint32).tobytes(), 3), len(words), sum(map(len, texts))]
@@ -201,33 +212,25 @@ def before(x: np.ndarray, steps: int, blank: np.ndarray, fill: object) -> np.nda
     return out
 
 
-def add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray, often: int = 16) -> None:
-    """Add each row of p to that row of ``out``.
-
-    Rows that occur often are summed in one go; of the others the first, second, .. occurrences are
-    added together, so that no call names a row twice.
-    """
-    order = np.argsort(rows, kind="stable")  # 16 bits: a radix sort
-    s = rows[order]
-    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-    size = np.diff(np.append(first, len(s)))
-    hot = size > often
-    if hot.any():
-        out[s[first[hot]]] += np.add.reduceat(p[order[np.repeat(hot, size)]], np.cumsum(size[hot]) - size[hot], axis=0)
-    at, left, k = first[~hot], size[~hot], 0
-    while len(at):
-        out[s[at]] += p[order[at + k]]
-        k += 1
-        at, left = at[left > k], left[left > k]
+def add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """Add each row of p to that row of ``out``, two floats at a time (as one complex number)."""
+    half = out.shape[1] // 2
+    np.add.at(out.view(np.complex64).reshape(-1), (rows.astype(np.int64)[:, None] * half + np.arange(half)).reshape(-1), p.view(np.complex64).reshape(-1))
 
 
 def add_runs(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
     """The same where equal rows stand together: long runs are summed where they lie."""
-    first = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+    first = starts(rows)
     if len(rows) < 16 * len(first):
         return add_rows(out, rows, p)
+    one = np.ones(len(rows), np.float32)
     for r, a, b in zip(rows[first].tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
-        out[r] += p[a:b].sum(0)
+        out[r] += one[a:b] @ p[a:b]
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours start."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1]) if len(x) else np.zeros(0, np.int64)
 
 
 class Model:
@@ -280,31 +283,48 @@ class Model:
         hashed = lambda x: (mix(x) & np.uint64(PLACES - 1)).astype(np.uint16)
         return hashed(one * MULT + c * np.uint64(0x9E3779B1)), hashed((pair + np.uint64(1 << 20)) * MULT + c)
 
-    def class_odds(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Odds of the classes, not yet divided by their sum."""
-        a = self.class_rows[rows[0]]
-        a += self.class_bias
-        for r in rows[1:]:
-            a += self.class_rows[r]
-        return np.exp(a, out=a)
-
-    def place_odds(self, cls: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Odds of the places in a class, not yet divided by their sum."""
-        a = self.place_bias[cls]
-        for r in rows:
-            a += self.place_rows[r]
-        return np.exp(a, out=a)
+    def class_odds(self, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple, np.ndarray]]:
+        """Of ascending events, some at a time: their places, the row of each in the odds, the feature rows, and the odds of the classes, not yet divided by their sum.
+
+        Odds of classes depend on the history alone, and are worked out once for all words that follow one.
+        """
+        first = starts(e >> np.uint64(16))
+        a, b = (np.empty((min(BATCH, len(first)), CLASSES), np.float32) for _ in range(2))
+        for lo in range(0, len(first), BATCH):
+            some = first[lo : lo + BATCH]
+            end = first[lo + BATCH] if lo + BATCH < len(first) else len(e)
+            rows = self.class_features(e[some])
+            odds = self.class_rows.take(rows[0], 0, a[: len(some)], "clip")
+            odds += self.class_bias
+            for r in rows[1:]:
+                odds += self.class_rows.take(r, 0, b[: len(some)], "clip")
+            yield np.arange(some[0], end), np.repeat(np.arange(len(some)), np.diff(some, append=end)), rows, np.exp(odds, out=odds)
+
+    def place_odds(self, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple, np.ndarray]]:
+        """The same of the places in an event's class: worked out once for all words with the same features and class, which the features' second row orders."""
+        rows, cls = self.place_features(e), (e & np.uint64(0xFFFF)) // np.uint64(CLASSES)
+        key = rows[1].astype(np.uint64) << np.uint64(32) | rows[0].astype(np.uint64) << np.uint64(16) | cls
+        order = np.argsort(key)
+        first = starts(key[order])
+        a, b = (np.empty((min(BATCH, len(first)), CLASSES), np.float32) for _ in range(2))
+        for lo in range(0, len(first), BATCH):
+            some = first[lo : lo + BATCH]
+            end = first[lo + BATCH] if lo + BATCH < len(first) else len(e)
+            at = order[some]
+            mine = tuple(r[at] for r in rows)
+            odds = self.place_bias.take(cls[at].astype(np.int64), 0, a[: len(some)], "clip")
+            for r in mine:
+                odds += self.place_rows.take(r, 0, b[: len(some)], "clip")
+            yield order[some[0] : end], np.repeat(np.arange(len(some)), np.diff(some, append=end)), mine, np.exp(odds, out=odds)
 
     def log10(self, e: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 P of each token; ``base``: its count in training."""
-        out = np.empty(len(e))
-        y = (e & np.uint64(0xFFFF)).astype(np.int64)
-        for lo in range(0, len(e), BATCH):
-            some, cls = e[lo : lo + BATCH], y[lo : lo + BATCH] // CLASSES
-            a, b = self.class_odds(self.class_features(some)), self.place_odds(cls, self.place_features(some))
-            i = np.arange(len(some))
-            out[lo : lo + BATCH] = np.log10(a[i, cls].astype(np.float64) / a.sum(1)) + np.log10(b[i, y[lo : lo + BATCH] % CLASSES].astype(np.float64) / b.sum(1))
-        other = y == OTHER
+        """log10 P of each token; ``base``: its count in training. Equal events are worked out once."""
+        kinds, back = np.unique(e, return_inverse=True)
+        y, p = (kinds & np.uint64(0xFFFF)).astype(np.int64), np.zeros(len(kinds))
+        for odds_of, of in ((self.class_odds, y // CLASSES), (self.place_odds, y % CLASSES)):
+            for at, row, _, odds in odds_of(kinds):
+                p[at] += np.log10(odds[row, of[at]].astype(np.float64) / (odds @ ONES)[row])
+        out, other = p[back], y[back] == OTHER
         out[other] += np.log10((base[other] + 0.1) / (self.n_other + 0.1 * (self.v_other + 1)))
         return out
 
@@ -312,7 +332,6 @@ class Model:
 def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Observed and expected counts of the feature rows over distinct ascending events with their counts: classes, then places.
 
-    Class odds depend on the history alone, and are worked out once for all words that follow one.
     While all rows are zero, what is expected follows from counts of features.
     """
     y = e.astype(np.uint16)
@@ -334,30 +353,19 @@ def sums(e: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np
         ep = sum(tally(r, cls, PLACES) for r in pr) @ (odds / odds.sum(1, keepdims=True))
         return tuple(x.astype(np.float32) for x in (gc, ec, gp, ep))
     ec, ep = np.zeros((ROWS, CLASSES), np.float32), np.zeros((PLACES, CLASSES), np.float32)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(e >> np.uint64(16))) + 1])
-    times, hr = np.add.reduceat(n, first), [r[first] for r in cr]
-    for lo in range(0, len(first), BATCH):
-        rows = [r[lo : lo + BATCH] for r in hr]
-        p = model.class_odds(rows)
-        p *= (times[lo : lo + BATCH] / p.sum(1))[:, None]
-        add_rows(ec, rows[0], p)
-        add_rows(ec, rows[1], p)
-        add_runs(ec, rows[2], p)  # events ascend by n-gram
-    order = np.argsort(pr[1], kind="stable")
-    cls, n, pr = cls[order], n[order], [r[order] for r in pr]
-    for lo in range(0, len(e), BATCH):
-        rows = [r[lo : lo + BATCH] for r in pr]
-        p = model.place_odds(cls[lo : lo + BATCH], rows)
-        p *= (n[lo : lo + BATCH] / p.sum(1))[:, None]
-        add_rows(ep, rows[0], p)
-        add_runs(ep, rows[1], p)
+    for odds_of, out in ((model.class_odds, ec), (model.place_odds, ep)):
+        for at, row, rows, p in odds_of(e):
+            p *= (np.bincount(row, n[at], len(p)) / (p @ ONES)).astype(np.float32)[:, None]
+            for r in rows[:-1]:
+                add_rows(out, r, p)
+            add_runs(out, rows[-1], p)  # ascending, by n-gram
     return gc.astype(np.float32), ec, gp.astype(np.float32), ep
 
 
 def counted(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct events, ascending, and how often each occurs."""
     s = np.sort(e)
-    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1]) if len(s) else np.zeros(0, np.int64)
+    first = starts(s)
     return s[first], np.diff(np.append(first, len(s)))
 
 
