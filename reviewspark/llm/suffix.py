@@ -23,7 +23,7 @@ Every exchange is aggregated within a block first, so copies and hot passages co
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,11 @@ def unpack(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(z), np.uint8)
 
 
-def blocks_of(df: DataFrame, keep: list[str], text: str, length: int, prefix: int) -> DataFrame:
-    """Documents in blocks: kept columns, lengths, packed text, positions of sparse suffixes and, of those that differ, the sorted order."""
+def blocks_of(df: DataFrame, keep: list[str], text: str, length: int, prefix: int, code: Callable[[Iterable[bytes]], Iterable[bytes]] | None = None) -> DataFrame:
+    """Documents in blocks: kept columns, lengths, packed text, positions of sparse suffixes and, of those that differ, the sorted order.
+
+    With ``code``, texts are turned into other bytes first, by the same worker: a second Python step in the stage would take a second worker a core.
+    """
     schema = "block long, meta binary, ends binary, data binary, pos binary, which binary, rep binary, twice binary"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +159,9 @@ def blocks_of(df: DataFrame, keep: list[str], text: str, length: int, prefix: in
         rows, texts, held = [], [], 0
         for b in sliced(it, 100):
             lone = b.select(list(range(b.num_columns - 1)))
-            for i in range(b.num_rows):
-                t = b.column(b.num_columns - 1)[i].as_py()
-                t = t if isinstance(t, bytes) else text_bytes(t)
+            values = (x.as_py() for x in b.column(b.num_columns - 1))
+            each = (t if isinstance(t, bytes) else text_bytes(t) for t in values)
+            for i, t in enumerate(code(each) if code else each):
                 if texts and held + len(t) > BLOCK:
                     yield block(rows, texts)
                     rows, texts, held = [], [], 0
@@ -439,7 +442,7 @@ class Stretches:
         return at, *string_hashes(unpack(row["data"]), near, near + length)
 
 
-def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False, places: bool = False, prefix: int = PREFIX) -> DataFrame:
+def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str = "text", as_text: bool = False, places: bool = False, prefix: int = PREFIX, code: Callable[[Iterable[bytes]], Iterable[bytes]] | None = None) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes (null: empty), strings never cross documents, and all are judged on the
@@ -448,9 +451,10 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     ``places`` the starts and ends of the removed runs instead). Rows come out as often as they went in;
     an empty table gives no rows; columns other than ``keep`` and the text have no part. ``prefix``
     bytes of a suffix are merged: fewer are cheaper to exchange, but may repeat where strings don't.
+    With ``code``, all this is about the bytes that it makes of the texts.
     """
     spark = df.sparkSession
-    blocks = materialise(blocks_of(df, keep, text, length, prefix), "suffix-blocks")
+    blocks = materialise(blocks_of(df, keep, text, length, prefix, code), "suffix-blocks")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() * BLOCK // RANGE))
     again_at = materialise(repeated(blocks, n, prefix), "suffix-places")
     around = blocks.select("block", "ends", "data", "pos", "which").join(told(again_at, "places"), "block")
@@ -564,6 +568,16 @@ def remove_repeats(df: DataFrame, keep: list[str], length: int = 400, text: str
     return final.mapInArrow(finish, schema)
 
 
+def word_codes(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """The words of each text, as hashes of ``WORD`` bytes."""
+    texts = list(texts)
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    start, end = word_bounds(data)
+    codes = (word_hashes(data, start, end, _FOUR) >> np.uint64(32)).astype(np.uint32)
+    edges = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]])).tolist()
+    return (codes[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False))
+
+
 def repeated_passages(df: DataFrame, keep: list[str], words: int = 51, text: str = "text") -> DataFrame:
     """``keep``, ``n_repeated_words`` and ``spans``: words of each text that are covered by ``words`` words in a row that also start anywhere else.
 
@@ -572,20 +586,7 @@ def repeated_passages(df: DataFrame, keep: list[str], words: int = 51, text: str
     ``spans`` holds the covered runs (pairs of places in the hashes). Rows come out as often as they
     went in; a null text is empty; an empty table gives no rows.
     """
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = df.select(*keep).schema.add("__codes", "binary")
-
-    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(it, 100):
-            texts = [text_bytes(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-            start, end = word_bounds(data)
-            codes = (word_hashes(data, start, end, _FOUR) >> np.uint64(32)).astype(np.uint32)
-            edges = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]])).tolist()
-            out = [codes[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, BIN)], names=schema.names)
-
-    found = remove_repeats(rows.mapInArrow(code, schema), keep, WORD * words, "__codes", places=True, prefix=WORD * WORDS_MERGED)
+    found = remove_repeats(df, keep, WORD * words, text, places=True, prefix=WORD * WORDS_MERGED, code=word_codes)
     return found.select(*keep, (F.col("n_removed") / WORD).cast("long").alias("n_repeated_words"), F.col("kept").alias("spans"))
 
 
