@@ -72,24 +72,42 @@ def classify(text: Column, rating: Column, words: Lexicon) -> Column:
     return F.transform(hits, judge)[0]
 
 
-# Fixed value: where sentences end.
+# Where sentences end, and the characters that are trimmed from pieces (Unicode's space separators).
 SENTENCE_END = r"(?<=[.!?…])\s+|\n+"
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
-def sentences(c: Column) -> Column:
+def _trim(c: Column) -> Column:
+    return F.trim(c, F.lit(SPACES))
+
+
+def sentences(c: Column, end: str = SENTENCE_END) -> Column:
     """Pieces cut at white space after an end mark, and at line ends."""
-    return F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, end), _trim), lambda x: x != "")
+
 
+def has_segments(c: Column) -> Column:
+    """Whether ``evidence_segments`` finds anything: texts of spaces, line ends and its own mark alone hold nothing."""
+    return c.rlike(rf"[^\n\u0001{SPACES}]")
 
-def evidence_segments(c: Column) -> Column:
-    """Sentences, cut before connectors, then after ``;`` and ``|``, and where over 20 words remain after commas."""
-    mark = "\u0001"
-    cut = lambda xs, f: F.filter(F.flatten(F.transform(xs, lambda x: F.transform(F.split(f(x), mark), lambda y: F.trim(y)))), lambda x: x != "")
-    clauses = cut(sentences(c), lambda x: F.regexp_replace(x, rf"(?i)\s+(?=({'|'.join(CONNECTORS)})\b)", mark))
-    parts = cut(clauses, lambda x: F.regexp_replace(x, r"(\s*[;|])\s*", "$1" + mark))
-    out = cut(parts, lambda x: F.when(F.size(F.split(x, r"\s+")) > 20, F.regexp_replace(x, ",", "," + mark)).otherwise(x))
+
+def evidence_segments(c: Column, as_sql: bool = False) -> Column:
+    """Sentences, cut before connectors, then after ``;`` and ``|``, and where over 20 words remain after commas; one empty piece where there is none.
+
+    ``as_sql`` reads as the queries' SQL: a vertical tab is no white space, a connector ends before any character but an
+    ASCII letter, digit or underscore, and takes that one in, so that another right behind it begins no clause.
+    """
+    mark, white = "\u0001", r"[\t\n\f\r ]" if as_sql else r"\s"
+    words = "|".join(CONNECTORS).replace("k", "[k\u212a]").replace("s", "[s\u017f]")  # the letters' other forms, which (?i) leaves out
+    cut = lambda xs, f: F.filter(F.flatten(F.transform(xs, lambda x: F.transform(F.split(f(x), mark), _trim))), lambda x: x != "")
+    if as_sql:
+        clauses = cut(sentences(c, SENTENCE_END.replace(r"\s", white)), lambda x: F.regexp_replace(F.concat(x, F.lit(" ")), rf"(?i){white}+(({words})[^0-9A-Za-z_\u017f\u212a])", mark + "$1"))
+    else:
+        clauses = cut(sentences(c), lambda x: F.regexp_replace(x, rf"(?i)\s+(?=({words})\b)", mark))
+    parts = cut(clauses, lambda x: F.regexp_replace(x, rf"({white}*[;|]){white}*", "$1" + mark))
+    out = cut(parts, lambda x: F.when(F.size(F.split(x, rf"{white}+")) > 20, F.regexp_replace(x, ",", "," + mark)).otherwise(x))
     # Bound once: a plain "when" would work the whole expression out for the test and again for the result.
-    return F.transform(F.array(out), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(F.trim(c))))[0]
+    return F.transform(F.array(out), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(F.lit(""))))[0]
 
 
 def excerpt(c: Column, query: str) -> Column:
